@@ -1,0 +1,8 @@
+"""Training-data operators. Nothing outside this package imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this package on their path: its functions travel with the tasks that use them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
