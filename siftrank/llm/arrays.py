@@ -33,13 +33,22 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+class Spans:
+    """Hashes of spans of one array of values, by prefix sums of a polynomial."""
+
+    def __init__(self, values: np.ndarray, base: np.uint64 = P1) -> None:
+        up, self.down = _powers(base, len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=self.sums[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each ``values[start:end]``."""
+        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * P2)
+
+
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64 = P1) -> np.ndarray:
-    """A 64-bit hash of each ``values[start:end]``, by prefix sums of a polynomial."""
-    up, down = _powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    length = (end - start).astype(np.uint64)
-    return mix((sums[end] - sums[start]) * down[start] + length * P2)
+    """A 64-bit hash of each ``values[start:end]``."""
+    return Spans(values, base).hash(start, end)
 
 
 def string_hash(array: pa.Array, base: np.uint64 = P1) -> np.ndarray:
@@ -74,6 +83,19 @@ def word_hashes(flat: pa.Array, base: np.uint64 = P1) -> np.ndarray:
     return string_hash(coded.dictionary, base)[np.asarray(coded.indices)]
 
 
+#: Stripped from the ends of words by :func:`bare_hashes`.
+PUNCTUATION = ".,;:!?|%*&$#()[]{}<>\"'`~-_=+/\\"
+
+
+def bare_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' lower-cased words without punctuation at their ends, flat, and each text's offsets into them."""
+    flat, offsets = words(texts)
+    if not len(flat):
+        return np.zeros(0, np.uint64), offsets
+    coded = flat.dictionary_encode()
+    return string_hash(pc.utf8_trim(coded.dictionary, PUNCTUATION))[np.asarray(coded.indices)], offsets
+
+
 def shingles(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's runs of ``n`` words, with offsets. A shorter text that has words is one shingle."""
     size = np.diff(offsets)
