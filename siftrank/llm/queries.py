@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.llm import decontamination, line_dedup, ngram_jaccard, pieces, quality, sharding, toxicity
+from siftrank.llm import decontamination, line_dedup, nearest, ngram_jaccard, pieces, quality, sharding, substring_dedup, toxicity, url_lists
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op2_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +19,15 @@ def op2_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "draw", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion", "round_trip")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_lists.evaluate(url_lists.dated_pages(pages), url_lists.dated_entries(pages), "page_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -40,7 +53,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_gumbel_pieces": op2_gumbel_pieces,
+    "op3_nearest": op3_nearest,
+    "op4_url_lists": op4_url_lists,
     "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_sharding": op7_sharding,
@@ -48,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_url_lists": url_lists.ORACLE}
