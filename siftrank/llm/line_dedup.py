@@ -1,13 +1,12 @@
 """Operator 6. Line dedup: exact set-similarity join over lines (prefix, positional and length filters, then Jaccard).
 
 1. A scan turns each line into its set of lower-cased words (``mapInArrow``). Lines with equal sets are one class,
-   represented by the earliest ``(doc_id, line_no)``; the pre-aggregated ``groupBy`` makes a line with a million copies one row.
-2. Words are counted over classes. The words that hold ``1 / FREQUENT`` of all words or more (so at most ``FREQUENT`` of them,
-   whatever the size of the corpus) are ordered by count; all rarer words come before them, ordered by hash. Any global order makes the
-   prefix filter exact; this one keeps frequent words out of prefixes, and its broadcast has a proven bound.
+   represented by the earliest ``(doc_id, line_no)``. Copies collapse within each batch before the shuffle, so a line with a million copies is a few rows.
+2. Words are counted. Those that hold ``1 / FREQUENT`` of all words or more (so at most ``FREQUENT`` of them, whatever the size of the corpus) are ordered by
+   count; all rarer words come before them, ordered by hash. Any global order makes the prefix filter exact; this one keeps frequent words out of prefixes, and its broadcast has a proven bound.
 3. Each class posts the first ``n - ceil(t n) + 1`` words of its order. Postings are joined on the word, under the length filter, the
    positional filter and a bitmap bound on the overlap (each word sets one of 64 bits; the differing bits bound what the sets can share).
-4. Surviving pairs are verified on the whole word sets.
+4. Surviving pairs are verified on the whole word sets. Classes are partitioned once, by the first half of their digest, for the grouping and for both joins of the verification.
 
 A line is removed if an earlier line has a similarity of ``threshold`` or more, itself removed or not. Lines of fewer than ``min_words``
 different words are left alone. Null and empty texts have no lines to remove. Repeated rows: the copy of a line in the same document and place
@@ -30,103 +29,145 @@ from siftrank.sources.checkpoints import cut
 FREQUENT = 1 << 18
 
 
-def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Each text's different words in the order of their hashes: hashes, offsets, words, and the word count of each text."""
+_BITS = np.uint64(44)
+_LOW = np.uint64((1 << 44) - 1)
+
+
+def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's different words as 44-bit hashes in ascending order, flat, with offsets. Texts are sorted as one array, by (text, hash)."""
     flat, offsets = A.words(texts)
-    h = A.word_hashes(flat)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner, order = h[keep], owner[keep], order[keep]
-    size = np.bincount(owner, minlength=len(offsets) - 1)
-    return h, np.concatenate([[0], np.cumsum(size)]), flat.take(pa.array(order)), size
+    out, sizes = [], []
+    h = A.word_hashes(flat) & _LOW
+    for x in range(0, len(offsets) - 1, 1 << 20):
+        part = offsets[x : x + (1 << 20) + 1]
+        own = np.repeat(np.arange(len(part) - 1, dtype=np.uint64) << _BITS, np.diff(part))
+        key = np.sort(own | h[part[0] : part[-1]])
+        if len(key):
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        sizes.append(np.bincount((key >> _BITS).astype(np.int64), minlength=len(part) - 1))
+        out.append(key & _LOW)
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    return np.concatenate(out) if out else h, np.concatenate([[0], np.cumsum(size)])
+
+
+def _split(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The lines of a batch's texts, the row that each comes from, and its number."""
+    split = pc.split_pattern(pc.fill_null(batch.column("text"), "").cast(pa.large_string()), "\n")
+    at = np.asarray(split.offsets).astype(np.int64)
+    at = at - at[0]
+    row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+    return split.flatten(), row, np.arange(at[-1]) - at[:-1][row]
+
+
+def _digests(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return A.signed(A.span_hash(h, offsets[:-1], offsets[1:])), A.signed(A.span_hash(A.mix(h), offsets[:-1], offsets[1:], A.P2))
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(doc_id, line_no, d1, d2, words)`` of every line with ``min_words`` different words or more; digests are those of the word set."""
+    """``(doc_id, line_no, d1, d2)`` of every line with ``min_words`` different words or more; digests are those of the word set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in A.pieces_of(whole, "text"):
-                split = pc.split_pattern(pc.fill_null(batch.column("text"), "").cast(pa.large_string()), "\n")
-                text = split.flatten()
-                at = np.asarray(split.offsets).astype(np.int64)
-                at = at - at[0]
-                number = np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))
-                ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(at))))
-                h, offsets, _, size = _sets(text)
-                d1, d2 = A.span_hash(h, offsets[:-1], offsets[1:]), A.span_hash(A.mix(h), offsets[:-1], offsets[1:], A.P2)
-                out = pa.RecordBatch.from_arrays(
-                    [ids, pa.array(number.astype(np.int32)), pa.array(A.signed(d1)), pa.array(A.signed(d2)), text.cast(pa.string())],
-                    names=["doc_id", "line_no", "d1", "d2", "words"],
+                text, row, number = _split(batch)
+                h, offsets = _sets(text)
+                d1, d2 = _digests(h, offsets)
+                own = np.flatnonzero(np.diff(offsets) >= min_words)
+                ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(row[own]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number[own].astype(np.int32)), pa.array(d1[own]), pa.array(d2[own])], names=["doc_id", "line_no", "d1", "d2"])
+
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no int, d1 long, d2 long")
+
+
+def classes(docs: DataFrame, min_words: int) -> DataFrame:
+    """``(d1, d2, rep, copies, words)`` of each different word set, partitioned by ``d1``; ``words`` is the text of one of its lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in A.pieces_of(whole, "text"):
+                text, row, number = _split(batch)
+                h, offsets = _sets(text)
+                d1, d2 = _digests(h, offsets)
+                own = np.flatnonzero(np.diff(offsets) >= min_words)
+                ids = np.asarray(batch.column("doc_id").cast(pa.int64()))[row[own]]
+                own = own[np.lexsort((number[own], ids, d2[own], d1[own]))]
+                first = np.flatnonzero(np.concatenate([[True], (d1[own][1:] != d1[own][:-1]) | (d2[own][1:] != d2[own][:-1])])) if len(own) else own
+                copies = np.diff(np.append(first, len(own)))
+                own = own[first]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(d1[own]), pa.array(d2[own]), batch.column("doc_id").cast(pa.int64()).take(pa.array(row[own])),
+                        pa.array(number[own].astype(np.int32)), pa.array(copies), text.take(pa.array(own)).cast(pa.string()),
+                    ],
+                    names=["d1", "d2", "doc_id", "line_no", "copies", "words"],
                 )
-                yield out.filter(pa.array(size >= min_words))
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no int, d1 long, d2 long, words string")
+    once = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "d1 long, d2 long, doc_id long, line_no int, copies long, words string")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return once.repartition(parts, "d1").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("rep"), F.sum("copies").alias("copies"), F.min("words").alias("words"))
 
 
-def frequent_words(classes: DataFrame, most: int) -> dict[str, np.ndarray]:
-    """Hashes and counts of the words that make up ``1 / most`` of all words or more: never over ``most`` of them."""
+def frequent_words(docs: DataFrame, most: int) -> dict[str, np.ndarray]:
+    """Hashes and counts of words that make up ``1 / most`` of all words or more: never over ``most`` of them.
+
+    Each batch reports the words that reach that share in it; counts are thus lower bounds, which serve an order as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            held.append(_sets(batch.column("words"))[0])
-            if sum(map(len, held)) > 4_000_000:
-                yield counted(held)
-                held = []
-        if held:
-            yield counted(held)
-
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(A.signed(h)), pa.array(n)], names=["h", "n"])
-
-    counts = classes.select("words").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    counts = cut(counts.where("n > 1"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") * most >= total).toPandas()
-    h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+        for whole in batches:
+            for batch in A.pieces_of(whole, "text", 16_000_000):
+                coded = A.words(batch.column("text"))[0].dictionary_encode()
+                if not len(coded):
+                    continue
+                n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
+                top = np.flatnonzero(n >= max(2, len(coded) / most))
+                h = A.string_hash(coded.dictionary.take(pa.array(top))) & _LOW
+                # the row of hash -1 carries how many words the batch has
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(A.signed(h), -1)), pa.array(np.append(n[top], len(coded)))], names=["h", "n"])
+
+    counts = cut(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    total = counts.where("h = -1").agg(F.sum("n")).first()[0] or 0
+    rows = counts.where((F.col("h") >= 0) & (F.col("n") * most >= total)).toPandas()
+    h, n = rows["h"].to_numpy(np.int64).astype(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(h)
     return {"h": h[order], "n": n[order]}
 
 
 def postings(classes: DataFrame, frequent: dict[str, np.ndarray], threshold: float) -> DataFrame:
-    """``(word, d1, d2, n, pos, bits)`` for each word of each class's prefix."""
+    """``(word, d1, n, pos, bits)`` for each word of each class's prefix. 32 bits of a word and half a digest will do: what they confuse is verified."""
     shared = classes.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value["h"], shared.value["n"]
         for batch in batches:
-            h, offsets, _, size = _sets(batch.column("words"))
-            at = np.searchsorted(known, h)
-            hit = at < len(known)
-            hit[hit] = known[at[hit]] == h[hit]
-            rarity = np.zeros(len(h), np.int64)
-            rarity[hit] = count[at[hit]]
+            h, offsets = _sets(batch.column("words"))
+            size = np.diff(offsets)
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            rarity = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
             owner = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((h, rarity, owner))
+            # rarer words first; within a text the hashes ascend already, and the sort is stable
+            order = np.argsort((owner << 38) + np.minimum(rarity, (1 << 38) - 1), kind="stable")
             pos = np.arange(len(h)) - offsets[:-1][owner]
             prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
             take = pos < prefix[owner]
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(58)), offsets[:-1]) if len(h) else np.zeros(0, np.uint64)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(38)), offsets[:-1]) if len(h) else np.zeros(0, np.uint64)
             own, word, pos = owner[take], h[order][take], pos[take]
-            d1, d2 = np.asarray(batch.column("d1")), np.asarray(batch.column("d2"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(A.signed(word)), pa.array(d1[own]), pa.array(d2[own]), pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(A.signed(bits[own]))],
-                names=["word", "d1", "d2", "n", "pos", "bits"],
+                [
+                    pa.array((word & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(np.asarray(batch.column("d1"))[own]),
+                    pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(A.signed(bits[own])),
+                ],
+                names=["word", "d1", "n", "pos", "bits"],
             )
 
-    return classes.select("d1", "d2", "words").mapInArrow(run, "word long, d1 long, d2 long, n int, pos int, bits long")
+    return classes.select("d1", "words").mapInArrow(run, "word int, d1 long, n int, pos int, bits long")
 
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, ao, _, an = _sets(batch.column("words_a"))
-            b, bo, _, bn = _sets(batch.column("words_b"))
+            (a, ao), (b, bo) = _sets(batch.column("words_a")), _sets(batch.column("words_b"))
+            an, bn = np.diff(ao), np.diff(bo)
             both = np.fromiter((len(np.intersect1d(a[ao[i] : ao[i + 1]], b[bo[i] : bo[i + 1]], assume_unique=True)) for i in range(len(an))), np.int64, len(an))
             near = both >= threshold * (an + bn - both) - 1e-9
             yield batch.select(["a1", "a2", "b1", "b2", "rep_a", "rep_b"]).filter(pa.array(near))
@@ -134,23 +175,20 @@ def _verify(threshold: float):
     return run
 
 
-def class_links(classes: DataFrame, threshold: float) -> DataFrame:
+def class_links(kinds: DataFrame, frequent: dict[str, np.ndarray], threshold: float) -> DataFrame:
     """Pairs of different word sets with a Jaccard similarity of ``threshold`` or more: ``a1, a2, b1, b2, rep_a, rep_b``."""
-    post = postings(classes, frequent_words(classes, FREQUENT), threshold)
-    x = post.select("word", F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("bits").alias("ba"))
-    y = post.select("word", F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits").alias("bb"))
+    post = postings(kinds, frequent, threshold)
+    x, y = (post.select("word", F.col("d1").alias(f"{s}1"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("bits").alias(f"b{s}")) for s in "ab")
     least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
     pairs = (
-        x.hint("merge").join(y, "word")
-        .where("a1 < b1 OR (a1 = b1 AND a2 < b2)")
+        x.hint("merge").join(y, "word").where("a1 < b1")
         .where((F.col("na") >= F.lit(threshold) * F.col("nb") - 1e-9) & (F.col("nb") >= F.lit(threshold) * F.col("na") - 1e-9))
         .where(F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
         .where((F.col("na") + F.col("nb") - F.bit_count(F.expr("ba ^ bb"))) / 2 >= least)
-        .select("a1", "a2", "b1", "b2").distinct()
+        .select("a1", "b1").distinct()
     )
-    whole = classes.select("d1", "d2", "rep", "words")
-    left = pairs.hint("merge").join(whole.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("rep").alias("rep_a"), F.col("words").alias("words_a")), ["a1", "a2"])
-    both = left.hint("merge").join(whole.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("rep").alias("rep_b"), F.col("words").alias("words_b")), ["b1", "b2"])
+    a, b = (kinds.select(F.col("d1").alias(f"{s}1"), F.col("d2").alias(f"{s}2"), F.col("rep").alias(f"rep_{s}"), F.col("words").alias(f"words_{s}")) for s in "ab")
+    both = pairs.hint("merge").join(a, "a1").hint("merge").join(b, "b1")
     place = "struct<doc_id:bigint,line_no:int>"
     return both.select("a1", "a2", "b1", "b2", "rep_a", "rep_b", "words_a", "words_b").mapInArrow(
         _verify(threshold), f"a1 long, a2 long, b1 long, b2 long, rep_a {place}, rep_b {place}"
@@ -159,18 +197,14 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
     """Every line that an earlier line resembles: ``doc_id, line_no`` and the earliest such line ``first_doc_id, first_line_no``."""
+    links = cut(class_links(classes(docs, min_words), frequent_words(docs, FREQUENT), threshold))
     every = lines(docs, min_words)
-    classes = every.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("rep"), F.count("*").alias("copies"), F.min("words").alias("words"))
-    links = cut(class_links(classes, threshold))
-    ends = links.select(F.col("a1").alias("d1"), F.col("a2").alias("d2"), F.col("rep_b").alias("other")).union(links.select("b1", "b2", "rep_a"))
-    first = (
-        classes.where("copies > 1").select("d1", "d2", F.col("rep").alias("other"))
-        .union(ends)
-        .union(links.select("a1", "a2", "rep_a")).union(links.select("b1", "b2", "rep_b"))
-        .groupBy("d1", "d2").agg(F.min("other").alias("first"))
-    )
+    place = F.struct("doc_id", "line_no")
+    own = every.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d1", "d2", "first")
+    ends = links.select(F.col("a1").alias("d1"), F.col("a2").alias("d2"), F.least("rep_a", "rep_b").alias("first")).union(links.select("b1", "b2", F.least("rep_a", "rep_b")))
+    first = own.union(ends).groupBy("d1", "d2").agg(F.min("first").alias("first"))
     return (
-        every.select("doc_id", "line_no", "d1", "d2").hint("merge").join(first, ["d1", "d2"])
+        every.hint("merge").join(first, ["d1", "d2"])
         .where(F.struct("doc_id", "line_no") > F.col("first"))
         .select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
         .distinct()

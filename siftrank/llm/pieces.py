@@ -80,42 +80,45 @@ class Lattices:
         n = first[-1]
         depth = np.arange(n) - np.repeat(self.begin, size + 1)
         source = np.repeat(start, size + 1) + depth
-        width = int(min(LONGEST, size.max(initial=1)))
-        self.width = width
-        score, self.id = np.full((n, width), -np.inf, np.float32), np.full((n, width), -1, np.int32)
+        width = self.width = int(min(LONGEST, size.max(initial=1)))
+        edges = np.minimum(depth, width)
+        last = np.cumsum(edges)
+        # the edge of w characters into node p is at base[p] + w
+        self.base = last - edges - 1
+        self.edges = edges
+        score, self.id = np.full(last[-1] if n else 0, -np.inf, np.float32), np.full(last[-1] if n else 0, -1, np.int32)
+        at = np.flatnonzero(depth >= 1)
         for w in range(1, width + 1):
-            at = np.flatnonzero(depth >= w)
+            at = at[depth[at] >= w]
             got = table.find(spans.hash(source[at] - w, source[at]))
-            hit = ~np.isnan(got)
-            ids = got[hit].astype(np.int32)
-            self.id[at[hit], w - 1], score[at[hit], w - 1] = ids, vocab["log_p"][ids]
-        alone = np.flatnonzero((depth >= 1) & (self.id[:, 0] < 0))
+            hit = np.flatnonzero(~np.isnan(got))
+            ids, cell = got[hit].astype(np.int32), self.base[at[hit]] + w
+            self.id[cell], score[cell] = ids, vocab["log_p"][ids]
+        alone = np.flatnonzero(depth >= 1)
+        alone = alone[self.id[self.base[alone] + 1] < 0]
         char = points[source[alone] - 1].astype(np.int64)
-        score[alone, 0] = BYTE_LOG_P * (1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000))
-        self.char = np.zeros(n, np.int64)
-        self.char[alone] = char
-        alpha = np.full(n + width, -np.inf)
-        alpha[self.begin] = 0.0
+        score[self.base[alone] + 1] = BYTE_LOG_P * (1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000))
+        self.char = dict(zip(alone.tolist(), char.tolist(), strict=True))
+        alpha = np.zeros(n, np.float32)
         order = np.argsort(-size, kind="stable")
         ordered, starts = size[order], self.begin[order]
-        reach = np.arange(1, width + 1)
-        cumulative = np.ones((n, width), np.float32)
+        self.cumulative = np.ones(len(score), np.float32)
         for d in range(1, int(size.max(initial=0)) + 1):
             p = starts[: np.searchsorted(-ordered, -d, "right")] + d
-            k = min(d, width)
-            terms = score[p, :k] + alpha[p[:, None] - reach[:k]]
-            top = terms.max(1)
-            share = np.exp(terms - top[:, None])
-            total = share.sum(1)
-            alpha[p] = top + np.log(total)
-            cumulative[p, :k] = np.cumsum(share, 1) / total[:, None]
-            cumulative[p, k - 1 :] = 1.0
-        self.cumulative = cumulative
+            reach = np.arange(1, min(d, width) + 1)
+            cell = self.base[p][:, None] + reach
+            share = score[cell] + alpha[p[:, None] - reach]
+            top = share.max(1)
+            share = np.exp(share - top[:, None], out=share)
+            share = np.cumsum(share, 1, out=share)
+            alpha[p] = top + np.log(share[:, -1])
+            share /= share[:, -1:]
+            self.cumulative[cell] = share
 
     def share(self, p: np.ndarray, w: np.ndarray) -> np.ndarray:
         """The probability of the edge of ``w`` characters, given its node."""
-        flat, at = self.cumulative.reshape(-1), p * self.width + w - 1
-        return flat[at].astype(np.float64) - np.where(w > 1, flat[at - (w > 1)], 0.0)
+        at = self.base[p] + w
+        return self.cumulative[at].astype(np.float64) - np.where(w > 1, self.cumulative[at - (w > 1)], 0.0)
 
 
 def _cells(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +176,6 @@ class Sampler:
 
     def _descend(self, word: np.ndarray, p: np.ndarray, step: np.ndarray, draw: int) -> list[np.ndarray]:
         """Sample from nodes down to their words' starts: words, steps, nodes and edge widths, unordered."""
-        flat = self.lattices.cumulative.reshape(-1)
         lat, out = self.lattices, [[word[:0]], [step[:0]], [p[:0]], [p[:0]]]
         start = lat.begin[self.lattice[word]]
         live = np.flatnonzero(p > start)
@@ -181,11 +183,12 @@ class Sampler:
         while len(live):
             at = p[live]
             u = noise(word[live], step[live]).astype(np.float32)
-            w = np.ones(len(at), np.int64)
-            longer = np.flatnonzero(flat[at * lat.width] < u)
+            cell = lat.base[at] + 1
+            longer = np.flatnonzero(lat.cumulative[cell] < u)
             while len(longer):
-                w[longer] += 1
-                longer = longer[flat[at[longer] * lat.width + w[longer] - 1] < u[longer]]
+                cell[longer] += 1
+                longer = longer[lat.cumulative[cell[longer]] < u[longer]]
+            w = cell - lat.base[at]
             for held, value in zip(out, (word[live], step[live], at, w), strict=True):
                 held.append(value)
             p[live] = at - w
@@ -239,11 +242,12 @@ class Sampler:
         count = turn - d.first[texts]
         kept = np.repeat(d.first[texts] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         word, step, p, mask = d.word[turn], d.step[turn], d.p[turn], d.mask[turn]
-        share = np.diff(lat.cumulative[p].astype(np.float64), axis=1, prepend=0.0)
+        reach = np.minimum(np.arange(1, lat.width + 1), lat.edges[p][:, None])
+        share = np.diff(lat.cumulative[lat.base[p][:, None] + reach].astype(np.float64), axis=1, prepend=0.0)
         share[(mask[:, None] >> np.arange(1, lat.width + 1)) & 1 == 1] = 0.0
         total = np.cumsum(share, 1)
         u = self._noise(2 * draw)(word, step) * total[:, -1]
-        w = np.minimum((total <= u[:, None]).sum(1), lat.width - 1) + 1
+        w = np.minimum((total <= u[:, None]).sum(1) + 1, lat.edges[p])
         d.left[turn] = -np.inf
         last = np.searchsorted(self.owner, texts, "right")
         later = last - word - 1
@@ -266,8 +270,10 @@ class Sampler:
         length = np.diff(np.append(first, n))
         order = np.repeat(2 * first + length - 1, length) - np.arange(n)
         p, text = d.p[order], d.text
-        ids = self.lattices.id[p, d.w[order] - 1]
-        char = np.where(ids < 0, self.lattices.char[p], 0)
+        ids = self.lattices.id[self.lattices.base[p] + d.w[order]]
+        char = np.zeros(n, np.int64)
+        other = np.flatnonzero(ids < 0)
+        char[other] = [self.lattices.char[x] for x in p[other].tolist()]
         count = np.where(ids < 0, 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000), 1)
         at = np.cumsum(count) - count
         out = np.repeat(ids, count)
@@ -322,7 +328,7 @@ def encode(docs: DataFrame, k: int = 2, seed: int = 11, model: str = MODEL) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in A.pieces_of(whole, "text", 3_000_000):
+            for batch in A.pieces_of(whole, "text", 2_500_000):
                 yield encode_batch(batch, k, seed, shared.value)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
