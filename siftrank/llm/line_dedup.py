@@ -1,12 +1,13 @@
 """Operator 6. Line dedup: exact set-similarity join over lines (prefix, positional and length filters, then Jaccard).
 
-1. A scan turns each line into its set of lower-cased words (``mapInArrow``). Lines with equal sets are one class,
-   represented by the earliest ``(doc_id, line_no)``. Copies collapse within each batch before the shuffle, so a line with a million copies is a few rows.
-2. Words are counted. Those that hold ``1 / FREQUENT`` of all words or more (so at most ``FREQUENT`` of them, whatever the size of the corpus) are ordered by
+1. Words are counted. Those that hold ``1 / FREQUENT`` of all words or more (so at most ``FREQUENT`` of them, whatever the size of the corpus) are ordered by
    count; all rarer words come before them, ordered by hash. Any global order makes the prefix filter exact; this one keeps frequent words out of prefixes, and its broadcast has a proven bound.
-3. Each class posts the first ``n - ceil(t n) + 1`` words of its order. Postings are joined on the word, under the length filter, the
-   positional filter and a bitmap bound on the overlap (each word sets one of 64 bits; the differing bits bound what the sets can share).
-4. Surviving pairs are verified on the whole word sets. Classes are partitioned once, by the first half of their digest, for the grouping and for both joins of the verification.
+2. A scan turns each line into its set of lower-cased words and posts the first ``n - ceil(t n) + 1`` of them. Equal sets are one class; a batch posts each class once, at
+   its earliest line, so a line with a million copies is a few postings.
+3. Postings of one word meet, cut into pairs of blocks of at most ``BLOCK`` so that a frequent word is many small tasks' work. Length and positional filters and a bitmap bound on the overlap
+   (each word flips one of 64 bits; sets differ by at least as many words as bitmaps by bits) leave each class its earliest few candidates there, not all its pairs.
+4. Candidates are verified on whole word sets, fetched for the lines that need it only: a Bloom filter over the candidates' classes thins out the scan.
+   A class whose earliest candidates all fail while more were left in a block goes through the plain join of all its candidates, so nothing is lost by keeping few.
 
 A line is removed if an earlier line has a similarity of ``threshold`` or more, itself removed or not. Lines of fewer than ``min_words``
 different words are left alone. Null and empty texts have no lines to remove. Repeated rows: the copy of a line in the same document and place
@@ -59,52 +60,25 @@ def _split(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return split.flatten(), row, np.arange(at[-1]) - at[:-1][row]
 
 
-def _digests(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return A.signed(A.span_hash(h, offsets[:-1], offsets[1:])), A.signed(A.span_hash(A.mix(h), offsets[:-1], offsets[1:], A.P2))
+def _digests(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each word set, as a signed number."""
+    return A.signed(A.span_hash(h, offsets[:-1], offsets[1:]))
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(doc_id, line_no, d1, d2)`` of every line with ``min_words`` different words or more; digests are those of the word set."""
+    """``(doc_id, line_no, d1)`` of every line with ``min_words`` different words or more; the digest is that of the word set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in A.pieces_of(whole, "text"):
                 text, row, number = _split(batch)
                 h, offsets = _sets(text)
-                d1, d2 = _digests(h, offsets)
+                d1 = _digests(h, offsets)
                 own = np.flatnonzero(np.diff(offsets) >= min_words)
                 ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(row[own]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number[own].astype(np.int32)), pa.array(d1[own]), pa.array(d2[own])], names=["doc_id", "line_no", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number[own].astype(np.int32)), pa.array(d1[own])], names=["doc_id", "line_no", "d1"])
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no int, d1 long, d2 long")
-
-
-def classes(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(d1, d2, rep, copies, words)`` of each different word set, partitioned by ``d1``; ``words`` is the text of one of its lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in A.pieces_of(whole, "text"):
-                text, row, number = _split(batch)
-                h, offsets = _sets(text)
-                d1, d2 = _digests(h, offsets)
-                own = np.flatnonzero(np.diff(offsets) >= min_words)
-                ids = np.asarray(batch.column("doc_id").cast(pa.int64()))[row[own]]
-                own = own[np.lexsort((number[own], ids, d2[own], d1[own]))]
-                first = np.flatnonzero(np.concatenate([[True], (d1[own][1:] != d1[own][:-1]) | (d2[own][1:] != d2[own][:-1])])) if len(own) else own
-                copies = np.diff(np.append(first, len(own)))
-                own = own[first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(d1[own]), pa.array(d2[own]), batch.column("doc_id").cast(pa.int64()).take(pa.array(row[own])),
-                        pa.array(number[own].astype(np.int32)), pa.array(copies), text.take(pa.array(own)).cast(pa.string()),
-                    ],
-                    names=["d1", "d2", "doc_id", "line_no", "copies", "words"],
-                )
-
-    once = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "d1 long, d2 long, doc_id long, line_no int, copies long, words string")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return once.repartition(parts, "d1").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("rep"), F.sum("copies").alias("copies"), F.min("words").alias("words"))
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no int, d1 long")
 
 
 def frequent_words(docs: DataFrame, most: int) -> dict[str, np.ndarray]:
@@ -133,34 +107,141 @@ def frequent_words(docs: DataFrame, most: int) -> dict[str, np.ndarray]:
     return {"h": h[order], "n": n[order]}
 
 
-def postings(classes: DataFrame, frequent: dict[str, np.ndarray], threshold: float) -> DataFrame:
-    """``(word, d1, n, pos, bits)`` for each word of each class's prefix. 32 bits of a word and half a digest will do: what they confuse is verified."""
-    shared = classes.sparkSession.sparkContext.broadcast(frequent)
+def _prefixes(h: np.ndarray, offsets: np.ndarray, frequent: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix of each word set, rarest first: owner, word and position of each of its words."""
+    known, count = frequent["h"], frequent["n"]
+    size = np.diff(offsets)
+    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    rarity = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    # within a text the hashes ascend already, and the sort is stable
+    order = np.argsort((owner << 38) + np.minimum(rarity, (1 << 38) - 1), kind="stable")
+    pos = np.arange(len(h)) - offsets[:-1][owner]
+    take = pos < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner]
+    return owner[take], h[order][take], pos[take]
+
+
+POSTING = "word int, d1 long, doc_id long, line_no int, n int, pos int, bits long"
+
+
+def postings(docs: DataFrame, frequent: dict[str, np.ndarray], threshold: float, min_words: int) -> DataFrame:
+    """One row for each word of each class's prefix. 32 bits of a word and half a digest will do: what they confuse is verified."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = shared.value["h"], shared.value["n"]
-        for batch in batches:
-            h, offsets = _sets(batch.column("words"))
-            size = np.diff(offsets)
-            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            rarity = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
-            owner = np.repeat(np.arange(len(size)), size)
-            # rarer words first; within a text the hashes ascend already, and the sort is stable
-            order = np.argsort((owner << 38) + np.minimum(rarity, (1 << 38) - 1), kind="stable")
-            pos = np.arange(len(h)) - offsets[:-1][owner]
-            prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-            take = pos < prefix[owner]
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(38)), offsets[:-1]) if len(h) else np.zeros(0, np.uint64)
-            own, word, pos = owner[take], h[order][take], pos[take]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((word & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(np.asarray(batch.column("d1"))[own]),
-                    pa.array(size[own].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(A.signed(bits[own])),
-                ],
-                names=["word", "d1", "n", "pos", "bits"],
-            )
-
-    return classes.select("d1", "words").mapInArrow(run, "word int, d1 long, n int, pos int, bits long")
+        for whole in batches:
+            for batch in A.pieces_of(whole, "text"):
+                text, row, number = _split(batch)
+                h, offsets = _sets(text)
+                size = np.diff(offsets)
+                d1 = _digests(h, offsets)
+                ids = np.asarray(batch.column("doc_id").cast(pa.int64()))[row]
+                own = np.flatnonzero(size >= min_words)
+                own = own[np.lexsort((number[own], ids[own], d1[own]))]
+                own = own[np.concatenate([[True], d1[own][1:] != d1[own][:-1]])] if len(own) else own
+                first = np.zeros(len(size), bool)
+                first[own] = True
+                owner, word, pos = _prefixes(h, offsets, shared.value, threshold)
+                keep = first[owner]
+                owner, word, pos = owner[keep], word[keep], pos[keep]
+                bits = np.zeros(len(size), np.uint64)
+                full = np.flatnonzero(size)
+                bits[full] = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(38)), offsets[:-1][full]) if len(full) else 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((word & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(d1[owner]), pa.array(ids[owner]), pa.array(number[owner].astype(np.int32)),
+                        pa.array(size[owner].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(A.signed(bits[owner])),
+                    ],
+                    names=["word", "d1", "doc_id", "line_no", "n", "pos", "bits"],
+                )
+
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, POSTING)
+
+
+def _candidates(threshold: float, few: int):
+    """Each class's earliest candidates among the earlier classes of a pair of blocks: ``a1, b1, b_doc, b_line, more``; ``more`` marks the last of a cut list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for g in A.groups_of(batches, ["word", "bi", "bj"]):
+            if g.num_rows < 2:
+                continue
+            d1, doc, line, n, pos, block = (np.asarray(g.column(c)) for c in ("d1", "doc_id", "line_no", "n", "pos", "block"))
+            bits = np.asarray(g.column("bits")).view(np.uint64)
+            order = np.lexsort((line, doc))
+            d1, doc, line, n, pos, bits, block = (x[order] for x in (d1, doc, line, n, pos, bits, block))
+            cross = g.column("bi")[0].as_py() != g.column("bj")[0].as_py()
+            for x in range(0, len(d1), 1024):
+                a = slice(x, min(x + 1024, len(d1)))
+                na, nb = n[a, None], n[None, : a.stop]
+                least = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
+                pa_, pb = pos[a, None], pos[None, : a.stop]
+                ok = (np.arange(a.stop)[None] < np.arange(a.start, a.stop)[:, None]) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
+                ok &= np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= least
+                ok &= na + nb - np.bitwise_count(bits[a, None] ^ bits[None, : a.stop]) >= 2 * least
+                ok &= d1[a, None] != d1[None, : a.stop]
+                if cross:
+                    ok &= block[a, None] != block[None, : a.stop]
+                place = np.cumsum(ok, 1)
+                i, j = np.nonzero(ok & (place <= few))
+                more = (place[i, j] == few) & (place[i, -1] > few)
+                held.append((d1[a][i], d1[j], doc[j], line[j], more))
+            if sum(len(h[0]) for h in held) > 100_000:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
+
+    def out(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["a1", "b1", "b_doc", "b_line", "more"])
+
+    return run
+
+
+BLOCK = 4096
+
+
+def candidates(post: DataFrame, threshold: float, few: int) -> DataFrame:
+    """``a1, b1, b_doc, b_line, more``: what :func:`_candidates` keeps of the postings of each word."""
+    size = post.groupBy("word").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("word", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    # words of more than one block number at most 1 / BLOCK of all postings
+    placed = post.hint("merge").join(size, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod("d1", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = placed.select("*", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).drop("blocks", "other")
+    parts = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = keyed.repartition(parts, "word", "bi", "bj").sortWithinPartitions("word", "bi", "bj")
+    return spread.mapInArrow(_candidates(threshold, few), "a1 long, b1 long, b_doc long, b_line int, more boolean")
+
+
+def _bloom(ids: DataFrame, column: str, most: int = 1 << 29) -> np.ndarray:
+    """A one-hash Bloom filter as an array of 64-bit words: 16 bits for each id, and at most ``most`` bits, beyond which it only lets more through."""
+    n = ids.count()
+    size = 1 << max(12, min(most.bit_length() - 1, int(16 * max(n, 1)).bit_length()))
+    at = F.pmod(F.col(column), F.lit(size))
+    rows = ids.groupBy(F.floor(at / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def needed_sets(docs: DataFrame, ids: DataFrame, min_words: int) -> DataFrame:
+    """``(d1, words)``: the text of the lines whose class is among ``ids``, or seems to be; each class once a batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, "d1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = shared.value
+        for whole in batches:
+            for batch in A.pieces_of(whole, "text"):
+                text, _, _ = _split(batch)
+                h, offsets = _sets(text)
+                d1 = _digests(h, offsets)
+                at = d1.view(np.uint64) % np.uint64(len(bloom) * 64)
+                hit = (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                own = np.flatnonzero(hit & (np.diff(offsets) >= min_words))
+                own = own[np.unique(d1[own], return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(d1[own]), text.take(pa.array(own)).cast(pa.string())], names=["d1", "words"])
+
+    return docs.select("text", "doc_id").where("doc_id IS NOT NULL").mapInArrow(run, "d1 long, words string").groupBy("d1").agg(F.min("words").alias("words"))
 
 
 def _verify(threshold: float):
@@ -168,43 +249,57 @@ def _verify(threshold: float):
         for batch in batches:
             (a, ao), (b, bo) = _sets(batch.column("words_a")), _sets(batch.column("words_b"))
             an, bn = np.diff(ao), np.diff(bo)
-            both = np.fromiter((len(np.intersect1d(a[ao[i] : ao[i + 1]], b[bo[i] : bo[i + 1]], assume_unique=True)) for i in range(len(an))), np.int64, len(an))
+            key = np.concatenate([(np.repeat(np.arange(len(n), dtype=np.uint64), n) << _BITS) | h for h, n in ((a, an), (b, bn))]) if len(an) < 1 << 20 else None
+            key.sort()
+            both = np.bincount((key[1:][key[1:] == key[:-1]] >> _BITS).astype(np.int64), minlength=len(an))
             near = both >= threshold * (an + bn - both) - 1e-9
-            yield batch.select(["a1", "a2", "b1", "b2", "rep_a", "rep_b"]).filter(pa.array(near))
+            yield pa.RecordBatch.from_arrays([*batch.select(["a1", "b1", "b_doc", "b_line", "more"]).columns, pa.array(near)], names=["a1", "b1", "b_doc", "b_line", "more", "near"])
 
     return run
 
 
-def class_links(kinds: DataFrame, frequent: dict[str, np.ndarray], threshold: float) -> DataFrame:
-    """Pairs of different word sets with a Jaccard similarity of ``threshold`` or more: ``a1, a2, b1, b2, rep_a, rep_b``."""
-    post = postings(kinds, frequent, threshold)
-    x, y = (post.select("word", F.col("d1").alias(f"{s}1"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("bits").alias(f"b{s}")) for s in "ab")
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float, min_words: int) -> DataFrame:
+    """The pairs with ``near``, whether their similarity reaches the threshold."""
+    ids = cut(pairs.select(F.explode(F.array("a1", "b1")).alias("d1")).distinct())
+    sets = needed_sets(docs, ids, min_words)
+    side = lambda s: sets.select(F.col("d1").alias(f"{s}1"), F.col("words").alias(f"words_{s}"))
+    both = pairs.hint("merge").join(side("a"), "a1").hint("merge").join(side("b"), "b1")
+    return both.select("a1", "b1", "b_doc", "b_line", "more", "words_a", "words_b").mapInArrow(_verify(threshold), "a1 long, b1 long, b_doc long, b_line int, more boolean, near boolean")
+
+
+def first_matches(docs: DataFrame, threshold: float, min_words: int, few: int = 2) -> DataFrame:
+    """``(d1, first)``: for each class that resembles an earlier one, the earliest line of those that it resembles."""
+    post = postings(docs, frequent_words(docs, FREQUENT), threshold, min_words)
+    pairs = cut(candidates(post, threshold, few).groupBy("a1", "b1").agg(F.min(F.struct("b_doc", "b_line")).alias("b"), F.bool_or("more").alias("more")).select("a1", "b1", "b.b_doc", "b.b_line", "more"))
+    place = F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no"))
+    each = cut(verified(docs, pairs, threshold, min_words)).groupBy("a1").agg(F.min(F.when(F.col("near"), place)).alias("first"), F.min(F.when(F.col("more"), place)).alias("cut"))
+    # what a cut list left out is later than what it kept: a match before that is the earliest
+    settled = each.where("first IS NOT NULL AND (cut IS NULL OR first <= cut)").select(F.col("a1").alias("d1"), "first")
+    unsettled = cut(each.where("cut IS NOT NULL AND (first IS NULL OR first > cut)").select("a1"))
+    if unsettled.isEmpty():
+        return settled
     least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    pairs = (
-        x.hint("merge").join(y, "word").where("a1 < b1")
+    x = post.join(unsettled.withColumnRenamed("a1", "d1").hint("merge"), "d1", "left_semi").select("word", F.col("d1").alias("a1"), F.struct("doc_id", "line_no").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("bits").alias("ba"))
+    y = post.select("word", F.col("d1").alias("b1"), F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits").alias("bb"))
+    rest = (
+        x.hint("merge").join(y, "word").where((F.col("a1") != F.col("b1")) & (F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")) < F.col("ra")))
         .where((F.col("na") >= F.lit(threshold) * F.col("nb") - 1e-9) & (F.col("nb") >= F.lit(threshold) * F.col("na") - 1e-9))
         .where(F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
-        .where((F.col("na") + F.col("nb") - F.bit_count(F.expr("ba ^ bb"))) / 2 >= least)
-        .select("a1", "b1").distinct()
-    )
-    a, b = (kinds.select(F.col("d1").alias(f"{s}1"), F.col("d2").alias(f"{s}2"), F.col("rep").alias(f"rep_{s}"), F.col("words").alias(f"words_{s}")) for s in "ab")
-    both = pairs.hint("merge").join(a, "a1").hint("merge").join(b, "b1")
-    place = "struct<doc_id:bigint,line_no:int>"
-    return both.select("a1", "a2", "b1", "b2", "rep_a", "rep_b", "words_a", "words_b").mapInArrow(
-        _verify(threshold), f"a1 long, a2 long, b1 long, b2 long, rep_a {place}, rep_b {place}"
+        .where(F.col("na") + F.col("nb") - F.bit_count(F.expr("ba ^ bb")) >= 2 * least)
+        .groupBy("a1", "b1").agg(F.min(F.struct("b_doc", "b_line")).alias("b")).select("a1", "b1", "b.b_doc", "b.b_line", F.lit(False).alias("more"))
     )
+    slow = verified(docs, cut(rest), threshold, min_words).where("near").groupBy(F.col("a1").alias("d1")).agg(F.min(place).alias("first"))
+    return settled.union(slow)
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
     """Every line that an earlier line resembles: ``doc_id, line_no`` and the earliest such line ``first_doc_id, first_line_no``."""
-    links = cut(class_links(classes(docs, min_words), frequent_words(docs, FREQUENT), threshold))
+    found = cut(first_matches(docs, threshold, min_words))
     every = lines(docs, min_words)
-    place = F.struct("doc_id", "line_no")
-    own = every.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d1", "d2", "first")
-    ends = links.select(F.col("a1").alias("d1"), F.col("a2").alias("d2"), F.least("rep_a", "rep_b").alias("first")).union(links.select("b1", "b2", F.least("rep_a", "rep_b")))
-    first = own.union(ends).groupBy("d1", "d2").agg(F.min("first").alias("first"))
+    own = every.groupBy("d1").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d1", "first")
+    first = own.union(found).groupBy("d1").agg(F.min("first").alias("first"))
     return (
-        every.hint("merge").join(first, ["d1", "d2"])
+        every.hint("merge").join(first, "d1")
         .where(F.struct("doc_id", "line_no") > F.col("first"))
         .select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
         .distinct()
