@@ -146,6 +146,31 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.concat_tables(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of a partition sorted by the keys, in tables that no group spans, each with the number of its rows' groups."""
+
+    def changes(table: pa.Table) -> np.ndarray:
+        change = np.zeros(table.num_rows, bool)
+        for k in keys:
+            c = table.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        return change
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        change = changes(table)
+        last = int(np.flatnonzero(change)[-1]) if change.any() else 0
+        if last:
+            yield table.slice(0, last), np.cumsum(change[:last])
+        held = table.slice(last)
+    if held is not None:
+        yield held, np.cumsum(changes(held))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as a signed number, as Spark's long has them."""
     return x.view(np.int64)

@@ -162,42 +162,45 @@ def _candidates(threshold: float, few: int):
     """Each class's earliest candidates among the earlier classes of a pair of blocks: ``a1, b1, b_doc, b_line, more``; ``more`` marks the last of a cut list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for g in A.groups_of(batches, ["word", "bi", "bj"]):
-            if g.num_rows < 2:
-                continue
-            d1, doc, line, n, pos, block = (np.asarray(g.column(c)) for c in ("d1", "doc_id", "line_no", "n", "pos", "block"))
-            bits = np.asarray(g.column("bits")).view(np.uint64)
-            order = np.lexsort((line, doc))
-            d1, doc, line, n, pos, bits, block = (x[order] for x in (d1, doc, line, n, pos, bits, block))
-            cross = g.column("bi")[0].as_py() != g.column("bj")[0].as_py()
-            for x in range(0, len(d1), 1024):
-                a = slice(x, min(x + 1024, len(d1)))
-                na, nb = n[a, None], n[None, : a.stop]
-                least = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
-                pa_, pb = pos[a, None], pos[None, : a.stop]
-                ok = (np.arange(a.stop)[None] < np.arange(a.start, a.stop)[:, None]) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
-                ok &= np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= least
-                ok &= na + nb - np.bitwise_count(bits[a, None] ^ bits[None, : a.stop]) >= 2 * least
-                ok &= d1[a, None] != d1[None, : a.stop]
-                if cross:
-                    ok &= block[a, None] != block[None, : a.stop]
-                place = np.cumsum(ok, 1)
-                i, j = np.nonzero(ok & (place <= few))
-                more = (place[i, j] == few) & (place[i, -1] > few)
-                held.append((d1[a][i], d1[j], doc[j], line[j], more))
-            if sum(len(h[0]) for h in held) > 100_000:
-                yield out(held)
-                held = []
-        if held:
-            yield out(held)
-
-    def out(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["a1", "b1", "b_doc", "b_line", "more"])
+        for table, group in A.whole_groups(batches, ["word", "bi", "bj"]):
+            doc, line = table.column("doc_id").to_numpy(), table.column("line_no").to_numpy()
+            order = np.lexsort((line, doc, group))
+            group, doc, line = group[order], doc[order], line[order]
+            d1, n, pos, block = (table.column(c).to_numpy()[order] for c in ("d1", "n", "pos", "block"))
+            bits = table.column("bits").to_numpy()[order].view(np.uint64)
+            cross = (table.column("bi").to_numpy() != table.column("bj").to_numpy())[order]
+            start = np.searchsorted(group, group)
+            earlier = np.arange(len(group)) - start
+            # pairs of a row with all earlier rows of its group, a bounded number at a time
+            upto = np.cumsum(earlier)
+            at = 0
+            while at < len(group):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+                count = earlier[at:end]
+                i = np.repeat(np.arange(at, end), count)
+                j = np.repeat(start[at:end] - (np.cumsum(count) - count), count) + np.arange(len(i))
+                at = end
+                both = n[i] + n[j]
+                twice = 2 * np.ceil(threshold / (1 + threshold) * both - 1e-9)
+                ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (d1[i] != d1[j])
+                ok &= both - np.bitwise_count(bits[i] ^ bits[j]) >= twice
+                ok &= 2 * (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])) >= twice
+                ok &= ~cross[i] | (block[i] != block[j])
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                first = np.searchsorted(i, i)
+                place = np.arange(len(i)) - first
+                more = (place == few - 1) & (np.searchsorted(i, i, "right") - first > few)
+                keep = place < few
+                i, j = i[keep], j[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(d1[i]), pa.array(d1[j]), pa.array(doc[j]), pa.array(line[j]), pa.array(more[keep])], names=["a1", "b1", "b_doc", "b_line", "more"])
 
     return run
 
 
+#: Pairs that a task looks at in one step.
+PAIRS = 1_000_000
 BLOCK = 4096
 
 
