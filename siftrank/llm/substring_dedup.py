@@ -2,7 +2,8 @@
 
 A unit is a run of words up to a line break or to a word that ends in ``.``, ``!`` or ``?``. It is normalised (lower case, white space dropped) and hashed to 128 bits.
 Digests are grouped globally by a pre-aggregated ``groupBy``; the earliest occurrence in the order of ``(doc_id, position)`` is kept, every other one is a repeat. Repeats that
-follow one another in a document make a passage; passages of ``min_words`` words or more are removed. Offsets are those of the original text, in characters.
+follow one another in a document make a passage; passages of ``min_words`` words or more are removed. A passage that was put into the middle of a sentence loses its first and last unit to
+its surroundings, so ``min_words`` is less than the length of the passages sought (50), and more than that of the footers that ordinary documents share. Offsets are those of the original text, in characters.
 
 A unit that a third of all documents share is one row after the pre-aggregation; the join that marks its occurrences is a skewed merge join, which adaptive execution splits.
 
@@ -71,7 +72,7 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, unit int, begin int, end int, words int, d1 long, d2 long")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 30) -> DataFrame:
     """``doc_id, begin, end, words, units, first_doc_id``: the passages to remove, and the least document that holds part of each."""
     every = units(docs)
     first = (

@@ -145,7 +145,7 @@ def test_substring_dedup_equals_brute_force(spark):
                     want.setdefault(i, []).append(run)
                 run.append((k, b, e, len(w), seen[tuple(w)]))
             seen.setdefault(tuple(w), i)
-    flat = {(i, r[0][1], r[-1][2], sum(x[3] for x in r), len(r), min(x[4] for x in r)) for i, runs in want.items() for r in runs if sum(x[3] for x in r) >= 50}
+    flat = {(i, r[0][1], r[-1][2], sum(x[3] for x in r), len(r), min(x[4] for x in r)) for i, runs in want.items() for r in runs if sum(x[3] for x in r) >= 30}
     df = frame(spark)
     removed = substring_dedup.repeated_passages(df)
     got = {(r.doc_id, r.begin, r.end, r.words, r.units, r.first_doc_id) for r in removed.collect()}
