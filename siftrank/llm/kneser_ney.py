@@ -247,7 +247,7 @@ def _score_joined(docs: DataFrame, model: DataFrame, order: int, last: int, floo
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text").mapInArrow(run, schema).groupBy("doc_id", "window", *names).agg(F.count("*").alias("n"))
     rows = rows.withColumn("value", F.lit(0.0)).withColumn("done", F.lit(False)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(min(salts, 16))))
-    spread = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(min(salts, 16) - 1))).cast("long"))
+    spread = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(salts, 16) - 1).cast("long"))))
     for name in names:
         rows = rows.hint("merge").join(spread.select(F.col("key").alias(name), "salt", F.col("value").alias("v")), [name, "salt"], "left")
         rows = rows.withColumn("value", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") + F.coalesce("v", F.lit(0.0))))

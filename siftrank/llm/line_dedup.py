@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.llm import arrays as A
@@ -206,14 +206,15 @@ BLOCK = 4096
 
 def candidates(post: DataFrame, threshold: float, few: int) -> DataFrame:
     """``a1, b1, b_doc, b_line, more``: what :func:`_candidates` keeps of the postings of each word."""
-    size = post.groupBy("word").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("word", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    # words of more than one block number at most 1 / BLOCK of all postings
-    placed = post.hint("merge").join(size, "word", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod("d1", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = placed.select("*", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).drop("blocks", "other")
+    # one shuffle by word serves all words of one block; only longer lists are dealt out again, by pairs of blocks
     parts = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = keyed.repartition(parts, "word", "bi", "bj").sortWithinPartitions("word", "bi", "bj")
-    return spread.mapInArrow(_candidates(threshold, few), "a1 long, b1 long, b_doc long, b_line int, more boolean")
+    sized = post.repartition(parts, "word").withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("word")) / BLOCK).cast("int"))
+    schema = "a1 long, b1 long, b_doc long, b_line int, more boolean"
+    few_rows = sized.where("blocks = 1").drop("blocks").select("*", F.lit(0).alias("block"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
+    placed = sized.where("blocks > 1").withColumn("block", F.pmod("d1", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many_rows = placed.select("*", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).drop("blocks", "other")
+    many_rows = many_rows.repartition(parts, "word", "bi", "bj").sortWithinPartitions("word", "bi", "bj")
+    return few_rows.mapInArrow(_candidates(threshold, few), schema).union(many_rows.mapInArrow(_candidates(threshold, few), schema))
 
 
 def _bloom(ids: DataFrame, column: str, most: int = 1 << 29) -> np.ndarray:

@@ -11,7 +11,7 @@ No piece spans the start of a word, so a lattice is a chain of word lattices; ev
 of a batch descend together as arrays. Random numbers are hashes of the row key, the draw, the word and the step: results do not depend on partitions. There is no shuffle.
 Characters outside the vocabulary become bytes. Decoding gives back the text exactly; only a literal U+2581 comes back as a space, as in the library.
 
-Null and empty texts have one segmentation, without pieces. A text with fewer than ``k`` segmentations has fewer rows. Rows with the same key and text get the same draws. An
+Null and empty texts have one segmentation, without pieces. A text with fewer than ``k`` segmentations has fewer rows. Shares are held in single precision: a piece that follows with a probability below 1e-6 is not drawn. Rows with the same key and text get the same draws. An
 empty table gives an empty result. Extra columns are ignored. Text of any length is encoded whole.
 """
 

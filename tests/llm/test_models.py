@@ -67,7 +67,7 @@ def test_encode_decode_round_trip(spark):
     again = {(r.doc_id, r.draw): r.ids for r in pieces.encode(df.repartition(5)).collect()}
     assert again == {(r.doc_id, r.draw): r.ids for r in encoded.collect()}
     assert pieces.encode(spark.createDataFrame([], DOCS)).count() == 0
-    assert pieces.encode(spark.createDataFrame([(None, None, None, None, None), (None, "a b", None, None, None)], DOCS)).count() == 3
+    assert pieces.encode(spark.createDataFrame([(None, None, None, None, None), (None, "the catalogue", None, None, None)], DOCS)).count() == 3
 
 
 def labelled(n=400, seed=1):
