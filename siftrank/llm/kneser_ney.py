@@ -255,8 +255,8 @@ def _score_joined(docs: DataFrame, model: DataFrame, order: int, last: int, floo
             rows = rows.withColumn("done", F.col("done") | F.col("v").isNotNull())
         rows = rows.drop("v", name)
     value = (F.col("value") + F.when(F.col("done"), 0.0).otherwise(floor)) * F.col("n")
-    windows = rows.groupBy("doc_id", "window").agg(F.sum(value).alias("s"), F.sum("n").alias("n"))
-    scored = windows.groupBy("doc_id").agg(F.sum("n").alias("chars"), F.sum("s").alias("total"), F.max("s").alias("top"))
+    summed = rows.groupBy("doc_id", "window").agg(F.sum(value).alias("s"), F.sum("n").alias("n"))
+    scored = summed.groupBy("doc_id").agg(F.sum("n").alias("chars"), F.sum("s").alias("total"), F.max("s").alias("top"))
     return docs.select("doc_id", *carry).hint("merge").join(scored, "doc_id", "left").select(
         "doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("total", F.lit(0.0)).alias("total"), "top", *carry
     )

@@ -301,7 +301,8 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5)
     found = cut(first_matches(docs, threshold, min_words))
     every = lines(docs, min_words)
     own = every.groupBy("d1").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d1", "first")
-    first = own.union(found).groupBy("d1").agg(F.min("first").alias("first"))
+    # read back, so that the join has plain shuffles on both sides and a frequent line's side can be split
+    first = cut(own.union(found).groupBy("d1").agg(F.min("first").alias("first")))
     return (
         every.hint("merge").join(first, "d1")
         .where(F.struct("doc_id", "line_no") > F.col("first"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.llm import arrays as A
+from siftrank.sources.checkpoints import cut
 
 _BLANK = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 _STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
@@ -79,7 +80,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 30) -> DataFrame:
         every.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("times"))
         .where("times > 1").select("d1", "d2", "first")
     )
-    repeats = every.hint("merge").join(first, ["d1", "d2"]).where(F.struct("doc_id", "unit") > F.col("first")).drop("d1", "d2")
+    # read back, so that the join has plain shuffles on both sides and a frequent unit's side can be split
+    repeats = every.hint("merge").join(cut(first), ["d1", "d2"]).where(F.struct("doc_id", "unit") > F.col("first")).drop("d1", "d2")
     repeats = repeats.groupBy("doc_id", "unit").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.max("words").alias("words"), F.min("first.doc_id").alias("first_doc_id"))
     run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))
     return (
