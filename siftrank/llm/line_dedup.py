@@ -121,14 +121,38 @@ def _prefixes(h: np.ndarray, offsets: np.ndarray, frequent: dict[str, np.ndarray
     return owner[take], h[order][take], pos[take]
 
 
-POSTING = "word int, d1 long, doc_id long, line_no int, n int, pos int, bits long"
+POSTING = "word int, d1 long, doc_id long, line_no int, n int, pos int, bits long, bits1 long, bits2 long"
+#: Sets of more words have a second bitmap, of 128 bits; 64 do not tell them apart.
+WIDE = 96
 
 
-def postings(docs: DataFrame, frequent: dict[str, np.ndarray], threshold: float, min_words: int) -> DataFrame:
-    """One row for each word of each class's prefix. 32 bits of a word and half a digest will do: what they confuse is verified."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _flips(h: np.ndarray, offsets: np.ndarray, shift: int, half: int | None = None) -> np.ndarray:
+    """64 bits for each text, each flipped by the words that six bits of their hashes send there; ``half`` takes those words only whose next bit is that."""
+    bits, full = np.zeros(len(offsets) - 1, np.uint64), np.flatnonzero(np.diff(offsets))
+    if len(full):
+        one = np.uint64(1) << ((h >> np.uint64(shift)) & np.uint64(63))
+        if half is not None:
+            one = np.where((h >> np.uint64(shift + 6)) & np.uint64(1) == half, one, np.uint64(0))
+        bits[full] = np.bitwise_xor.reduceat(one, offsets[:-1][full])
+    return bits
+
+
+def _in_bloom(bloom: np.ndarray | None, ids: np.ndarray) -> np.ndarray:
+    if bloom is None:
+        return np.ones(len(ids), bool)
+    at = ids.view(np.uint64) % np.uint64(len(bloom) * 64)
+    return (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def postings(docs: DataFrame, frequent: dict[str, np.ndarray], threshold: float, min_words: int, kinds: np.ndarray | None = None, words: np.ndarray | None = None) -> DataFrame:
+    """One row for each word of each class's prefix; on request only of classes, or of words, that a Bloom filter lets through.
+
+    32 bits of a word will do: what they confuse is verified.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, kinds, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, kinds, words = shared.value
         for whole in batches:
             for batch in A.pieces_of(whole, "text"):
                 text, row, number = _split(batch)
@@ -141,18 +165,18 @@ def postings(docs: DataFrame, frequent: dict[str, np.ndarray], threshold: float,
                 own = own[np.concatenate([[True], d1[own][1:] != d1[own][:-1]])] if len(own) else own
                 first = np.zeros(len(size), bool)
                 first[own] = True
-                owner, word, pos = _prefixes(h, offsets, shared.value, threshold)
-                keep = first[owner]
+                first &= _in_bloom(kinds, d1)
+                owner, word, pos = _prefixes(h, offsets, frequent, threshold)
+                word = (word & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                keep = first[owner] & _in_bloom(words, word.astype(np.int64))
                 owner, word, pos = owner[keep], word[keep], pos[keep]
-                bits = np.zeros(len(size), np.uint64)
-                full = np.flatnonzero(size)
-                bits[full] = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(38)), offsets[:-1][full]) if len(full) else 0
+                bits = [_flips(h, offsets, 38), *(np.where(size > WIDE, _flips(h, offsets, 24, half), np.uint64(0)) for half in (0, 1))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((word & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(d1[owner]), pa.array(ids[owner]), pa.array(number[owner].astype(np.int32)),
-                        pa.array(size[owner].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(A.signed(bits[owner])),
+                        pa.array(word), pa.array(d1[owner]), pa.array(ids[owner]), pa.array(number[owner].astype(np.int32)), pa.array(size[owner].astype(np.int32)), pa.array(pos.astype(np.int32)),
+                        *(pa.array(A.signed(b[owner])) for b in bits),
                     ],
-                    names=["word", "d1", "doc_id", "line_no", "n", "pos", "bits"],
+                    names=["word", "d1", "doc_id", "line_no", "n", "pos", "bits", "bits1", "bits2"],
                 )
 
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, POSTING)
@@ -167,7 +191,7 @@ def _candidates(threshold: float, few: int):
             order = np.lexsort((line, doc, group))
             group, doc, line = group[order], doc[order], line[order]
             d1, n, pos, block = (table.column(c).to_numpy()[order] for c in ("d1", "n", "pos", "block"))
-            bits = table.column("bits").to_numpy()[order].view(np.uint64)
+            bits = [table.column(c).to_numpy()[order].view(np.uint64) for c in ("bits", "bits1", "bits2")]
             cross = (table.column("bi").to_numpy() != table.column("bj").to_numpy())[order]
             start = np.searchsorted(group, group)
             earlier = np.arange(len(group)) - start
@@ -183,9 +207,12 @@ def _candidates(threshold: float, few: int):
                 both = n[i] + n[j]
                 twice = 2 * np.ceil(threshold / (1 + threshold) * both - 1e-9)
                 ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (d1[i] != d1[j])
-                ok &= both - np.bitwise_count(bits[i] ^ bits[j]) >= twice
+                ok &= both - np.bitwise_count(bits[0][i] ^ bits[0][j]) >= twice
                 ok &= 2 * (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])) >= twice
                 ok &= ~cross[i] | (block[i] != block[j])
+                i, j, both, twice = i[ok], j[ok], both[ok], twice[ok]
+                wide = np.bitwise_count(bits[1][i] ^ bits[1][j]).astype(np.int64) + np.bitwise_count(bits[2][i] ^ bits[2][j])
+                ok = (n[i] <= WIDE) | (n[j] <= WIDE) | (both - wide >= twice)
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
@@ -239,9 +266,7 @@ def needed_sets(docs: DataFrame, ids: DataFrame, min_words: int) -> DataFrame:
                 text, _, _ = _split(batch)
                 h, offsets = _sets(text)
                 d1 = _digests(h, offsets)
-                at = d1.view(np.uint64) % np.uint64(len(bloom) * 64)
-                hit = (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                own = np.flatnonzero(hit & (np.diff(offsets) >= min_words))
+                own = np.flatnonzero(_in_bloom(bloom, d1) & (np.diff(offsets) >= min_words))
                 own = own[np.unique(d1[own], return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(d1[own]), text.take(pa.array(own)).cast(pa.string())], names=["d1", "words"])
 
@@ -273,23 +298,30 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, min_words: int
 
 def first_matches(docs: DataFrame, threshold: float, min_words: int, few: int = 2) -> DataFrame:
     """``(d1, first)``: for each class that resembles an earlier one, the earliest line of those that it resembles."""
-    post = postings(docs, frequent_words(docs, FREQUENT), threshold, min_words)
-    pairs = cut(candidates(post, threshold, few).groupBy("a1", "b1").agg(F.min(F.struct("b_doc", "b_line")).alias("b"), F.bool_or("more").alias("more")).select("a1", "b1", "b.b_doc", "b.b_line", "more"))
+    frequent = frequent_words(docs, FREQUENT)
+    post = postings(docs, frequent, threshold, min_words)
     place = F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no"))
-    each = cut(verified(docs, pairs, threshold, min_words)).groupBy("a1").agg(F.min(F.when(F.col("near"), place)).alias("first"), F.min(F.when(F.col("more"), place)).alias("cut"))
+    pairs = cut(candidates(post, threshold, few).groupBy("a1", "b1").agg(F.min(F.struct("b_doc", "b_line")).alias("b"), F.bool_or("more").alias("more")).select("a1", "b1", "b.b_doc", "b.b_line", "more"))
+    each = cut(verified(docs, pairs, threshold, min_words).groupBy("a1").agg(F.min(F.when(F.col("near"), place)).alias("first"), F.min(F.when(F.col("more"), place)).alias("cut")))
     # what a cut list left out is later than what it kept: a match before that is the earliest
     settled = each.where("first IS NOT NULL AND (cut IS NULL OR first <= cut)").select(F.col("a1").alias("d1"), "first")
     unsettled = cut(each.where("cut IS NOT NULL AND (first IS NULL OR first > cut)").select("a1"))
     if unsettled.isEmpty():
         return settled
-    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    x = post.join(unsettled.withColumnRenamed("a1", "d1").hint("merge"), "d1", "left_semi").select("word", F.col("d1").alias("a1"), F.struct("doc_id", "line_no").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("bits").alias("ba"))
-    y = post.select("word", F.col("d1").alias("b1"), F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits").alias("bb"))
+    x = postings(docs, frequent, threshold, min_words, kinds=_bloom(unsettled, "a1")).withColumnRenamed("d1", "a1")
+    x = cut(x.hint("merge").join(unsettled, "a1", "left_semi"))
+    y = postings(docs, frequent, threshold, min_words, words=_bloom(x.select(F.col("word").cast("long").alias("word")).distinct(), "word"))
+    side = lambda df, s, d: df.select("word", F.col(d).alias(f"{s}1"), "doc_id", "line_no", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "pos", "bits", "bits1", "bits2")))
+    x, y = side(x, "a", "a1").withColumnRenamed("doc_id", "a_doc").withColumnRenamed("line_no", "a_line"), side(y, "b", "d1").withColumnRenamed("doc_id", "b_doc").withColumnRenamed("line_no", "b_line")
+    na, nb = F.col("n_a"), F.col("n_b")
+    twice = 2 * F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - 1e-9)
+    differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
     rest = (
-        x.hint("merge").join(y, "word").where((F.col("a1") != F.col("b1")) & (F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")) < F.col("ra")))
-        .where((F.col("na") >= F.lit(threshold) * F.col("nb") - 1e-9) & (F.col("nb") >= F.lit(threshold) * F.col("na") - 1e-9))
-        .where(F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least)
-        .where(F.col("na") + F.col("nb") - F.bit_count(F.expr("ba ^ bb")) >= 2 * least)
+        x.hint("merge").join(y, "word").where("a1 <> b1 AND (b_doc < a_doc OR (b_doc = a_doc AND b_line < a_line))")
+        .where(F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb) - 1e-9)
+        .where(2 * (F.least("pos_a", "pos_b") + F.least(na - F.col("pos_a"), nb - F.col("pos_b"))) >= twice)
+        .where(na + nb - differ("bits") >= twice)
+        .where((na <= WIDE) | (nb <= WIDE) | (na + nb - differ("bits1") - differ("bits2") >= twice))
         .groupBy("a1", "b1").agg(F.min(F.struct("b_doc", "b_line")).alias("b")).select("a1", "b1", "b.b_doc", "b.b_line", F.lit(False).alias("more"))
     )
     slow = verified(docs, cut(rest), threshold, min_words).where("near").groupBy(F.col("a1").alias("d1")).agg(F.min(place).alias("first"))

@@ -167,3 +167,12 @@ def test_empty_table(spark, f):
 @pytest.mark.parametrize("f", [line_dedup.duplicate_lines, ngram_jaccard.jaccard_join, substring_dedup.repeated_passages])
 def test_nulls_everywhere(spark, f):
     assert f(spark.createDataFrame([(None, None, None, None, None), (None, "a b c d e f g", None, None, None), (1, None, None, None, None)], DOCS)).count() >= 0
+
+
+def test_bloom_agrees_with_spark(spark):
+    """Spark sets the filter's bits by a signed remainder, the scan tests them by an unsigned one; sizes are powers of two."""
+    import numpy as np
+
+    ids = [(-(1 << 63) + 5,), (-1,), (0,), (17,), ((1 << 63) - 1,)]
+    bloom = line_dedup._bloom(spark.createDataFrame(ids, "d1 long"), "d1")
+    assert line_dedup._in_bloom(bloom, np.array([i for (i,) in ids], np.int64)).all()

@@ -148,3 +148,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[3] <= kept[2] <= kept[1] <= kept[0]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == kept[3] and all(r.round_trip for r in out.collect())
+
+
+def test_url_query_equals_sql(spark):
+    from pathlib import Path
+
+    import duckdb
+
+    from siftrank.llm import queries
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no test tables here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(queries.ORACLE_SQL["op4_url_lists"]).fetchall()}
+    got = {r.page_id: tuple(r)[1:] for r in queries.QUERIES["op4_url_lists"](spark, str(data)).collect()}
+    assert got == want
