@@ -7,7 +7,7 @@
 3. Postings of one word meet, cut into pairs of blocks of at most ``BLOCK`` so that a frequent word is many small tasks' work. Length and positional filters and a bitmap bound on the overlap
    (each word flips one of 64 bits; sets differ by at least as many words as bitmaps by bits) leave each class its earliest few candidates there, not all its pairs.
 4. Candidates are verified on whole word sets, fetched for the lines that need it only: a Bloom filter over the candidates' classes thins out the scan.
-   A class whose earliest candidates all fail while more were left in a block goes through the plain join of all its candidates, so nothing is lost by keeping few.
+   A class whose earliest candidates all fail while more were left in a block goes through another round that keeps more, so nothing is lost by keeping few.
 
 A line is removed if an earlier line has a similarity of ``threshold`` or more, itself removed or not. Lines of fewer than ``min_words``
 different words are left alone. Null and empty texts have no lines to remove. Repeated rows: the copy of a line in the same document and place
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,8 +183,10 @@ def postings(docs: DataFrame, frequent: dict[str, np.ndarray], threshold: float,
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, POSTING)
 
 
-def _candidates(threshold: float, few: int):
-    """Each class's earliest candidates among the earlier classes of a pair of blocks: ``a1, b1, b_doc, b_line, more``; ``more`` marks the last of a cut list."""
+def _candidates(threshold: float, few: int, shared: Broadcast):
+    """Each class's earliest candidates among the earlier classes of a pair of blocks, for classes that the Bloom filter holds (all, if there is none).
+
+    ``a1, b1, b_doc, b_line, more``; ``more`` marks the last of a cut list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in A.whole_groups(batches, ["word", "bi", "bj"]):
@@ -194,7 +197,7 @@ def _candidates(threshold: float, few: int):
             bits = [table.column(c).to_numpy()[order].view(np.uint64) for c in ("bits", "bits1", "bits2")]
             cross = (table.column("bi").to_numpy() != table.column("bj").to_numpy())[order]
             start = np.searchsorted(group, group)
-            earlier = np.arange(len(group)) - start
+            earlier = np.where(_in_bloom(shared.value, d1), np.arange(len(group)) - start, 0)
             # pairs of a row with all earlier rows of its group, a bounded number at a time
             upto = np.cumsum(earlier)
             at = 0
@@ -231,17 +234,18 @@ PAIRS = 1_000_000
 BLOCK = 4096
 
 
-def candidates(post: DataFrame, threshold: float, few: int) -> DataFrame:
+def candidates(post: DataFrame, threshold: float, few: int, only: np.ndarray | None) -> DataFrame:
     """``a1, b1, b_doc, b_line, more``: what :func:`_candidates` keeps of the postings of each word."""
     # one shuffle by word serves all words of one block; only longer lists are dealt out again, by pairs of blocks
     parts = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = post.repartition(parts, "word").withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("word")) / BLOCK).cast("int"))
     schema = "a1 long, b1 long, b_doc long, b_line int, more boolean"
+    shared = post.sparkSession.sparkContext.broadcast(only)
     few_rows = sized.where("blocks = 1").drop("blocks").select("*", F.lit(0).alias("block"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
     placed = sized.where("blocks > 1").withColumn("block", F.pmod("d1", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many_rows = placed.select("*", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).drop("blocks", "other")
     many_rows = many_rows.repartition(parts, "word", "bi", "bj").sortWithinPartitions("word", "bi", "bj")
-    return few_rows.mapInArrow(_candidates(threshold, few), schema).union(many_rows.mapInArrow(_candidates(threshold, few), schema))
+    return few_rows.mapInArrow(_candidates(threshold, few, shared), schema).union(many_rows.mapInArrow(_candidates(threshold, few, shared), schema))
 
 
 def _bloom(ids: DataFrame, column: str, most: int = 1 << 29) -> np.ndarray:
@@ -296,36 +300,28 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, min_words: int
     return both.select("a1", "b1", "b_doc", "b_line", "more", "words_a", "words_b").mapInArrow(_verify(threshold), "a1 long, b1 long, b_doc long, b_line int, more boolean, near boolean")
 
 
-def first_matches(docs: DataFrame, threshold: float, min_words: int, few: int = 2) -> DataFrame:
-    """``(d1, first)``: for each class that resembles an earlier one, the earliest line of those that it resembles."""
-    frequent = frequent_words(docs, FREQUENT)
-    post = postings(docs, frequent, threshold, min_words)
+def first_matches(docs: DataFrame, threshold: float, min_words: int, few: int = 4) -> DataFrame:
+    """``(d1, first)``: for each class that resembles an earlier one, the earliest line of those that it resembles.
+
+    A round keeps ``few`` candidates of each class in each list. Classes that it does not settle go through another, with eight times as many, over the words that they post.
+    """
     place = F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no"))
-    pairs = cut(candidates(post, threshold, few).groupBy("a1", "b1").agg(F.min(F.struct("b_doc", "b_line")).alias("b"), F.bool_or("more").alias("more")).select("a1", "b1", "b.b_doc", "b.b_line", "more"))
-    each = cut(verified(docs, pairs, threshold, min_words).groupBy("a1").agg(F.min(F.when(F.col("near"), place)).alias("first"), F.min(F.when(F.col("more"), place)).alias("cut")))
-    # what a cut list left out is later than what it kept: a match before that is the earliest
-    settled = each.where("first IS NOT NULL AND (cut IS NULL OR first <= cut)").select(F.col("a1").alias("d1"), "first")
-    unsettled = cut(each.where("cut IS NOT NULL AND (first IS NULL OR first > cut)").select("a1"))
-    if unsettled.isEmpty():
-        return settled
-    x = postings(docs, frequent, threshold, min_words, kinds=_bloom(unsettled, "a1")).withColumnRenamed("d1", "a1")
-    x = cut(x.hint("merge").join(unsettled, "a1", "left_semi"))
-    y = postings(docs, frequent, threshold, min_words, words=_bloom(x.select(F.col("word").cast("long").alias("word")).distinct(), "word"))
-    side = lambda df, s, d: df.select("word", F.col(d).alias(f"{s}1"), "doc_id", "line_no", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "pos", "bits", "bits1", "bits2")))
-    x, y = side(x, "a", "a1").withColumnRenamed("doc_id", "a_doc").withColumnRenamed("line_no", "a_line"), side(y, "b", "d1").withColumnRenamed("doc_id", "b_doc").withColumnRenamed("line_no", "b_line")
-    na, nb = F.col("n_a"), F.col("n_b")
-    twice = 2 * F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - 1e-9)
-    differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-    rest = (
-        x.hint("merge").join(y, "word").where("a1 <> b1 AND (b_doc < a_doc OR (b_doc = a_doc AND b_line < a_line))")
-        .where(F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb) - 1e-9)
-        .where(2 * (F.least("pos_a", "pos_b") + F.least(na - F.col("pos_a"), nb - F.col("pos_b"))) >= twice)
-        .where(na + nb - differ("bits") >= twice)
-        .where((na <= WIDE) | (nb <= WIDE) | (na + nb - differ("bits1") - differ("bits2") >= twice))
-        .groupBy("a1", "b1").agg(F.min(F.struct("b_doc", "b_line")).alias("b")).select("a1", "b1", "b.b_doc", "b.b_line", F.lit(False).alias("more"))
-    )
-    slow = verified(docs, cut(rest), threshold, min_words).where("near").groupBy(F.col("a1").alias("d1")).agg(F.min(place).alias("first"))
-    return settled.union(slow)
+    frequent = frequent_words(docs, FREQUENT)
+    post, only, waiting, found = postings(docs, frequent, threshold, min_words), None, None, None
+    while True:
+        pairs = candidates(post, threshold, few, only).groupBy("a1", "b1").agg(F.min(F.struct("b_doc", "b_line")).alias("b"), F.bool_or("more").alias("more"))
+        pairs = pairs.select("a1", "b1", "b.b_doc", "b.b_line", "more")
+        pairs = cut(pairs if waiting is None else pairs.hint("merge").join(waiting, "a1", "left_semi"))
+        each = cut(verified(docs, pairs, threshold, min_words).groupBy("a1").agg(F.min(F.when(F.col("near"), place)).alias("first"), F.min(F.when(F.col("more"), place)).alias("cut")))
+        # what a cut list left out is later than what it kept: a match before that is the earliest
+        settled = each.where("first IS NOT NULL AND (cut IS NULL OR first <= cut)").select(F.col("a1").alias("d1"), "first")
+        found = settled if found is None else found.union(settled)
+        waiting = cut(each.where("cut IS NOT NULL AND (first IS NULL OR first > cut)").select("a1"))
+        if waiting.isEmpty():
+            return found
+        few, only = few * 8, _bloom(waiting, "a1")
+        words = postings(docs, frequent, threshold, min_words, kinds=only).select(F.col("word").cast("long").alias("word")).distinct()
+        post = postings(docs, frequent, threshold, min_words, words=_bloom(cut(words), "word"))
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
