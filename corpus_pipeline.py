@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that resemble an earlier line; a document that loses all its words goes."""
-    return line_dedup.remove_lines(docs, line_dedup.duplicate_lines(docs))
+    return line_dedup.remove_lines(docs, line_dedup.duplicate_lines(docs, min_words=1))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

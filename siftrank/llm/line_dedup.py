@@ -10,12 +10,14 @@
    A class whose earliest candidates all fail while more were left in a block goes through another round that keeps more, so nothing is lost by keeping few.
 
 A line is removed if an earlier line has a similarity of ``threshold`` or more, itself removed or not. Lines of fewer than ``min_words``
-different words are left alone. Null and empty texts have no lines to remove. Repeated rows: the copy of a line in the same document and place
+different words are left alone; the query and the pipeline pass 1, so that only lines without words are. Sets too small to resemble any but an equal one
+(of up to 3 words at 0.8) are matched by their digest alone and post nothing. Null and empty texts have no lines to remove. Repeated rows: the copy of a line in the same document and place
 is the same line. An empty table gives an empty result. Extra columns are ignored by :func:`duplicate_lines` and dropped by :func:`remove_lines`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -300,11 +302,17 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, min_words: int
     return both.select("a1", "b1", "b_doc", "b_line", "more", "words_a", "words_b").mapInArrow(_verify(threshold), "a1 long, b1 long, b_doc long, b_line int, more boolean, near boolean")
 
 
+def least_near(threshold: float) -> int:
+    """The size from which a set can resemble one that is not equal to it: sets of n and n + 1 words agree in n / (n + 1) at most."""
+    return math.ceil(threshold / (1 - threshold) - 1e-6) if threshold < 1 else 1 << 30
+
+
 def first_matches(docs: DataFrame, threshold: float, min_words: int, few: int = 4) -> DataFrame:
     """``(d1, first)``: for each class that resembles an earlier one, the earliest line of those that it resembles.
 
     A round keeps ``few`` candidates of each class in each list. Classes that it does not settle go through another, with eight times as many, over the words that they post.
     """
+    min_words = max(min_words, least_near(threshold))
     place = F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no"))
     frequent = frequent_words(docs, FREQUENT)
     post, only, waiting, found = postings(docs, frequent, threshold, min_words), None, None, None

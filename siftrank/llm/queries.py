@@ -33,7 +33,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.duplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return line_dedup.duplicate_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=1)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

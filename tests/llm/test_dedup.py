@@ -1,10 +1,12 @@
 """Operators 1, 6 and 10 against brute force."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
-from siftrank.llm import line_dedup, ngram_jaccard, substring_dedup
+import corpus_pipeline
+from siftrank.llm import line_dedup, ngram_jaccard, queries, substring_dedup
 from tests.llm.fixtures import DOCS, corpus, frame
 
 
@@ -56,6 +58,20 @@ def test_line_dedup_with_cut_lists(spark, monkeypatch):
     assert got_lines(line_dedup.duplicate_lines(spark.createDataFrame(rows, DOCS))) == want
 
 
+def test_short_lines_are_compared(spark, tmp_path):
+    """The registered query: lines of every length, from one word on, against brute force; sets of 4 and 5 words reach 0.8."""
+    rng, kinds = random.Random(3), [f"k{i}" for i in range(9)]
+    texts = ["\n".join(" ".join(rng.sample(kinds, rng.randint(0, 6))) for _ in range(12)) for _ in range(25)]
+    texts += ["les.\n\nAll rights reserved.", "les.\n\nand ornd. of\nAll rights reserved.", "a b c d", "e d c b a", "a b c"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_lines(unique_docs(rows), least=1)
+    assert want[(26, 0)] == (25, 0) and want[(26, 3)] == (25, 2) and want[(28, 0)] == (27, 0) and (26, 1) not in want
+    assert got_lines(queries.op6_line_dedup(spark, str(tmp_path))) == want
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect()}
+    assert left[26] == "\nand ornd. of"
+
+
 def test_removed_lines_leave_the_rest(spark):
     df = frame(spark)
     left = {r.doc_id: r.text for r in line_dedup.remove_lines(df, line_dedup.duplicate_lines(df)).collect()}
