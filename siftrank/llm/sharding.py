@@ -11,7 +11,8 @@ counts and offsets, so neither a frequent size nor a shard is ever sorted in one
 
 A null text has no bytes and is a group of its own, apart from empty texts; both have ``text_crc32`` 0. Repeated rows are packed with their
 group and each get a slot. A table of fewer groups than shards leaves shards empty; an empty table gives an empty result.
-Extra columns are ignored. A group larger than an even share makes its shard larger than the others; it is never split.
+Extra columns are ignored. A group larger than an even share makes its shard larger than the others; it is never split. It has that shard to itself,
+and the even share of the remaining groups over the remaining shards is what the others are filled to.
 """
 
 from __future__ import annotations
@@ -47,10 +48,24 @@ def best_fit(histogram: list[tuple[int, int]], capacity: int, shards: int) -> li
 
 
 def pack(histogram: list[tuple[int, int]], shards: int, tolerance: float) -> list[tuple[int, int, int]]:
-    """The packing at the least capacity, within ``tolerance``, that needs no more than ``shards`` shards."""
+    """Groups above an even share of what remains get a shard each; the others are packed over the other shards at the least capacity, within ``tolerance``, that holds them."""
     histogram = sorted(histogram, reverse=True)
     total = sum(s * n for s, n in histogram)
-    low = max(-(-total // shards), histogram[0][0])
+    runs, used = [], 0
+    # taking a larger group out lowers the share of the rest, so the next ones are tested against that
+    while histogram and histogram[0][0] * (shards - used) > total:
+        size, count = histogram[0]
+        runs.append((size, used, 1))
+        histogram = ([(size, count - 1)] if count > 1 else []) + histogram[1:]
+        total, used = total - size, used + 1
+    if histogram:
+        runs += [(size, used + shard, n) for size, shard, n in _least_capacity(histogram, shards - used, total, tolerance)]
+    return runs
+
+
+def _least_capacity(histogram: list[tuple[int, int]], shards: int, total: int, tolerance: float) -> list[tuple[int, int, int]]:
+    """The packing at the least capacity, within ``tolerance``, that needs no more than ``shards`` shards."""
+    low = -(-total // shards)
     high, step = low, max(1, int(low * tolerance))
     best = best_fit(histogram, high, shards)
     while best is None:

@@ -79,6 +79,34 @@ def test_shards(spark):
     assert sharding.shard_by_bytes(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_large_group_leaves_no_shard_empty(spark):
+    """Equal texts that are a third of all rows get a shard of their own, and the other shards stay near equal."""
+    rng = random.Random(6)
+    texts = [prose(rng, 40) for _ in range(600)]
+    texts[::3] = [texts[0]] * 200
+    got = sharding.shard_by_bytes(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()
+    load, alone = {}, {r.shard for r in got if r.doc_id % 3 == 0}
+    for r in got:
+        load[r.shard] = load.get(r.shard, 0) + r["size"]
+    assert len(got) == 600 and set(load) == set(range(24)) and len(alone) == 1
+    rest = [n for s, n in load.items() if s not in alone]
+    assert max(rest) <= 1.05 * sum(rest) / 23 and min(rest) >= 0.9 * sum(rest) / 23
+
+
+@pytest.mark.parametrize("large", [[1500], [1500, 1100], [8000, 900, 900]])
+def test_groups_above_an_even_share_are_alone(large):
+    histogram = [(s, 1) for s in set(large)] + [(10, 800), (7, 2000)]
+    histogram = [(s, large.count(s) or n) for s, n in histogram]
+    load = [0] * 24
+    runs = sharding.pack(histogram, 24, 0.0005)
+    for size, shard, n in runs:
+        load[shard] += size * n
+    assert {s: sum(n for size, _, n in runs if size == s) for s, _ in histogram} == dict(histogram)
+    own = {shard for size, shard, _ in runs if size in large and size * 24 > sum(load)}
+    rest = [n for s, n in enumerate(load) if s not in own]
+    assert min(rest) >= 0.95 * sum(rest) / len(rest) and max(rest) <= 1.05 * sum(rest) / len(rest)
+
+
 def test_best_fit_decreasing():
     assert sharding.best_fit([(6, 1), (5, 1), (4, 1), (3, 2)], 11, 2) == [(6, 0, 1), (5, 0, 1), (4, 1, 1), (3, 1, 2)]
     assert sharding.best_fit([(6, 3)], 11, 2) is None
