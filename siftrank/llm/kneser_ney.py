@@ -224,7 +224,11 @@ def _score_scanned(docs: DataFrame, model: DataFrame, order: int, last: int, flo
 
 
 def _score_joined(docs: DataFrame, model: DataFrame, order: int, last: int, floor: float, carry: tuple[str, ...]) -> DataFrame:
-    """The same for a model too large to broadcast: the n-grams of each window are joined to the sharded model, order by order."""
+    """The same for a model too large to broadcast: the n-grams of each window are joined to the sharded model, order by order.
+
+    Each row has its own key, on disk before it is used twice: rows without a ``doc_id``, or with the same one, stay apart.
+    """
+    docs = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *carry))
     names = [f"{kind}{k}" for k in range(order, last - 1, -1) for kind in ("g", "c")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,14 +243,14 @@ def _score_joined(docs: DataFrame, model: DataFrame, order: int, last: int, floo
                 for k in range(order, last - 1, -1):
                     at = start + (order - k)
                     keys += [pa.array(A.signed(window_keys(points, at, k, k))), pa.array(A.signed(window_keys(points, at, k - 1, 100 + k)))]
-                ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(window.astype(np.int64)), *keys], names=["doc_id", "window", *names])
+                rows = batch.column("row").take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(window.astype(np.int64)), *keys], names=["row", "window", *names])
 
-    schema = "doc_id long, window long, " + ", ".join(f"{c} long" for c in names)
+    schema = "row long, window long, " + ", ".join(f"{c} long" for c in names)
     spark = docs.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").mapInArrow(run, schema).groupBy("doc_id", "window", *names).agg(F.count("*").alias("n"))
-    rows = rows.withColumn("value", F.lit(0.0)).withColumn("done", F.lit(False)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(min(salts, 16))))
+    rows = docs.select("row", "text").mapInArrow(run, schema).groupBy("row", "window", *names).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("value", F.lit(0.0)).withColumn("done", F.lit(False)).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(min(salts, 16))))
     spread = model.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(salts, 16) - 1).cast("long"))))
     for name in names:
         rows = rows.hint("merge").join(spread.select(F.col("key").alias(name), "salt", F.col("value").alias("v")), [name, "salt"], "left")
@@ -255,9 +259,9 @@ def _score_joined(docs: DataFrame, model: DataFrame, order: int, last: int, floo
             rows = rows.withColumn("done", F.col("done") | F.col("v").isNotNull())
         rows = rows.drop("v", name)
     value = (F.col("value") + F.when(F.col("done"), 0.0).otherwise(floor)) * F.col("n")
-    summed = rows.groupBy("doc_id", "window").agg(F.sum(value).alias("s"), F.sum("n").alias("n"))
-    scored = summed.groupBy("doc_id").agg(F.sum("n").alias("chars"), F.sum("s").alias("total"), F.max("s").alias("top"))
-    return docs.select("doc_id", *carry).hint("merge").join(scored, "doc_id", "left").select(
+    summed = rows.groupBy("row", "window").agg(F.sum(value).alias("s"), F.sum("n").alias("n"))
+    scored = summed.groupBy("row").agg(F.sum("n").alias("chars"), F.sum("s").alias("total"), F.max("s").alias("top"))
+    return docs.drop("text").hint("merge").join(scored, "row", "left").select(
         "doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("total", F.lit(0.0)).alias("total"), "top", *carry
     )
 

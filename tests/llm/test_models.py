@@ -123,6 +123,24 @@ def test_quality_separates_junk(spark):
     assert all(joined[i] == pytest.approx(got[i].perplexity, rel=1e-4) for i, *_ in docs)
 
 
+def test_both_ways_agree_on_awkward_ids(spark):
+    """Rows with a null, a repeated or a clashing ``doc_id`` get their own values, whatever the size of the model."""
+    docs, marks = labelled(200)
+    bad, text = "grobwort " + docs[2][1], docs[1][1]
+    extra = [(None, bad), (None, text), (None, None), (900, bad), (900, bad), (901, bad), (901, text), (901, ""), (docs[0][0], docs[0][1])]
+    d = spark.createDataFrame([*docs, *((i, t, "en", "s", 1) for i, t in extra)], DOCS)
+    m = spark.createDataFrame(marks, LABELS)
+
+    def rows(df, names):
+        return sorted((r.doc_id is None, r.doc_id or 0, *(-1.0 if r[c] is None else float(r[c]) for c in names)) for r in df.collect())
+
+    for run, names in ((toxicity.toxicity, ("score", *toxicity.FEATURES)), (quality.quality, ("perplexity", "chars"))):
+        scanned, joined = (rows(run(d, m, **kw), names) for kw in ({}, {"model_rows": 0}))
+        assert len(scanned) == len(joined) == 209
+        for a, b in zip(scanned, joined, strict=True):
+            assert b == pytest.approx(a, rel=1e-3, abs=1e-3)
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark):
     rng = random.Random(3)
     texts = spark.createDataFrame([(prose(rng, 60),) for _ in range(20)], "text string")
