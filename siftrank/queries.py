@@ -12,7 +12,7 @@ from siftrank import fixtures as B
 from siftrank.functions import scalar as S
 from siftrank.operators import components, labels, metrics, runstats, splits, structure, vectors
 from siftrank.plans import lifecycle
-from siftrank.sources.checkpoints import cut, ensure_checkpoint_dir
+from siftrank.sources.checkpoints import cut, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,9 +53,7 @@ def run_discovery(spark, sf):
 @query(f"WITH {B.CELLS} SELECT target_role, ligand_role, count(*) AS rows, count(score) AS valid FROM cells GROUP BY ALL")
 def label_store(spark, sf):
     """Write the cells by role, then read them back."""
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/labels-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
     lifecycle.write_labels(B.cells(spark, sf), path)
     parts = [lifecycle.read_labels(spark, path, t, i, allow_test=True) for t in ("train", "dev", "test") for i in ("train", "val", "test")]
     out = parts[0]
