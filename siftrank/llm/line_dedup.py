@@ -1,18 +1,21 @@
 """Operator 6. Line dedup: exact set-similarity join over lines (prefix, positional and length filters, then Jaccard).
 
-1. Words are counted. Those that hold ``1 / FREQUENT`` of all words or more (so at most ``FREQUENT`` of them, whatever the size of the corpus) are ordered by
-   count; all rarer words come before them, ordered by hash. Any global order makes the prefix filter exact; this one keeps frequent words out of prefixes, and its broadcast has a proven bound.
-2. A scan turns each line into its set of lower-cased words and posts the first ``n - ceil(t n) + 1`` of them. Equal sets are one class; a batch posts each class once, at
-   its earliest line, so a line with a million copies is a few postings.
-3. Postings of one word meet, cut into pairs of blocks of at most ``BLOCK`` so that a frequent word is many small tasks' work. Length and positional filters and a bitmap bound on the overlap
-   (each word flips one of 64 bits; sets differ by at least as many words as bitmaps by bits) leave each class its earliest few candidates there, not all its pairs.
-4. Candidates are verified on whole word sets, fetched for the lines that need it only: a Bloom filter over the candidates' classes thins out the scan.
-   A class whose earliest candidates all fail while more were left in a block goes through another round that keeps more, so nothing is lost by keeping few.
+1. A scan counts words in ``2 ** RARITY_BITS`` hash buckets. Words are ordered by the count of their bucket, then by hash: rare ones first. Any global order makes the prefix filter exact;
+   the table of counts has a fixed size, so that its broadcast is bounded.
+2. A second scan turns each line into its set of lower-cased words, with a digest, a bitmap and the prefix: the first ``n - ceil(t n) + 1`` words in that order. Of equal sets in one batch only the
+   earliest line has a prefix, so a line with a million copies is a few postings. All lines are stored; everything else reads this table.
+3. Postings meet by word. In a list the shorter set of a pair must have the word among its first ``n - ceil(2 t / (1 + t) n) + 1``; lists are sorted by length, so that the length filter is a range; the positional filter and
+   a bitmap bound on the overlap (each word flips one bit; sets differ by at least as many words as bitmaps by bits) come next. Each line keeps its earliest ``FEW`` candidates in a list, not all its pairs.
+4. A word that occurs over ``BLOCK`` times may have a list too long for one task. Its postings go by bands of length instead (only neighbouring bands can meet), cut into blocks of ``BLOCK``, and are first
+   compared with the ``EARLY`` earliest of the band only: in a large group of near copies these settle nearly all.
+5. Candidates are verified on whole word sets, fetched for the lines that need it only (a Bloom filter over their places thins out the scan). Lines whose kept candidates all fail while a list was cut
+   are waiting; a second round compares them, and only them, with whole lists. So nothing is lost by keeping few.
 
 A line is removed if an earlier line has a similarity of ``threshold`` or more, itself removed or not. Lines of fewer than ``min_words``
 different words are left alone; the query and the pipeline pass 1, so that only lines without words are. Sets too small to resemble any but an equal one
-(of up to 3 words at 0.8) are matched by their digest alone and post nothing. Null and empty texts have no lines to remove. Repeated rows: the copy of a line in the same document and place
-is the same line. An empty table gives an empty result. Extra columns are ignored by :func:`duplicate_lines` and dropped by :func:`remove_lines`.
+(of up to 3 words at 0.8) are matched by their digest alone and post nothing. Null and empty texts have no lines to remove; rows with a null ``doc_id`` take no part, as their lines have no place in the order. Repeated rows: the copy of a
+line in the same document and place is the same line; where rows of one ``doc_id`` hold different texts, a place is removed if any of its lines is. An empty table gives an empty result. Extra columns are ignored by
+:func:`duplicate_lines` and dropped by :func:`remove_lines`.
 """
 
 from __future__ import annotations
@@ -23,15 +26,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.llm import arrays as A
-from siftrank.sources.checkpoints import cut
-
-FREQUENT = 1 << 18
+from siftrank.sources.checkpoints import cut, stored
 
+RARITY_BITS = 22
+#: The longest list of one word that one task compares; longer ones are cut.
+BLOCK = 4096
+EARLY = 1024
+#: Candidates that a line keeps in each list in the first round.
+FEW = 8
+#: Pairs that a task looks at in one step.
+PAIRS = 1_000_000
+#: Bytes of text that a scan holds as words at a time.
+TEXT = 2_000_000
+#: Sets of more words have a bitmap of 128 bits; 64 do not tell them apart.
+WIDE = 64
+#: The second round's tables are broadcast up to this many rows, and joined by a shuffle beyond.
+SMALL = 500_000
+#: Spreads line numbers over the Bloom filter of places.
+SPREAD = 2_654_435_761
 
 _BITS = np.uint64(44)
 _LOW = np.uint64((1 << 44) - 1)
@@ -68,186 +84,217 @@ def _digests(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return A.signed(A.span_hash(h, offsets[:-1], offsets[1:]))
 
 
-def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(doc_id, line_no, d1)`` of every line with ``min_words`` different words or more; the digest is that of the word set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in A.pieces_of(whole, "text"):
-                text, row, number = _split(batch)
-                h, offsets = _sets(text)
-                d1 = _digests(h, offsets)
-                own = np.flatnonzero(np.diff(offsets) >= min_words)
-                ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(row[own]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number[own].astype(np.int32)), pa.array(d1[own])], names=["doc_id", "line_no", "d1"])
-
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no int, d1 long")
-
-
-def frequent_words(docs: DataFrame, most: int) -> dict[str, np.ndarray]:
-    """Hashes and counts of words that make up ``1 / most`` of all words or more: never over ``most`` of them.
-
-    Each batch reports the words that reach that share in it; counts are thus lower bounds, which serve an order as well.
-    """
+def rarity(docs: DataFrame) -> np.ndarray:
+    """How many words fall in each hash bucket, over all documents; at most 2 ** 32 - 1."""
+    bits = RARITY_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
         for whole in batches:
-            for batch in A.pieces_of(whole, "text", 16_000_000):
+            for batch in A.pieces_of(whole, "text", TEXT):
                 coded = A.words(batch.column("text"))[0].dictionary_encode()
-                if not len(coded):
-                    continue
                 n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
-                top = np.flatnonzero(n >= max(2, len(coded) / most))
-                h = A.string_hash(coded.dictionary.take(pa.array(top))) & _LOW
-                # the row of hash -1 carries how many words the batch has
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(A.signed(h), -1)), pa.array(np.append(n[top], len(coded)))], names=["h", "n"])
-
-    counts = cut(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    total = counts.where("h = -1").agg(F.sum("n")).first()[0] or 0
-    rows = counts.where((F.col("h") >= 0) & (F.col("n") * most >= total)).toPandas()
-    h, n = rows["h"].to_numpy(np.int64).astype(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return {"h": h[order], "n": n[order]}
-
-
-def _prefixes(h: np.ndarray, offsets: np.ndarray, frequent: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The prefix of each word set, rarest first: owner, word and position of each of its words."""
-    known, count = frequent["h"], frequent["n"]
+                np.add.at(total, (A.string_hash(coded.dictionary) & np.uint64((1 << bits) - 1)).astype(np.int64), n)
+        used = np.flatnonzero(total)
+        for x in range(0, len(used), 1 << 16):
+            part = used[x : x + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << bits, np.uint32)
+    out[rows.column("bucket").to_numpy()] = np.minimum(rows.column("n").to_numpy(), (1 << 32) - 1)
+    return out
+
+
+def _prefixes(h: np.ndarray, offsets: np.ndarray, counts: np.ndarray, bits: int, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's prefix, rarest word first: words as 31 bits, below 0 if they may have a long list, and each set's offsets into them."""
     size = np.diff(offsets)
-    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-    rarity = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
+    count = counts[(h & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.int64)
     owner = np.repeat(np.arange(len(size)), size)
     # within a text the hashes ascend already, and the sort is stable
-    order = np.argsort((owner << 38) + np.minimum(rarity, (1 << 38) - 1), kind="stable")
+    order = np.argsort((owner << 32) + count, kind="stable")
     pos = np.arange(len(h)) - offsets[:-1][owner]
-    take = pos < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner]
-    return owner[take], h[order][take], pos[take]
-
+    length = np.where(size > 0, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, 0)
+    order = order[pos < length[owner]]
+    word = (h[order] & np.uint64((1 << 31) - 1)) | np.where(count[order] > block, np.uint64(1 << 31), np.uint64(0))
+    return word.astype(np.uint32).view(np.int32), np.concatenate([[0], np.cumsum(length)])
 
-POSTING = "word int, d1 long, doc_id long, line_no int, n int, pos int, bits long, bits1 long, bits2 long"
-#: Sets of more words have a second bitmap, of 128 bits; 64 do not tell them apart.
-WIDE = 96
 
-
-def _flips(h: np.ndarray, offsets: np.ndarray, shift: int, half: int | None = None) -> np.ndarray:
-    """64 bits for each text, each flipped by the words that six bits of their hashes send there; ``half`` takes those words only whose next bit is that."""
-    bits, full = np.zeros(len(offsets) - 1, np.uint64), np.flatnonzero(np.diff(offsets))
+def _bitmaps(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's bitmap: 128 bits of sets over ``WIDE`` words, else 64 and a zero. The two halves of the wider one give the narrower one by exclusive or."""
+    low, both = np.zeros(len(offsets) - 1, np.uint64), np.zeros(len(offsets) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(offsets))
     if len(full):
-        one = np.uint64(1) << ((h >> np.uint64(shift)) & np.uint64(63))
-        if half is not None:
-            one = np.where((h >> np.uint64(shift + 6)) & np.uint64(1) == half, one, np.uint64(0))
-        bits[full] = np.bitwise_xor.reduceat(one, offsets[:-1][full])
-    return bits
+        one = np.uint64(1) << (h >> np.uint64(38))
+        both[full] = np.bitwise_xor.reduceat(one, offsets[:-1][full])
+        low[full] = np.bitwise_xor.reduceat(np.where((h >> np.uint64(37)) & np.uint64(1) == 0, one, np.uint64(0)), offsets[:-1][full])
+    wide = np.diff(offsets) > WIDE
+    return np.where(wide, low, both), np.where(wide, low ^ both, np.uint64(0))
 
 
-def _in_bloom(bloom: np.ndarray | None, ids: np.ndarray) -> np.ndarray:
-    if bloom is None:
-        return np.ones(len(ids), bool)
-    at = ids.view(np.uint64) % np.uint64(len(bloom) * 64)
-    return (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+def least_near(threshold: float) -> int:
+    """The size from which a set can resemble one that is not equal to it: sets of n and n + 1 words agree in n / (n + 1) at most."""
+    return math.ceil(threshold / (1 - threshold) - 1e-6) if threshold < 1 else 1 << 30
 
 
-def postings(docs: DataFrame, frequent: dict[str, np.ndarray], threshold: float, min_words: int, kinds: np.ndarray | None = None, words: np.ndarray | None = None) -> DataFrame:
-    """One row for each word of each class's prefix; on request only of classes, or of words, that a Bloom filter lets through.
+def line_sets(docs: DataFrame, threshold: float, min_words: int) -> DataFrame:
+    """``doc_id, tag, d1, n, b0, b1, prefix`` of every line with ``min_words`` different words or more.
 
-    32 bits of a word will do: what they confuse is verified.
+    ``tag`` is the line's number and, above it, 32 bits of its set's digest ``d1``. Only the earliest line of a batch with its set has a prefix.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, kinds, words))
+    least, bits, block = least_near(threshold), RARITY_BITS, BLOCK
+    shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, kinds, words = shared.value
+        counts = shared.value
         for whole in batches:
-            for batch in A.pieces_of(whole, "text"):
+            for batch in A.pieces_of(whole, "text", TEXT):
                 text, row, number = _split(batch)
                 h, offsets = _sets(text)
-                size = np.diff(offsets)
-                d1 = _digests(h, offsets)
+                size, d1 = np.diff(offsets), _digests(h, offsets)
                 ids = np.asarray(batch.column("doc_id").cast(pa.int64()))[row]
-                own = np.flatnonzero(size >= min_words)
+                own = np.flatnonzero(size >= max(min_words, 1))
                 own = own[np.lexsort((number[own], ids[own], d1[own]))]
-                own = own[np.concatenate([[True], d1[own][1:] != d1[own][:-1]])] if len(own) else own
-                first = np.zeros(len(size), bool)
-                first[own] = True
-                first &= _in_bloom(kinds, d1)
-                owner, word, pos = _prefixes(h, offsets, frequent, threshold)
-                word = (word & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                keep = first[owner] & _in_bloom(words, word.astype(np.int64))
-                owner, word, pos = owner[keep], word[keep], pos[keep]
-                bits = [_flips(h, offsets, 38), *(np.where(size > WIDE, _flips(h, offsets, 24, half), np.uint64(0)) for half in (0, 1))]
+                first = np.concatenate([[True], d1[own][1:] != d1[own][:-1]]) if len(own) else np.zeros(0, bool)
+                post = np.zeros(len(size), bool)
+                post[own[first]] = True
+                post &= size >= least
+                # the words of the posting lines only
+                at = np.concatenate([[0], np.cumsum(np.where(post, size, 0))])
+                word, end = _prefixes(h[np.repeat(post, size)], at, counts, bits, block, threshold)
+                b0, b1 = _bitmaps(h[np.repeat(post, size)], at)
+                tag = (d1[own] << 32) | number[own]
+                length = np.diff(end)[own]
+                start = np.repeat(end[own] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) if len(own) else np.zeros(0, np.int64)
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(word[start + np.arange(len(start))]))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(word), pa.array(d1[owner]), pa.array(ids[owner]), pa.array(number[owner].astype(np.int32)), pa.array(size[owner].astype(np.int32)), pa.array(pos.astype(np.int32)),
-                        *(pa.array(A.signed(b[owner])) for b in bits),
-                    ],
-                    names=["word", "d1", "doc_id", "line_no", "n", "pos", "bits", "bits1", "bits2"],
+                    [pa.array(ids[own]), pa.array(tag), pa.array(d1[own]), pa.array(size[own].astype(np.int32)), pa.array(A.signed(b0[own])), pa.array(A.signed(b1[own])), prefix],
+                    names=["doc_id", "tag", "d1", "n", "b0", "b1", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, POSTING)
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, tag long, d1 long, n int, b0 long, b1 long, prefix array<int>")
+
+
+def line_no(tag: str = "tag") -> Column:
+    return F.col(tag).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def place(doc: str, tag: str) -> Column:
+    return F.struct(F.col(doc).alias("doc_id"), line_no(tag).alias("line_no"))
+
+
+PAIR = "a_doc long, a_tag long, b_doc long, b_tag long, more boolean"
+
+
+def _earliest(a: np.ndarray, b: np.ndarray, doc: np.ndarray, line: np.ndarray, few: int) -> tuple[np.ndarray, ...]:
+    """The pairs with each ``a``'s earliest ``few`` partners, their ranks, and how many partners each has."""
+    order = np.lexsort((line[b], doc[b], a))
+    a, b = a[order], b[order]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    count = np.searchsorted(a, a, "right") - np.searchsorted(a, a)
+    keep = rank < few
+    return a[keep], b[keep], rank[keep], count[keep]
 
 
-def _candidates(threshold: float, few: int, shared: Broadcast):
-    """Each class's earliest candidates among the earlier classes of a pair of blocks, for classes that the Bloom filter holds (all, if there is none).
+def _compare(threshold: float, few: int, keys: list[str]):
+    """Candidates within each group of postings: for each later line its earliest ``few``; ``more`` marks the last of a cut list.
 
-    ``a1, b1, b_doc, b_line, more``; ``more`` marks the last of a cut list."""
+    ``role`` has bit 1 for lines that look for earlier ones and bit 2 for those that can be found; in groups with a ``g``, pairs belong to the group of the longer one's band.
+    """
+    share = threshold / (1 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in A.whole_groups(batches, ["word", "bi", "bj"]):
-            doc, line = table.column("doc_id").to_numpy(), table.column("line_no").to_numpy()
-            order = np.lexsort((line, doc, group))
-            group, doc, line = group[order], doc[order], line[order]
-            d1, n, pos, block = (table.column(c).to_numpy()[order] for c in ("d1", "n", "pos", "block"))
-            bits = [table.column(c).to_numpy()[order].view(np.uint64) for c in ("bits", "bits1", "bits2")]
-            cross = (table.column("bi").to_numpy() != table.column("bj").to_numpy())[order]
-            start = np.searchsorted(group, group)
-            earlier = np.where(_in_bloom(shared.value, d1), np.arange(len(group)) - start, 0)
-            # pairs of a row with all earlier rows of its group, a bounded number at a time
-            upto = np.cumsum(earlier)
-            at = 0
-            while at < len(group):
+        for table, group in A.whole_groups(batches, keys):
+            column = lambda c: table.column(c).to_numpy()  # noqa: E731, B023
+            size = column("n_pos") >> 32
+            key = (group.astype(np.int64) << 32) | size
+            order = np.lexsort((column("tag") & 0xFFFFFFFF, column("doc_id"), column("b0"), key))
+            key, n = key[order], size[order]
+            doc, tag, role = column("doc_id")[order], column("tag")[order], column("role")[order]
+            pos = (column("n_pos") & 0xFFFFFFFF)[order]
+            b0, b1 = column("b0")[order].view(np.uint64), column("b1")[order].view(np.uint64)
+            same = (key[1:] == key[:-1]) & (b0[1:] == b0[:-1]) & (tag[1:] >> 32 == tag[:-1] >> 32) & (role[1:] == role[:-1])
+            keep = np.concatenate([[True], ~same])
+            key, n, doc, tag, role, pos, b0, b1 = (x[keep] for x in (key, n, doc, tag, role, pos, b0, b1))
+            band = column("band")[order][keep] if "g" in keys else None
+            g = column("g")[order][keep] if "g" in keys else None
+            line = tag & 0xFFFFFFFF
+            index = np.flatnonzero(pos < n - np.ceil(2 * share * n - 1e-9).astype(np.int64) + 1)
+            known = key[index]
+            low = np.searchsorted(known, (key - n) + np.ceil(threshold * n - 1e-9).astype(np.int64))
+            high = np.searchsorted(known, key)
+            high[index] = np.arange(len(index))
+            count = np.maximum(high - low, 0)
+            upto, at = np.cumsum(count), 0
+            a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            while at < len(key):
                 end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
-                count = earlier[at:end]
-                i = np.repeat(np.arange(at, end), count)
-                j = np.repeat(start[at:end] - (np.cumsum(count) - count), count) + np.arange(len(i))
+                c = count[at:end]
+                i = np.repeat(np.arange(at, end), c)
+                j = index[np.repeat(low[at:end] - (np.cumsum(c) - c), c) + np.arange(len(i))]
                 at = end
                 both = n[i] + n[j]
-                twice = 2 * np.ceil(threshold / (1 + threshold) * both - 1e-9)
-                ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (d1[i] != d1[j])
-                ok &= both - np.bitwise_count(bits[0][i] ^ bits[0][j]) >= twice
-                ok &= 2 * (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])) >= twice
-                ok &= ~cross[i] | (block[i] != block[j])
-                i, j, both, twice = i[ok], j[ok], both[ok], twice[ok]
-                wide = np.bitwise_count(bits[1][i] ^ bits[1][j]).astype(np.int64) + np.bitwise_count(bits[2][i] ^ bits[2][j])
-                ok = (n[i] <= WIDE) | (n[j] <= WIDE) | (both - wide >= twice)
+                apart = both - 2 * np.ceil(share * both - 1e-9).astype(np.int64)
+                ok = 2 * (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])) >= both - apart
+                i, j, apart = i[ok], j[ok], apart[ok]
+                x, y = b0[i] ^ b0[j], b1[i] ^ b1[j]
+                wide = (n[i] > WIDE) & (n[j] > WIDE)
+                ok = np.where(wide, np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y), np.bitwise_count(x ^ y)) <= apart
+                if band is not None:
+                    ok &= np.maximum(band[i], band[j]) == g[i]
                 i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                first = np.searchsorted(i, i)
-                place = np.arange(len(i)) - first
-                more = (place == few - 1) & (np.searchsorted(i, i, "right") - first > few)
-                keep = place < few
-                i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(d1[i]), pa.array(d1[j]), pa.array(doc[j]), pa.array(line[j]), pa.array(more[keep])], names=["a1", "b1", "b_doc", "b_line", "more"])
+                later = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
+                one, two = np.where(later, i, j), np.where(later, j, i)
+                ok = (role[one] & 1 > 0) & (role[two] & 2 > 0) & ((doc[i] != doc[j]) | (line[i] != line[j]))
+                a, b = np.concatenate([a, one[ok]]), np.concatenate([b, two[ok]])
+                if len(a) > 2 * PAIRS:
+                    a, b, *_ = _earliest(a, b, doc, line, few + 1)
+            if not len(a):
+                continue
+            a, b, rank, count = _earliest(a, b, doc, line, few)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(tag[a]), pa.array(doc[b]), pa.array(tag[b]), pa.array((rank == few - 1) & (count > few))], names=["a_doc", "a_tag", "b_doc", "b_tag", "more"])
 
     return run
 
 
-#: Pairs that a task looks at in one step.
-PAIRS = 1_000_000
-BLOCK = 4096
+def postings(sets: DataFrame, *carry: str) -> DataFrame:
+    """One row for each word of each prefix; ``n_pos`` is the set's size and, below it, the word's position."""
+    rows = sets.where(F.size("prefix") > 0).select("doc_id", "tag", "n", "b0", "b1", *carry, F.posexplode("prefix").alias("pos", "word"))
+    return rows.select("word", "doc_id", "tag", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("n_pos"), "b0", "b1", *carry)
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def list_candidates(post: DataFrame, threshold: float, few: int, role: Column) -> DataFrame:
+    """Candidates from the lists of words that occur ``BLOCK`` times at most."""
+    dealt = post.repartition(_parts(post), "word").sortWithinPartitions("word")
+    return dealt.withColumn("role", role).mapInArrow(_compare(threshold, few, ["word"]), PAIR)
 
 
-def candidates(post: DataFrame, threshold: float, few: int, only: np.ndarray | None) -> DataFrame:
-    """``a1, b1, b_doc, b_line, more``: what :func:`_candidates` keeps of the postings of each word."""
-    # one shuffle by word serves all words of one block; only longer lists are dealt out again, by pairs of blocks
-    parts = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = post.repartition(parts, "word").withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("word")) / BLOCK).cast("int"))
-    schema = "a1 long, b1 long, b_doc long, b_line int, more boolean"
-    shared = post.sparkSession.sparkContext.broadcast(only)
-    few_rows = sized.where("blocks = 1").drop("blocks").select("*", F.lit(0).alias("block"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
-    placed = sized.where("blocks > 1").withColumn("block", F.pmod("d1", "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many_rows = placed.select("*", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")).drop("blocks", "other")
-    many_rows = many_rows.repartition(parts, "word", "bi", "bj").sortWithinPartitions("word", "bi", "bj")
-    return few_rows.mapInArrow(_candidates(threshold, few, shared), schema).union(many_rows.mapInArrow(_candidates(threshold, few, shared), schema))
+def band_members(sets: DataFrame, threshold: float, *carry: str) -> DataFrame:
+    """The postings of frequent words, once for each set, in the group ``g`` of their own band of lengths and in that of the next."""
+    post = postings(sets, "d1", *carry).where("word < 0")
+    once = post.groupBy("word", "d1", "n_pos", "b0", "b1", *carry).agg(F.min(F.struct("doc_id", "tag")).alias("p")).select("word", "p.doc_id", "p.tag", "n_pos", "b0", "b1", *carry)
+    band = F.floor(F.log(F.shiftright("n_pos", 32).cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
+    return once.withColumn("band", band).withColumn("g", F.explode(F.array("band", F.col("band") + 1)))
+
+
+def band_candidates(looking: DataFrame, found: DataFrame, threshold: float, few: int) -> DataFrame:
+    """Candidates for ``looking`` among ``found``, both members of bands, in pairs of blocks of ``BLOCK`` postings of each."""
+    sizes = lambda rows, name: rows.groupBy("word", "g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    # read back, so that the joins below have plain shuffles on both sides and a frequent word's side can be split
+    blocks = stored(sizes(looking, "na").hint("merge").join(sizes(found, "nb"), ["word", "g"]))
+
+    def dealt(rows: DataFrame, own: str, other: str, role: int) -> DataFrame:
+        rows = rows.hint("merge").join(blocks, ["word", "g"])
+        rows = rows.withColumn(f"b{own}", F.pmod(F.xxhash64("doc_id", "tag"), f"n{own}").cast("int")).withColumn(f"b{other}", F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
+        return rows.select("word", "g", "ba", "bb", "doc_id", "tag", "n_pos", "b0", "b1", "band", F.lit(role).alias("role"))
+
+    keys = ["word", "g", "ba", "bb"]
+    both = dealt(looking, "a", "b", 1).unionByName(dealt(found, "b", "a", 2))
+    return both.repartition(_parts(both), *keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold, few, keys), PAIR)
 
 
 def _bloom(ids: DataFrame, column: str, most: int = 1 << 29) -> np.ndarray:
@@ -261,90 +308,118 @@ def _bloom(ids: DataFrame, column: str, most: int = 1 << 29) -> np.ndarray:
     return out
 
 
-def needed_sets(docs: DataFrame, ids: DataFrame, min_words: int) -> DataFrame:
-    """``(d1, words)``: the text of the lines whose class is among ``ids``, or seems to be; each class once a batch."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, "d1"))
+def _in_bloom(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = ids & np.uint64(len(bloom) * 64 - 1)
+    return (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def needed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``doc_id, line_no, d1, words``: the text of the lines at these places, and of a few others; equal lines of repeated rows once."""
+    key = F.col("doc_id").bitwiseXOR(F.col("line_no").cast("long") * SPREAD)
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(places.select(key.alias("key")), "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = shared.value
         for whole in batches:
-            for batch in A.pieces_of(whole, "text"):
-                text, _, _ = _split(batch)
-                h, offsets = _sets(text)
-                d1 = _digests(h, offsets)
-                own = np.flatnonzero(_in_bloom(bloom, d1) & (np.diff(offsets) >= min_words))
-                own = own[np.unique(d1[own], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(d1[own]), text.take(pa.array(own)).cast(pa.string())], names=["d1", "words"])
+            for batch in A.pieces_of(whole, "text", TEXT):
+                text, row, number = _split(batch)
+                ids = np.asarray(batch.column("doc_id").cast(pa.int64()))[row]
+                own = np.flatnonzero(_in_bloom(bloom, (ids ^ (number * SPREAD)).view(np.uint64)))
+                text = text.take(pa.array(own)).cast(pa.string())
+                d1 = _digests(*_sets(text))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(d1), text], names=["doc_id", "line_no", "d1", "words"])
 
-    return docs.select("text", "doc_id").where("doc_id IS NOT NULL").mapInArrow(run, "d1 long, words string").groupBy("d1").agg(F.min("words").alias("words"))
+    found = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no int, d1 long, words string")
+    return found.groupBy("doc_id", "line_no", "d1").agg(F.min("words").alias("words"))
 
 
 def _verify(threshold: float):
+    names = ["a_doc", "a_tag", "d1", "b_doc", "b_line", "more"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (a, ao), (b, bo) = _sets(batch.column("words_a")), _sets(batch.column("words_b"))
-            an, bn = np.diff(ao), np.diff(bo)
-            key = np.concatenate([(np.repeat(np.arange(len(n), dtype=np.uint64), n) << _BITS) | h for h, n in ((a, an), (b, bn))]) if len(an) < 1 << 20 else None
-            key.sort()
-            both = np.bincount((key[1:][key[1:] == key[:-1]] >> _BITS).astype(np.int64), minlength=len(an))
-            near = both >= threshold * (an + bn - both) - 1e-9
-            yield pa.RecordBatch.from_arrays([*batch.select(["a1", "b1", "b_doc", "b_line", "more"]).columns, pa.array(near)], names=["a1", "b1", "b_doc", "b_line", "more", "near"])
+        for whole in batches:
+            for x in range(0, whole.num_rows, 1 << 16):
+                batch = whole.slice(x, 1 << 16)
+                (a, ao), (b, bo) = _sets(batch.column("words_a")), _sets(batch.column("words_b"))
+                an, bn = np.diff(ao), np.diff(bo)
+                key = np.concatenate([(np.repeat(np.arange(len(n), dtype=np.uint64), n) << _BITS) | h for h, n in ((a, an), (b, bn))])
+                key.sort()
+                both = np.bincount((key[1:][key[1:] == key[:-1]] >> _BITS).astype(np.int64), minlength=len(an))
+                near = both >= threshold * (an + bn - both) - 1e-9
+                yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(near)], names=[*names, "near"])
 
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float, min_words: int) -> DataFrame:
-    """The pairs with ``near``, whether their similarity reaches the threshold."""
-    ids = cut(pairs.select(F.explode(F.array("a1", "b1")).alias("d1")).distinct())
-    sets = needed_sets(docs, ids, min_words)
-    side = lambda s: sets.select(F.col("d1").alias(f"{s}1"), F.col("words").alias(f"words_{s}"))
-    both = pairs.hint("merge").join(side("a"), "a1").hint("merge").join(side("b"), "b1")
-    return both.select("a1", "b1", "b_doc", "b_line", "more", "words_a", "words_b").mapInArrow(_verify(threshold), "a1 long, b1 long, b_doc long, b_line int, more boolean, near boolean")
-
-
-def least_near(threshold: float) -> int:
-    """The size from which a set can resemble one that is not equal to it: sets of n and n + 1 words agree in n / (n + 1) at most."""
-    return math.ceil(threshold / (1 - threshold) - 1e-6) if threshold < 1 else 1 << 30
-
-
-def first_matches(docs: DataFrame, threshold: float, min_words: int, few: int = 4) -> DataFrame:
-    """``(d1, first)``: for each class that resembles an earlier one, the earliest line of those that it resembles.
-
-    A round keeps ``few`` candidates of each class in each list. Classes that it does not settle go through another, with eight times as many, over the words that they post.
-    """
-    min_words = max(min_words, least_near(threshold))
-    place = F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no"))
-    frequent = frequent_words(docs, FREQUENT)
-    post, only, waiting, found = postings(docs, frequent, threshold, min_words), None, None, None
-    while True:
-        pairs = candidates(post, threshold, few, only).groupBy("a1", "b1").agg(F.min(F.struct("b_doc", "b_line")).alias("b"), F.bool_or("more").alias("more"))
-        pairs = pairs.select("a1", "b1", "b.b_doc", "b.b_line", "more")
-        pairs = cut(pairs if waiting is None else pairs.hint("merge").join(waiting, "a1", "left_semi"))
-        each = cut(verified(docs, pairs, threshold, min_words).groupBy("a1").agg(F.min(F.when(F.col("near"), place)).alias("first"), F.min(F.when(F.col("more"), place)).alias("cut")))
-        # what a cut list left out is later than what it kept: a match before that is the earliest
-        settled = each.where("first IS NOT NULL AND (cut IS NULL OR first <= cut)").select(F.col("a1").alias("d1"), "first")
-        found = settled if found is None else found.union(settled)
-        waiting = cut(each.where("cut IS NOT NULL AND (first IS NULL OR first > cut)").select("a1"))
-        if waiting.isEmpty():
-            return found
-        few, only = few * 8, _bloom(waiting, "a1")
-        words = postings(docs, frequent, threshold, min_words, kinds=only).select(F.col("word").cast("long").alias("word")).distinct()
-        post = postings(docs, frequent, threshold, min_words, words=_bloom(cut(words), "word"))
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs with the digest ``d1`` of their later line, and ``near``, whether their similarity reaches the threshold."""
+    ends = [F.struct(F.col(f"{s}_doc").alias("doc_id"), line_no(f"{s}_tag").alias("line_no")) for s in "ab"]
+    places = cut(pairs.select(F.explode(F.array(*ends)).alias("p")).select("p.*").distinct())
+    texts = stored(needed_texts(docs, places))
+    side = lambda s, *more: texts.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line_no").alias(f"{s}_line"), F.col("words").alias(f"words_{s}"), *more)
+    both = pairs.withColumns({f"{s}_line": line_no(f"{s}_tag") for s in "ab"}).drop("b_tag")
+    both = both.hint("merge").join(side("a", "d1"), ["a_doc", "a_line"]).where("shiftright(a_tag, 32) = shiftright(shiftleft(d1, 32), 32)")
+    both = both.hint("merge").join(side("b"), ["b_doc", "b_line"])
+    schema = "a_doc long, a_tag long, d1 long, b_doc long, b_line int, more boolean"
+    return both.select("a_doc", "a_tag", "d1", "b_doc", "b_line", "more", "words_a", "words_b").mapInArrow(_verify(threshold), schema + ", near boolean")
+
+
+def _joined(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join whose right side is broadcast behind a check of its size."""
+    return rows.join(F.broadcast(few) if few.count() <= SMALL else few.hint("merge"), on, how)
+
+
+def _settle(docs: DataFrame, pairs: DataFrame, left_out: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``(d1, first)`` of the lines whose earliest match is known, and ``(a_doc, a_tag)`` of those that wait for the whole lists."""
+    pairs = stored(pairs.groupBy("a_doc", "a_tag", "b_doc", "b_tag").agg(F.bool_or("more").alias("more")))
+    b = F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no"))
+    each = verified(docs, pairs, threshold).select("a_doc", "a_tag", "d1", F.when(F.col("near"), b).alias("first"), F.when(F.col("more"), b).alias("cut"))
+    if left_out is not None:
+        each = each.unionByName(left_out, allowMissingColumns=True)
+    each = cut(each.groupBy("a_doc", "a_tag").agg(F.max("d1").alias("d1"), F.min("first").alias("first"), F.min("cut").alias("cut")))
+    # what a cut list left out is later than what it kept: a match before that is the earliest
+    done = "first IS NOT NULL AND (cut IS NULL OR first <= cut)"
+    return each.where(done).select("d1", "first"), each.where(f"cut IS NOT NULL AND NOT ({done})").select("a_doc", "a_tag")
+
+
+def first_matches(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``(d1, first)``: for each set that resembles an earlier one, the earliest line of those that it resembles."""
+    pairs, left_out = list_candidates(postings(sets).where("word >= 0"), threshold, FEW, F.lit(3)), None
+    hot = not sets.where(F.exists("prefix", lambda w: w < 0)).isEmpty()
+    if hot:
+        members = stored(band_members(sets, threshold))
+        rank = F.row_number().over(Window.partitionBy("word", "g").orderBy("doc_id", line_no()))
+        early = stored(members.withColumn("rank", rank).where(F.col("rank") <= EARLY))
+        ends = stored(early.where(F.col("rank") == EARLY).select("word", "g", place("doc_id", "tag").alias("cut")))
+        pairs = pairs.unionByName(band_candidates(members, early.drop("rank"), threshold, FEW))
+        later = members.hint("merge").join(ends, ["word", "g"]).where(place("doc_id", "tag") > F.col("cut"))
+        left_out = later.groupBy(F.col("doc_id").alias("a_doc"), F.col("tag").alias("a_tag")).agg(F.min("cut").alias("cut"))
+    found, waiting = _settle(docs, pairs, left_out, threshold)
+    waiting = cut(waiting)
+    if waiting.isEmpty():
+        return found
+    ask = waiting.select(F.col("a_doc").alias("doc_id"), F.col("a_tag").alias("tag"), F.lit(True).alias("asks"))
+    marked = _joined(sets.where(F.size("prefix") > 0), ask, ["doc_id", "tag"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    words = cut(marked.where("asks").select(F.explode("prefix").alias("word")).where("word >= 0").distinct())
+    post = _joined(postings(marked, "asks").where("word >= 0"), words, ["word"], "left_semi")
+    whole = 1 << 30
+    pairs = list_candidates(post, threshold, whole, F.when(F.col("asks"), 3).otherwise(2))
+    if hot:
+        asking = _joined(members, ask.drop("asks"), ["doc_id", "tag"], "left_semi")
+        pairs = pairs.unionByName(band_candidates(asking, members, threshold, whole))
+    rest, _ = _settle(docs, pairs, None, threshold)
+    return found.unionByName(rest)
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
     """Every line that an earlier line resembles: ``doc_id, line_no`` and the earliest such line ``first_doc_id, first_line_no``."""
-    found = cut(first_matches(docs, threshold, min_words))
-    every = lines(docs, min_words)
-    own = every.groupBy("d1").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d1", "first")
+    sets = stored(line_sets(docs, threshold, min_words))
+    own = sets.groupBy("d1").agg(F.min(place("doc_id", "tag")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d1", "first")
     # read back, so that the join has plain shuffles on both sides and a frequent line's side can be split
-    first = cut(own.union(found).groupBy("d1").agg(F.min("first").alias("first")))
-    return (
-        every.hint("merge").join(first, "d1")
-        .where(F.struct("doc_id", "line_no") > F.col("first"))
-        .select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
-        .distinct()
-    )
+    first = stored(own.union(first_matches(docs, sets, threshold)).groupBy("d1").agg(F.min("first").alias("first")))
+    removed = sets.select("d1", "doc_id", "tag").hint("merge").join(first, "d1").select("doc_id", line_no().alias("line_no"), "first")
+    removed = removed.where(F.struct("doc_id", "line_no") > F.col("first")).groupBy("doc_id", "line_no").agg(F.min("first").alias("first"))
+    return removed.select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
 
 
 def remove_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:

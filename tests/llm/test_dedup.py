@@ -58,6 +58,16 @@ def test_line_dedup_with_cut_lists(spark, monkeypatch):
     assert got_lines(line_dedup.duplicate_lines(spark.createDataFrame(rows, DOCS))) == want
 
 
+def test_line_dedup_with_waiting_lines(spark, monkeypatch):
+    """Lists of which little is kept: most lines go through the second round, by words and by bands of length."""
+    rows = near_lines(60)
+    want = brute_lines(unique_docs(rows))
+    for block, early, few in ((1 << 20, 3, 1), (8, 3, 1)):
+        for name, value in (("BLOCK", block), ("EARLY", early), ("FEW", few), ("PAIRS", 50)):
+            monkeypatch.setattr(line_dedup, name, value)
+        assert got_lines(line_dedup.duplicate_lines(spark.createDataFrame(rows, DOCS))) == want
+
+
 def test_short_lines_are_compared(spark, tmp_path):
     """The registered query: lines of every length, from one word on, against brute force; sets of 4 and 5 words reach 0.8."""
     rng, kinds = random.Random(3), [f"k{i}" for i in range(9)]
