@@ -134,25 +134,26 @@ def keyed(table: DataFrame, column: str, length: int, kind: int, value: Column)
 
 
 class HashTable:
-    """Vectorised lookups: a few levels of slots; what a level has no room for goes to the next."""
+    """Vectorised lookups: a few levels of slots; what a level has no room for goes to the next. Values keep their type."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.kind = np.asarray(values).dtype
         self.levels = []
         while len(keys):
             bits = max(4, int(2 * len(keys) - 1).bit_length())
             factor = A.mix(np.array([len(self.levels)], np.uint64))[0] | np.uint64(1)
             slot = ((keys * factor) >> np.uint64(64 - bits)).astype(np.int64)
             own, first = np.unique(slot, return_index=True)
-            at, have = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+            at, have = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, self.kind)
             at[own], have[own] = keys[first], values[first]
             self.levels.append((factor, np.uint64(64 - bits), at, have))
             left = np.ones(len(keys), bool)
             left[first] = False
             keys, values = keys[left], values[left]
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The values of the keys; NaN where there is none."""
-        out = np.full(len(keys), np.nan, np.float32)
+    def find(self, keys: np.ndarray, missing: float) -> np.ndarray:
+        """The values of the keys; ``missing`` where there is none."""
+        out = np.full(len(keys), missing, self.kind)
         rest = None
         for factor, shift, at, have in self.levels:
             k = keys if rest is None else keys[rest]
@@ -189,12 +190,10 @@ def score(docs: DataFrame, model: DataFrame, order: int, last: int, floor: float
 
 def _score_scanned(docs: DataFrame, model: DataFrame, order: int, last: int, floor: float, carry: tuple[str, ...]) -> DataFrame:
     rows = model.toArrow()
-    keys, values = rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy().astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast([(x[0], x[1], x[2], x[3]) for x in HashTable(keys, values).levels])
+    shared = docs.sparkSession.sparkContext.broadcast(HashTable(rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = HashTable(np.zeros(0, np.uint64), np.zeros(0, np.float32))
-        table.levels = shared.value
+        table = shared.value
         for whole in batches:
             for batch in A.pieces_of(whole, "text", 1_000_000):
                 points, start, size = _points(batch.column("text"), order)
@@ -202,12 +201,12 @@ def _score_scanned(docs: DataFrame, model: DataFrame, order: int, last: int, flo
                 rest = np.arange(len(start))
                 for k in range(order, last - 1, -1):
                     at = start[rest] + (order - k)
-                    got = table.find(window_keys(points, at, k, k))
+                    got = table.find(window_keys(points, at, k, k), np.nan)
                     miss = np.isnan(got)
                     value[rest[~miss]] += got[~miss]
                     rest = rest[miss]
                     if k > 1:
-                        value[rest] += np.nan_to_num(table.find(window_keys(points, at[miss], k - 1, 100 + k)))
+                        value[rest] += table.find(window_keys(points, at[miss], k - 1, 100 + k), 0.0)
                 value[rest] += floor
                 begin, owner = windows(size, WINDOW)
                 sums = np.add.reduceat(value, begin) if len(begin) else np.zeros(0)

@@ -11,7 +11,7 @@ No piece spans the start of a word, so a lattice is a chain of word lattices; ev
 of a batch descend together as arrays. Random numbers are hashes of the row key, the draw, the word and the step: results do not depend on partitions. There is no shuffle.
 Characters outside the vocabulary become bytes. Decoding gives back the text exactly; only a literal U+2581 comes back as a space, as in the library.
 
-Null and empty texts have one segmentation, without pieces. A text with fewer than ``k`` segmentations has fewer rows. Shares are held in single precision: a piece that follows with a probability below 1e-6 is not drawn. Rows with the same key and text get the same draws. An
+Null and empty texts have one segmentation, without pieces. A text with fewer than ``k`` segmentations has fewer rows. Shares are held as logarithms, so however improbable, each segmentation is drawn when ``k`` asks for it. Rows with the same key and text get the same draws. An
 empty table gives an empty result. Extra columns are ignored. Text of any length is encoded whole.
 """
 
@@ -29,7 +29,8 @@ from siftrank.llm import arrays as A
 from siftrank.llm.kneser_ney import HashTable
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST = 16
+#: A step's taken edges are bits of one number.
+MOST = 62
 SPACE = 0x2581
 BYTE_LOG_P = -12.0
 SCHEMA = "doc_id long, draw int, log_prob double, perturbed double, log_inclusion double, round_trip boolean, ids array<int>"
@@ -43,7 +44,7 @@ def vocabulary(path: str) -> dict:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     size = model.get_piece_size()
     text = [model.id_to_piece(i) for i in range(size)]
-    plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or len(text[i]) > LONGEST)]
+    plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) )]
     byte = [next(i for i in range(size) if text[i] == f"<0x{b:02X}>") for b in range(256)]
     rank = np.argsort(np.argsort([-model.get_score(i) for i in plain], kind="stable"))
     weight = 1.0 / (rank + 2.0)
@@ -52,12 +53,15 @@ def vocabulary(path: str) -> dict:
     points = [np.frombuffer(text[i].encode("utf-32-le"), np.uint32) for i in plain]
     ends = np.cumsum([len(p) for p in points])
     keys = A.span_hash(np.concatenate(points), ends - [len(p) for p in points], ends)
+    longest = max(map(len, points))
+    if longest > MOST:
+        raise ValueError(f"the model has a piece of {longest} characters; at most {MOST} can be told apart")
     raw = [b""] * size
     for i in plain:
         raw[i] = text[i].replace(chr(SPACE), " ").encode()
     for b, i in enumerate(byte):
         raw[i] = bytes([b])
-    return {"levels": HashTable(keys, np.array(plain)).levels, "log_p": log_p, "bytes": np.array(byte, np.int32), "raw": raw}
+    return {"table": HashTable(keys, np.array(plain, np.int32)), "longest": longest, "log_p": log_p, "bytes": np.array(byte, np.int32), "raw": raw}
 
 
 def _uniform(*parts: np.ndarray) -> np.ndarray:
@@ -69,18 +73,17 @@ def _uniform(*parts: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """The lattices of different words, laid end to end. Node ``p`` is the end of a prefix; an edge is a piece of 1 to ``LONGEST`` characters before it."""
+    """The lattices of different words, laid end to end. Node ``p`` is the end of a prefix; an edge is a piece before it. Of each edge: the log of its share at its node, of the others' share, and the share up to it."""
 
     def __init__(self, points: np.ndarray, spans: A.Spans, start: np.ndarray, end: np.ndarray, vocab: dict) -> None:
-        table = HashTable(np.zeros(0, np.uint64), np.zeros(0))
-        table.levels = vocab["levels"]
+        table = vocab["table"]
         size = end - start
         first = np.concatenate([[0], np.cumsum(size + 1)])
         self.begin, self.end = first[:-1], first[:-1] + size
         n = first[-1]
         depth = np.arange(n) - np.repeat(self.begin, size + 1)
         source = np.repeat(start, size + 1) + depth
-        width = self.width = int(min(LONGEST, size.max(initial=1)))
+        width = self.width = int(min(vocab["longest"], size.max(initial=1)))
         edges = np.minimum(depth, width)
         last = np.cumsum(edges)
         # the edge of w characters into node p is at base[p] + w
@@ -90,35 +93,47 @@ class Lattices:
         at = np.flatnonzero(depth >= 1)
         for w in range(1, width + 1):
             at = at[depth[at] >= w]
-            got = table.find(spans.hash(source[at] - w, source[at]))
-            hit = np.flatnonzero(~np.isnan(got))
-            ids, cell = got[hit].astype(np.int32), self.base[at[hit]] + w
+            got = table.find(spans.hash(source[at] - w, source[at]), -1)
+            hit = np.flatnonzero(got >= 0)
+            ids, cell = got[hit], self.base[at[hit]] + w
             self.id[cell], score[cell] = ids, vocab["log_p"][ids]
         alone = np.flatnonzero(depth >= 1)
         alone = alone[self.id[self.base[alone] + 1] < 0]
         char = points[source[alone] - 1].astype(np.int64)
         score[self.base[alone] + 1] = BYTE_LOG_P * (1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000))
         self.char = dict(zip(alone.tolist(), char.tolist(), strict=True))
-        alpha = np.zeros(n, np.float32)
+        alpha = np.zeros(n)
         order = np.argsort(-size, kind="stable")
         ordered, starts = size[order], self.begin[order]
         self.cumulative = np.ones(len(score), np.float32)
+        self.log_share, self.log_others = np.zeros(len(score), np.float32), np.full(len(score), -np.inf, np.float32)
         for d in range(1, int(size.max(initial=0)) + 1):
             p = starts[: np.searchsorted(-ordered, -d, "right")] + d
             reach = np.arange(1, min(d, width) + 1)
             cell = self.base[p][:, None] + reach
-            share = score[cell] + alpha[p[:, None] - reach]
-            top = share.max(1)
-            share = np.exp(share - top[:, None], out=share)
-            share = np.cumsum(share, 1, out=share)
-            alpha[p] = top + np.log(share[:, -1])
-            share /= share[:, -1:]
-            self.cumulative[cell] = share
-
-    def share(self, p: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The probability of the edge of ``w`` characters, given its node."""
-        at = self.base[p] + w
-        return self.cumulative[at].astype(np.float64) - np.where(w > 1, self.cumulative[at - (w > 1)], 0.0)
+            log_share = score[cell] + alpha[p[:, None] - reach]
+            top = log_share.max(1)
+            log_share -= top[:, None]
+            share = np.exp(log_share)
+            upto = np.cumsum(share, 1)
+            whole = np.log(upto[:, -1])
+            alpha[p] = top + whole
+            self.cumulative[cell] = upto / upto[:, -1:]
+            self.log_share[cell] = log_share - whole[:, None]
+            if d > 1:
+                # what comes before and after each edge, so that a small rest is no difference of large sums
+                others = np.zeros_like(share)
+                others[:, 1:] = upto[:, :-1]
+                others[:, :-1] += np.cumsum(share[:, :0:-1], 1)[:, ::-1]
+                with np.errstate(divide="ignore"):
+                    self.log_others[cell] = np.log(others) - whole[:, None]
+
+    def untaken(self, p: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The logs of the shares of each node's edges that ``mask`` leaves, by width."""
+        reach = np.arange(1, self.width + 1)
+        out = self.log_share[self.base[p][:, None] + np.minimum(reach, self.edges[p][:, None])].astype(np.float64)
+        out[(reach > self.edges[p][:, None]) | ((mask[:, None] >> reach) & 1 == 1)] = -np.inf
+        return out
 
 
 def _cells(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,19 +156,18 @@ class Draw:
         self.word, self.step, self.p, self.w, self.mask = word, step, p, w, mask
         self.text = owner[word]
         self.first = np.searchsorted(self.text, np.arange(texts + 1))
-        q = np.maximum(lattices.share(p, w), 1e-12)
-        total = np.concatenate([[0.0], np.cumsum(np.log(q))])
+        cell = lattices.base[p] + w
+        total = np.concatenate([[0.0], np.cumsum(lattices.log_share[cell], dtype=np.float64)])
         self.before = total[:-1] - total[self.first[:-1]][self.text]
         self.log_p = total[self.first[1:]] - total[self.first[:-1]]
-        rest = 1.0 - q
+        rest = lattices.log_others[cell].astype(np.float64)
         more = np.flatnonzero(mask != np.left_shift(np.int64(1), w))
-        for width in range(1, lattices.width + 1):
-            taken = more[((mask[more] >> width) & 1 == 1) & (w[more] != width)]
-            rest[taken] -= lattices.share(p[taken], np.full(len(taken), width))
+        if len(more):
+            rest[more] = np.logaddexp.reduce(lattices.untaken(p[more], mask[more]), axis=1)
+        loc = self.before + rest
         with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-            loc = self.before + np.log(np.maximum(rest, 0.0))
             value = loc - np.log(np.exp(loc - bound[self.text]) - np.log(noise(word, step)))
-        self.left = np.where(fresh & (rest > 1e-6), value, -np.inf)
+        self.left = np.where(fresh & (rest > -np.inf), value, -np.inf)
 
 
 class Sampler:
@@ -242,10 +256,8 @@ class Sampler:
         count = turn - d.first[texts]
         kept = np.repeat(d.first[texts] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         word, step, p, mask = d.word[turn], d.step[turn], d.p[turn], d.mask[turn]
-        reach = np.minimum(np.arange(1, lat.width + 1), lat.edges[p][:, None])
-        share = np.diff(lat.cumulative[lat.base[p][:, None] + reach].astype(np.float64), axis=1, prepend=0.0)
-        share[(mask[:, None] >> np.arange(1, lat.width + 1)) & 1 == 1] = 0.0
-        total = np.cumsum(share, 1)
+        share = lat.untaken(p, mask)
+        total = np.cumsum(np.exp(share - share.max(1)[:, None]), 1)
         u = self._noise(2 * draw)(word, step) * total[:, -1]
         w = np.minimum((total <= u[:, None]).sum(1) + 1, lat.edges[p])
         d.left[turn] = -np.inf

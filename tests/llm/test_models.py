@@ -48,13 +48,16 @@ def test_gumbel_draws_follow_the_law():
         assert abs(count / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
 
 
-def test_all_segmentations_of_a_short_text():
+@pytest.mark.parametrize("text", ["ab", "the cat", "running"])
+def test_all_segmentations_of_a_short_text(text):
+    """More draws than there are segmentations: each of them, however improbable, comes once."""
     vocab = pieces.vocabulary(pieces.MODEL)
-    law = segmentations("ab", vocab)
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["ab"])], names=["doc_id", "text"])
-    got = pieces.encode_batch(batch, 50, 5, vocab).to_pylist()
-    assert len({tuple(r["ids"]) for r in got}) == len(got) <= len(law)
-    assert sum(math.exp(r["log_prob"]) for r in got) == pytest.approx(1, abs=1e-4)
+    law = segmentations(text, vocab)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text])], names=["doc_id", "text"])
+    got = pieces.encode_batch(batch, len(law) + 5, 5, vocab).to_pylist()
+    for i in (1, 2):
+        own = {tuple(r["ids"]): r["log_prob"] for r in got if r["doc_id"] == i}
+        assert own == pytest.approx(law, abs=1e-3) and len([r for r in got if r["doc_id"] == i]) == len(law)
 
 
 def test_encode_decode_round_trip(spark):

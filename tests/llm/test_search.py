@@ -5,10 +5,12 @@ import zlib
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from siftrank.llm import decontamination, nearest, sharding, url_lists
+from siftrank.llm import arrays as A
+from siftrank.llm import decontamination, kneser_ney, nearest, sharding, url_lists
 from tests.llm.fixtures import DOCS, corpus, frame, prose, words
 
 
@@ -148,11 +150,46 @@ def test_decontamination_finds_copies_and_edits(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()}
     assert got == want
-    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench, items=5).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench, block_words=150).collect()} == want
     assert decontamination.contaminated(df, bench.limit(0)).count() == 0
     assert decontamination.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_seeds_are_the_rarest_of_each_window():
+    """Against a plain loop over windows; items shorter than a window, and one that is too short for a run."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice((2, 3, 4, 7, 30)))) for _ in range(40)]
+    items = decontamination.Items(pa.table({"item_id": list(range(40)), "text": texts}), 3)
+    counts = np.array([int(g % np.uint64(5)) for g in items.gram])
+    want = set()
+    for i in set(items.item.tolist()):
+        own = np.flatnonzero(items.item == i)
+        for x in range(max(1, len(own) - 3)):
+            want.add((i, int(items.offset[own[x + int(np.argmin(counts[own[x : x + 4]]))]])))
+    gram, item, offset = items.seeds(counts, 4)
+    assert set(zip(item.tolist(), offset.tolist())) == want and len(item) == len(want) and (np.diff(gram.astype(object)) >= 0).all()
+
+
+def test_a_seed_that_many_items_share(spark, monkeypatch):
+    """Items that all begin alike: their hits are looked at a few at a time, with the same result."""
+    rng = random.Random(6)
+    start = prose(rng, 12)
+    bench = spark.createDataFrame([(i, start + " " + prose(rng, 8)) for i in range(30)], "item_id long, text string")
+    df = spark.createDataFrame([(i, prose(rng, 20) + " " + start + " " + prose(rng, 30), "en", "s", 1) for i in range(20)], DOCS)
+    want = decontamination.contaminated(df, bench).orderBy("doc_id", "item_id").collect()
+    assert len(want) == 600
+    for hits in (100, 7):
+        monkeypatch.setattr(decontamination, "HITS", hits)
+        assert decontamination.contaminated(df, bench).orderBy("doc_id", "item_id").collect() == want
+
+
+def test_indices_above_single_precision():
+    keys = A.mix(np.arange(1, 1001, dtype=np.uint64))
+    values = np.arange(17_000_000, 17_001_000, dtype=np.int64)
+    table = kneser_ney.HashTable(keys, values)
+    assert (table.find(keys, -1) == values).all() and (table.find(keys + np.uint64(1), -1) == -1).all()
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(9)
     rows = corpus(8, 30)
