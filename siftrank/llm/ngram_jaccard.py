@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siftrank.llm import arrays as A
 from siftrank.operators.components import connected_components
-from siftrank.sources.checkpoints import cut
+from siftrank.sources.checkpoints import cut, stored
 
 
 def bands_for(threshold: float, recall: float, most: int = 160) -> tuple[int, int]:
@@ -160,13 +160,14 @@ def jaccard_join(
     )
     texts = cut(texts)
     member = texts.select("rep", F.posexplode("bands").alias("band", "key"))
-    least = member.groupBy("band", "key").agg(F.min("rep").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
+    # read back, here and below, so that joins have plain shuffles on both sides and a frequent key's side can be split
+    least = stored(member.groupBy("band", "key").agg(F.min("rep").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"))
     edges = member.hint("merge").join(least, ["band", "key"]).select("rep", "least").distinct()
     found = cut(connected_components(edges, "rep", "least").withColumnRenamed("node", "rep"))
 
     sized = found.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text").where("text IS NOT NULL"), "rep").dropDuplicates(["rep"])
     weight = F.greatest(F.count("*") / F.lit(block), F.sum(F.length("text")) / F.lit(block_bytes))
-    sizes = sized.groupBy("component").agg(F.ceil(weight).cast("int").alias("blocks"))
+    sizes = stored(sized.groupBy("component").agg(F.ceil(weight).cast("int").alias("blocks")))
     placed = sized.hint("merge").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "text"

@@ -4,7 +4,7 @@ A list is a table of dated entries: from ``effective`` on, ``pattern`` is blocke
 begins), and an as-of join evaluates every capture against what was active when it was fetched. Patterns are host suffixes of two labels or more, and a host with the first segment
 of its path. Of the active patterns that match, the longest decides.
 
-The join is an equality join on the pattern, with the interval as a condition: a host with a third of all captures is a skewed side of a merge join, which adaptive execution splits. Nothing is broadcast.
+The join is an equality join on the pattern, with the interval as a condition: a host with a third of all captures is a skewed side of a merge join, which adaptive execution splits; the intervals are read back from the shared folder, so that the join has plain shuffles on both sides. Nothing is broadcast.
 
 Null and malformed URLs have no host and no match; captures without a fetch time match nothing. Entries with a null pattern or time are ignored; of entries of one pattern at one time the
 strictest holds (block, allow, remove). Repeated captures each get their row. Empty lists match nothing. Extra columns of captures are kept out of the result.
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftrank.sources.checkpoints import stored
+
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 SEGMENT = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^/?#]+)"
 
@@ -43,7 +45,7 @@ def candidates(captures: DataFrame, key: str) -> DataFrame:
 def evaluate(captures: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """``key, host, fetched, verdict, pattern, since`` of each capture; the verdict is block, allow or none."""
     active = (
-        candidates(captures, key).distinct().hint("merge").join(intervals(entries), "pattern")
+        candidates(captures, key).distinct().hint("merge").join(stored(intervals(entries)), "pattern")
         .where("since <= fetched AND (until IS NULL OR fetched < until)")
         .groupBy(key, "fetched").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action", "since")).alias("best"))
     )
