@@ -6,7 +6,8 @@ the original vectors, until the next one's squared projected distance exceeds th
 is missed with probability ``1 - CONFIDENCE`` at most.
 
 The upper levels of the kd-tree, fitted on a sample of at most ``SAMPLE`` projected rows, deal all rows into cells of about ``CELL`` rows; the lower levels are built where a cell's rows are.
-A query first searches its own cell. The bound that it finds there decides which other cells can hold more, and it goes to those only. Queries go to a cell in blocks of at most ``BLOCK``, with the cell's rows.
+A query first searches its own cell. The bound that it finds there decides which other cells can hold more, and it goes to those only. A cell's queries are counted and go there in blocks of about ``BLOCK``, its rows
+in blocks of about ``4 * CELL``, so that a cell that a third of all queries go to is many tasks, and rows are sent once more only where queries are.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from the longest take no part. Of equal vectors the ``k + 1`` least ids are indexed: no other copy can be
 among any query's ``k`` nearest. Ties go to smaller ids. With fewer candidates than ``k``, all are returned. Repeated rows of one id count once. An empty table gives an empty result. Extra columns are ignored.
@@ -113,32 +114,47 @@ def leaves(y: np.ndarray) -> list[np.ndarray]:
 
 
 def search_cell(ids: np.ndarray, x: np.ndarray, y: np.ndarray, q_ids: np.ndarray, q: np.ndarray, qy: np.ndarray, bound: np.ndarray, k: int, longest: float, limit: float):
-    """Each query's nearest rows of one cell that the stopping test lets through: query positions, row positions, scores."""
+    """Each query's nearest rows of one cell that the stopping test lets through: query positions, row positions, scores.
+
+    Every query goes through the leaves in its own order, nearest first; queries that have come to the same leaf are verified there by one matrix product.
+    Such products may differ in their last bits, so a few more than ``k`` are kept, and these are scored again one by one.
+    """
     parts = leaves(y)
     low, high = np.array([y[p].min(0) for p in parts]), np.array([y[p].max(0) for p in parts])
     held = [(x[p], y[p], ids[p]) for p in parts]
-    out = []
-    for i in range(len(q_ids)):
-        gap = ((np.maximum(low - qy[i], 0) + np.maximum(qy[i] - high, 0)) ** 2).sum(1)
-        square = float(q[i] @ q[i]) + longest**2
-        reach = bound[i]
-        best, rows = np.zeros(0), np.zeros(0, np.int64)
-        for j in np.argsort(gap):
-            if gap[j] > limit * reach:
-                break
+    keep, m = 2 * k + 2, len(q_ids)
+    best, rows = np.full((m, keep), -np.inf), np.full((m, keep), -1)
+    square, reach = (q * q).sum(1) + longest**2, bound.astype(float)
+    gap = np.zeros((m, len(parts)))
+    for d in range(y.shape[1]):
+        gap += (np.maximum(low[:, d][None] - qy[:, d][:, None], 0) + np.maximum(qy[:, d][:, None] - high[:, d][None], 0)) ** 2
+    order = np.argsort(gap, axis=1)
+    live = np.arange(m)
+    for turn in range(len(parts)):
+        leaf = order[live, turn]
+        go = gap[live, leaf] <= limit * reach[live]
+        live, leaf = live[go], leaf[go]
+        if not len(live):
+            break
+        for j in np.unique(leaf):
+            own = live[leaf == j]
             vx, vy, vid = held[j]
-            near = np.flatnonzero((((vy - qy[i]) ** 2).sum(1) <= limit * reach) & (vid != q_ids[i]))
-            if not len(near):
-                continue
-            best = np.concatenate([best, (vx[near] * q[i]).sum(1)])
-            rows = np.concatenate([rows, parts[j][near]])
-            if len(best) > k:
-                keep = np.lexsort((ids[rows], -best))[:k]
-                best, rows = best[keep], rows[keep]
-            if len(best) == k:
-                reach = min(reach, max(square - 2 * best.min(), 0.0) * (1 + 1e-9) + 1e-12)
-        out.append((np.full(len(rows), i), rows, best))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
+            apart = (vy * vy).sum(1)[None] + (qy[own] * qy[own]).sum(1)[:, None] - 2 * (qy[own] @ vy.T)
+            score = np.where((apart <= limit * reach[own][:, None] * (1 + 1e-9) + 1e-9) & (vid[None] != q_ids[own][:, None]), q[own] @ vx.T, -np.inf)
+            all_score = np.concatenate([best[own], score], axis=1)
+            all_rows = np.concatenate([rows[own], np.broadcast_to(parts[j], score.shape)], axis=1)
+            top = np.argpartition(-all_score, keep - 1, axis=1)[:, :keep]
+            best[own], rows[own] = np.take_along_axis(all_score, top, 1), np.take_along_axis(all_rows, top, 1)
+            kth = -np.partition(-best[own], k - 1, axis=1)[:, k - 1]
+            closer = np.maximum(square[own] - 2 * kth, 0.0) * (1 + 1e-9) + 1e-12
+            reach[own] = np.where(np.isfinite(kth), np.minimum(reach[own], closer), reach[own])
+    qi, slot = np.nonzero(np.isfinite(best))
+    ri = rows[qi, slot]
+    score = (x[ri] * q[qi]).sum(1)
+    rank = np.lexsort((ids[ri], -score, qi))
+    qi, ri, score = qi[rank], ri[rank], score[rank]
+    first = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[first], ri[first], score[first]
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, seed: int = 3) -> DataFrame:
@@ -146,9 +162,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, seed: int = 3) -> D
     schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
     v = clean(vectors)
+    # a plain rank filter, so that each partition sends its k + 1 least copies of a vector at most
     copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    rows = v.withColumn("copy", copy).where((F.col("copy") <= k + 1) | (F.col("vec_id") % every == 0))
-    rows = cut(rows.select("vec_id", "v", (F.col("copy") <= k + 1).alias("kept")))
+    v = cut(v)
+    rows = cut(v.withColumn("copy", copy).where(F.col("copy") <= k + 1).select("vec_id", "v"))
     n, longest, dims = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], schema)
@@ -164,21 +181,45 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, seed: int = 3) -> D
     def query_points(x: np.ndarray) -> np.ndarray:
         return x @ project[:dims]
 
-    sample = rows.where("kept").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     splits = Splits(lifted(matrix(sample)), max(1, math.ceil(n / CELL)))
     cells = len(splits.low)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = matrix(b.column("v"))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(splits.cell(lifted(x)).astype(np.int32)), pa.array(splits.cell(query_points(x)).astype(np.int32))], names=["vec_id", "v", "cell", "home"])
+    def placed(table: DataFrame, points, name: str) -> DataFrame:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cell = splits.cell(points(matrix(b.column("v"))))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(cell.astype(np.int32))], names=["vec_id", "v", name])
+
+        return table.select("vec_id", "v").mapInArrow(place, f"vec_id long, v array<double>, {name} int")
+
+    kept = placed(rows, lifted, "cell")
+    asked = cut(placed(v.where(F.col("vec_id") % every == 0), query_points, "home"))
+
+    def blocks_of(table: DataFrame, size: int) -> np.ndarray:
+        """How many blocks each cell's rows make; there are as many cells as sampled rows at most."""
+        out = np.zeros(cells, np.int64)
+        for cell, count in table.groupBy("cell").count().collect():
+            out[cell] = -(-count // size)
+        return out
+
+    row_blocks = blocks_of(kept, 4 * CELL)
+
+    def dealt(table: DataFrame, own: np.ndarray, other: np.ndarray, kind: int) -> DataFrame:
+        """Each row in one block of its own kind, once for each block of the other kind in its cell."""
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cell, ids = np.asarray(b.column("cell")), np.asarray(b.column("vec_id"))
+                mine = (A.mix(ids.view(np.uint64)) % np.maximum(own[cell], 1).astype(np.uint64)).astype(np.int64)
+                times = other[cell]
+                row = np.repeat(np.arange(len(cell)), times)
+                theirs = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                block = theirs * own[cell][row] + mine[row] if kind == 0 else mine[row] * other[cell][row] + theirs
+                out = b.select(["cell", "vec_id", "v", "bound"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(block), pa.array(np.full(len(row), kind, np.int32))], names=[*out.schema.names, "block", "kind"])
 
-    placed = rows.select("vec_id", "v", "kept")
-    kept = placed.where("kept").drop("kept").mapInArrow(place, "vec_id long, v array<double>, cell int, home int").drop("home")
-    asked = placed.where(F.col("vec_id") % every == 0).drop("kept").mapInArrow(place, "vec_id long, v array<double>, cell int, home int").drop("cell")
-    blocks = max(1, math.ceil(asked.count() / BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    index = kept.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("cell", "block", F.lit(0).alias("kind"), "vec_id", "v", F.lit(0.0).alias("bound"))
+        return table.select("cell", "vec_id", "v", "bound").mapInArrow(deal, "cell int, vec_id long, v array<double>, bound double, block long, kind int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in A.groups_of(batches, ["cell", "block"]):
@@ -193,18 +234,19 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, seed: int = 3) -> D
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def searched(queries: DataFrame) -> DataFrame:
-        both = index.union(queries.select("cell", "block", F.lit(1), "vec_id", "v", "bound"))
+        query_blocks = blocks_of(queries, BLOCK)
+        both = dealt(kept.withColumn("bound", F.lit(0.0)), row_blocks, query_blocks, 0).union(dealt(queries, query_blocks, row_blocks, 1))
         return both.repartition(max(parts, cells), "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "query_id long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    first = cut(searched(asked.select(F.col("home").alias("cell"), "block", "vec_id", "v", F.lit(float("inf")).alias("bound"))))
-    worst = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("worst"))
+    first = cut(searched(asked.select(F.col("home").alias("cell"), "vec_id", "v", F.lit(float("inf")).alias("bound"))))
+    worst = first.groupBy("query_id").agg(F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(k)).alias("worst"))
     own = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
     bound = F.coalesce(F.greatest(own + longest**2 - 2 * F.col("worst"), F.lit(0.0)) * (1 + 1e-9) + 1e-12, F.lit(float("inf")))
-    waiting = asked.hint("merge").join(worst.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("block", "home", "vec_id", "v", bound.alias("bound"))
+    waiting = asked.hint("merge").join(worst.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("home", "vec_id", "v", bound.alias("bound"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,8 +254,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, seed: int = 3) -> D
             wanted = gaps <= limit * np.asarray(b.column("bound"))[:, None]
             wanted[np.arange(len(wanted)), np.asarray(b.column("home"))] = False
             row, cell = np.nonzero(wanted)
-            out = b.select(["block", "vec_id", "v", "bound"]).take(pa.array(row))
+            out = b.select(["vec_id", "v", "bound"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *out.columns], names=["cell", *out.schema.names])
 
-    second = searched(waiting.mapInArrow(spread, "cell int, block int, vec_id long, v array<double>, bound double"))
+    second = searched(cut(waiting.mapInArrow(spread, "cell int, vec_id long, v array<double>, bound double")))
     return best(first.union(second)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
