@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftrank.functions import scalar as S
+from siftrank.operators.vectors import mean_vector
+from siftrank.sources.checkpoints import cut
 
 CONDITIONS = ("dual", "pooled", "dual_const", "xattn")
 
@@ -26,7 +28,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("target_id", "ligand_id", F.when(F.col("ligand_id") % 97 != 0, F.col("s")).alias("score"), "p_hit", F.col("p_hit").alias("logit"), "pooled")
 
 
-PAIRS = """pairs AS (
+PAIRS = """pairs AS MATERIALIZED (
   SELECT l_suppkey AS target_id, l_partkey AS ligand_id,
     CASE WHEN l_partkey % 97 <> 0 THEN -(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / count(*)) END AS score,
     sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(*) / 50 AS p_hit, sum(l_quantity::DECIMAL(18,2))::DOUBLE / count(*) / 50 AS logit,
@@ -56,11 +58,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors of the ten lowest ids, in double precision."""
-    return table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(10).select(F.col("vec_id").alias("target_id"), F.col("embedding").cast("array<double>").alias("v"))
+    """Each label's mean vector, rounded."""
+    return cut(mean_vector(items(spark, sf_dir).withColumnRenamed("group", "target_id"), ["target_id"], digits=6).select(F.col("target_id").cast("long").alias("target_id"), "v"))
 
 
-TARGETS = "targets AS (SELECT vec_id AS target_id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 10)"
+TARGETS = """targets AS MATERIALIZED (SELECT label::BIGINT AS target_id, list(x ORDER BY pos) AS v
+  FROM (SELECT label, pos, round(avg(embedding[pos + 1]::DOUBLE), 6) AS x FROM embeddings, range(64) AS r(pos) GROUP BY ALL) GROUP BY label)"""
 ITEMS = 'items AS (SELECT vec_id AS ligand_id, embedding::DOUBLE[] AS v, label AS "group" FROM embeddings)'
 
 
@@ -102,7 +105,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
-RUNS = PAIRS + f""", runs AS (
+RUNS = PAIRS + f""", runs AS MATERIALIZED (
   SELECT (target_id % 5)::INT AS fold, cond, seed, target_id, ligand_id, score,
     CASE cond WHEN 'dual' THEN p_hit WHEN 'pooled' THEN pooled WHEN 'xattn' THEN p_hit * 0.5::DOUBLE + pooled * 0.5::DOUBLE
       ELSE ({HASH.format("ligand_id::VARCHAR")} % 10000)::DOUBLE / 10000 END

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,5 +81,3 @@ def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Co
     fine = (n >= 3) & (vx > 1e-12) & (vy > 1e-12)
     return F.when(fine, F.try_divide(n * sxy - sx * sy, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))))).otherwise(F.lit(constant).cast("double"))
 
-
-LOG2 = math.log(2)

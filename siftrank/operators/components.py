@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.sources.checkpoints import cut
+from siftrank.sources.checkpoints import cut, stored
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -20,6 +20,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     else:
         seen = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = seen.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    # read back, so that the join has plain shuffles on both sides and a hub's edges can be split
+    least = stored(least)
     joined = seen.hint("merge").join(least, "a")
     if small:
         moved = joined.select(F.col("b").alias("x"), F.col("least").alias("y")).union(

@@ -30,6 +30,11 @@ def column_profile(long: DataFrame) -> DataFrame:
     )
 
 
+def matrix_profile(long: DataFrame) -> DataFrame:
+    """One row for the whole table: cells, missing cells, and the range of all scores."""
+    return long.agg(F.count("*").alias("cells"), F.count_if(F.col("score").isNull()).alias("missing"), F.min("score").alias("min"), F.max("score").alias("max"))
+
+
 def key_audit(df: DataFrame, key: str) -> DataFrame:
     """Rows, distinct keys and rows beyond the first of their key; null is a key of its own only for the last."""
     groups = df.groupBy(key).agg(F.count("*").alias("n"))
@@ -81,11 +86,6 @@ def id_fingerprint(df: DataFrame, key: str) -> DataFrame:
     return parts.agg(F.sum("n").alias("ids"), F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"])), 256).alias("fingerprint"))
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Rows and an order-free checksum of a table of any size."""
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("checksum"))
-
-
 def factorise(df: DataFrame, key: str, order: str) -> DataFrame:
     """Dense codes of keys by first appearance: ``key, code``.
 
@@ -131,6 +131,11 @@ def apply_rows(df: DataFrame, column: str, function: Callable[[str], str]) -> Da
     return df.mapInPandas(run, schema)
 
 
+def normalised_rows(df: DataFrame, column: str) -> DataFrame:
+    """:func:`apply_rows` with the built-in normaliser, without Python: ``..., result, status``."""
+    return df.withColumn("result", normalised_text(column)).withColumn("status", F.when(F.col(column).isNull(), "PARSE_FAIL").otherwise("OK"))
+
+
 def normalised_text(text: str = "text"):
     """The built-in normaliser: lower case, runs of white space to one space, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n]+", " "))

@@ -1,7 +1,7 @@
 """Ranking metrics of predictions against true scores, for each target and on average.
 
 Rules: rows without a true score or a prediction leave first, so counts are each target's own; lower scores are better and higher predictions are; hits are the rows up to the
-exact quantile of the target's scores, ties included; ties of predictions go to the smaller item. Every metric is a window or an aggregate keyed by target, so one shuffle by target serves all.
+exact quantile of the target's scores, ties included; ties of predictions go to the smaller item. Every metric is a window or an aggregate keyed by target; :func:`per_target` takes all of them from one ranking.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def ranked(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     rows = evaluation_rows(pairs)
     cuts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("score", F.array(F.lit(0.01), F.lit(0.05))).alias("t"))
     rk = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("p_hit"), "ligand_id"))
-    return rows.join(cuts, keys).select(
+    return rows.hint("merge").join(cuts, keys).select(
         *rows.columns, "n", (F.col("score") <= F.col("t")[0]).cast("int").alias("h1"), (F.col("score") <= F.col("t")[1]).cast("int").alias("h5"),
         rk.alias("rk"), S.clip_probability(F.col("p_hit")).alias("p"),
     )
@@ -46,44 +46,75 @@ def recalls(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return ranked(pairs, keys).groupBy(*keys).agg(F.count("*").alias("n_ligands"), F.sum("h1").alias("n_hits"), *recall_columns())
 
 
-def budget_for_recall(pairs: DataFrame, share: float = 0.95) -> DataFrame:
-    """The smallest part of the library, in the predicted order, that holds ``share`` of the hits."""
-    place = Window.partitionBy("target_id").orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranked(pairs).withColumn("found", F.sum("h1").over(place)).withColumn("hits", F.sum("h1").over(Window.partitionBy("target_id")))
-    enough = F.col("found") >= F.ceil(F.lit(share) * F.col("hits"))
-    return rows.groupBy("target_id").agg((F.min(F.when(enough, F.col("rk"))) / F.max("n")).alias("recall95_budget"))
+def with_found(rows: DataFrame, share: float = 0.95) -> DataFrame:
+    """Add ``enough``: whether the ranking holds ``share`` of its target's hits up to this row."""
+    place = Window.partitionBy("target_id").orderBy(F.desc("p_hit"), "ligand_id").rowsBetween(Window.unboundedPreceding, 0)
+    hits = F.sum("h1").over(Window.partitionBy("target_id"))
+    return rows.withColumn("enough", F.sum("h1").over(place) >= F.ceil(F.lit(share) * hits))
 
 
-def enrichment(pairs: DataFrame, fraction: float = 0.01) -> DataFrame:
-    """How much denser hits are in the first part of the ranking than overall."""
-    k = S.top_count(fraction, F.col("n"))
-    rows = ranked(pairs).groupBy("target_id").agg(
-        F.sum(F.when(F.col("rk") <= k, F.col("h1")).otherwise(0)).alias("top"), F.max(k).alias("k"), F.sum("h1").alias("hits"), F.max("n").alias("n")
-    )
-    return rows.select("target_id", F.try_divide(F.col("top") / F.col("k"), F.col("hits") / F.col("n")).alias("ef1"))
-
-
-def average_precision(pairs: DataFrame) -> DataFrame:
-    """Average precision with equal predictions as one threshold."""
-    steps = ranked(pairs).groupBy("target_id", "p").agg(F.sum("h1").alias("tp"), F.count("*").alias("m"))
-    down = Window.partitionBy("target_id").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = steps.withColumn("precision", F.sum("tp").over(down) / F.sum("m").over(down)).withColumn("hits", F.sum("tp").over(Window.partitionBy("target_id")))
-    return rows.groupBy("target_id").agg(F.sum(F.try_divide(F.col("tp"), F.col("hits")) * F.col("precision")).alias("auprc"))
+def with_precision(rows: DataFrame) -> DataFrame:
+    """Add ``precision``: the share of hits among all rows down to this row's prediction, equal predictions included."""
+    down = Window.partitionBy("target_id").orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("precision", F.sum("h1").over(down) / F.count("*").over(down))
 
 
 def with_average_ranks(rows: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
-    """Add the average rank, ascending, of each expression inside its keys."""
+    """Add the average rank, ascending, of each expression inside its keys: the mean of the first and the last place of equal values."""
     for name, c in columns.items():
         rows = rows.withColumn("_v", c)
-        rows = rows.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy("_v")) + (F.count("*").over(Window.partitionBy(*keys, "_v")) - 1) / 2).drop("_v")
+        up = Window.partitionBy(*keys).orderBy("_v")
+        rows = rows.withColumn(name, (F.rank().over(up) + F.count("*").over(up.rangeBetween(Window.unboundedPreceding, 0))) / 2).drop("_v")
     return rows
 
 
+def budget_column() -> Column:
+    return (F.min(F.when(F.col("enough"), F.col("rk"))) / F.max("n")).alias("recall95_budget")
+
+
+def enrichment_column(fraction: float = 0.01) -> Column:
+    k = S.top_count(fraction, F.col("n"))
+    top = F.sum(F.when(F.col("rk") <= k, F.col("h1")).otherwise(0))
+    return F.try_divide(top / F.max(k), F.sum("h1") / F.max("n")).alias("ef1")
+
+
+def precision_column() -> Column:
+    return F.try_divide(F.sum(F.col("h1") * F.col("precision")), F.sum("h1")).alias("auprc")
+
+
+def loss_columns() -> list[Column]:
+    y, p = F.col("h1"), F.col("p")
+    many = lambda c: F.when(F.count("*") > 2, c)
+    return [many(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p)))).alias("nll"), many(F.avg((p - y) * (p - y))).alias("brier"), many(F.avg(y)).alias("hit_rate_eval")]
+
+
+def moment_columns(x: str, y: str, prefix: str = "") -> list[Column]:
+    a, b = F.col(x), F.col(y)
+    return [F.count("*").alias(f"{prefix}n"), *(F.sum(c).alias(f"{prefix}{n}") for c, n in ((a, "sx"), (b, "sy"), (a * a, "sxx"), (b * b, "syy"), (a * b, "sxy")))]
+
+
+def from_moments(constant: float | None, prefix: str = "") -> Column:
+    return S.pearson(*(F.col(prefix + c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")), constant)
+
+
 def correlation(rows: DataFrame, keys: list[str], x: str, y: str, constant: float | None, name: str) -> DataFrame:
     """Pearson correlation inside each key from moments; see :func:`siftrank.functions.scalar.pearson` for sides that do not vary."""
-    a, b = F.col(x), F.col(y)
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"))
-    return sums.select(*keys, S.pearson(*(F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")), constant).alias(name))
+    return rows.groupBy(*keys).agg(*moment_columns(x, y)).select(*keys, from_moments(constant).alias(name))
+
+
+def budget_for_recall(pairs: DataFrame, share: float = 0.95) -> DataFrame:
+    """The smallest part of the library, in the predicted order, that holds ``share`` of the hits."""
+    return with_found(ranked(pairs), share).groupBy("target_id").agg(budget_column())
+
+
+def enrichment(pairs: DataFrame, fraction: float = 0.01) -> DataFrame:
+    """How much denser hits are in the first part of the ranking than overall."""
+    return ranked(pairs).groupBy("target_id").agg(enrichment_column(fraction))
+
+
+def average_precision(pairs: DataFrame) -> DataFrame:
+    """Average precision with equal predictions as one threshold."""
+    return with_precision(ranked(pairs)).groupBy("target_id").agg(precision_column())
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
@@ -94,18 +125,18 @@ def spearman(pairs: DataFrame) -> DataFrame:
 
 def probability_losses(pairs: DataFrame) -> DataFrame:
     """Negative log-likelihood and Brier score of clipped predictions against hits, and the hit rate."""
-    y, p = F.col("h1"), F.col("p")
-    return ranked(pairs).groupBy("target_id").agg(
-        F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("nll"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(y).alias("hit_rate_eval"), F.count("*").alias("n_ligands")
-    ).where("n_ligands > 2")
+    return ranked(pairs).groupBy("target_id").agg(*loss_columns(), F.count("*").alias("n_ligands")).where("n_ligands > 2")
 
 
 def per_target(pairs: DataFrame) -> DataFrame:
-    """All metrics of each target."""
-    out = recalls(pairs)
-    for part in (budget_for_recall(pairs), enrichment(pairs), spearman(pairs), average_precision(pairs), probability_losses(pairs).drop("n_ligands")):
-        out = out.join(part, "target_id", "left")
-    return out
+    """All metrics of each target: the rows are ranked once, and one aggregate takes every metric from them."""
+    rows = with_precision(with_found(ranked(pairs)))
+    rows = with_average_ranks(rows, KEYS, rx=-F.col("p_hit"), ry=F.col("score"))
+    moments = moment_columns("rx", "ry", "_")
+    out = rows.groupBy("target_id").agg(
+        F.count("*").alias("n_ligands"), F.sum("h1").alias("n_hits"), *recall_columns(), budget_column(), enrichment_column(), precision_column(), *loss_columns(), *moments
+    )
+    return out.withColumn("spearman", from_moments(None, "_")).drop("_n", "_sx", "_sy", "_sxx", "_syy", "_sxy")
 
 
 def macro(metrics: DataFrame, columns: list[str]) -> DataFrame:

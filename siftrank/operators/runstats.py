@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from siftrank.functions import scalar as S
 from siftrank.operators import metrics as M
+from siftrank.operators.numbering import broadcast_small, numbered_within
+from siftrank.sources.checkpoints import stored
 
 RUN = ["fold", "cond", "seed"]
 TAG = r"^f(\d+)_(.+)_(R\d)_s(\d+)$"
@@ -27,7 +29,7 @@ def parse_tags(tags: DataFrame) -> DataFrame:
 def discover(registries: DataFrame, metric_tags: DataFrame, curve_tags: DataFrame, include_smoke: bool = False) -> DataFrame:
     """Runs whose registry and both companion files exist; smoke runs only on request."""
     runs = parse_tags(registries if include_smoke else registries.where(~F.coalesce(F.col("smoke"), F.lit(False))))
-    return runs.join(metric_tags, "tag", "left_semi").join(curve_tags, "tag", "left_semi")
+    return runs.hint("merge").join(metric_tags.select("tag"), "tag", "left_semi").hint("merge").join(curve_tags.select("tag"), "tag", "left_semi")
 
 
 def complete_conditions(runs: DataFrame, folds: int = 5) -> DataFrame:
@@ -40,10 +42,12 @@ def shared_ranking(truth: DataFrame, roles: DataFrame) -> DataFrame:
 
     ``truth`` has ``target_id, ligand_id, score``; ``roles`` has ``fold, target_id, role``. Items without any training score rank last.
     """
-    train = truth.join(roles.where("role <> 'heldout'"), "target_id").groupBy("fold", "ligand_id").agg(F.avg(F.col("score").cast("decimal(28,10)")).cast("double").alias("mean"))
-    held = truth.join(roles.where("role = 'heldout'").select("fold", "target_id"), "target_id")
+    truth, roles = stored(truth.select("target_id", "ligand_id", "score")), stored(roles)
+    train = truth.join(broadcast_small(roles.where("role <> 'heldout'"), 100_000), "target_id").groupBy("fold", "ligand_id").agg(F.avg(F.col("score").cast("decimal(28,10)")).cast("double").alias("mean"))
+    train = stored(train)
+    held = truth.join(broadcast_small(roles.where("role = 'heldout'").select("fold", "target_id"), 100_000), "target_id")
     last = train.groupBy("fold").agg((F.max("mean") + 1).alias("last"))
-    rows = held.join(train, ["fold", "ligand_id"], "left").join(last, "fold", "left")
+    rows = held.hint("merge").join(train, ["fold", "ligand_id"], "left").join(broadcast_small(last), "fold", "left")
     return rows.select("fold", "target_id", "ligand_id", "score", F.col("mean").isNull().cast("int").alias("unseen"), (-F.coalesce("mean", "last")).alias("p_hit"))
 
 
@@ -65,7 +69,8 @@ def selectivity(runs: DataFrame) -> DataFrame:
     keys = [*RUN, "target_id"]
     d = deviations(runs)
     ranks = M.with_average_ranks(d, keys, rx=F.col("dp"), ry=F.col("dt"))
-    return M.correlation(d, keys, "dp", "dt", 0.0, "sel_pearson").join(M.correlation(ranks, keys, "rx", "ry", 0.0, "sel_spearman"), keys)
+    sums = ranks.groupBy(*keys).agg(*M.moment_columns("dp", "dt", "p_"), *M.moment_columns("rx", "ry", "s_"))
+    return sums.select(*keys, M.from_moments(0.0, "p_").alias("sel_pearson"), M.from_moments(0.0, "s_").alias("sel_spearman"))
 
 
 def quadruplets(truth: DataFrame, per_fold: int, candidates: int, gap: float = 1.0) -> DataFrame:
@@ -75,9 +80,9 @@ def quadruplets(truth: DataFrame, per_fold: int, candidates: int, gap: float = 1
     """
     lists = truth.groupBy("fold").agg(F.sort_array(F.collect_set("target_id")).alias("ts"))
     items = truth.select("ligand_id").distinct()
-    items = items.withColumn("k", F.row_number().over(Window.orderBy("ligand_id")) - 1)
+    items = stored(numbered_within(items, [], ["ligand_id"], "k"))
     n = items.agg(F.count("*").alias("n"))
-    draws = truth.sparkSession.range(candidates).withColumnRenamed("id", "c").join(F.broadcast(lists)).join(F.broadcast(n))
+    draws = truth.sparkSession.range(candidates).withColumnRenamed("id", "c").crossJoin(broadcast_small(lists)).crossJoin(F.broadcast(n))
     key = lambda what: F.concat_ws("#", F.col("fold").cast("string"), F.col("c").cast("string"), F.lit(what))
     pick = lambda what: F.col("ts")[S.hash_number(key(what), F.size("ts")).cast("int")]
     drawn = draws.select("fold", "c", pick("a").alias("a"), pick("b").alias("b"), S.hash_number(key("i"), F.col("n")).alias("ki"), S.hash_number(key("j"), F.col("n")).alias("kj"))
@@ -96,7 +101,7 @@ def quadruplets(truth: DataFrame, per_fold: int, candidates: int, gap: float = 1
 def reversal_accuracy(quads: DataFrame, runs: DataFrame) -> DataFrame:
     """``fold, cond, seed, target_id, quads, accuracy``: how often both predicted differences have the true directions; a zero difference is wrong."""
     cells = runs.select(*RUN, "target_id", "ligand_id", "logit")
-    rows = quads.join(runs.select(*RUN).distinct(), "fold")
+    rows = quads.join(broadcast_small(runs.select(*RUN).distinct()), "fold")
     for t in "ab":
         for x in "ij":
             rows = rows.hint("merge").join(cells.select(*RUN, F.col("target_id").alias(t), F.col("ligand_id").alias(x), F.col("logit").alias(f"p{t}{x}")), [*RUN, t, x])
@@ -110,6 +115,11 @@ def seed_means(values: DataFrame, keys: list[str], column: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.avg(column).alias(column))
 
 
+def exact_mean(column: str) -> Column:
+    """A mean whose sum is exact at twelve digits, so that no order of rows changes it; nulls do not count."""
+    return F.try_divide(F.sum(F.col(column).cast("decimal(28,12)")).cast("double"), F.count(column))
+
+
 def resamples(n: int, draws: int, seed: int, spark) -> DataFrame:
     """``b, k``: which of ``n`` numbered targets each draw of each resample takes."""
     key = F.concat_ws("#", F.lit(str(seed)), (F.col("id") / n).cast("long").cast("string"), (F.col("id") % n).cast("string"))
@@ -123,27 +133,27 @@ def numbered(values: DataFrame, key: str) -> DataFrame:
 
 def bootstrap(values: DataFrame, column: str, draws: int = 5000, seed: int = 0) -> DataFrame:
     """``n, mean, low, high, p_positive``: percentile bootstrap of the mean over targets; nulls do not count."""
-    rows = numbered(values.select("target_id", column), "target_id")
+    rows = stored(numbered(values.select("target_id", column), "target_id"))
     n = rows.count()
     if not n:
         return values.sparkSession.createDataFrame([(0, None, None, None, None)], "n long, mean double, low double, high double, p_positive double")
-    means = resamples(n, draws, seed, values.sparkSession).join(F.broadcast(rows), "k").groupBy("b").agg(F.avg(column).alias("m"))
+    means = resamples(n, draws, seed, values.sparkSession).join(broadcast_small(rows, 1_000_000), "k").groupBy("b").agg(exact_mean(column).alias("m"))
     spread = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg((F.col("m") > 0).cast("int")).alias("p_positive"))
-    return rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean")).crossJoin(F.broadcast(spread))
+    return rows.agg(F.count(column).alias("n"), exact_mean(column).alias("mean")).crossJoin(F.broadcast(spread))
 
 
 def ratio_bootstrap(values: DataFrame, a: str, b: str, draws: int = 5000, seed: int = 1) -> DataFrame:
     """``ratio, low, high`` of two macro means, with the same resamples for both."""
-    rows = numbered(values.select("target_id", a, b), "target_id")
+    rows = stored(numbered(values.select("target_id", a, b), "target_id"))
     n = rows.count()
-    means = resamples(n, draws, seed, values.sparkSession).join(F.broadcast(rows), "k").groupBy("b").agg(F.try_divide(F.avg(a), F.avg(b)).alias("m"))
+    means = resamples(n, draws, seed, values.sparkSession).join(broadcast_small(rows, 1_000_000), "k").groupBy("b").agg(F.try_divide(exact_mean(a), exact_mean(b)).alias("m"))
     spread = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return rows.agg(F.try_divide(F.avg(a), F.avg(b)).alias("ratio")).crossJoin(F.broadcast(spread))
+    return rows.agg(F.try_divide(exact_mean(a), exact_mean(b)).alias("ratio")).crossJoin(F.broadcast(spread))
 
 
 def difference(x: DataFrame, y: DataFrame, column: str) -> DataFrame:
     """``x`` minus ``y`` for the targets of ``y``; where ``x`` has none the difference is null and leaves."""
-    joined = y.select("target_id", F.col(column).alias("y")).join(x.select("target_id", F.col(column).alias("x")), "target_id", "left")
+    joined = y.select("target_id", F.col(column).alias("y")).hint("merge").join(x.select("target_id", F.col(column).alias("x")), "target_id", "left")
     return joined.select("target_id", (F.col("x") - F.col("y")).alias(column)).na.drop(subset=[column])
 
 
@@ -170,7 +180,7 @@ def fold_report(metric: DataFrame, selective: DataFrame, reversal: DataFrame) ->
     """One row for each fold and condition: mean recall, selectivity and reversal accuracy over targets and seeds."""
     keys = ["fold", "cond"]
     mean = lambda df, c: df.groupBy(*keys).agg(F.avg(c).alias(c))
-    return mean(metric, "recall_1_at_10").join(mean(selective, "sel_spearman"), keys, "left").join(mean(reversal, "accuracy"), keys, "left")
+    return mean(metric, "recall_1_at_10").hint("merge").join(mean(selective, "sel_spearman"), keys, "left").hint("merge").join(mean(reversal, "accuracy"), keys, "left")
 
 
 def as_map(values: DataFrame, key: str, column: str, by: list[str]) -> DataFrame:
@@ -180,8 +190,4 @@ def as_map(values: DataFrame, key: str, column: str, by: list[str]) -> DataFrame
 
 def low_headroom(values: DataFrame, oracle: DataFrame, column: str, below: float = 0.5) -> DataFrame:
     """Targets on which the shared ranking stays below a recall."""
-    return values.join(oracle.where(F.col(column) < below).select("target_id"), "target_id", "left_semi")
-
-
-def rate(ok: Column, seconds: Column) -> Column:
-    return F.try_divide(ok, seconds)
+    return values.hint("merge").join(oracle.where(F.col(column) < below).select("target_id"), "target_id", "left_semi")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.functions import scalar as S
+from siftrank.operators.numbering import broadcast_small, numbered_within
+from siftrank.sources.checkpoints import stored
 
-TARGET_SHARES = (("train", 0.60), ("val", 0.10), ("probcal", 0.10), ("confcal", 0.10), ("test", 0.10))
+#: The roles of item groups and their shares.
+TARGET_SHARES = (("train", 0.60), ("dev", 0.10), ("probcal", 0.10), ("policycal", 0.10), ("test", 0.10))
 
 
 def sample_key(id_: Column, salt: str) -> Column:
@@ -22,6 +27,18 @@ def salted_sample(df: DataFrame, key: str, salt: str, n: int) -> DataFrame:
     return df.orderBy(sample_key(F.col(key), salt), key).limit(n)
 
 
+def validation_picks(items: DataFrame, key: str, salt: str, n: int, fine: str) -> DataFrame:
+    """The first ``n`` items, in the order of a salted hash, for which ``fine`` holds, and the failures met on the way: ``key, place, failed``; picks are numbered from 1, failures have place 0."""
+    picks = salted_sample(items.where(fine), key, salt, n)
+    # ``n`` rows are numbered
+    picks = stored(picks.withColumn("at", sample_key(F.col(key), salt)).withColumn("place", F.row_number().over(Window.orderBy("at", key))))
+    last = picks.agg(F.max(F.struct("at", F.col(key).alias("k"))).alias("last"), F.count("*").alias("found"))
+    at = F.struct(sample_key(F.col(key), salt).alias("at"), F.col(key).alias("k"))
+    # with too few picks every item has been tried
+    failed = items.where(f"NOT coalesce({fine}, false)").crossJoin(F.broadcast(last)).where((F.col("found") < n) | (at < F.col("last")))
+    return picks.select(key, "place", F.lit(False).alias("failed")).union(failed.select(key, F.lit(0), F.lit(True)))
+
+
 def disjoint_samples(df: DataFrame, key: str, salts: tuple[str, str], n: int) -> DataFrame:
     """Two samples without a common row: ``..., sample``."""
     first = salted_sample(df, key, salts[0], n)
@@ -58,38 +75,58 @@ def target_roles(clusters: DataFrame, share: float = 0.15, least: int = 6) -> Da
     )
 
 
-def _greedy(shares: tuple[tuple[str, float], ...]):
+def _greedy(weights: list[int]):
+    """For each size, largest first, how many groups each role takes: rows ``size, role, step, held, count``.
+
+    A role that holds ``held`` takes its next groups of one size at loads ``(held + j * size) * step``, ``j`` from 1 on, where ``step`` is inverse to its share; the least loads win. The loads are whole
+    numbers, so the last one that all taken groups stay at or below is found by bisection.
+    """
+    whole = math.lcm(*weights)
+    steps = [whole // w for w in weights]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = pd.concat(list(frames)).sort_values("size", ascending=False)
-        total = int((table["size"] * table["groups"]).sum())
-        held = {r: 0 for r, _ in shares}
-        out = []
+        held, out = [0] * len(weights), []
         for size, groups in zip(table["size"].tolist(), table["groups"].tolist(), strict=True):
-            for slot in range(groups):
-                role, load = None, None
-                for r, share in shares:
-                    x = (held[r] + size) / (share * total)
-                    if load is None or x < load - 1e-12:
-                        role, load = r, x
-                held[role] += size
-                out.append((size, slot + 1, role))
-                if len(out) >= 50_000:
-                    yield pd.DataFrame(out, columns=["size", "slot", "role"])
-                    out = []
-        yield pd.DataFrame(out, columns=["size", "slot", "role"])
+            taken = lambda t: [max(0, (t // q - h) // size) for q, h in zip(steps, held, strict=True)]  # noqa: B023, E731
+            low, high = 0, (max(held) + (groups + 1) * size) * whole
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if sum(taken(mid)) <= groups else (low, mid - 1)
+            count = taken(low)
+            for r, q in enumerate(steps):
+                if sum(count) < groups and (held[r] + (count[r] + 1) * size) * q == low + 1:
+                    count[r] += 1
+            out += [(size, r, q, h, n) for r, (q, h, n) in enumerate(zip(steps, held, count, strict=True))]
+            held = [h + n * size for h, n in zip(held, count, strict=True)]
+        yield pd.DataFrame(out, columns=["size", "r", "step", "held", "count"])
 
     return run
 
 
 def item_roles(items: DataFrame, group: str, shares: tuple[tuple[str, float], ...] = TARGET_SHARES) -> DataFrame:
-    """``group, size, role``: whole groups, the largest first, each to the role that it fills least, relative to the role's share.
+    """``group, size, role``: whole groups, the largest first and by key inside one size, each to the role that it fills least relative to its share; ties go to the earlier role.
 
-    Only sizes drive the choice, so the sequential rule runs over the histogram of sizes in one task and emits a role for each place among the groups of one size; groups take places in key order.
+    Only sizes drive the choice, so the sequential rule runs over the histogram of sizes in one task: distinct sizes of ``n`` items number ``sqrt(2 n)`` at most, and each is a few
+    rows of counts. Which place among the groups of one size a role takes follows from those by whole-number arithmetic on each row. A null group is a group.
     """
+    parts = [Fraction(x).limit_denominator(10_000) for _, x in shares]
+    weights = [int(p * math.lcm(*(p.denominator for p in parts))) for p in parts]
     sizes = items.groupBy(group).agg(F.count("*").alias("size"))
-    slots = sizes.groupBy("size").agg(F.count("*").alias("groups")).coalesce(1).mapInPandas(_greedy(shares), "size long, slot long, role string")
-    placed = sizes.withColumn("slot", F.row_number().over(Window.partitionBy("size").orderBy(group)).cast("long"))
-    return placed.hint("merge").join(slots, ["size", "slot"]).select(group, "size", "role")
+    placed = numbered_within(sizes, ["size"], [group], "slot")
+    histogram = placed.groupBy("size").agg(F.count("*").alias("groups"))
+    runs = stored(histogram.repartition(1).mapInPandas(_greedy(weights), "size long, r int, step long, held long, count long"))
+    every = runs.groupBy("size").agg(F.collect_list(F.struct("r", "step", "held", "count")).alias("every"))
+    turns = runs.where("count > 0").hint("merge").join(every, "size")
+    # a long run is dealt out in chunks before its turns become rows
+    turns = turns.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(count - 1) div 10000")))).repartition("size", "r", "chunk")
+    turns = turns.withColumn("j", F.explode(F.sequence(F.col("chunk") * 10_000 + 1, F.least("count", F.col("chunk") * 10_000 + 10_000))))
+    turns = turns.withColumn("load", (F.col("held") + F.col("j") * F.col("size")) * F.col("step"))
+    # the turns of another role that come before this one: up to the same load for earlier roles, below it for later ones
+    before = "greatest(0L, least(x.count, ((load - if(x.r < r, 0, 1)) div x.step - x.held) div size))"
+    ahead = F.expr(f"aggregate(every, 0L, (n, x) -> n + if(x.r = r, 0L, {before}))")
+    turns = turns.select("size", (F.col("j") - 1 + ahead).alias("slot"), F.element_at(F.array(*(F.lit(n) for n, _ in shares)), F.col("r") + 1).alias("role"))
+    return placed.hint("merge").join(turns, ["size", "slot"]).select(group, "size", "role")
 
 
 def family_folds(targets: DataFrame, families: DataFrame, validation: int = 6, salt: str = "val") -> DataFrame:
@@ -98,7 +135,7 @@ def family_folds(targets: DataFrame, families: DataFrame, validation: int = 6, s
     ``families`` has ``fold, family``.
     """
     folds = families.select("fold").distinct()
-    rows = targets.select("target_id", "family").crossJoin(F.broadcast(folds)).join(F.broadcast(families.withColumn("held", F.lit(True))), ["fold", "family"], "left")
+    rows = targets.select("target_id", "family").crossJoin(broadcast_small(folds)).join(broadcast_small(families.withColumn("held", F.lit(True))), ["fold", "family"], "left")
     key = F.sha2(F.concat_ws("|", F.col("fold").cast("string"), F.col("target_id").cast("string"), F.lit(salt)), 256)
     place = F.row_number().over(Window.partitionBy("fold", F.col("held").isNull()).orderBy(key, "target_id"))
     role = F.when(F.col("held"), "heldout").when(place <= validation, "validation").otherwise("train")
@@ -132,7 +169,7 @@ def balanced_batches(pairs: DataFrame, updates: int, batch: int, salt: str = "pl
     plan = pairs.sparkSession.range(updates).select(F.col("id").alias("update"), S.hash_number(F.concat_ws("#", F.lit(salt), F.col("id").cast("string")), many).alias("t")) if many else None
     if plan is None:
         return pairs.select(F.lit(0).cast("long").alias("update"), F.lit(0).alias("pos"), "target_id", "ligand_id").limit(0)
-    rows = plan.join(F.broadcast(targets), "t").withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))
+    rows = plan.join(broadcast_small(targets), "t").withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))
     rows = rows.withColumn("k", S.hash_number(F.concat_ws("#", F.lit(salt), "update", "pos"), F.col("n")))
     numbered = pairs.withColumn("k", (F.row_number().over(Window.partitionBy("target_id").orderBy("ligand_id")) - 1).cast("long"))
     return rows.hint("merge").join(numbered.select("target_id", "k", "ligand_id"), ["target_id", "k"]).select("update", "pos", "target_id", "ligand_id")

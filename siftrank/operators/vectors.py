@@ -1,11 +1,12 @@
 """Scoring pairs from vectors of items and targets: projections, products, readouts, pooling, and the selected part of each target.
 
-Target sides are broadcast behind a check of their size; beyond it pairs come from a join in blocks of targets, so neither side is ever held whole.
+Target sides are counted and broadcast in blocks of at most about ``TARGETS_PER_BLOCK``, one pass over the items for each, so neither side is ever held whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.functions import scalar as S
+from siftrank.operators.numbering import broadcast_small
+from siftrank.sources.checkpoints import stored
 
 TARGETS_PER_BLOCK = 4096
 
@@ -27,22 +30,42 @@ def affine(x: Column, weights: list[list[float]], bias: list[float], relu: bool
     return F.array(*(F.greatest(r, F.lit(0.0)) if relu else r for r in rows))
 
 
-def small_side(targets: DataFrame) -> DataFrame:
-    """Broadcast the targets if they fit one block."""
-    return F.broadcast(targets) if targets.limit(TARGETS_PER_BLOCK + 1).count() <= TARGETS_PER_BLOCK else targets
+def target_blocks(targets: DataFrame) -> list[DataFrame]:
+    """The targets in parts of at most about ``TARGETS_PER_BLOCK`` rows; a table that fits one is one."""
+    many = -(-targets.count() // TARGETS_PER_BLOCK)
+    if many <= 1:
+        return [targets]
+    rows = stored(targets)
+    return [rows.where(F.pmod(F.xxhash64("target_id"), F.lit(many)) == b) for b in range(many)]
+
+
+def with_every_target(items: DataFrame, targets: DataFrame, select) -> DataFrame:
+    """``select`` of the items beside every target, block by block of the targets."""
+    return reduce(DataFrame.unionByName, (select(items.crossJoin(F.broadcast(block))) for block in target_blocks(targets)))
 
 
 def score_pairs(items: DataFrame, targets: DataFrame, scale: float = 1.0) -> DataFrame:
     """``target_id, ligand_id, logit`` of every pair of ``items(ligand_id, v)`` and ``targets(target_id, v)``."""
-    t = small_side(targets.select("target_id", F.col("v").alias("_t")))
-    return items.crossJoin(t).select("target_id", "ligand_id", (dot(F.col("v"), F.col("_t")) / max(scale, 1e-3)).alias("logit"))
+    logit = (dot(F.col("v"), F.col("_t")) / max(scale, 1e-3)).alias("logit")
+    return with_every_target(items, targets.select("target_id", F.col("v").alias("_t")), lambda rows: rows.select("target_id", "ligand_id", logit))
 
 
 def remapped(targets: DataFrame, overrides: DataFrame) -> DataFrame:
     """Targets with the vector of another where ``overrides(target_id, source_id)`` says so."""
     sources = targets.select(F.col("target_id").alias("source_id"), F.col("v").alias("_v"))
     ids = targets.select("target_id").join(overrides, "target_id", "left").withColumn("source_id", F.coalesce("source_id", "target_id"))
-    return ids.join(sources, "source_id").select("target_id", F.col("_v").alias("v"))
+    return ids.hint("merge").join(sources, "source_id").select("target_id", F.col("_v").alias("v"))
+
+
+def constant_targets(targets: DataFrame, state: DataFrame) -> DataFrame:
+    """Every target with the one vector of ``state(v)``: the control that knows no target."""
+    return targets.select("target_id").crossJoin(F.broadcast(state.select("v").limit(1)))
+
+
+def constant_gain(real: DataFrame, constant: DataFrame, column: str) -> DataFrame:
+    """``target_id, real, constant, gain`` of a metric of each target with its own state and with the constant one."""
+    both = real.select("target_id", F.col(column).alias("real")).hint("merge").join(constant.select("target_id", F.col(column).alias("constant")), "target_id")
+    return both.withColumn("gain", F.col("real") - F.col("constant"))
 
 
 def top_scored(items: DataFrame, targets: DataFrame, fraction: float = 0.10, scale: float = 1.0) -> DataFrame:
@@ -52,29 +75,29 @@ def top_scored(items: DataFrame, targets: DataFrame, fraction: float = 0.10, sca
     """
     n = items.count()
     k = max(1, int(np.ceil(fraction * n)))
-    rows = targets.orderBy("target_id").select("target_id", "v").toArrow() if targets.count() <= TARGETS_PER_BLOCK else None
+    kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((targets, "target_id"), (items, "ligand_id")))
+
+    def best_of(block: DataFrame) -> DataFrame:
+        rows = block.orderBy("target_id").select("target_id", "v").toArrow()
+        w = np.array(rows.column("v").to_pylist(), np.float64) / max(scale, 1e-3)
+        shared = items.sparkSession.sparkContext.broadcast((rows.column("target_id").to_numpy(), w))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, w = shared.value
+            for batch in batches:
+                column = batch.column("v")
+                x = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+                own = np.asarray(batch.column("ligand_id"))
+                for t in range(0, len(ids), 256):
+                    s = x @ w[t : t + 256].T
+                    for j in range(s.shape[1]):
+                        keep = np.lexsort((own, -s[:, j]))[:k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), ids[t + j])), pa.array(own[keep]), pa.array(s[keep, j])], names=["target_id", "ligand_id", "logit"])
+
+        return items.select("ligand_id", "v").mapInArrow(run, f"target_id {kind}, ligand_id {item_kind}, logit double")
+
     rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("logit"), "ligand_id"))
-    if rows is None:
-        return score_pairs(items, targets, scale).withColumn("rk", rank).where(F.col("rk") <= k)
-    ids = rows.column("target_id").to_numpy()
-    w = np.array(rows.column("v").to_pylist(), np.float64) / max(scale, 1e-3)
-    shared = items.sparkSession.sparkContext.broadcast((ids, w))
-    kind = targets.schema["target_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, w = shared.value
-        for batch in batches:
-            column = batch.column("v")
-            x = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
-            own = np.asarray(batch.column("ligand_id"))
-            for t in range(0, len(ids), 256):
-                s = x @ w[t : t + 256].T
-                for j in range(s.shape[1]):
-                    keep = np.lexsort((own, -s[:, j]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), ids[t + j])), pa.array(own[keep]), pa.array(s[keep, j])], names=["target_id", "ligand_id", "logit"])
-
-    item_kind = items.schema["ligand_id"].dataType.simpleString()
-    found = items.select("ligand_id", "v").mapInArrow(run, f"target_id {kind}, ligand_id {item_kind}, logit double")
+    found = reduce(DataFrame.unionByName, map(best_of, target_blocks(targets)))
     return found.withColumn("rk", rank).where(F.col("rk") <= k)
 
 
@@ -91,7 +114,7 @@ def split_readout(items: DataFrame, targets: DataFrame, a: list[list[float]], b:
     right = targets.select("target_id", affine(F.col("v"), b, b1).alias("p"))
     hidden = F.zip_with("l", "p", lambda x, y: F.greatest(x + y, F.lit(0.0)))
     out = dot(hidden, F.array(*(F.lit(float(w)) for w in w2))) + F.lit(float(b2))
-    return left.crossJoin(small_side(right)).select("target_id", "ligand_id", out.alias("logit"))
+    return with_every_target(left, right, lambda rows: rows.select("target_id", "ligand_id", out.alias("logit")))
 
 
 def hadamard_score(items: DataFrame, targets: DataFrame, weights: list[float]) -> DataFrame:
@@ -135,7 +158,7 @@ def cycled(rows: DataFrame, key: str, p: int) -> DataFrame:
     """The rows, in key order, repeated until there are ``p``: ``i, ...``."""
     numbered = rows.withColumn("_k", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
     n = rows.count()
-    return rows.sparkSession.range(p).withColumnRenamed("id", "i").withColumn("_k", F.col("i") % max(n, 1)).join(F.broadcast(numbered), "_k").drop("_k")
+    return rows.sparkSession.range(p).withColumnRenamed("id", "i").withColumn("_k", F.col("i") % max(n, 1)).join(broadcast_small(numbered), "_k").drop("_k")
 
 
 def cache_counts(requests: DataFrame) -> DataFrame:
@@ -150,13 +173,55 @@ def losses(scored: DataFrame, weight: float = 0.2) -> DataFrame:
     return scored.agg(bce.alias("bce"), huber.alias("huber")).withColumn("total", F.col("bce") + weight * F.col("huber"))
 
 
-def fit_hits(pairs: DataFrame, features: str = "features") -> tuple:
-    """Fit a hit model and a score model on product features: logistic regression of ``y``, and a robust linear one of ``z`` where it is present."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
+def joint_loss(f: np.ndarray, y: np.ndarray, z: np.ndarray, p: np.ndarray, weight: float) -> tuple[float, np.ndarray]:
+    """The summed loss and its gradient at ``p``: one score ``s = w . f + b``, a logit ``a s + c`` and a predicted standardised truth ``d s + e``.
+
+    The loss of a row is the cross entropy of the logit with ``y`` and, where ``z`` is present, ``weight`` times the Huber loss of the other.
+    """
+    w, (b, a, c, d, e) = p[:-5], p[-5:]
+    s = f @ w + b
+    logit, r = a * s + c, np.where(np.isnan(z), 0.0, d * s + e - np.nan_to_num(z))
+    bce = np.maximum(logit, 0) - logit * y + np.log1p(np.exp(-np.abs(logit)))
+    huber = np.where(np.abs(r) <= 1, r * r / 2, np.abs(r) - 0.5)
+    g, h = 1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y, weight * np.where(np.isnan(z), 0.0, np.clip(r, -1, 1))
+    ds = g * a + h * d
+    return float((bce + weight * huber).sum()), np.concatenate([f.T @ ds, [ds.sum(), (g * s).sum(), g.sum(), (h * s).sum(), h.sum()]])
+
+
+def fit_hits(pairs: DataFrame, features: str = "features", weight: float = 0.2, steps: int = 25, rate: float = 0.15) -> np.ndarray:
+    """Fit one score to hits and to standardised truth together; ``pairs`` has ``features, y, z``, ``z`` null where there is no truth.
 
-    rows = pairs.withColumn("_f", array_to_vector(features))
-    hits = LogisticRegression(featuresCol="_f", labelCol="y", maxIter=30, regParam=1e-3).fit(rows)
-    scores = LinearRegression(featuresCol="_f", labelCol="z", loss="huber", maxIter=30, regParam=1e-3).fit(rows.where("z IS NOT NULL"))
-    return hits, scores
+    Each step is one job: tasks sum their rows' gradients, and only those sums leave them. Steps follow Adam's rule.
+    """
+    rows = pairs.select(F.col(features).cast("array<double>").alias("f"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z"))
+    size = rows.agg(F.max(F.size("f"))).first()[0] or 0
+    p = np.concatenate([np.zeros(size), [0.0, 1.0, 0.0, -1.0, 0.0]])
+    p[:size] = np.random.default_rng(0).standard_normal(size) * 0.01
+    m, v = np.zeros_like(p), np.zeros_like(p)
+    for step in range(1, steps + 1):
+        shared = pairs.sparkSession.sparkContext.broadcast(p)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total, many = np.zeros(len(shared.value)), 0
+            for batch in batches:
+                column = batch.column("f")
+                f = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+                y, z = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in "yz")
+                total, many = total + joint_loss(f, y, z, shared.value, weight)[1], many + len(y)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total) + 1), pa.int32()), pa.array([*total, float(many)])], names=["pos", "g"])
+
+        sums = dict(rows.mapInArrow(run, "pos int, g double").groupBy("pos").agg(F.sum("g")).collect())
+        if not sums.get(len(p)):
+            return p
+        g = np.array([sums[i] for i in range(len(p))]) / sums[len(p)]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return p
+
+
+def predicted(pairs: DataFrame, p: np.ndarray, features: str = "features") -> DataFrame:
+    """``pairs`` with ``logit, p_hit, score_pred`` of a fitted model."""
+    b, a, c, d, e = (float(x) for x in p[-5:])
+    s = dot(F.col(features), F.array(*(F.lit(float(w)) for w in p[:-5]))) + F.lit(b)
+    rows = pairs.withColumn("_s", s)
+    return rows.withColumns({"logit": F.col("_s") * a + c, "score_pred": F.col("_s") * d + e}).withColumn("p_hit", S.sigmoid(F.col("logit"))).drop("_s")

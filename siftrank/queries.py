@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from siftrank import fixtures as B
 from siftrank.functions import scalar as S
 from siftrank.operators import components, labels, metrics, runstats, splits, structure, vectors
+from siftrank.operators.numbering import broadcast_small
 from siftrank.plans import lifecycle
+from siftrank.sources import tables
 from siftrank.sources.checkpoints import cut, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,10 +95,10 @@ def hit_labels(spark, sf):
     return rounded(rows.groupBy("target_id").agg(F.sum("y").alias("hits"), F.count("*").alias("rows"), F.any_value("tau").alias("tau")))
 
 
-@query(f"""WITH {B.PAIRS}, s AS (SELECT avg(score) AS m, stddev_samp(score) AS d FROM pairs) SELECT target_id, ligand_id, round((score - m) / d, 6) AS z, (score IS NOT NULL)::INT AS has_score FROM pairs, s WHERE ligand_id % 10 = 7""")
+@query(f"""WITH {B.PAIRS}, s AS (SELECT avg(score) AS m, stddev_samp(score) AS d FROM pairs) SELECT target_id, ligand_id, round((score - m) / d, 6) AS z, (score IS NOT NULL)::INT AS has_score FROM pairs, s""")
 def standardised_scores(spark, sf):
-    pairs = B.pairs(spark, sf).select("target_id", "ligand_id", "score")
-    return rounded(labels.standardised(pairs, labels.scaler(pairs)).where("ligand_id % 10 = 7").drop("score"))
+    pairs = cut(B.pairs(spark, sf).select("target_id", "ligand_id", "score"))
+    return rounded(labels.standardised(pairs, labels.scaler(pairs)).drop("score"))
 
 
 @query(f"WITH {B.PAIRS} SELECT target_id, count(*) AS n FROM pairs WHERE ligand_id IN (SELECT p_partkey FROM part WHERE p_size > 25) AND score IS NOT NULL GROUP BY target_id")
@@ -117,10 +119,9 @@ def group_keys(spark, sf):
 @query(r"""SELECT status, count(*) AS n, coalesce(sum(length(result)), 0)::BIGINT AS chars FROM (
   SELECT CASE WHEN doc_id % 7 = 0 THEN 'PARSE_FAIL' ELSE 'OK' END AS status, CASE WHEN doc_id % 7 <> 0 THEN trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g')) END AS result FROM documents) GROUP BY status""")
 def text_status(spark, sf):
-    """Normalise texts row by row; rows that cannot be keep a status."""
+    """Normalised texts; rows that have none keep a status."""
     docs = B.table(spark, sf, "documents")
-    rows = docs.select(F.when(F.col("doc_id") % 7 != 0, labels.normalised_text()).alias("text"))
-    done = labels.apply_rows(rows, "text", str)
+    done = labels.normalised_rows(docs.select(F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text")), "text")
     return done.groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("result")), F.lit(0)).alias("chars"))
 
 
@@ -169,8 +170,8 @@ def left_join_scores(spark, sf):
 def dictionary_lookup(spark, sf):
     """Small dimensions are looked up; the fact side joins once by key."""
     t = lambda n: B.table(spark, sf, n)
-    nations = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    nations = t("nation").join(broadcast_small(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(broadcast_small(nations), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("r_name").agg(F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
@@ -179,12 +180,12 @@ def evaluation_frame(spark, sf):
     """Every listed target with every eligible item, with true scores where there are any."""
     targets = B.table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("target_id"))
     items = B.table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("ligand_id"))
-    frame = items.crossJoin(vectors.small_side(targets))
-    return frame.join(B.pairs(spark, sf).select("target_id", "ligand_id", "score"), ["target_id", "ligand_id"], "left").select("target_id", "ligand_id", F.col("score").isNotNull().alias("scored"))
+    frame = vectors.with_every_target(items, targets, lambda rows: rows)
+    return frame.hint("merge").join(B.pairs(spark, sf).select("target_id", "ligand_id", "score"), ["target_id", "ligand_id"], "left").select("target_id", "ligand_id", F.col("score").isNotNull().alias("scored"))
 
 
-@query("""SELECT (SELECT count(*) FROM (SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48)) AS only_left,
-  (SELECT count(*) FROM (SELECT l_partkey FROM lineitem WHERE l_quantity > 48 EXCEPT SELECT p_partkey FROM part)) AS only_right, false AS equal""")
+@query("""WITH a AS (SELECT count(*) AS only_left FROM (SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48)),
+  b AS (SELECT count(*) AS only_right FROM (SELECT l_partkey FROM lineitem WHERE l_quantity > 48 EXCEPT SELECT p_partkey FROM part)) SELECT only_left, only_right, only_left = 0 AND only_right = 0 AS equal FROM a, b""")
 def set_differences(spark, sf):
     a = B.table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
     b = B.table(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("k"))
@@ -192,10 +193,10 @@ def set_differences(spark, sf):
 
 
 LINKS = r"""w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i+2], ' '))) AS s FROM w WHERE len(w) >= 3),
-z AS (SELECT id, count(*) AS n FROM s GROUP BY id), r AS (SELECT s FROM s GROUP BY s HAVING count(*) BETWEEN 2 AND 20),
-p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN r USING (s) JOIN s y USING (s) WHERE x.id < y.id GROUP BY ALL),
-links AS (SELECT a, b, c / (za.n + zb.n - c) AS similarity, c / least(za.n, zb.n) AS coverage FROM p JOIN z za ON za.id = a JOIN z zb ON zb.id = b
+u AS MATERIALIZED (SELECT min(id) AS id, w FROM w WHERE len(w) >= 3 GROUP BY w),
+s AS MATERIALIZED (SELECT DISTINCT id, hash(s) AS s FROM (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS s FROM u)),
+z AS MATERIALIZED (SELECT id, count(*) AS n FROM s GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y USING (s) WHERE x.id < y.id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b, c / (za.n + zb.n - c) AS similarity, c / least(za.n, zb.n) AS coverage FROM p JOIN z za ON za.id = a JOIN z zb ON zb.id = b
   WHERE c / (za.n + zb.n - c) >= 0.3::DOUBLE AND c / least(za.n, zb.n) >= 0.8::DOUBLE)"""
 
 
@@ -204,6 +205,12 @@ def similar_texts(spark, sf):
     return structure.shingle_links(B.texts(spark, sf))
 
 
+@query(f"WITH {LINKS}, c AS (SELECT w, min(id) AS b FROM w GROUP BY w) SELECT id AS a, b FROM w JOIN c USING (w)")
+def equal_texts(spark, sf):
+    """Each text and the first that has the same words: the links of :func:`similar_texts` are between those."""
+    return structure.text_classes(B.texts(spark, sf))
+
+
 KNN = f"""{B.ITEMS}, pr AS (SELECT x."group", x.ligand_id AS src, y.ligand_id AS dst, round(sqrt(list_sum(list_transform(list_zip(x.v, y.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS distance
   FROM items x JOIN items y ON x."group" = y."group" AND x.ligand_id <> y.ligand_id),
 knn AS (SELECT *, row_number() OVER (PARTITION BY "group", src ORDER BY distance, dst) AS rank FROM pr QUALIFY rank <= 16)"""
@@ -252,9 +259,15 @@ def column_profile(spark, sf):
     return rounded(labels.column_profile(long))
 
 
-@query(f"WITH {B.CELLS} SELECT ligand_id, max(score) FILTER (target_id = 0) AS \"0\", max(score) FILTER (target_id = 1) AS \"1\" FROM cells GROUP BY ligand_id HAVING count(*) FILTER (target_id IN (0, 1)) > 0")
+@query(f"""WITH {B.MATRIX} SELECT count(*) * 3 AS cells, count(*) * 3 - count("A") - count("N") - count("R") AS missing, round(least(min("A"), min("N"), min("R")), 6) AS min, round(greatest(max("A"), max("N"), max("R")), 6) AS max FROM matrix""")
+def matrix_profile(spark, sf):
+    return rounded(labels.matrix_profile(labels.unpivot_scores(B.matrix(spark, sf).drop("text_a"), ["ligand_id"], ["A", "N", "R"])))
+
+
+@query(f'WITH {B.MATRIX} SELECT ligand_id, round("A", 6) AS "A", round("N", 6) AS "N", round("R", 6) AS "R" FROM matrix')
 def pivoted_scores(spark, sf):
-    return labels.pivot_scores(B.cells(spark, sf).where("target_id IN (0, 1)"), [0, 1])
+    """The matrix from its long form."""
+    return rounded(labels.pivot_scores(labels.unpivot_scores(B.matrix(spark, sf).drop("text_a"), ["ligand_id"], ["A", "N", "R"]), ["A", "N", "R"]))
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT k) AS distinct_keys, count(*) - (count(DISTINCT k) + max((k IS NULL)::INT)) AS duplicate_rows FROM (SELECT nullif(l_orderkey % 1000, 0) AS k FROM lineitem)")
@@ -278,15 +291,18 @@ def group_sizes(spark, sf):
     return labels.group_sizes(B.table(spark, sf, "documents"), "text")
 
 
-@query(f"""WITH {B.ATOMS}, {B.BOXES}, r AS (SELECT target_id, res, avg(charge) AS charge, count(*) FILTER (ad_type NOT LIKE 'H%') AS heavy,
-    avg(x) FILTER (ad_type NOT LIKE 'H%') AS mx, avg(y) FILTER (ad_type NOT LIKE 'H%') AS my, avg(z) FILTER (ad_type NOT LIKE 'H%') AS mz,
-    sqrt(var_pop(x) FILTER (ad_type NOT LIKE 'H%') + var_pop(y) FILTER (ad_type NOT LIKE 'H%') + var_pop(z) FILTER (ad_type NOT LIKE 'H%')) AS spread,
-    count(*) FILTER (ad_type = 'AF') AS af, count(*) FILTER (ad_type = 'NO') AS no FROM atoms GROUP BY ALL HAVING heavy > 0),
+KINDS = ["AF", "AO", "NF", "NO", "RF", "RO", "HO", "OTHER"]
+SHARES = ", ".join(f"round(count(*) FILTER (heavy AND {'ad_type NOT IN (' + str(KINDS[:-1])[1:-1] + ')' if k == 'OTHER' else f'ad_type = {k!r}'}) / count(*) FILTER (heavy), 9) AS \"share_{k}\"" for k in KINDS)
+
+
+@query(f"""WITH {B.ATOMS}, {B.BOXES}, h AS (SELECT *, ad_type NOT LIKE 'H%' AS heavy FROM atoms), r AS (SELECT target_id, res, round(avg(charge), 9) AS charge, count(*) FILTER (heavy) AS heavy, {SHARES},
+    avg(x) FILTER (heavy) AS mx, avg(y) FILTER (heavy) AS my, avg(z) FILTER (heavy) AS mz,
+    round(sqrt(var_pop(x) FILTER (heavy) + var_pop(y) FILTER (heavy) + var_pop(z) FILTER (heavy)), 9) AS spread FROM h GROUP BY target_id, res HAVING count(*) FILTER (heavy) > 0),
 d AS (SELECT *, sqrt(pow(mx - center_x, 2) + pow(my - center_y, 2) + pow(mz - center_z, 2)) AS gap FROM r JOIN boxes USING (target_id))
-SELECT target_id, res, round(charge, 9) AS charge, heavy, round(spread, 9) AS spread, round(af / heavy, 9) AS "share_AF", round(no / heavy, 9) AS "share_NO", round(mx, 9) AS mx, round(my, 9) AS my, round(mz, 9) AS mz,
+SELECT * EXCLUDE (mx, my, mz, gap, center_x, center_y, center_z, size_x, size_y, size_z), round(mx, 9) AS mx, round(my, 9) AS my, round(mz, 9) AS mz,
   round(gap / ((size_x + size_y + size_z) / 6 + 4), 9) AS center_share, round(gap / 50, 9) AS center_far, round(heavy / 20, 9) AS size20 FROM d""")
 def residue_features(spark, sf):
-    return rounded(structure.residue_features(B.atoms(spark, sf), B.boxes(spark, sf), ["AF", "NO"]), 9)
+    return rounded(structure.residue_features(B.atoms(spark, sf), B.boxes(spark, sf), KINDS), 9)
 
 
 METRIC = """, base AS (SELECT * FROM pairs WHERE score IS NOT NULL AND p_hit IS NOT NULL),
@@ -369,7 +385,7 @@ def macro_metrics(spark, sf):
 rk2 AS (SELECT target_id, rank() OVER (PARTITION BY target_id ORDER BY -a) + (count(*) OVER (PARTITION BY target_id, a) - 1) / 2 AS rx, rank() OVER (PARTITION BY target_id ORDER BY -b) + (count(*) OVER (PARTITION BY target_id, b) - 1) / 2 AS ry FROM b),
 rho AS {_moments("rx", "ry", "target_id", "rk2", "rho")},
 o AS (SELECT target_id, count(*) FILTER (ka AND kb) / count(*) FILTER (ka) AS overlap FROM (SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY a DESC, ligand_id) <= greatest(1, ceil(0.1::DOUBLE * n)) AS ka, row_number() OVER (PARTITION BY target_id ORDER BY b DESC, ligand_id) <= greatest(1, ceil(0.1::DOUBLE * n)) AS kb FROM (SELECT *, count(*) OVER (PARTITION BY target_id) AS n FROM b)) GROUP BY target_id)
-SELECT round((SELECT max(abs(a - b)) FROM b), 9) AS max_abs_diff, true AS all_finite, round(min(rho), 6) AS min_spearman, round(min(overlap), 6) AS min_overlap, CASE WHEN min(rho) >= 0.9999 THEN 'same' ELSE 'different' END AS verdict FROM rho JOIN o USING (target_id)""")
+SELECT round((SELECT max(abs(a - b)) FROM b), 9) AS max_abs_diff, (SELECT bool_and(isfinite(a) AND isfinite(b)) FROM b) AS all_finite, round(min(rho), 6) AS min_spearman, round(min(overlap), 6) AS min_overlap, CASE WHEN min(rho) >= 0.9999 THEN 'same' ELSE 'different' END AS verdict FROM rho JOIN o USING (target_id)""")
 def score_parity(spark, sf):
     pairs = B.pairs(spark, sf).select("target_id", "ligand_id", "p_hit")
     moved = pairs.withColumn("p_hit", F.col("p_hit") + S.hash_number(F.col("ligand_id").cast("string"), 100) * 1e-7)
@@ -423,29 +439,31 @@ def _fold_truth(spark, sf):
     return B.pairs(spark, sf).select((F.col("target_id") % 5).cast("int").alias("fold"), "target_id", "ligand_id", "score")
 
 
+#: Quadruplets kept of each fold, and how many are drawn to find them.
+QUADRUPLETS, CANDIDATES = 20_000, 200_000
 QUADS = f"""ft AS (SELECT (target_id % 5)::INT AS fold, target_id, ligand_id, score FROM pairs), ts AS (SELECT fold, list(DISTINCT target_id ORDER BY target_id) AS ts FROM ft GROUP BY fold),
 it AS (SELECT ligand_id, row_number() OVER (ORDER BY ligand_id) - 1 AS k FROM (SELECT DISTINCT ligand_id FROM ft)), nn AS (SELECT count(*) AS n FROM it),
-d1 AS (SELECT fold, c, ts[{H.format("fold || '#' || c || '#a'")} % len(ts) + 1] AS a, ts[{H.format("fold || '#' || c || '#b'")} % len(ts) + 1] AS b, {H.format("fold || '#' || c || '#i'")} % n AS ki, {H.format("fold || '#' || c || '#j'")} % n AS kj FROM range(20000) AS r(c), ts, nn),
+d1 AS (SELECT fold, c, ts[{H.format("fold || '#' || c || '#a'")} % len(ts) + 1] AS a, ts[{H.format("fold || '#' || c || '#b'")} % len(ts) + 1] AS b, {H.format("fold || '#' || c || '#i'")} % n AS ki, {H.format("fold || '#' || c || '#j'")} % n AS kj FROM range({CANDIDATES}) AS r(c), ts, nn),
 d2 AS (SELECT fold, c, a, b, x.ligand_id AS i, y.ligand_id AS j FROM d1 JOIN it x ON x.k = ki JOIN it y ON y.k = kj WHERE a <> b AND ki <> kj),
 sc AS (SELECT target_id, ligand_id, score FROM ft WHERE score IS NOT NULL),
 d3 AS (SELECT fold, c, a, b, i, j, p.score - q.score AS da, r.score - s.score AS db FROM d2 JOIN sc p ON p.target_id = a AND p.ligand_id = i JOIN sc q ON q.target_id = a AND q.ligand_id = j JOIN sc r ON r.target_id = b AND r.ligand_id = i JOIN sc s ON s.target_id = b AND s.ligand_id = j),
-quads AS (SELECT * FROM d3 WHERE abs(da) >= 1 AND abs(db) >= 1 AND sign(da) = -sign(db) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY c) <= 500)"""
+quads AS MATERIALIZED (SELECT * FROM d3 WHERE abs(da) >= 1 AND abs(db) >= 1 AND sign(da) = -sign(db) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY c) <= {QUADRUPLETS})"""
 
 
 @query(f"WITH {B.PAIRS}, {QUADS} SELECT fold, c, a, b, i, j, round(da, 6) AS da, round(db, 6) AS db FROM quads")
 def quadruplets(spark, sf):
-    return rounded(runstats.quadruplets(_fold_truth(spark, sf), 500, 20_000))
+    return rounded(runstats.quadruplets(_fold_truth(spark, sf), QUADRUPLETS, CANDIDATES))
 
 
-REV = """rv AS (SELECT q.fold, cond, seed, unnest([a, b]) AS target_id, (sign(pai.logit - paj.logit) = -sign(da) AND sign(pbi.logit - pbj.logit) = -sign(db))::INT AS ok FROM quads q
-  JOIN runs pai ON pai.target_id = a AND pai.ligand_id = i JOIN runs paj USING (cond, seed) JOIN runs pbi USING (cond, seed) JOIN runs pbj USING (cond, seed)
-  WHERE paj.target_id = a AND paj.ligand_id = j AND pbi.target_id = b AND pbi.ligand_id = i AND pbj.target_id = b AND pbj.ligand_id = j),
+REV = """rv AS (SELECT q.fold, pai.cond, pai.seed, unnest([a, b]) AS target_id, (sign(pai.logit - paj.logit) = -sign(da) AND sign(pbi.logit - pbj.logit) = -sign(db))::INT AS ok FROM quads q
+  JOIN runs pai ON pai.target_id = a AND pai.ligand_id = i JOIN runs paj ON paj.target_id = a AND paj.ligand_id = j AND paj.cond = pai.cond AND paj.seed = pai.seed
+  JOIN runs pbi ON pbi.target_id = b AND pbi.ligand_id = i AND pbi.cond = pai.cond AND pbi.seed = pai.seed JOIN runs pbj ON pbj.target_id = b AND pbj.ligand_id = j AND pbj.cond = pai.cond AND pbj.seed = pai.seed),
 rev AS (SELECT fold, cond, seed, target_id, count(*) AS quads, avg(ok) AS accuracy FROM rv GROUP BY ALL)"""
 
 
 @query(f"WITH {B.RUNS}, {QUADS}, {REV} SELECT fold, cond, seed, target_id, quads, round(accuracy, 6) AS accuracy FROM rev")
 def reversal_accuracy(spark, sf):
-    quads = cut(runstats.quadruplets(_fold_truth(spark, sf), 500, 20_000))
+    quads = cut(runstats.quadruplets(_fold_truth(spark, sf), QUADRUPLETS, CANDIDATES))
     return rounded(runstats.reversal_accuracy(quads, B.runs(spark, sf)))
 
 
@@ -466,53 +484,61 @@ def seed_mean_recall(spark, sf):
     return rounded(_run_recalls(spark, sf))
 
 
+def _exact(c: str) -> str:
+    return f"sum({c}::DECIMAL(28,12))::DOUBLE / count({c})"
+
+
+RATIO = f"{_exact('x')} / nullif({_exact('y')}, 0)"
+
+
 def _boot(values: str, stat: str, draws: int, seed: int) -> str:
     key = f"'{seed}#' || b || '#' || pos"
     return f"""nb AS (SELECT *, row_number() OVER (ORDER BY target_id) - 1 AS k FROM {values}), cn AS (SELECT count(*) AS n FROM nb),
 bs AS (SELECT b, {stat} AS m FROM range({draws}) AS x(b), cn, range(cn.n) AS y(pos) JOIN nb ON nb.k = {H.format(key)} % cn.n GROUP BY b)"""
 
 
-@query(f"""WITH {B.RUNS}, {RUNREC}, dl AS (SELECT target_id, recall_1_at_10 FROM rm WHERE cond = 'dual'), {_boot("dl", "avg(recall_1_at_10)", 500, 0)}
-SELECT (SELECT count(*) FROM dl) AS n, round((SELECT avg(recall_1_at_10) FROM dl), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg((m > 0)::INT), 6) AS p_positive FROM bs""")
+@query(f"""WITH {B.RUNS}, {RUNREC}, dl AS (SELECT target_id, recall_1_at_10 FROM rm WHERE cond = 'dual'), {_boot("dl", _exact("recall_1_at_10"), 5000, 0)}
+SELECT (SELECT count(*) FROM dl) AS n, round((SELECT {_exact("recall_1_at_10")} FROM dl), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg((m > 0)::INT), 9) AS p_positive FROM bs""")
 def bootstrap_recall(spark, sf):
     values = cut(_run_recalls(spark, sf).where("cond = 'dual'").select("target_id", "recall_1_at_10"))
-    return rounded(runstats.bootstrap(values, "recall_1_at_10", draws=500))
+    return rounded(runstats.bootstrap(values, "recall_1_at_10"), 9)
 
 
 @query(f"""WITH {B.RUNS}, {RUNREC}, {SHARED}, hq AS (SELECT fold, target_id, quantile_cont(score, 0.01) AS t, count(*) AS n FROM sh WHERE score IS NOT NULL GROUP BY ALL),
 hr AS (SELECT sh.*, n, (score <= t)::INT AS h1, row_number() OVER (PARTITION BY fold, target_id ORDER BY round(p_hit, 6) DESC, ligand_id) AS rk FROM sh JOIN hq USING (fold, target_id) WHERE score IS NOT NULL),
-ho AS (SELECT target_id FROM hr GROUP BY target_id HAVING sum(CASE WHEN rk <= {_k(0.1)} THEN h1 ELSE 0 END) / sum(h1) < 0.2::DOUBLE),
-dl AS (SELECT target_id, recall_1_at_10 FROM rm WHERE cond = 'dual' AND target_id IN (SELECT target_id FROM ho)), {_boot("dl", "avg(recall_1_at_10)", 500, 0)}
-SELECT (SELECT count(*) FROM dl) AS n, round((SELECT avg(recall_1_at_10) FROM dl), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg((m > 0)::INT), 6) AS p_positive FROM bs""")
+ho AS (SELECT target_id FROM hr GROUP BY target_id HAVING sum(CASE WHEN rk <= {_k(0.1)} THEN h1 ELSE 0 END) / sum(h1) < 0.5::DOUBLE),
+dl AS (SELECT target_id, recall_1_at_10 FROM rm WHERE cond = 'dual' AND target_id IN (SELECT target_id FROM ho)), {_boot("dl", _exact("recall_1_at_10"), 5000, 0)}
+SELECT (SELECT count(*) FROM dl) AS n, round((SELECT {_exact("recall_1_at_10")} FROM dl), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg((m > 0)::INT), 9) AS p_positive FROM bs""")
 def low_headroom_bootstrap(spark, sf):
     oracle = metrics.recalls(_shared(spark, sf).withColumn("p_hit", F.round("p_hit", 6)), ["fold", "target_id"])
     values = _run_recalls(spark, sf).where("cond = 'dual'").select("target_id", "recall_1_at_10")
-    return rounded(runstats.bootstrap(cut(runstats.low_headroom(values, oracle, "recall_1_at_10", 0.2)), "recall_1_at_10", draws=500))
+    return rounded(runstats.bootstrap(cut(runstats.low_headroom(values, oracle, "recall_1_at_10")), "recall_1_at_10"), 9)
 
 
-@query(f"""WITH {B.RUNS}, {RUNREC}, dl AS (SELECT y.target_id, x.recall_1_at_10 - y.recall_1_at_10 AS d FROM rm y JOIN rm x USING (target_id) WHERE x.cond = 'dual' AND y.cond = 'dual_const'), {_boot("dl", "avg(d)", 500, 0)}
-SELECT 'dual' AS a, 'dual_const' AS b, (SELECT count(*) FROM dl) AS n, round((SELECT avg(d) FROM dl), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg((m > 0)::INT), 6) AS p_positive FROM bs""")
+@query(f"""WITH {B.RUNS}, {RUNREC}, dl AS (SELECT y.target_id, x.recall_1_at_10 - y.recall_1_at_10 AS d FROM rm y JOIN rm x USING (target_id) WHERE x.cond = 'dual' AND y.cond = 'dual_const'), {_boot("dl", _exact("d"), 5000, 0)}
+SELECT 'dual' AS a, 'dual_const' AS b, (SELECT count(*) FROM dl) AS n, round((SELECT {_exact("d")} FROM dl), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg((m > 0)::INT), 9) AS p_positive FROM bs""")
 def paired_contrast(spark, sf):
-    return rounded(runstats.paired_contrasts(cut(_run_recalls(spark, sf)), "recall_1_at_10", ["dual", "dual_const"], draws=500))
+    return rounded(runstats.paired_contrasts(cut(_run_recalls(spark, sf)), "recall_1_at_10", ["dual", "dual_const"]), 9)
 
 
-@query(f"""WITH {B.RUNS}, {RUNREC}, dl AS (SELECT y.target_id, x.recall_1_at_10 AS x, y.recall_1_at_10 AS y FROM rm y JOIN rm x USING (target_id) WHERE x.cond = 'dual' AND y.cond = 'dual_const'), {_boot("dl", "avg(x) / nullif(avg(y), 0)", 500, 1)}
-SELECT round((SELECT avg(x) / nullif(avg(y), 0) FROM dl), 6) AS ratio, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM bs""")
+@query(f"""WITH {B.RUNS}, {RUNREC}, dl AS (SELECT y.target_id, x.recall_1_at_10 AS x, y.recall_1_at_10 AS y FROM rm y JOIN rm x USING (target_id) WHERE x.cond = 'dual' AND y.cond = 'dual_const'), {_boot("dl", RATIO, 5000, 1)}
+SELECT round((SELECT {RATIO} FROM dl), 9) AS ratio, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM bs""")
 def ratio_of_means(spark, sf):
     rows = cut(_run_recalls(spark, sf))
     side = lambda c, n: rows.where(F.col("cond") == c).select("target_id", F.col("recall_1_at_10").alias(n))
-    return rounded(runstats.ratio_bootstrap(cut(side("dual", "x").join(side("dual_const", "y"), "target_id")), "x", "y", draws=500))
+    return rounded(runstats.ratio_bootstrap(cut(side("dual", "x").hint("merge").join(side("dual_const", "y"), "target_id")), "x", "y"), 9)
 
 
 @query(f"""WITH {B.RUNS}, {RUNREC}, {SEL}, {QUADS}, {REV}, a AS (SELECT fold, cond, avg(recall_1_at_10) AS r FROM rm GROUP BY ALL), b AS (SELECT fold, cond, avg(sel_spearman) AS s FROM s2 GROUP BY ALL), c AS (SELECT fold, cond, avg(accuracy) AS v FROM rev GROUP BY ALL)
 SELECT fold, cond, round(r, 4) AS recall_1_at_10, round(s, 4) AS sel_spearman, round(v, 4) AS accuracy FROM a LEFT JOIN b USING (fold, cond) LEFT JOIN c USING (fold, cond)""")
 def fold_report(spark, sf):
     runs = cut(B.runs(spark, sf))
-    quads = cut(runstats.quadruplets(_fold_truth(spark, sf), 500, 20_000))
+    quads = cut(runstats.quadruplets(_fold_truth(spark, sf), QUADRUPLETS, CANDIDATES))
     return rounded(runstats.fold_report(_run_recalls(spark, sf), runstats.selectivity(runs), runstats.reversal_accuracy(quads, runs)), 4)
 
 
-@query(f"WITH {B.RUNS} SELECT fold, true AS consistent, count(DISTINCT (target_id, ligand_id)) AS pairs FROM runs GROUP BY fold")
+@query(f"""WITH {B.RUNS}, t AS (SELECT fold, target_id, ligand_id, count(score) = 0 OR (count(score) = count(*) AND max(score) - min(score) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs(max(score))) AS same FROM runs GROUP BY ALL)
+SELECT fold, bool_and(same) AS consistent, count(*) AS pairs FROM t GROUP BY fold""")
 def truth_consistency(spark, sf):
     return runstats.truth_consistency(B.runs(spark, sf))
 
@@ -599,10 +625,13 @@ def stage_ratios(spark, sf):
 # groups and splits
 
 
-@query(f"""WITH RECURSIVE {LINKS}, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT a, a FROM links UNION SELECT b, b FROM links),
-reach(x, y) AS (SELECT a, b FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y) SELECT x AS node, min(y) AS component FROM reach GROUP BY x""")
+@query(f"""WITH RECURSIVE {LINKS}, c AS (SELECT w, min(id) AS b FROM w GROUP BY w), f AS MATERIALIZED (SELECT a, b FROM links UNION SELECT id, b FROM w JOIN c USING (w)),
+e AS MATERIALIZED (SELECT a, b FROM f UNION SELECT b, a FROM f),
+reach(x, y) AS (SELECT a, b FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y) SELECT x AS node, min(least(x, y)) AS component FROM reach GROUP BY x""")
 def text_components(spark, sf):
-    return components.connected_components(structure.shingle_links(B.texts(spark, sf)), "a", "b")
+    """Components over similarity links and links of one family, here that of equal texts; every text is in one."""
+    texts = B.texts(spark, sf)
+    return components.connected_components(structure.shingle_links(texts).select("a", "b").union(structure.text_classes(texts)), "a", "b")
 
 
 CLUSTERS = "cl AS (SELECT n_nationkey::BIGINT AS target_id, CASE WHEN n_nationkey < 9 THEN 0 ELSE n_nationkey // 2 END::INT AS cluster FROM nation)"
@@ -641,15 +670,19 @@ def family_folds(spark, sf):
     return _folds(spark, sf)
 
 
-@query("SELECT ''::VARCHAR AS rule, ''::VARCHAR AS what WHERE false")
+@query(f"""WITH {FOLDS} SELECT 'held out more than once' AS rule, target_id::VARCHAR AS what FROM folds WHERE role = 'heldout' GROUP BY target_id HAVING count(*) <> 1
+UNION ALL SELECT 'never held out', target_id::VARCHAR FROM families WHERE target_id NOT IN (SELECT target_id FROM folds WHERE role = 'heldout')
+UNION ALL SELECT 'two roles in a fold', fold || '/' || target_id FROM folds GROUP BY fold, target_id HAVING count(*) > 1""")
 def fold_invariants(spark, sf):
     return splits.fold_invariants(_folds(spark, sf), B.families(spark, sf))
 
 
-@query("SELECT doc_id, (row_number() OVER (ORDER BY sha256(doc_id || '|probcal'), doc_id))::INT AS place FROM (SELECT doc_id FROM labels WHERE quality = 1 ORDER BY sha256(doc_id || '|probcal'), doc_id LIMIT 60)")
+@query("""WITH k AS (SELECT doc_id, quality = 1 AS fine, sha256(doc_id || '|probcal') AS h FROM labels), p AS (SELECT doc_id, h, row_number() OVER (ORDER BY h, doc_id) AS place FROM k WHERE fine QUALIFY place <= 60)
+SELECT doc_id, place::INT AS place, false AS failed FROM p UNION ALL
+SELECT doc_id, 0, true FROM k WHERE NOT fine AND ((SELECT count(*) FROM p) < 60 OR (h, doc_id) < (SELECT (h, doc_id) FROM p ORDER BY place DESC LIMIT 1))""")
 def validation_items(spark, sf):
-    rows = splits.salted_sample(B.table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "probcal", 60)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(splits.sample_key(F.col("doc_id"), "probcal"), "doc_id")))
+    """The first 60 documents of good quality in hash order, and those of poor quality met on the way."""
+    return splits.validation_picks(B.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "probcal", 60, "quality = 1")
 
 
 @query(f"WITH {B.CELLS} SELECT CASE target_role WHEN 'train' THEN 'warm' ELSE 'cold' END AS setting, count(*) AS n, count(score) AS valid FROM cells WHERE ligand_role <> 'train' AND target_role IN ('train', 'dev') GROUP BY 1")
@@ -703,12 +736,13 @@ def split_readout(spark, sf):
     return rounded(vectors.split_readout(B.items(spark, sf), B.targets(spark, sf), W3, W3[::-1], BIAS, BIAS, 0.5))
 
 
-@query(f"""WITH {B.ITEMS}, q AS (SELECT "group", ligand_id AS q, v FROM items WHERE ligand_id % 25 = 0), s AS (SELECT q."group", q, k.v, list_inner_product(q.v, k.v) / sqrt(64) AS s FROM q JOIN items k USING ("group")),
+@query(f"""WITH {B.ITEMS}, s AS (SELECT q."group", q.ligand_id AS q, k.v, list_inner_product(q.v, k.v) / sqrt(64) AS s FROM items q JOIN items k USING ("group")),
 e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY "group", q)) AS e FROM s), w AS (SELECT *, e / sum(e) OVER (PARTITION BY "group", q) AS w FROM e),
 x AS (SELECT "group", q, pos, sum(w * v[pos + 1]) AS x FROM w, range(64) AS r(pos) GROUP BY ALL) SELECT "group", pos::INT AS pos, round(avg(x), 5) AS x FROM x GROUP BY ALL""")
 def attention_pool(spark, sf):
+    """Every member of a group asks all its members."""
     items = B.items(spark, sf).select("group", F.col("ligand_id").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    return rounded(vectors.attention(items.where("id % 25 = 0"), items), 5)
+    return rounded(vectors.attention(items, items), 5)
 
 
 @query(f"WITH {KNN} SELECT dst AS node, pos::INT AS pos, round(sum(i.v[pos + 1]), 5) AS x FROM knn JOIN items i ON i.ligand_id = src, range(64) AS r(pos) GROUP BY ALL")
@@ -746,15 +780,91 @@ def training_losses(spark, sf):
     return rounded(vectors.losses(labels.standardised(rows, labels.scaler(pairs))))
 
 
+TOP = """(SELECT target_id, avg(hit::INT) AS share FROM (SELECT target_id, "group" = target_id AS hit, row_number() OVER (PARTITION BY target_id ORDER BY round(logit, 9) DESC, ligand_id) AS rk, count(*) OVER (PARTITION BY target_id) AS n
+  FROM (SELECT t.target_id, i.ligand_id, i."group", list_inner_product(i.v, t.v) AS logit FROM items i, {} t)) WHERE rk <= ceil(0.1::DOUBLE * n) GROUP BY target_id)"""
+
+
+@query(f"""WITH {B.TARGETS}, {B.ITEMS}, st AS (SELECT list(x ORDER BY pos) AS v FROM (SELECT pos, round(avg(v[pos + 1]), 6) AS x FROM items, range(64) AS r(pos) GROUP BY pos)), ct AS (SELECT target_id, st.v FROM targets, st)
+SELECT target_id, round(a.share, 6) AS real, round(b.share, 6) AS constant, round(a.share - b.share, 6) AS gain FROM {TOP.format("targets")} a JOIN {TOP.format("ct")} b USING (target_id)""")
+def constant_target_gain(spark, sf):
+    """How much more of a target's own items its best tenth holds with its own vector than with one vector for all."""
+    items, targets = B.items(spark, sf), B.targets(spark, sf)
+    known = items.select("ligand_id", "group")
+
+    def share(states):
+        scores = vectors.score_pairs(items, states).withColumn("logit", F.round("logit", 9))
+        best = vectors.top_of_scores(scores).hint("merge").join(known, "ligand_id")
+        return best.groupBy("target_id").agg(F.avg((F.col("group") == F.col("target_id")).cast("int")).alias("share"))
+
+    constant = vectors.constant_targets(targets, vectors.mean_vector(items, [], digits=6))
+    return rounded(vectors.constant_gain(share(targets), share(constant), "share"))
+
+
 @query()
 def hit_model(spark, sf):
-    """Fit the hit and score models on products of vectors and return each group's mean probability."""
-    items = B.items(spark, sf)
-    target = B.targets(spark, sf).where("target_id = 0").select(F.col("v").alias("t"))
-    rows = items.crossJoin(F.broadcast(target)).select("ligand_id", "group", F.zip_with("v", "t", lambda x, y: x.cast("double") * y).alias("features"), (F.col("group") == 0).cast("double").alias("y"))
-    rows = cut(rows.withColumn("z", F.aggregate("features", F.lit(0.0), lambda a, x: a + x)))
-    hits, scores = vectors.fit_hits(rows)
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    done = scores.transform(hits.transform(rows.withColumn("_f", array_to_vector("features"))).select("group", "_f", vector_to_array("probability")[1].alias("p_hit")))
-    return rounded(done.groupBy("group").agg(F.count("*").alias("n"), F.avg("p_hit").alias("p_hit"), F.avg("prediction").alias("score_pred")), 4)
+    """One score fitted to hits and to standardised products of vectors together; each target's mean predictions for its own items and for the others."""
+    feature = F.zip_with("v", "t", lambda x, y: x.cast("double") * y)
+    targets = B.targets(spark, sf).select("target_id", F.col("v").alias("t"))
+    rows = vectors.with_every_target(B.items(spark, sf), targets, lambda r: r.select("target_id", "ligand_id", feature.alias("features"), (F.col("group") == F.col("target_id")).cast("int").alias("y")))
+    rows = cut(rows.withColumn("score", -F.aggregate("features", F.lit(0.0), lambda a, x: a + x)))
+    rows = labels.standardised(rows, labels.scaler(rows))
+    done = vectors.predicted(rows, vectors.fit_hits(rows))
+    return rounded(done.groupBy("target_id", "y").agg(F.count("*").alias("n"), F.avg("p_hit").alias("p_hit"), F.avg("score_pred").alias("score_pred"), F.avg("z").alias("z")), 4)
+
+
+# formats of lines, written from the given tables and read back
+
+
+@query("SELECT p_partkey, p_brand, CASE WHEN p_size % 9 <> 0 THEN p_retailprice END AS price FROM part")
+def tsv_scan(spark, sf):
+    """A table written as tab-separated text and read by schema, two columns of four."""
+    path = f"{shared_folder(spark)}/tsv-{uuid.uuid4().hex}"
+    price = F.when(F.col("p_size") % 9 != 0, F.col("p_retailprice"))
+    B.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", price.alias("price")).write.csv(path, sep="\t", header=True)
+    return tables.read_delimited(spark, path, "p_partkey bigint, p_brand string, p_type string, price double", ["p_partkey", "p_brand", "price"])
+
+
+def _structure_lines(spark, sf):
+    """Order lines as structure records: chains stand apart from residues for some suppliers; other records are mixed in."""
+    n = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    name = F.element_at(F.array(*map(F.lit, ("ALA", "HID", "CYX", "MSE", "ZZZ"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    residue = F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("A "), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("U"), F.col("l_partkey").cast("string")))
+    text = lambda c: F.col(c).cast("decimal(18,3)").cast("string")
+    atom = F.concat_ws(" ", F.lit("ATOM"), n.cast("string"), F.when(F.col("l_linenumber") % 2 == 1, "CA").otherwise("CB"), name, residue, text("l_quantity"), text("l_extendedprice"), text("l_discount"), F.lit("1.00 0.00"), text("l_tax"), "l_returnflag")
+    value = F.when(F.col("l_orderkey") % 11 == 0, F.concat(F.lit("REMARK "), atom)).otherwise(atom)
+    return B.table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("target_id"), n.alias("line_no"), value.alias("value"))
+
+
+RECORDS = """rec AS (SELECT l_suppkey::VARCHAR AS target_id, l_orderkey * 10 + l_linenumber AS line_no, CASE WHEN l_linenumber % 2 = 1 THEN 'CA' ELSE 'CB' END AS atom_name,
+  ['ALA', 'HID', 'CYX', 'MSE', 'ZZZ'][l_partkey % 5 + 1] AS res_name, l_partkey::INT AS res_seq, l_quantity AS x, l_extendedprice AS y, l_discount AS z, l_tax AS charge, l_returnflag AS ad_type FROM lineitem WHERE l_orderkey % 11 <> 0)"""
+
+
+@query(f"WITH {RECORDS} SELECT target_id, count(*) AS atoms, count(DISTINCT (res_name, res_seq)) AS residues, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(charge), 3) AS charge, count(*) FILTER (ad_type = 'R') AS r FROM rec GROUP BY target_id")
+def structure_atoms(spark, sf):
+    atoms = structure.parse_atoms(_structure_lines(spark, sf))
+    return rounded(atoms.groupBy("target_id").agg(
+        F.count("*").alias("atoms"), F.count_distinct("res_name", "res_seq").alias("residues"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("charge").alias("charge"), F.count_if(F.col("ad_type") == "R").alias("r")
+    ), 3)
+
+
+@query(f"""WITH {RECORDS}, f AS (SELECT target_id, res_name, min(line_no) AS line_no FROM rec WHERE atom_name = 'CA' GROUP BY target_id, res_name, res_seq)
+SELECT target_id, string_agg(CASE res_name WHEN 'ALA' THEN 'A' WHEN 'HID' THEN 'H' WHEN 'CYX' THEN 'C' WHEN 'MSE' THEN 'M' ELSE 'X' END, '' ORDER BY line_no, res_name) AS sequence FROM f GROUP BY target_id""")
+def residue_sequences(spark, sf):
+    return structure.sequences(structure.parse_atoms(_structure_lines(spark, sf)))
+
+
+@query(f"WITH {B.ATOMS}, {B.BOXES} SELECT target_id::VARCHAR AS target_id, center_x, center_y, center_z, size_x, size_y, size_z FROM boxes")
+def box_settings(spark, sf):
+    """Boxes as lines of names and values, with other lines among them, and back."""
+    lines = F.array(*(F.concat(F.lit(f"{c} = "), F.col(c).cast("string")) for c in structure.BOX), F.lit(""), F.lit("no setting"))
+    rows = B.boxes(spark, sf).select(F.col("target_id").cast("string").alias("target_id"), F.posexplode(lines).alias("line_no", "value"))
+    return structure.parse_boxes(rows)
+
+
+@query("SELECT o_custkey::VARCHAR AS target_id, first(round(o_totalprice, 1) ORDER BY o_orderkey) AS best FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_custkey")
+def result_scores(spark, sf):
+    """The first score line of each whole text; texts without one drop out."""
+    price = F.format_string("REMARK VINA RESULT:   %.1f  0.000", F.round("o_totalprice", 1))
+    line = F.when(F.col("o_orderstatus") != "O", price).otherwise(F.lit("MODEL"))
+    texts = B.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("target_id")).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"])).alias("value"))
+    return structure.first_results(texts)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftrank.functions import scalar as S
+from siftrank.operators import runstats
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, sep: str = "\t") -> DataFrame:
@@ -29,6 +30,19 @@ def read_registries(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("tag", tag).drop("_file")
 
 
+def file_tags(spark: SparkSession, folder: str, prefix: str, ending: str) -> DataFrame:
+    """``tag`` of each file ``<prefix><tag><ending>`` of a folder; files are listed, not read. A folder without any gives an empty table."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*{ending}").load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.substring(name, len(prefix) + 1, F.length(name) - len(prefix) - len(ending)).alias("tag"))
+
+
+def discover_runs(spark: SparkSession, folder: str, schema: str, include_smoke: bool = False) -> DataFrame:
+    """Runs of a folder of ``registry_<tag>.json``, ``metrics_<tag>.csv`` and ``curve_<tag>.csv``: those with all three, missing fields filled in from the tag; see :func:`runstats.discover`."""
+    registries = read_registries(spark, f"{folder}/registry_*.json", schema)
+    return runstats.discover(registries, file_tags(spark, folder, "metrics_", ".csv"), file_tags(spark, folder, "curve_", ".csv"), include_smoke)
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
     """Delimited files with a header; a column of arrays or maps is written as JSON."""
     nested = [F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes]

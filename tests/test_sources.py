@@ -23,6 +23,18 @@ def test_registries(spark, tmp_path):
     assert runstats.discover(runs, tags, tags, include_smoke=True).count() == 2
 
 
+def test_discovery_of_files(spark, tmp_path):
+    for tag, record in (("f0_dual_R0_s11", {"smoke": False}), ("f1_dual_R0_s11", {"fold": 7}), ("f2_dual_R0_s11", {"smoke": True}), ("f3_dual_R0_s11", {}), ("f4_dual_R0_s11", {})):
+        (tmp_path / f"registry_{tag}.json").write_text(json.dumps(record))
+        if tag[1] != "3":
+            (tmp_path / f"metrics_{tag}.csv").write_text("x")
+        if tag[1] != "4":
+            (tmp_path / f"curve_{tag}.csv").write_text("x")
+    found = lambda **kw: sorted(tuple(r) for r in tables.discover_runs(spark, str(tmp_path), "fold int, smoke boolean", **kw).collect())
+    assert found() == [("f0_dual_R0_s11", 0, "dual", "R0", 11), ("f1_dual_R0_s11", 7, "dual", "R0", 11)]
+    assert [r[0] for r in found(include_smoke=True)] == ["f0_dual_R0_s11", "f1_dual_R0_s11", "f2_dual_R0_s11"]
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, float("inf"), [1, 2]), (2, 0.5, None)], "k long, x double, a array<int>")
     tables.write_json(df.drop("a"), str(tmp_path / "j"))
