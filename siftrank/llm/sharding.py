@@ -111,7 +111,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.0005)
     ))
     groups = rows.groupBy("text_key").agg(F.sum("size").alias("group_size"))
     histogram = groups.groupBy("group_size").agg(F.count("*").alias("groups"))
-    runs = cut(histogram.coalesce(1).mapInPandas(_packer(shards, tolerance), "step long, group_size long, shard int, n long"))
+    runs = cut(histogram.repartition(1).mapInPandas(_packer(shards, tolerance), "step long, group_size long, shard int, n long"))
     upto = F.sum("n").over(Window.partitionBy("group_size").orderBy("step"))
     by_size = runs.withColumn("upto", upto).groupBy("group_size").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("runs"))
     numbered = ranked_in(groups, "group_size", F.col("text_key"), "number")
