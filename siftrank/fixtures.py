@@ -41,11 +41,11 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("ligand_id"))
     price = lambda f: F.sum(F.when(F.col("l_returnflag") == f, F.col("l_extendedprice").cast("decimal(18,2)"))).cast("double")
     wide = rows.agg(*(F.try_divide(price(f), F.count_if(F.col("l_returnflag") == f)).alias(f) for f in "ANR"))
-    return wide.withColumn("text_a", F.when(F.col("ligand_id") % 89 == 0, "n/a").otherwise(F.col("A").cast("decimal(18,2)").cast("string")))
+    return wide.withColumn("text_a", F.when(F.col("ligand_id") % 89 == 0, "n/a").otherwise(F.col("A").cast("decimal(18,6)").cast("string")))
 
 
 MATRIX = """matrix AS (
-  SELECT *, CASE WHEN ligand_id % 89 = 0 THEN 'n/a' ELSE "A"::DECIMAL(18,2)::VARCHAR END AS text_a FROM (
+  SELECT *, CASE WHEN ligand_id % 89 = 0 THEN 'n/a' ELSE "A"::DECIMAL(18,6)::VARCHAR END AS text_a FROM (
     SELECT l_partkey AS ligand_id,
       sum(l_extendedprice::DECIMAL(18,2)) FILTER (l_returnflag = 'A')::DOUBLE / count(*) FILTER (l_returnflag = 'A') AS "A",
       sum(l_extendedprice::DECIMAL(18,2)) FILTER (l_returnflag = 'N')::DOUBLE / count(*) FILTER (l_returnflag = 'N') AS "N",

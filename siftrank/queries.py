@@ -443,10 +443,12 @@ def _fold_truth(spark, sf):
 QUADRUPLETS, CANDIDATES = 20_000, 200_000
 QUADS = f"""ft AS (SELECT (target_id % 5)::INT AS fold, target_id, ligand_id, score FROM pairs), ts AS (SELECT fold, list(DISTINCT target_id ORDER BY target_id) AS ts FROM ft GROUP BY fold),
 it AS (SELECT ligand_id, row_number() OVER (ORDER BY ligand_id) - 1 AS k FROM (SELECT DISTINCT ligand_id FROM ft)), nn AS (SELECT count(*) AS n FROM it),
-d1 AS (SELECT fold, c, ts[{H.format("fold || '#' || c || '#a'")} % len(ts) + 1] AS a, ts[{H.format("fold || '#' || c || '#b'")} % len(ts) + 1] AS b, {H.format("fold || '#' || c || '#i'")} % n AS ki, {H.format("fold || '#' || c || '#j'")} % n AS kj FROM range({CANDIDATES}) AS r(c), ts, nn),
-d2 AS (SELECT fold, c, a, b, x.ligand_id AS i, y.ligand_id AS j FROM d1 JOIN it x ON x.k = ki JOIN it y ON y.k = kj WHERE a <> b AND ki <> kj),
-sc AS (SELECT target_id, ligand_id, score FROM ft WHERE score IS NOT NULL),
-d3 AS (SELECT fold, c, a, b, i, j, p.score - q.score AS da, r.score - s.score AS db FROM d2 JOIN sc p ON p.target_id = a AND p.ligand_id = i JOIN sc q ON q.target_id = a AND q.ligand_id = j JOIN sc r ON r.target_id = b AND r.ligand_id = i JOIN sc s ON s.target_id = b AND s.ligand_id = j),
+d1 AS MATERIALIZED (SELECT fold, c, ts[{H.format("fold || '#' || c || '#a'")} % len(ts) + 1] AS a, ts[{H.format("fold || '#' || c || '#b'")} % len(ts) + 1] AS b, {H.format("fold || '#' || c || '#i'")} % n AS ki, {H.format("fold || '#' || c || '#j'")} % n AS kj FROM range({CANDIDATES}) AS r(c), ts, nn),
+d2 AS MATERIALIZED (SELECT fold, c, a, b, x.ligand_id AS i, y.ligand_id AS j FROM (SELECT * FROM d1 WHERE a <> b AND ki <> kj) JOIN it x ON x.k = ki JOIN it y ON y.k = kj),
+sc AS MATERIALIZED (SELECT target_id, ligand_id, score FROM ft WHERE score IS NOT NULL),
+q1 AS MATERIALIZED (SELECT d2.*, score AS ai FROM d2 JOIN sc ON target_id = a AND ligand_id = i), q2 AS MATERIALIZED (SELECT q1.*, score AS aj FROM q1 JOIN sc ON target_id = a AND ligand_id = j),
+q3 AS MATERIALIZED (SELECT q2.*, score AS bi FROM q2 JOIN sc ON target_id = b AND ligand_id = i), q4 AS MATERIALIZED (SELECT q3.*, score AS bj FROM q3 JOIN sc ON target_id = b AND ligand_id = j),
+d3 AS (SELECT fold, c, a, b, i, j, ai - aj AS da, bi - bj AS db FROM q4),
 quads AS MATERIALIZED (SELECT * FROM d3 WHERE abs(da) >= 1 AND abs(db) >= 1 AND sign(da) = -sign(db) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY c) <= {QUADRUPLETS})"""
 
 
@@ -455,9 +457,11 @@ def quadruplets(spark, sf):
     return rounded(runstats.quadruplets(_fold_truth(spark, sf), QUADRUPLETS, CANDIDATES))
 
 
-REV = """rv AS (SELECT q.fold, pai.cond, pai.seed, unnest([a, b]) AS target_id, (sign(pai.logit - paj.logit) = -sign(da) AND sign(pbi.logit - pbj.logit) = -sign(db))::INT AS ok FROM quads q
-  JOIN runs pai ON pai.target_id = a AND pai.ligand_id = i JOIN runs paj ON paj.target_id = a AND paj.ligand_id = j AND paj.cond = pai.cond AND paj.seed = pai.seed
-  JOIN runs pbi ON pbi.target_id = b AND pbi.ligand_id = i AND pbi.cond = pai.cond AND pbi.seed = pai.seed JOIN runs pbj ON pbj.target_id = b AND pbj.ligand_id = j AND pbj.cond = pai.cond AND pbj.seed = pai.seed),
+REV = """r1 AS MATERIALIZED (SELECT q.*, cond, seed, logit AS ai FROM quads q JOIN runs ON target_id = a AND ligand_id = i),
+r2 AS MATERIALIZED (SELECT q.*, logit AS aj FROM r1 q JOIN runs r ON r.target_id = a AND r.ligand_id = j AND r.cond = q.cond AND r.seed = q.seed),
+r3 AS MATERIALIZED (SELECT q.*, logit AS bi FROM r2 q JOIN runs r ON r.target_id = b AND r.ligand_id = i AND r.cond = q.cond AND r.seed = q.seed),
+r4 AS MATERIALIZED (SELECT q.*, logit AS bj FROM r3 q JOIN runs r ON r.target_id = b AND r.ligand_id = j AND r.cond = q.cond AND r.seed = q.seed),
+rv AS (SELECT fold, cond, seed, unnest([a, b]) AS target_id, (sign(ai - aj) = -sign(da) AND sign(bi - bj) = -sign(db))::INT AS ok FROM r4),
 rev AS (SELECT fold, cond, seed, target_id, count(*) AS quads, avg(ok) AS accuracy FROM rv GROUP BY ALL)"""
 
 
