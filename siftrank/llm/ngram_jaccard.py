@@ -14,7 +14,8 @@ Every pair that shares a band lies in one component, and every pair of a compone
 finds is not lost again. Band and row counts follow from the target recall at the threshold (:func:`bands_for`).
 
 Nulls and empty texts have no n-grams: each is a class of its own with no links. A text of fewer than ``n`` words is one
-n-gram. Repeated rows with one ``doc_id`` count as one document. An empty table gives an empty result. Extra columns are ignored.
+n-gram. Repeated rows with one ``doc_id`` count as one document, and all rows
+with a null ``doc_id`` as one more, which has no class but its own. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

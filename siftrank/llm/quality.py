@@ -5,7 +5,7 @@ into the model, which gives every document its perplexity for each character. Th
 text like the trusted text is kept whatever its language. A document is kept if its perplexity is at most its language's threshold.
 
 Null and empty texts have a null perplexity and are not kept. A language (null is one) without held-out trusted documents takes the threshold over all languages; without
-any, all that has a perplexity is kept. Repeated rows are judged alike. An empty table gives an empty result. Extra columns are ignored.
+any, all that has a perplexity is kept. Repeated rows are judged alike; a row with a null ``doc_id`` is judged by its text and teaches nothing, since no label is its own. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from siftrank.llm import kneser_ney as K
 from siftrank.llm.toxicity import part, with_labels
+from siftrank.operators.numbering import broadcast_small
 from siftrank.sources.checkpoints import cut
 
 ORDER = 5
@@ -45,7 +46,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mode
     by_lang = fresh.groupBy("lang").agg(at)
     overall = fresh.agg(at.alias("any"))
     return (
-        rows.join(F.broadcast(by_lang.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l")), "left").crossJoin(F.broadcast(overall))
+        rows.join(broadcast_small(cut(by_lang.withColumnRenamed("lang", "l"))), F.col("lang").eqNullSafe(F.col("l")), "left").crossJoin(F.broadcast(overall))
         .withColumn("threshold", F.coalesce("own", "any", F.lit(float("inf"))))
         .select("doc_id", "lang", "chars", "perplexity", "threshold", F.coalesce((F.col("perplexity") <= F.col("threshold")).cast("int"), F.lit(0)).alias("keep"))
     )

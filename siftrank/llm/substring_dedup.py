@@ -7,7 +7,7 @@ its surroundings, so ``min_words`` is less than the length of the passages sough
 
 A unit that a third of all documents share is one row after the pre-aggregation; the join that marks its occurrences is a skewed merge join, which adaptive execution splits.
 
-Null and empty texts have no units. Repeated rows with one ``doc_id`` have units at the same places, which count once. An empty table gives an empty result. Extra columns are
+Null and empty texts have no units. Rows with a null ``doc_id`` take no part: they have no place in the order. Repeated rows with one ``doc_id`` have units at the same places, which count once. An empty table gives an empty result. Extra columns are
 ignored by :func:`repeated_passages`. A text without line breaks and sentence ends is one unit, however long.
 """
 

@@ -7,7 +7,8 @@ of its path. Of the active patterns that match, the longest decides.
 The join is an equality join on the pattern, with the interval as a condition: a host with a third of all captures is a skewed side of a merge join, which adaptive execution splits; the intervals are read back from the shared folder, so that the join has plain shuffles on both sides. Nothing is broadcast.
 
 Null and malformed URLs have no host and no match; captures without a fetch time match nothing. Entries with a null pattern or time are ignored; of entries of one pattern at one time the
-strictest holds (block, allow, remove). Repeated captures each get their row. Empty lists match nothing. Extra columns of captures are kept out of the result.
+strictest holds (block, allow, remove). A verdict depends on URL and time only, so captures with a null or a repeated key are judged like any other, and repeated captures each get their row. Empty lists match nothing; an empty
+table of captures gives an empty result. Extra columns of captures and entries are kept out of the result.
 """
 
 from __future__ import annotations
@@ -33,23 +34,25 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.withColumn("until", until).where(F.col("action").isin("block", "allow")).select("pattern", "action", F.col("effective").alias("since"), "until")
 
 
-def candidates(captures: DataFrame, key: str) -> DataFrame:
-    """``(key, fetched, pattern)``: every pattern that could match a capture."""
+def candidates(captures: DataFrame) -> DataFrame:
+    """``(url, fetched, pattern)``: every pattern that could match a capture; captures of one URL at one time are one."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     segment = F.regexp_extract("url", SEGMENT, 1)
     patterns = F.when(segment != "", F.concat(suffixes, F.array(F.concat_ws("/", "host", segment)))).otherwise(suffixes)
-    return captures.withColumn("host", host()).where("host <> '' AND fetched IS NOT NULL").select(key, "fetched", F.explode(patterns).alias("pattern"))
+    once = captures.where("url IS NOT NULL AND fetched IS NOT NULL").select("url", "fetched").distinct()
+    return once.withColumn("host", host()).where("host <> ''").select("url", "fetched", F.explode(patterns).alias("pattern"))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """``key, host, fetched, verdict, pattern, since`` of each capture; the verdict is block, allow or none."""
     active = (
-        candidates(captures, key).distinct().hint("merge").join(stored(intervals(entries)), "pattern")
+        candidates(captures).hint("merge").join(stored(intervals(entries)), "pattern")
         .where("since <= fetched AND (until IS NULL OR fetched < until)")
-        .groupBy(key, "fetched").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action", "since")).alias("best"))
+        .groupBy("url", "fetched").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action", "since")).alias("best"))
     )
-    joined = captures.select(key, F.nullif(host(), F.lit("")).alias("host"), "fetched").hint("merge").join(active, [key, "fetched"], "left")
+    # read back, so that a URL with a third of all captures is a skewed side of a plain join
+    joined = captures.select(key, "url", F.nullif(host(), F.lit("")).alias("host"), "fetched").hint("merge").join(stored(active), ["url", "fetched"], "left")
     return joined.select(key, "host", "fetched", F.coalesce("best.action", F.lit("none")).alias("verdict"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since"))
 
 

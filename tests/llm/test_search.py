@@ -42,6 +42,26 @@ def test_nearest_recall_and_ties(spark, monkeypatch):
     assert tied == [i for i in range(100, 122) if i != 120][:20]
 
 
+def test_nearest_over_several_cells(spark, monkeypatch):
+    """Recall over many cells, rows and queries in several blocks, most queries in one cell, extra columns: against brute force."""
+    for name, value in (("CELL", 150), ("BLOCK", 20), ("LEAF", 32)):
+        monkeypatch.setattr(nearest, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 16)) * np.linspace(2, 0.2, 16)
+    x[::20][:60] = x[0] + rng.standard_normal((60, 16)) * 0.01
+    df = spark.createDataFrame([(i, v.tolist(), i, -1, "c") for i, v in enumerate(x)], "vec_id long, embedding array<double>, cell int, rank int, v string")
+    got = {}
+    for r in nearest.search(df).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hits = 0
+    for q in range(0, 2000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(got[q]) & set(np.argsort(-s, kind="stable")[:20].tolist()))
+        assert len(got[q]) == 20 and all(v == pytest.approx(s[i], rel=1e-12) for i, v in got[q].items())
+    assert hits >= 0.9 * 2000
+
+
 def test_nearest_takes_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 2.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in nearest.search(df).orderBy("query_id", "rank").collect()] == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
@@ -63,6 +83,49 @@ def test_url_lists(spark):
     assert {r.page_id: (r.verdict, r.pattern) for r in got.collect()} == {1: ("block", "b.example.com"), 2: ("allow", "a.b.example.com/x"), 3: ("none", None), 4: ("none", None), 5: ("none", None), 6: ("block", "other.org")}
 
 
+def test_url_lists_with_null_and_repeated_keys(spark):
+    """Verdicts go by URL and time: null keys, one key with two URLs, repeated rows, clashing columns; and empty tables."""
+    t = datetime(2024, 1, 1)
+    url = "https://b.example.com/x"
+    captures = [(None, url, t), (None, "https://free.org/", t), (7, url, t), (7, "https://free.org/", t), (7, url, t)]
+    entries = spark.createDataFrame([("b.example.com", "block", t - timedelta(1), "x", 1)], "pattern string, action string, effective timestamp, url string, fetched int")
+    df = spark.createDataFrame([(*c, "a", "h", 3) for c in captures], "page_id long, url string, fetched timestamp, action string, host string, best int")
+    got = sorted(((r.page_id is None, r.host, r.verdict) for r in url_lists.evaluate(df, entries, "page_id").collect()), key=str)
+    assert got == sorted([(True, "b.example.com", "block"), (True, "free.org", "none"), (False, "b.example.com", "block"), (False, "b.example.com", "block"), (False, "free.org", "none")], key=str)
+    assert url_lists.evaluate(df.limit(0), entries, "page_id").count() == 0
+    assert {r.verdict for r in url_lists.evaluate(df, entries.limit(0), "page_id").collect()} == {"none"}
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_lists.evaluate(url_lists.dated_pages(pages), url_lists.dated_entries(pages), "page_id").count() == 0
+
+
+def plain_best_fit(sizes, capacity, shards):
+    """Best-fit decreasing, one group after the other over a plain list of shards."""
+    room = [capacity] * shards
+    for s in sorted(sizes, reverse=True):
+        fits = [(r, k) for k, r in enumerate(room) if r >= s]
+        if not fits:
+            return None
+        room[min(fits)[1]] -= s
+    return sorted(room)
+
+
+def test_runs_of_equal_groups_pack_like_single_groups():
+    """The packing of the histogram against best-fit decreasing over single groups."""
+    rng = random.Random(8)
+    for _ in range(200):
+        sizes = [rng.choice((1, 2, 3, 5, 8, 13)) for _ in range(rng.randint(1, 40))]
+        shards, capacity = rng.randint(1, 6), rng.randint(10, 60)
+        histogram = sorted({s: sizes.count(s) for s in sizes}.items(), reverse=True)
+        runs = sharding.best_fit(histogram, capacity, shards)
+        want = plain_best_fit(sizes, capacity, shards)
+        assert (runs is None) == (want is None)
+        if runs is not None:
+            room = [capacity] * shards
+            for size, shard, n in runs:
+                room[shard] -= size * n
+            assert sorted(room) == want and min(room) >= 0
+
+
 def test_shards(spark):
     rows = corpus()
     got = sharding.shard_by_bytes(frame(spark), shards=5).collect()
@@ -183,6 +246,15 @@ def test_a_seed_that_many_items_share(spark, monkeypatch):
         assert decontamination.contaminated(df, bench).orderBy("doc_id", "item_id").collect() == want
 
 
+def test_decontamination_with_clashing_columns(spark):
+    rng = random.Random(7)
+    leak = prose(rng, 30)
+    bench = spark.createDataFrame([(1, leak, 5, "x"), (1, leak, 6, "y")], "item_id long, text string, doc_id long, score string")
+    df = spark.createDataFrame([(3, leak, 1, "s"), (None, leak, 2, "s"), (None, leak + " more", 2, "s"), (4, None, 2, "s"), (5, "", 1, "t")], "doc_id long, text string, item_id long, gram string")
+    got = {(r.doc_id, r.item_id, r.score) for r in decontamination.contaminated(df, bench).collect()}
+    assert got == {(3, 1, 1.0), (None, 1, 1.0)}
+
+
 def test_indices_above_single_precision():
     keys = A.mix(np.arange(1, 1001, dtype=np.uint64))
     values = np.arange(17_000_000, 17_001_000, dtype=np.int64)
