@@ -18,17 +18,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; the models learn from the labelled ones."""
+    """Documents that are not predicted toxic; the models learn from the labelled ones.
+
+    Each row is judged by its text, whatever its ``doc_id``: rows without one, repeated rows and different texts under one id too. Null and empty texts have no toxic words and stay. Without labels of
+    both classes all stay. An empty table gives an empty one.
+    """
     return toxicity.ordinary(docs.select(*COLUMNS), _table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that resemble an earlier line; a document that loses all its words goes."""
+    """Documents without the lines that resemble an earlier line; a document that loses all its words goes.
+
+    Ties do not occur: lines are in the order of ``(doc_id, line)``. Rows without a ``doc_id`` have no place in it and stay as they are, as do null and empty texts. Repeated rows of one id are the same lines:
+    they all stay, or lose the same ones. An empty table gives an empty one.
+    """
     return line_dedup.remove_lines(docs, line_dedup.duplicate_lines(docs, min_words=1))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each class of near duplicates, once; rows without a ``doc_id`` stay as they are."""
+    """The least document of each class of near duplicates, once.
+
+    Rows without a ``doc_id`` stay as they are. Null and empty texts are classes of their own. Of repeated rows of one id one stays. An empty table gives an empty one.
+    """
     classes = ngram_jaccard.jaccard_join(docs)
     kept = classes.where("doc_id = class_id").select("doc_id")
     named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).hint("merge").join(kept, "doc_id", "left_semi")
@@ -36,13 +47,26 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that copy or paraphrase no benchmark item."""
-    found = decontamination.contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).hint("merge").join(found, "doc_id", "left_anti")
+    """Documents that copy or paraphrase no benchmark item.
+
+    Null and empty texts copy nothing and stay. Repeated rows of one ``doc_id`` stay or go together. Rows without an id are judged by their texts. An empty table, or an empty benchmark, takes nothing away.
+    """
+    docs, benchmark = docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark")
+    found = decontamination.contaminated(docs.where("doc_id IS NOT NULL"), benchmark).select("doc_id").distinct()
+    kept = docs.where("doc_id IS NOT NULL").hint("merge").join(found, "doc_id", "left_anti").select(*COLUMNS)
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return kept
+    own = nameless.withColumn("key", F.xxhash64("text"))
+    bad = decontamination.contaminated(own.select(F.col("key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("key")).distinct()
+    return kept.unionByName(own.hint("merge").join(bad, "key", "left_anti").select(*COLUMNS))
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document, as piece ids."""
+    """Two sampled segmentations of each document, as piece ids, with ``n_pieces``.
+
+    Rows of one ``doc_id`` and text get the same draws, rows without an id draw alike too. Null and empty texts have one segmentation without pieces. An empty table gives an empty one.
+    """
     return pieces.encode(docs).withColumn("n_pieces", F.size("ids"))
 
 
