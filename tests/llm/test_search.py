@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftrank.llm import arrays as A
@@ -287,6 +288,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in out.collect()} == kept[3] and all(r.round_trip for r in out.collect())
 
 
+def test_pipeline_stages_take_awkward_tables(spark, tmp_path):
+    """Null ids, repeated rows, clashing columns and empty tables, stage by stage."""
+    rng = random.Random(12)
+    leak, other = prose(rng, 40), prose(rng, 40)
+    spark.createDataFrame([(i, 1, i % 2) for i in range(1000, 1400)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, " ".join([*words(rng, 30), *(["grobwort"] * 3 if i % 2 else [])]), "en", "s", 1) for i in range(1000, 1400)]
+    extra = [(None, leak, "en", "s", 1), (None, other, None, None, None), (None, None, "en", "s", None), (60, "", "en", "s", 0), (61, None, None, None, None), (62, leak, "en", "s", 1), (62, leak, "en", "s", 1)]
+    df = frame(spark, rows + extra)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        if name != "gumbel_pieces":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+        got = [(r.doc_id, r.text) for r in out.select("doc_id", F.col("text") if "text" in out.columns else F.lit("").alias("text")).collect()]
+        if name == "toxicity":
+            assert len([i for i, _ in got if i is None]) == 3 and {60, 61, 62} <= {i for i, _ in got}
+        if name == "line_dedup":
+            assert sorted(t or "" for i, t in got if i is None) == sorted(["", leak, other]) and {60, 61} <= {i for i, _ in got}
+        if name == "ngram_jaccard":
+            assert [i for i, _ in got].count(62) == 1 and len([i for i, _ in got if i is None]) == 3 and {60, 61} <= {i for i, _ in got}
+        if name == "decontamination":
+            assert sorted(t or "" for i, t in got if i is None) == sorted(["", other]) and 62 not in {i for i, _ in got} and {60, 61} <= {i for i, _ in got}
+        if name == "gumbel_pieces":
+            assert len([i for i, _ in got if i == 62]) == 4 and len([i for i, _ in got if i == 60]) == 1
+
+
 def test_url_query_equals_sql(spark):
     from pathlib import Path
 
