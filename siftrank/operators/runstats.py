@@ -80,7 +80,7 @@ def quadruplets(truth: DataFrame, per_fold: int, candidates: int, gap: float = 1
     """
     lists = truth.groupBy("fold").agg(F.sort_array(F.collect_set("target_id")).alias("ts"))
     items = truth.select("ligand_id").distinct()
-    items = stored(numbered_within(items, [], ["ligand_id"], "k"))
+    items = numbered(items, "ligand_id")
     n = items.agg(F.count("*").alias("n"))
     draws = truth.sparkSession.range(candidates).withColumnRenamed("id", "c").crossJoin(broadcast_small(lists)).crossJoin(F.broadcast(n))
     key = lambda what: F.concat_ws("#", F.col("fold").cast("string"), F.col("c").cast("string"), F.lit(what))
@@ -127,13 +127,13 @@ def resamples(n: int, draws: int, seed: int, spark) -> DataFrame:
 
 
 def numbered(values: DataFrame, key: str) -> DataFrame:
-    """Number the targets from 0 in key order; there is a row for each target, not for each item."""
-    return values.withColumn("k", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    """Number the targets from 0 in key order, as a stored table."""
+    return stored(numbered_within(values, [], [key], "k"))
 
 
 def bootstrap(values: DataFrame, column: str, draws: int = 5000, seed: int = 0) -> DataFrame:
     """``n, mean, low, high, p_positive``: percentile bootstrap of the mean over targets; nulls do not count."""
-    rows = stored(numbered(values.select("target_id", column), "target_id"))
+    rows = numbered(values.select("target_id", column), "target_id")
     n = rows.count()
     if not n:
         return values.sparkSession.createDataFrame([(0, None, None, None, None)], "n long, mean double, low double, high double, p_positive double")
@@ -144,7 +144,7 @@ def bootstrap(values: DataFrame, column: str, draws: int = 5000, seed: int = 0)
 
 def ratio_bootstrap(values: DataFrame, a: str, b: str, draws: int = 5000, seed: int = 1) -> DataFrame:
     """``ratio, low, high`` of two macro means, with the same resamples for both."""
-    rows = stored(numbered(values.select("target_id", a, b), "target_id"))
+    rows = numbered(values.select("target_id", a, b), "target_id")
     n = rows.count()
     means = resamples(n, draws, seed, values.sparkSession).join(broadcast_small(rows, 1_000_000), "k").groupBy("b").agg(F.try_divide(exact_mean(a), exact_mean(b)).alias("m"))
     spread = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.functions import scalar as S
-from siftrank.operators.numbering import broadcast_small
+from siftrank.operators.numbering import broadcast_small, numbered_within
 from siftrank.sources.checkpoints import stored
 
 TARGETS_PER_BLOCK = 4096
@@ -149,16 +149,19 @@ def attention(queries: DataFrame, keys: DataFrame) -> DataFrame:
     return parts.groupBy("group", "pos").agg(F.avg("x").alias("x"))
 
 
-def ring_edges(spark, n: int = 256, k: int = 16) -> DataFrame:
-    """``src, dst``: each node of a ring to its next ``k``."""
-    return spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step")).select("src", ((F.col("src") + F.col("step")) % n).alias("dst"))
+def ring_edges(nodes: DataFrame, key: str, k: int = 16) -> DataFrame:
+    """``src, dst``: the nodes, in key order, as a ring, each with its next ``k``."""
+    placed = stored(numbered_within(nodes.select(key), [], [key], "i"))
+    n = placed.count()
+    steps = placed.select(F.col(key).alias("src"), F.explode(F.sequence(F.col("i") + 1, F.col("i") + k)).alias("next")).select("src", (F.col("next") % max(n, 1)).alias("i"))
+    return steps.hint("merge").join(placed.select("i", F.col(key).alias("dst")), "i").select("src", "dst")
 
 
 def cycled(rows: DataFrame, key: str, p: int) -> DataFrame:
     """The rows, in key order, repeated until there are ``p``: ``i, ...``."""
-    numbered = rows.withColumn("_k", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
-    n = rows.count()
-    return rows.sparkSession.range(p).withColumnRenamed("id", "i").withColumn("_k", F.col("i") % max(n, 1)).join(broadcast_small(numbered), "_k").drop("_k")
+    placed = stored(numbered_within(rows, [], [key], "_k"))
+    n = placed.count()
+    return rows.sparkSession.range(p).withColumnRenamed("id", "i").withColumn("_k", F.col("i") % max(n, 1)).join(broadcast_small(placed), "_k").drop("_k")
 
 
 def cache_counts(requests: DataFrame) -> DataFrame:

@@ -765,9 +765,10 @@ def constant_state(spark, sf):
     return rounded(vectors.mean_vector(B.items(spark, sf), []).select(F.posexplode("v").alias("pos", "x")), 5)
 
 
-@query('SELECT i AS src, (i + k) % (SELECT count(*) FROM nation) AS dst FROM range((SELECT count(*) FROM nation)) AS r(i), range(1, 5) AS s(k)')
+@query("""WITH n AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier)
+SELECT a.id AS src, b.id AS dst FROM n a CROSS JOIN range(1, 17) AS s(k) JOIN n b ON b.i = (a.i + k) % a.n""")
 def ring_edges(spark, sf):
-    return vectors.ring_edges(spark, B.table(spark, sf, "nation").count(), 4)
+    return vectors.ring_edges(B.table(spark, sf, "supplier"), "s_suppkey")
 
 
 @query(f"WITH {B.PAIRS} SELECT count(DISTINCT target_id) AS misses, count(*) - count(DISTINCT target_id) AS hits FROM pairs")
