@@ -11,7 +11,7 @@ from siftrank.llm import decontamination, line_dedup, nearest, ngram_jaccard, pi
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return substring_dedup.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), substring_dedup.MIN_WORDS, take_in=True)
 
 
 def op2_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

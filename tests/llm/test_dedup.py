@@ -1,13 +1,14 @@
 """Operators 1, 6 and 10 against brute force."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
 from siftrank.llm import line_dedup, ngram_jaccard, queries, substring_dedup
-from tests.llm.fixtures import DOCS, corpus, frame
+from tests.llm.fixtures import DOCS, corpus, frame, prose
 
 
 def unique_docs(rows):
@@ -185,6 +186,43 @@ def test_substring_dedup_equals_brute_force(spark):
         assert sum(e - b for b, e in pieces[i]) + sum(e - b for b, e in cut) == len(text or "")
 
 
+def test_lengthened_passages_equal_brute_force(spark):
+    """Passages put into the middle of sentences, lengthened into the units beside them: against plain loops over words."""
+    rng = random.Random(11)
+    shared = [prose(rng, 40) for _ in range(4)]
+    docs = {i: prose(rng, rng.randint(15, 40))[:-1] + " " + rng.choice(("", "a b ")) + rng.choice(shared) + " " + prose(rng, rng.randint(5, 30)) for i in range(30)}
+    docs |= {i: None for i in (40, 41)} | {50: "", 51: shared[0], 52: "x" * 70_000 + " b c d. " + shared[1]}
+    split, seen, want = {}, {}, {}
+    for i, text in docs.items():
+        own = []
+        for b, e, w in brute_units(text or ""):
+            at = [m.span() for m in re.finditer(r"\S+", text[b:e])]
+            own.append((b, e, w, [(b + x, b + y) for x, y in at]))
+        split[i] = own
+    for i in sorted(docs):
+        runs = []
+        for k, (b, e, w, _) in enumerate(split[i]):
+            j, m = seen.setdefault(tuple(w), (i, k))
+            if (j, m) == (i, k):
+                continue
+            left = right = 0
+            for count in (4, 8):
+                x, y = (split[i][k - 1] if k else None), (split[j][m - 1] if m else None)
+                if x and y and min(len(x[2]), len(y[2])) >= count and x[2][-count:] == y[2][-count:]:
+                    left, b = count, x[3][-count][0]
+                x, y = (split[q][z + 1] if z + 1 < len(split[q]) else None for q, z in ((i, k), (j, m)))
+                if x and y and min(len(x[2]), len(y[2])) >= count and x[2][:count] == y[2][:count]:
+                    right, e = count, x[3][count - 1][1]
+            if not (runs and runs[-1][-1][0] == k - 1):
+                runs.append([])
+            runs[-1].append((k, b, e, len(w), left, right, j))
+        want[i] = {(i, r[0][1], r[-1][2], sum(x[3] for x in r) + r[0][4] + r[-1][5], len(r), min(x[6] for x in r)) for r in runs}
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs.items()], DOCS).repartition(3)
+    df = df.withColumn("edge", df["lang"]).withColumn("reach", df["lang"]).withColumn("left", df["lang"])
+    got = {(r.doc_id, r.begin, r.end, r.words, r.units, r.first_doc_id) for r in substring_dedup.repeated_passages(df, 20, take_in=True).collect()}
+    assert got == {x for rows in want.values() for x in rows if x[3] >= 20} and any(x[3] > 35 for x in got)
+
+
 @pytest.mark.parametrize("f", [line_dedup.duplicate_lines, ngram_jaccard.jaccard_join, substring_dedup.repeated_passages])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], DOCS)).count() == 0
