@@ -27,11 +27,12 @@ def write_labels(cells: DataFrame, path: str) -> None:
     cells.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target_role", "ligand_role").parquet(path)
 
 
-def read_labels(spark: SparkSession, path: str, target_role: str, ligand_role: str, allow_test: bool = False) -> DataFrame:
-    """One cell, pruned to its partition. Test roles raise unless they are allowed."""
+def read_labels(spark: SparkSession, path: str, target_role: str, ligand_role: str, allow_test: bool = False, schema=None) -> DataFrame:
+    """One cell, pruned to its partition. Test roles raise unless they are allowed. With a schema no file is opened to find one."""
     if not allow_test and "test" in (target_role, ligand_role):
         raise PermissionError("test cells are closed")
-    return spark.read.parquet(path).where((F.col("target_role") == target_role) & (F.col("ligand_role") == ligand_role))
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path).where((F.col("target_role") == target_role) & (F.col("ligand_role") == ligand_role))
 
 
 def json_rows(df: DataFrame) -> DataFrame:

@@ -56,8 +56,9 @@ def run_discovery(spark, sf):
 def label_store(spark, sf):
     """Write the cells by role, then read them back."""
     path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
-    lifecycle.write_labels(B.cells(spark, sf), path)
-    parts = [lifecycle.read_labels(spark, path, t, i, allow_test=True) for t in ("train", "dev", "test") for i in ("train", "val", "test")]
+    cells = B.cells(spark, sf)
+    lifecycle.write_labels(cells, path)
+    parts = [lifecycle.read_labels(spark, path, t, i, allow_test=True, schema=cells.schema) for t in ("train", "dev", "test") for i in ("train", "val", "test")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
