@@ -20,10 +20,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    shared_folder(spark)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files, so that a lost executor costs a read."""
     shared_folder(df.sparkSession)
