@@ -32,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A step's taken edges are bits of one number.
 MOST = 62
 SPACE = 0x2581
+#: What the table of pieces gives for characters that only end a longer piece, and for those that end none.
+ENDING, NONE = -1, -2
 BYTE_LOG_P = -12.0
 SCHEMA = "doc_id long, draw int, log_prob double, perturbed double, log_inclusion double, round_trip boolean, ids array<int>"
 
@@ -48,20 +50,27 @@ def vocabulary(path: str) -> dict:
     byte = [next(i for i in range(size) if text[i] == f"<0x{b:02X}>") for b in range(256)]
     rank = np.argsort(np.argsort([-model.get_score(i) for i in plain], kind="stable"))
     weight = 1.0 / (rank + 2.0)
-    log_p = np.full(size, -np.inf)
+    log_p = np.full(len(text), -np.inf)
     log_p[plain] = np.log(weight / weight.sum())
     points = [np.frombuffer(text[i].encode("utf-32-le"), np.uint32) for i in plain]
-    ends = np.cumsum([len(p) for p in points])
-    keys = A.span_hash(np.concatenate(points), ends - [len(p) for p in points], ends)
-    longest = max(map(len, points))
+    size = np.array([len(p) for p in points])
+    ends = np.cumsum(size)
+    # every ending of a piece, so that a search from short to long pieces can stop where no piece ends like that
+    owner = np.repeat(np.arange(len(plain)), size)
+    length = np.arange(1, len(owner) + 1) - np.repeat(ends - size, size)
+    keys = A.span_hash(np.concatenate(points), ends[owner] - length, ends[owner])
+    order = np.lexsort((length != size[owner], keys))
+    first = order[np.concatenate([[True], keys[order][1:] != keys[order][:-1]])]
+    found = np.where(length == size[owner], np.array(plain)[owner], ENDING)[first].astype(np.int32)
+    longest = int(size.max())
     if longest > MOST:
         raise ValueError(f"the model has a piece of {longest} characters; at most {MOST} can be told apart")
-    raw = [b""] * size
+    raw = [b""] * len(text)
     for i in plain:
         raw[i] = text[i].replace(chr(SPACE), " ").encode()
     for b, i in enumerate(byte):
         raw[i] = bytes([b])
-    return {"table": HashTable(keys, np.array(plain, np.int32)), "longest": longest, "log_p": log_p, "bytes": np.array(byte, np.int32), "raw": raw}
+    return {"table": HashTable(keys[first], found), "longest": longest, "log_p": log_p, "bytes": np.array(byte, np.int32), "raw": raw}
 
 
 def _uniform(*parts: np.ndarray) -> np.ndarray:
@@ -73,67 +82,83 @@ def _uniform(*parts: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """The lattices of different words, laid end to end. Node ``p`` is the end of a prefix; an edge is a piece before it. Of each edge: the log of its share at its node, of the others' share, and the share up to it."""
+    """The lattices of different words, laid end to end. Node ``p`` is the end of a prefix; its edges, pieces before it from short to long, are ``edge[p]`` to ``edge[p + 1]``.
+
+    Each edge has the width and the id of its piece (-1 for bytes), the log of its share at its node, that of the others' share, and the shares up to it.
+    """
 
     def __init__(self, points: np.ndarray, spans: A.Spans, start: np.ndarray, end: np.ndarray, vocab: dict) -> None:
-        table = vocab["table"]
         size = end - start
         first = np.concatenate([[0], np.cumsum(size + 1)])
         self.begin, self.end = first[:-1], first[:-1] + size
-        n = first[-1]
+        n = int(first[-1])
         depth = np.arange(n) - np.repeat(self.begin, size + 1)
         source = np.repeat(start, size + 1) + depth
-        width = self.width = int(min(vocab["longest"], size.max(initial=1)))
-        edges = np.minimum(depth, width)
-        last = np.cumsum(edges)
-        # the edge of w characters into node p is at base[p] + w
-        self.base = last - edges - 1
-        self.edges = edges
-        score, self.id = np.full(last[-1] if n else 0, -np.inf, np.float32), np.full(last[-1] if n else 0, -1, np.int32)
+        node, width, ids, score = self._pieces(points, spans, depth, source, vocab)
+        # edges by the depth of their nodes, so that those of one depth are one slice
+        order = np.lexsort((width, node, depth[node]))
+        node, width, score = node[order], width[order], score[order]
+        new = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(node)))
+        log_share, alpha = np.zeros(len(node)), np.zeros(n)
+        cuts = np.searchsorted(depth[node[new]], np.arange(1, int(size.max(initial=0)) + 2))
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if x == y:
+                continue
+            low, high = new[x], new[y] if y < len(new) else len(node)
+            begin, times = new[x:y] - low, count[x:y]
+            value = score[low:high] + alpha[node[low:high] - width[low:high]]
+            top = np.maximum.reduceat(value, begin)
+            value -= np.repeat(top, times)
+            whole = np.log(np.add.reduceat(np.exp(value), begin))
+            alpha[node[new[x:y]]] = top + whole
+            log_share[low:high] = value - np.repeat(whole, times)
+        # what comes before and after each edge, so that a small rest is no difference of large sums
+        share = np.exp(log_share)
+        before, after = np.zeros(len(node)), np.zeros(len(node))
+        for k in range(1, int(count.max(initial=0))):
+            many = np.flatnonzero(count > k)
+            at = new[many] + k
+            before[at] = before[at - 1] + share[at - 1]
+            at = new[many] + count[many] - 1 - k
+            after[at] = after[at + 1] + share[at + 1]
+        with np.errstate(divide="ignore"):
+            others = np.log(before + after)
+        upto = before + share
+        upto[new + count - 1] = np.inf
+        self.edge = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=n))]).astype(np.int64)
+        back = np.argsort(node, kind="stable")
+        self.id, self.width, self.log_share, self.log_others, self.upto = ids[order][back], width[back], log_share[back], others[back], upto[back]
+        self.most = int(count.max(initial=1))
+
+    def _pieces(self, points: np.ndarray, spans: A.Spans, depth: np.ndarray, source: np.ndarray, vocab: dict) -> tuple[np.ndarray, ...]:
+        """The edges of all nodes: node, width, piece id and score. A character that no piece of one character is becomes bytes."""
+        parts = []
         at = np.flatnonzero(depth >= 1)
-        for w in range(1, width + 1):
+        alone = np.zeros(len(depth), bool)
+        alone[at] = True
+        for w in range(1, vocab["longest"] + 1):
             at = at[depth[at] >= w]
-            got = table.find(spans.hash(source[at] - w, source[at]), -1)
+            if not len(at):
+                break
+            got = vocab["table"].find(spans.hash(source[at] - w, source[at]), NONE)
             hit = np.flatnonzero(got >= 0)
-            ids, cell = got[hit], self.base[at[hit]] + w
-            self.id[cell], score[cell] = ids, vocab["log_p"][ids]
-        alone = np.flatnonzero(depth >= 1)
-        alone = alone[self.id[self.base[alone] + 1] < 0]
-        char = points[source[alone] - 1].astype(np.int64)
-        score[self.base[alone] + 1] = BYTE_LOG_P * (1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000))
-        self.char = dict(zip(alone.tolist(), char.tolist(), strict=True))
-        alpha = np.zeros(n)
-        order = np.argsort(-size, kind="stable")
-        ordered, starts = size[order], self.begin[order]
-        self.cumulative = np.ones(len(score), np.float32)
-        self.log_share, self.log_others = np.zeros(len(score), np.float32), np.full(len(score), -np.inf, np.float32)
-        for d in range(1, int(size.max(initial=0)) + 1):
-            p = starts[: np.searchsorted(-ordered, -d, "right")] + d
-            reach = np.arange(1, min(d, width) + 1)
-            cell = self.base[p][:, None] + reach
-            log_share = score[cell] + alpha[p[:, None] - reach]
-            top = log_share.max(1)
-            log_share -= top[:, None]
-            share = np.exp(log_share)
-            upto = np.cumsum(share, 1)
-            whole = np.log(upto[:, -1])
-            alpha[p] = top + whole
-            self.cumulative[cell] = upto / upto[:, -1:]
-            self.log_share[cell] = log_share - whole[:, None]
-            if d > 1:
-                # what comes before and after each edge, so that a small rest is no difference of large sums
-                others = np.zeros_like(share)
-                others[:, 1:] = upto[:, :-1]
-                others[:, :-1] += np.cumsum(share[:, :0:-1], 1)[:, ::-1]
-                with np.errstate(divide="ignore"):
-                    self.log_others[cell] = np.log(others) - whole[:, None]
+            parts.append((at[hit], np.full(len(hit), w), got[hit], vocab["log_p"][got[hit]]))
+            if w == 1:
+                alone[at[hit]] = False
+            at = at[got != NONE]
+        bare = np.flatnonzero(alone)
+        char = points[source[bare] - 1].astype(np.int64)
+        parts.append((bare, np.ones(len(bare), np.int64), np.full(len(bare), -1, np.int32), BYTE_LOG_P * (1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000))))
+        self.char = dict(zip(bare.tolist(), char.tolist(), strict=True))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def untaken(self, p: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """The logs of the shares of each node's edges that ``mask`` leaves, by width."""
-        reach = np.arange(1, self.width + 1)
-        out = self.log_share[self.base[p][:, None] + np.minimum(reach, self.edges[p][:, None])].astype(np.float64)
-        out[(reach > self.edges[p][:, None]) | ((mask[:, None] >> reach) & 1 == 1)] = -np.inf
-        return out
+        """The logs of the shares of each node's edges that ``mask`` leaves, from short to long."""
+        cell = self.edge[p][:, None] + np.arange(self.most)
+        inside = cell < self.edge[p + 1][:, None]
+        cell = np.where(inside, cell, 0)
+        return np.where(inside & ((mask[:, None] >> self.width[cell]) & 1 == 0), self.log_share[cell], -np.inf)
 
 
 def _cells(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,20 +173,19 @@ def _cells(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Draw:
     """One segmentation of each text, as steps in the order of the words and from each word's end to its start.
 
-    For each step: ``word``, ``step`` in the word, node ``p``, edge width ``w``, the edges taken by this or an earlier draw (``mask``), and ``left``, the largest
+    For each step: ``word``, ``step`` in the word, node ``p``, its edge ``cell``, the widths of the edges taken by this or an earlier draw (``mask``), and ``left``, the largest
     perturbed value among the other edges. ``first`` has where each text's steps begin, ``log_p`` each text's log-probability.
     """
 
-    def __init__(self, word, step, p, w, mask, bound, fresh, owner, texts, lattices, noise) -> None:
-        self.word, self.step, self.p, self.w, self.mask = word, step, p, w, mask
+    def __init__(self, word, step, p, cell, mask, bound, fresh, owner, texts, lattices, noise) -> None:
+        self.word, self.step, self.p, self.cell, self.mask = word, step, p, cell, mask
         self.text = owner[word]
         self.first = np.searchsorted(self.text, np.arange(texts + 1))
-        cell = lattices.base[p] + w
-        total = np.concatenate([[0.0], np.cumsum(lattices.log_share[cell], dtype=np.float64)])
+        total = np.concatenate([[0.0], np.cumsum(lattices.log_share[cell])])
         self.before = total[:-1] - total[self.first[:-1]][self.text]
         self.log_p = total[self.first[1:]] - total[self.first[:-1]]
-        rest = lattices.log_others[cell].astype(np.float64)
-        more = np.flatnonzero(mask != np.left_shift(np.int64(1), w))
+        rest = lattices.log_others[cell]
+        more = np.flatnonzero(mask != np.left_shift(np.int64(1), lattices.width[cell]))
         if len(more):
             rest[more] = np.logaddexp.reduce(lattices.untaken(p[more], mask[more]), axis=1)
         loc = self.before + rest
@@ -189,32 +213,31 @@ class Sampler:
         return lambda word, step: _uniform(self.key[word], step, np.uint64(salt))
 
     def _descend(self, word: np.ndarray, p: np.ndarray, step: np.ndarray, draw: int) -> list[np.ndarray]:
-        """Sample from nodes down to their words' starts: words, steps, nodes and edge widths, unordered."""
+        """Sample from nodes down to their words' starts: words, steps, nodes and edges, unordered."""
         lat, out = self.lattices, [[word[:0]], [step[:0]], [p[:0]], [p[:0]]]
         start = lat.begin[self.lattice[word]]
         live = np.flatnonzero(p > start)
         p, step, noise = p.copy(), step.copy(), self._noise(2 * draw)
         while len(live):
             at = p[live]
-            u = noise(word[live], step[live]).astype(np.float32)
-            cell = lat.base[at] + 1
-            longer = np.flatnonzero(lat.cumulative[cell] < u)
+            u = noise(word[live], step[live])
+            cell = lat.edge[at]
+            longer = np.flatnonzero(lat.upto[cell] < u)
             while len(longer):
                 cell[longer] += 1
-                longer = longer[lat.cumulative[cell[longer]] < u[longer]]
-            w = cell - lat.base[at]
-            for held, value in zip(out, (word[live], step[live], at, w), strict=True):
+                longer = longer[lat.upto[cell[longer]] < u[longer]]
+            for held, value in zip(out, (word[live], step[live], at, cell), strict=True):
                 held.append(value)
-            p[live] = at - w
+            p[live] = at - lat.width[cell]
             step[live] += 1
             live = live[p[live] > start[live]]
         return [np.concatenate(x) for x in out]
 
     def _add(self, columns: list[np.ndarray], bound: np.ndarray, draw: int) -> None:
-        word, step, p, w, mask, fresh = columns
+        word, step, p, cell, mask, fresh = columns
         order = np.argsort((word << 32) + step, kind="stable")
         self.draws.append(
-            Draw(word[order], step[order], p[order], w[order], mask[order], bound, fresh[order], self.owner, self.texts, self.lattices, self._noise(2 * draw + 1))
+            Draw(word[order], step[order], p[order], cell[order], mask[order], bound, fresh[order], self.owner, self.texts, self.lattices, self._noise(2 * draw + 1))
         )
 
     def largest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,8 +258,8 @@ class Sampler:
         """Draw ``k`` times: the perturbed value of each draw for each text (-inf where there is none), and the next one's."""
         value = [-np.log(-np.log(_uniform(self.row_key, np.uint64(1))))]
         words = np.arange(len(self.owner))
-        word, step, p, w = self._descend(words, self.lattices.end[self.lattice], np.zeros(len(words), np.int64), 0)
-        self._add([word, step, p, w, np.left_shift(np.int64(1), w), np.ones(len(word), bool)], value[0], 0)
+        word, step, p, cell = self._descend(words, self.lattices.end[self.lattice], np.zeros(len(words), np.int64), 0)
+        self._add([word, step, p, cell, np.left_shift(np.int64(1), self.lattices.width[cell]), np.ones(len(word), bool)], value[0], 0)
         for draw in range(1, k):
             best, of, at = self.largest()
             value.append(best)
@@ -259,19 +282,19 @@ class Sampler:
         share = lat.untaken(p, mask)
         total = np.cumsum(np.exp(share - share.max(1)[:, None]), 1)
         u = self._noise(2 * draw)(word, step) * total[:, -1]
-        w = np.minimum((total <= u[:, None]).sum(1) + 1, lat.edges[p])
+        cell = np.minimum(lat.edge[p] + (total <= u[:, None]).sum(1), lat.edge[p + 1] - 1)
         d.left[turn] = -np.inf
         last = np.searchsorted(self.owner, texts, "right")
         later = last - word - 1
         words = np.repeat(word + 1 - (np.cumsum(later) - later), later) + np.arange(later.sum())
         down = self._descend(
             np.concatenate([word, words]),
-            np.concatenate([p - w, lat.end[self.lattice[words]]]),
+            np.concatenate([p - lat.width[cell], lat.end[self.lattice[words]]]),
             np.concatenate([step + 1, np.zeros(len(words), np.int64)]),
             draw,
         )
-        for x, columns in enumerate(((d.word[kept], d.step[kept], d.p[kept], d.w[kept]), (word, step, p, w), down)):
-            own = np.left_shift(np.int64(1), columns[3])
+        for x, columns in enumerate(((d.word[kept], d.step[kept], d.p[kept], d.cell[kept]), (word, step, p, cell), down)):
+            own = np.left_shift(np.int64(1), lat.width[columns[3]])
             for held, value in zip(parts, (*columns, mask | own if x == 1 else own, np.full(len(own), x > 0)), strict=True):
                 held.append(value)
 
@@ -282,7 +305,7 @@ class Sampler:
         length = np.diff(np.append(first, n))
         order = np.repeat(2 * first + length - 1, length) - np.arange(n)
         p, text = d.p[order], d.text
-        ids = self.lattices.id[self.lattices.base[p] + d.w[order]]
+        ids = self.lattices.id[d.cell[order]]
         char = np.zeros(n, np.int64)
         other = np.flatnonzero(ids < 0)
         char[other] = [self.lattices.char[x] for x in p[other].tolist()]
