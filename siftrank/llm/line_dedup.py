@@ -309,7 +309,7 @@ def _bloom(ids: DataFrame, column: str, most: int = 1 << 29) -> np.ndarray:
 
 
 def _in_bloom(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = ids & np.uint64(len(bloom) * 64 - 1)
+    at = ids.view(np.uint64) & np.uint64(len(bloom) * 64 - 1)
     return (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -324,7 +324,7 @@ def needed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
             for batch in A.pieces_of(whole, "text", TEXT):
                 text, row, number = _split(batch)
                 ids = np.asarray(batch.column("doc_id").cast(pa.int64()))[row]
-                own = np.flatnonzero(_in_bloom(bloom, (ids ^ (number * SPREAD)).view(np.uint64)))
+                own = np.flatnonzero(_in_bloom(bloom, ids ^ (number * SPREAD)))
                 text = text.take(pa.array(own)).cast(pa.string())
                 d1 = _digests(*_sets(text))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(d1), text], names=["doc_id", "line_no", "d1", "words"])
