@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.llm import decontamination, line_dedup, nearest, ngram_jaccard, pieces, quality, sharding, substring_dedup, toxicity, url_lists
+from siftrank.llm import decontamination, line_dedup, nearest, ngram_jaccard, pieces, quality, sharding, substring_dedup, toxicity, url_lists, variants
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.counted_words(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_gumbel_pieces": op2_gumbel_pieces,
@@ -63,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_variants": op11_variants,
 }
 ORACLE_SQL: dict[str, str] = {"op4_url_lists": url_lists.ORACLE}
