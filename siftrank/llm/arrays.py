@@ -61,10 +61,14 @@ def string_hash(array: pa.Array, base: np.uint64 = P1) -> np.ndarray:
     return span_hash(data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0], base)
 
 
-def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lower-cased words between white space, flat, and each text's offsets into them."""
-    texts = pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())))
-    lists = pc.utf8_split_whitespace(texts)
+def words(texts: pa.Array, ascii: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words between white space, flat, and each text's offsets into them. With ``ascii`` only A-Z are lower-cased, and only ASCII's white space parts words."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if ascii:
+        texts = pa.concat_arrays([texts])  # a copy without an offset: the ASCII functions misread slices
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    else:
+        lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts)))
     flat = lists.flatten()
     offsets = np.asarray(lists.offsets).astype(np.int64)
     offsets = offsets - offsets[0]

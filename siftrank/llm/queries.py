@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.llm import decontamination, line_dedup, nearest, ngram_jaccard, pieces, quality, sharding, substring_dedup, toxicity, url_lists, variants
+from siftrank.llm import decontamination, line_dedup, near_dedup, nearest, ngram_jaccard, pieces, quality, sharding, substring_dedup, toxicity, url_lists, variants
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(variants.counted_words(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_gumbel_pieces": op2_gumbel_pieces,
@@ -68,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_variants": op11_variants,
+    "op12_near_dedup": op12_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op4_url_lists": url_lists.ORACLE}
