@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.llm import decontamination, line_dedup, near_dedup, nearest, ngram_jaccard, pieces, quality, sharding, substring_dedup, toxicity, url_lists, variants
+from siftrank.llm import decontamination, hard_negatives, line_dedup, near_dedup, nearest, ngram_jaccard, pieces, quality, sharding, substring_dedup, toxicity, url_lists, variants
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,12 @@ def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.whole_vectors(rows.withColumn("label", moved)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_gumbel_pieces": op2_gumbel_pieces,
@@ -73,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_variants": op11_variants,
     "op12_near_dedup": op12_near_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {"op4_url_lists": url_lists.ORACLE}
