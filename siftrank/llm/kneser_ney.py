@@ -151,6 +151,17 @@ class HashTable:
             left[first] = False
             keys, values = keys[left], values[left]
 
+    def plain(self) -> tuple:
+        """The table as plain arrays, which a broadcast can carry to workers that do not have this package."""
+        return self.kind, self.levels
+
+    @classmethod
+    def of(cls, plain: tuple) -> HashTable:
+        """The table of :meth:`plain` arrays."""
+        table = cls.__new__(cls)
+        table.kind, table.levels = plain
+        return table
+
     def find(self, keys: np.ndarray, missing: float) -> np.ndarray:
         """The values of the keys; ``missing`` where there is none."""
         out = np.full(len(keys), missing, self.kind)
@@ -190,10 +201,10 @@ def score(docs: DataFrame, model: DataFrame, order: int, last: int, floor: float
 
 def _score_scanned(docs: DataFrame, model: DataFrame, order: int, last: int, floor: float, carry: tuple[str, ...]) -> DataFrame:
     rows = model.toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(HashTable(rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()))
+    shared = docs.sparkSession.sparkContext.broadcast(HashTable(rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()).plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = HashTable.of(shared.value)
         for whole in batches:
             for batch in A.pieces_of(whole, "text", 1_000_000):
                 points, start, size = _points(batch.column("text"), order)

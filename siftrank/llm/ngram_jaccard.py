@@ -14,8 +14,8 @@ Every pair that shares a band lies in one component, and every pair of a compone
 finds is not lost again. Band and row counts follow from the target recall at the threshold (:func:`bands_for`).
 
 Nulls and empty texts have no n-grams: each is a class of its own with no links. A text of fewer than ``n`` words is one
-n-gram. Repeated rows with one ``doc_id`` count as one document, and all rows
-with a null ``doc_id`` as one more, which has no class but its own. An empty table gives an empty result. Extra columns are ignored.
+n-gram. Repeated rows with one ``doc_id`` count as one document; different texts under one id are all its texts: it is linked with what any of them is, and its copies and links are summed over them. All rows
+with a null ``doc_id`` are one more document, which has no class and no links. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,11 +85,38 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, bands array<long>")
 
 
+def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``cid, component, text`` of the classes ``(cid, component, rep, d1, d2)``: of all rows of the document that stands for one, those with its words, and only one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, set()
+        for whole in batches:
+            for batch in A.pieces_of(whole, "text", 1_000_000):
+                flat, offsets = A.words(batch.column("text"))
+                h = A.word_hashes(flat)
+                same = A.signed(A.span_hash(h, offsets[:-1], offsets[1:])) == np.asarray(batch.column("d1"))
+                same &= A.signed(A.span_hash(h, offsets[:-1], offsets[1:], A.P2)) == np.asarray(batch.column("d2"))
+                ids, cids = np.asarray(batch.column("doc_id")), np.asarray(batch.column("cid"))
+                keep = []
+                for i in np.flatnonzero(same):  # rows of one id lie together
+                    if ids[i] != last:
+                        last, seen = ids[i], set()
+                    if cids[i] not in seen:
+                        seen.add(cids[i])
+                        keep.append(i)
+                yield batch.select(["cid", "component", "text"]).take(pa.array(keep, pa.int64()))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    rows = classes.withColumnRenamed("rep", "doc_id").hint("merge").join(texts, "doc_id")
+    # read back: sizes are taken from it before it is dealt out
+    return stored(rows.select("doc_id", "cid", "component", "d1", "d2", "text").sortWithinPartitions("doc_id").mapInArrow(run, "cid long, component long, text string"))
+
+
 def _block_links(n: int, threshold: float):
     """Links between the texts of a pair of blocks: for each text its links here and the least text it hangs together with."""
 
     def links(table: pa.Table) -> pa.RecordBatch | None:
-        ids = np.asarray(table.column("rep"))
+        ids = np.asarray(table.column("cid"))
         block = np.asarray(table.column("block"))
         cross = table.column("bi")[0].as_py() != table.column("bj")[0].as_py()
         flat, offsets = A.words(table.column("text").combine_chunks())
@@ -134,7 +161,7 @@ def _block_links(n: int, threshold: float):
             root = new
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[have]), pa.array(ids[order][root[have]]), pa.array(count[have].astype(np.int64))],
-            names=["rep", "root", "links"],
+            names=["cid", "root", "links"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,34 +186,38 @@ def jaccard_join(
     texts = sig.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_copies"), F.first("bands").alias("bands")
     )
-    texts = cut(texts)
-    member = texts.select("rep", F.posexplode("bands").alias("band", "key"))
+    # a number for each text: one document can stand for several
+    texts = cut(texts.withColumn("cid", F.monotonically_increasing_id()))
+    member = texts.select("cid", F.posexplode("bands").alias("band", "key"))
     # read back, here and below, so that joins have plain shuffles on both sides and a frequent key's side can be split
-    least = stored(member.groupBy("band", "key").agg(F.min("rep").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"))
-    edges = member.hint("merge").join(least, ["band", "key"]).select("rep", "least").distinct()
-    found = cut(connected_components(edges, "rep", "least").withColumnRenamed("node", "rep"))
+    least = stored(member.groupBy("band", "key").agg(F.min("cid").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    edges = member.hint("merge").join(least, ["band", "key"]).select("cid", "least").distinct()
+    found = cut(connected_components(edges, "cid", "least").withColumnRenamed("node", "cid"))
 
-    sized = found.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text").where("text IS NOT NULL"), "rep").dropDuplicates(["rep"])
+    sized = class_texts(docs, found.hint("merge").join(texts.select("cid", "rep", "d1", "d2"), "cid"))
     weight = F.greatest(F.count("*") / F.lit(block), F.sum(F.length("text")) / F.lit(block_bytes))
     sizes = stored(sized.groupBy("component").agg(F.ceil(weight).cast("int").alias("blocks")))
-    placed = sized.hint("merge").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    placed = sized.hint("merge").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "text"
+        "component", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cid", "text"
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     linked = cut(
         paired.repartition(parts, "component", "bi", "bj")
-        .sortWithinPartitions("component", "bi", "bj", "rep")
-        .mapInArrow(_block_links(n, threshold), "rep long, root long, links long")
-    )
-    counted = linked.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    joined = connected_components(linked, "rep", "root").withColumnRenamed("node", "rep")
-    known = (
-        texts.select("d1", "d2", "rep", "n_copies").hint("merge").join(counted, "rep", "left").hint("merge").join(joined, "rep", "left")
-        .select("d1", "d2", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
+        .sortWithinPartitions("component", "bi", "bj", "cid")
+        .mapInArrow(_block_links(n, threshold), "cid long, root long, links long")
     )
-    return (
-        sig.select("doc_id", "d1", "d2").distinct().hint("merge").join(known, ["d1", "d2"], "left")
-        .groupBy("doc_id").agg(F.min(F.struct(F.coalesce("rep", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))).alias("x"))
-        .select("doc_id", "x.*")
+    counted = linked.groupBy("cid").agg(F.sum("links").alias("n_links"))
+    mine = sig.where("doc_id IS NOT NULL").select("doc_id", "d1", "d2").distinct().hint("merge").join(texts.select("d1", "d2", "cid", "rep", "n_copies"), ["d1", "d2"], "left")
+    mine = stored(mine.select("doc_id", "cid", "rep", "n_copies"))
+    several = mine.groupBy("doc_id").agg(F.min("cid").alias("root"), F.max("cid").alias("last")).where("root <> last").select("doc_id", "root")
+    own = mine.hint("merge").join(stored(several), "doc_id").where("cid IS NOT NULL").select("cid", "root")
+    joined = stored(connected_components(linked.select("cid", "root").union(own), "cid", "root").withColumnRenamed("node", "cid"))
+    classes = stored(joined.hint("merge").join(texts.select("cid", "rep"), "cid").groupBy("component").agg(F.min("rep").alias("class_id")))
+    known = stored(joined.hint("merge").join(classes, "component").select("cid", "class_id"))
+    out = mine.hint("merge").join(counted, "cid", "left").hint("merge").join(known, "cid", "left").groupBy("doc_id").agg(
+        F.min(F.coalesce("rep", "doc_id")).alias("copy_id"), F.min(F.coalesce("class_id", "rep", "doc_id")).alias("class_id"),
+        F.coalesce(F.sum("n_copies"), F.lit(1)).alias("n_copies"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"),
     )
+    nameless = sig.where("doc_id IS NULL").limit(1).select("doc_id", F.lit(None).cast("long").alias("copy_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    return out.union(nameless)

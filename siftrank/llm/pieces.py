@@ -359,19 +359,21 @@ def encode_batch(batch: pa.RecordBatch, k: int, seed: int, vocab: dict) -> pa.Re
 
 def encode(docs: DataFrame, k: int = 2, seed: int = 11, model: str = MODEL) -> DataFrame:
     """``doc_id, draw, log_prob, perturbed, log_inclusion, round_trip, ids``: up to ``k`` different segmentations of each text, the most perturbed first."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
+    known = vocabulary(model)
+    shared = docs.sparkSession.sparkContext.broadcast(known | {"table": known["table"].plain()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value | {"table": HashTable.of(shared.value["table"])}
         for whole in batches:
             for batch in A.pieces_of(whole, "text", 1_000_000):
-                yield encode_batch(batch, k, seed, shared.value)
+                yield encode_batch(batch, k, seed, vocab)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``doc_id, draw, text`` of rows with ``doc_id, draw, ids``; null ids are an empty text. Bytes that are no text become replacement characters."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(model))
+    shared = encoded.sparkSession.sparkContext.broadcast({"raw": vocabulary(model)["raw"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -86,10 +86,10 @@ def features(docs: DataFrame, model: DataFrame, other: float, model_rows: int, c
     if model.count() > model_rows:
         return _features_joined(docs, model, other, carry)
     rows = model.toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(K.HashTable(rows.column("word").to_numpy().view(np.uint64), rows.column("ratio").to_numpy()))
+    shared = docs.sparkSession.sparkContext.broadcast(K.HashTable(rows.column("word").to_numpy().view(np.uint64), rows.column("ratio").to_numpy()).plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = K.HashTable.of(shared.value)
         for whole in batches:
             for batch in A.pieces_of(whole, "text", 1_000_000):
                 h, offsets = A.bare_hashes(batch.column("text"))

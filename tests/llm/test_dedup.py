@@ -125,6 +125,16 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got == brute_jaccard(unique_docs(corpus()))
 
 
+@pytest.mark.parametrize("parts", [1, 3, 6])
+def test_jaccard_join_of_several_texts_under_one_id(spark, parts):
+    """The links of all of them are kept, whatever the partitioning is."""
+    rng = random.Random(8)
+    a, b, c = prose(rng, 120), prose(rng, 120), prose(rng, 60)
+    rows = [(1, a, "", "", 1), (1, b, "", "", 1), (1, b, "", "", 1), (1, None, "", "", 1), (2, a + " end", "", "", 1), (3, b + " end", "", "", 1), (0, c, "", "", 1), (4, b, "", "", 1)]
+    got = {r.doc_id: (r.copy_id, r.class_id, r.n_copies, r.n_links) for r in ngram_jaccard.jaccard_join(spark.createDataFrame(rows, DOCS).repartition(parts)).collect()}
+    assert got == {0: (0, 0, 1, 0), 1: (1, 1, 3, 2), 2: (2, 1, 1, 1), 3: (3, 1, 1, 1), 4: (1, 1, 2, 1)}
+
+
 def test_jaccard_join_in_small_blocks(spark):
     rows = [(i, t, "en", "s", 1) for i, (_, t, *_) in enumerate(near_lines(50))]
     got = {r.doc_id: (r.copy_id, r.class_id, r.n_copies, r.n_links) for r in ngram_jaccard.jaccard_join(spark.createDataFrame(rows, DOCS), n=2, threshold=0.6, block=6).collect()}
