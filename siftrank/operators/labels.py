@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from siftrank.functions import scalar as S
+from siftrank.operators import ordered as O
+from siftrank.sources.checkpoints import stored
 
 
 def unpivot_scores(wide: DataFrame, ids: list[str], targets: list[str]) -> DataFrame:
@@ -43,7 +45,8 @@ def key_audit(df: DataFrame, key: str) -> DataFrame:
 
 def thresholds(pairs: DataFrame, q: float = 0.01) -> DataFrame:
     """The exact quantile of each target's scores, linear between neighbours."""
-    return pairs.where("score IS NOT NULL AND NOT isnan(score)").groupBy("target_id").agg(F.percentile("score", q).alias("tau"))
+    rows = stored(pairs.where("score IS NOT NULL AND NOT isnan(score)").select("target_id", "score"))
+    return O.quantiles(rows, ["target_id"], "score", [q]).select("target_id", F.col("t")[0].alias("tau"))
 
 
 def with_hits(pairs: DataFrame, tau: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ranking metrics of predictions against true scores, for each target and on average.
 
 Rules: rows without a true score or a prediction leave first, so counts are each target's own; lower scores are better and higher predictions are; hits are the rows up to the
-exact quantile of the target's scores, ties included; ties of predictions go to the smaller item. Every metric is a window or an aggregate keyed by target; :func:`per_target` takes all of them from one ranking.
+exact quantile of the target's scores, ties included; ties of predictions go to the smaller item. Every metric is an aggregate over a target's ranked rows; :func:`per_target` takes all of them from one ranking. Targets of any size are ranked (:mod:`siftrank.operators.ordered`).
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.functions import scalar as S
+from siftrank.operators import ordered as O
+from siftrank.operators.numbering import broadcast_small, numbered_within
+from siftrank.sources.checkpoints import stored
 
 KEYS = ["target_id"]
 
@@ -19,18 +22,54 @@ def evaluation_rows(pairs: DataFrame) -> DataFrame:
     return pairs.where("score IS NOT NULL AND NOT isnan(score) AND p_hit IS NOT NULL AND NOT isnan(p_hit)")
 
 
-def ranked(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Evaluation rows with ``n, h1, h5`` (hits at 1 and 5 %), ``rk`` (place in the prediction) and ``p`` (clipped prediction)."""
-    keys = keys or KEYS
-    rows = evaluation_rows(pairs)
-    cuts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("score", F.array(F.lit(0.01), F.lit(0.05))).alias("t"))
-    rk = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("p_hit"), "ligand_id"))
-    return rows.hint("merge").join(cuts, keys).select(
-        *rows.columns, "n", (F.col("score") <= F.col("t")[0]).cast("int").alias("h1"), (F.col("score") <= F.col("t")[1]).cast("int").alias("h5"),
-        rk.alias("rk"), S.clip_probability(F.col("p_hit")).alias("p"),
+def marked(rows: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """Stored evaluation rows with ``n, h1, h5`` (hits at 1 and 5 %) and ``p`` (clipped prediction)."""
+    cuts = stored(O.quantiles(rows, keys, "score", [0.01, 0.05], sizes).hint("merge").join(sizes, keys))
+    return rows.join(broadcast_small(cuts, 100_000), keys).select(
+        *rows.columns, F.col("_rows").alias("n"), (F.col("score") <= F.col("t")[0]).cast("int").alias("h1"), (F.col("score") <= F.col("t")[1]).cast("int").alias("h5"), S.clip_probability(F.col("p_hit")).alias("p")
     )
 
 
+def ranked(pairs: DataFrame, keys: list[str] | None = None, share: float | None = None, ranks: bool = False) -> DataFrame:
+    """Evaluation rows with ``n, h1, h5, p`` and ``rk``, the place in the predicted order. The pairs are read once.
+
+    With a ``share`` also, at least for hits, ``enough`` (the ranking holds this share of its hits down to here) and ``precision`` (hits among all rows down to this prediction, equal ones included); with ``ranks`` the average
+    ranks ``rx`` of predictions, best first, and ``ry`` of scores. A key of at most :data:`ordered.LARGE` rows is sorted once by prediction, in one task; larger ones go over ranges.
+    """
+    keys = keys or KEYS
+    rows = stored(evaluation_rows(pairs))
+    sizes = stored(rows.groupBy(*keys).agg(F.count("*").alias("_rows")))
+    # the clipped prediction is no finer than the prediction: one sort, by both, serves equal values of either
+    rows = marked(rows, keys, sizes).withColumns({"_p": -F.col("p"), "_q": -F.col("p_hit")})
+    rows = O.with_average_ranks(rows, keys, sizes, ry=F.col("score")) if ranks else rows
+    order = ["_p", "_q", "ligand_id"]
+    wanted = [*(c for c in rows.columns if c not in order[:2]), "rk", *(["enough", "precision"] if share else []), *(["rx"] if ranks else [])]
+
+    def small(part: DataFrame) -> DataFrame:
+        one = Window.partitionBy(*keys)
+        place, equal, clipped = (one.orderBy(*order[:k]) for k in (3, 2, 1))
+        part = part.withColumn("rk", F.row_number().over(place).cast("long"))
+        if share:
+            down, found = clipped.rangeBetween(Window.unboundedPreceding, 0), F.sum("h1").over(place.rowsBetween(Window.unboundedPreceding, 0))
+            part = part.withColumn("enough", found >= F.ceil(F.lit(share) * F.sum("h1").over(one))).withColumn("precision", F.sum("h1").over(down) / F.count("*").over(down))
+        if ranks:
+            part = part.withColumn("rx", (F.rank().over(equal) + F.count("*").over(equal.rangeBetween(Window.unboundedPreceding, 0))) / 2)
+        return part.select(*wanted)
+
+    def large(part: DataFrame) -> DataFrame:
+        placed = stored(numbered_within(part, keys, order, "rk").withColumn("rk", F.col("rk") + 1))
+        if share:
+            hits = stored(numbered_within(placed.where("h1 = 1"), keys, ["rk"], "found").withColumn("found", F.col("found") + 1))
+            needed = hits.groupBy(*keys).agg(F.ceil(F.lit(share) * F.count("*")).alias("needed"))
+            lines = hits.groupBy(*keys, "p").agg(F.max("found").alias("upto")).hint("merge").join(placed.groupBy(*keys, "p").agg(F.max("rk").alias("rows")), [*keys, "p"])
+            hits = hits.join(broadcast_small(stored(needed), 100_000), keys).hint("merge").join(stored(lines), [*keys, "p"])
+            hits = hits.select(*placed.columns, (F.col("found") >= F.col("needed")).alias("enough"), (F.col("upto") / F.col("rows")).alias("precision"))
+            placed = stored(hits.unionByName(placed.where("h1 = 0"), allowMissingColumns=True))
+        return (O.common_ranks(placed, keys, "_q", "rk", "rx") if ranks else placed).select(*wanted)
+
+    return O.by_size(rows, keys, small, large, sizes)
+
+
 def recall_columns(budgets: tuple[float, ...] = (0.01, 0.05, 0.10, 0.20)) -> list[Column]:
     """Recall of the best 1 and 5 % inside the first part of the ranking, for each budget."""
     out = []
@@ -46,28 +85,6 @@ def recalls(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return ranked(pairs, keys).groupBy(*keys).agg(F.count("*").alias("n_ligands"), F.sum("h1").alias("n_hits"), *recall_columns())
 
 
-def with_found(rows: DataFrame, share: float = 0.95) -> DataFrame:
-    """Add ``enough``: whether the ranking holds ``share`` of its target's hits up to this row."""
-    place = Window.partitionBy("target_id").orderBy(F.desc("p_hit"), "ligand_id").rowsBetween(Window.unboundedPreceding, 0)
-    hits = F.sum("h1").over(Window.partitionBy("target_id"))
-    return rows.withColumn("enough", F.sum("h1").over(place) >= F.ceil(F.lit(share) * hits))
-
-
-def with_precision(rows: DataFrame) -> DataFrame:
-    """Add ``precision``: the share of hits among all rows down to this row's prediction, equal predictions included."""
-    down = Window.partitionBy("target_id").orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("precision", F.sum("h1").over(down) / F.count("*").over(down))
-
-
-def with_average_ranks(rows: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
-    """Add the average rank, ascending, of each expression inside its keys: the mean of the first and the last place of equal values."""
-    for name, c in columns.items():
-        rows = rows.withColumn("_v", c)
-        up = Window.partitionBy(*keys).orderBy("_v")
-        rows = rows.withColumn(name, (F.rank().over(up) + F.count("*").over(up.rangeBetween(Window.unboundedPreceding, 0))) / 2).drop("_v")
-    return rows
-
-
 def budget_column() -> Column:
     return (F.min(F.when(F.col("enough"), F.col("rk"))) / F.max("n")).alias("recall95_budget")
 
@@ -104,7 +121,7 @@ def correlation(rows: DataFrame, keys: list[str], x: str, y: str, constant: floa
 
 def budget_for_recall(pairs: DataFrame, share: float = 0.95) -> DataFrame:
     """The smallest part of the library, in the predicted order, that holds ``share`` of the hits."""
-    return with_found(ranked(pairs), share).groupBy("target_id").agg(budget_column())
+    return ranked(pairs, share=share).groupBy("target_id").agg(budget_column())
 
 
 def enrichment(pairs: DataFrame, fraction: float = 0.01) -> DataFrame:
@@ -114,24 +131,25 @@ def enrichment(pairs: DataFrame, fraction: float = 0.01) -> DataFrame:
 
 def average_precision(pairs: DataFrame) -> DataFrame:
     """Average precision with equal predictions as one threshold."""
-    return with_precision(ranked(pairs)).groupBy("target_id").agg(precision_column())
+    return ranked(pairs, share=0.95).groupBy("target_id").agg(precision_column())
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
     """Rank correlation of predictions, best first, with scores; null for fewer than 3 rows or a side that does not vary."""
-    rows = with_average_ranks(evaluation_rows(pairs), KEYS, rx=-F.col("p_hit"), ry=F.col("score"))
+    rows = O.with_average_ranks(stored(evaluation_rows(pairs)), KEYS, rx=-F.col("p_hit"), ry=F.col("score"))
     return correlation(rows, KEYS, "rx", "ry", None, "spearman")
 
 
 def probability_losses(pairs: DataFrame) -> DataFrame:
     """Negative log-likelihood and Brier score of clipped predictions against hits, and the hit rate."""
-    return ranked(pairs).groupBy("target_id").agg(*loss_columns(), F.count("*").alias("n_ligands")).where("n_ligands > 2")
+    rows = stored(evaluation_rows(pairs))
+    sizes = stored(rows.groupBy("target_id").agg(F.count("*").alias("_rows")))
+    return marked(rows, KEYS, sizes).groupBy("target_id").agg(*loss_columns(), F.count("*").alias("n_ligands")).where("n_ligands > 2")
 
 
 def per_target(pairs: DataFrame) -> DataFrame:
     """All metrics of each target: the rows are ranked once, and one aggregate takes every metric from them."""
-    rows = with_precision(with_found(ranked(pairs)))
-    rows = with_average_ranks(rows, KEYS, rx=-F.col("p_hit"), ry=F.col("score"))
+    rows = ranked(pairs, share=0.95, ranks=True)
     moments = moment_columns("rx", "ry", "_")
     out = rows.groupBy("target_id").agg(
         F.count("*").alias("n_ligands"), F.sum("h1").alias("n_hits"), *recall_columns(), budget_column(), enrichment_column(), precision_column(), *loss_columns(), *moments
@@ -148,7 +166,7 @@ def parity(reference: DataFrame, other: DataFrame, tolerance: float = 1e-3, leas
     """Do two scorings of the same pairs agree: largest difference, least rank correlation, least overlap of the selected parts, and a verdict."""
     keys = ["target_id", "ligand_id"]
     both = reference.select(*keys, F.col("p_hit").alias("a")).join(other.select(*keys, F.col("p_hit").alias("b")), keys)
-    ranks = with_average_ranks(both, ["target_id"], ra=-F.col("a"), rb=-F.col("b"))
+    ranks = O.with_average_ranks(both, ["target_id"], ra=-F.col("a"), rb=-F.col("b"))
     rho = correlation(ranks, ["target_id"], "ra", "rb", None, "rho")
     n = Window.partitionBy("target_id")
     for c, out in (("a", "ka"), ("b", "kb")):

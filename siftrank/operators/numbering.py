@@ -24,5 +24,6 @@ def numbered_within(rows: DataFrame, keys: list[str], order: list[str], name: st
     # a row for each range that holds part of a key
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = placed.hint("merge").join(runs, [*keys, "_part"])
+    # a row for each key and range: as many as keys and ranges together, so the table itself is seldom dealt again
+    joined = placed.join(broadcast_small(stored(runs), 100_000), [*keys, "_part"])
     return joined.select(*rows.columns, (F.col("_at") - F.col("_from") + F.col("_before")).alias(name))

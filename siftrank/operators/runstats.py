@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftrank.functions import scalar as S
 from siftrank.operators import metrics as M
+from siftrank.operators import ordered as O
 from siftrank.operators.numbering import broadcast_small, numbered_within
 from siftrank.sources.checkpoints import stored
 
@@ -67,8 +68,8 @@ def deviations(runs: DataFrame, digits: int = 9) -> DataFrame:
 def selectivity(runs: DataFrame) -> DataFrame:
     """Correlations, for each target of each run, of what a prediction says beyond its item's mean; 0 where a side does not vary."""
     keys = [*RUN, "target_id"]
-    d = deviations(runs)
-    ranks = M.with_average_ranks(d, keys, rx=F.col("dp"), ry=F.col("dt"))
+    d = stored(deviations(runs))
+    ranks = O.with_average_ranks(d, keys, rx=F.col("dp"), ry=F.col("dt"))
     sums = ranks.groupBy(*keys).agg(*M.moment_columns("dp", "dt", "p_"), *M.moment_columns("rx", "ry", "s_"))
     return sums.select(*keys, M.from_moments(0.0, "p_").alias("sel_pearson"), M.from_moments(0.0, "s_").alias("sel_spearman"))
 

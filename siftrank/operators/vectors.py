@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.functions import scalar as S
+from siftrank.operators import ordered as O
 from siftrank.operators.numbering import broadcast_small, numbered_within
 from siftrank.sources.checkpoints import stored
 
@@ -96,16 +97,13 @@ def top_scored(items: DataFrame, targets: DataFrame, fraction: float = 0.10, sca
 
         return items.select("ligand_id", "v").mapInArrow(run, f"target_id {kind}, ligand_id {item_kind}, logit double")
 
-    rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("logit"), "ligand_id"))
-    found = reduce(DataFrame.unionByName, map(best_of, target_blocks(targets)))
-    return found.withColumn("rk", rank).where(F.col("rk") <= k)
+    found = stored(reduce(DataFrame.unionByName, map(best_of, target_blocks(targets))))
+    return O.first_places(found, ["target_id"], "logit", "ligand_id", F.lit(k)).withColumn("rk", F.col("rk").cast("int"))
 
 
 def top_of_scores(pairs: DataFrame, fraction: float = 0.10) -> DataFrame:
     """The best part of each target of an existing score table, ``k`` rounded up."""
-    n = pairs.groupBy("target_id").agg(F.count("*").alias("n"))
-    rk = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("logit"), "ligand_id"))
-    return pairs.withColumn("rk", rk).join(n, "target_id").where(F.col("rk") <= S.top_ceil(fraction, F.col("n"))).drop("n")
+    return O.first_places(stored(pairs), ["target_id"], "logit", "ligand_id", S.top_ceil(fraction, F.col("n"))).withColumn("rk", F.col("rk").cast("int"))
 
 
 def split_readout(items: DataFrame, targets: DataFrame, a: list[list[float]], b: list[list[float]], b1: list[float], w2: list[float], b2: float) -> DataFrame:
