@@ -134,10 +134,11 @@ def average_precision(pairs: DataFrame) -> DataFrame:
     return ranked(pairs, share=0.95).groupBy("target_id").agg(precision_column())
 
 
-def spearman(pairs: DataFrame) -> DataFrame:
+def spearman(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Rank correlation of predictions, best first, with scores; null for fewer than 3 rows or a side that does not vary."""
-    rows = O.with_average_ranks(stored(evaluation_rows(pairs)), KEYS, rx=-F.col("p_hit"), ry=F.col("score"))
-    return correlation(rows, KEYS, "rx", "ry", None, "spearman")
+    keys = keys or KEYS
+    rows = O.with_average_ranks(stored(evaluation_rows(pairs)), keys, rx=-F.col("p_hit"), ry=F.col("score"))
+    return correlation(rows, keys, "rx", "ry", None, "spearman")
 
 
 def probability_losses(pairs: DataFrame) -> DataFrame:
@@ -162,17 +163,26 @@ def macro(metrics: DataFrame, columns: list[str]) -> DataFrame:
     return metrics.agg(F.count("*").alias("targets"), *(F.avg(c).alias(c) for c in columns))
 
 
-def parity(reference: DataFrame, other: DataFrame, tolerance: float = 1e-3, least: float = 0.9999, fraction: float = 0.10) -> DataFrame:
-    """Do two scorings of the same pairs agree: largest difference, least rank correlation, least overlap of the selected parts, and a verdict."""
+def parity(reference: DataFrame, other: DataFrame, tolerance: float | None = 1e-3, least: float = 0.9999, fraction: float = 0.10) -> DataFrame:
+    """Do two scorings of the same pairs agree: ``max_abs_diff, all_finite, min_spearman, mean_spearman, pooled_spearman, min_overlap, verdict``.
+
+    Rank correlations are each target's, and one over all pairs; the overlap is that of the selected parts. The verdict is ``same`` if all values are finite, no target's correlation is below ``least`` and, unless it is None (half
+    precision), no difference is above ``tolerance``.
+    """
     keys = ["target_id", "ligand_id"]
-    both = reference.select(*keys, F.col("p_hit").alias("a")).join(other.select(*keys, F.col("p_hit").alias("b")), keys)
+    both = stored(reference.select(*keys, F.col("p_hit").alias("a")).hint("merge").join(other.select(*keys, F.col("p_hit").alias("b")), keys))
+    fine = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    gap = both.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"), F.bool_and(fine("a") & fine("b")).alias("all_finite"))
     ranks = O.with_average_ranks(both, ["target_id"], ra=-F.col("a"), rb=-F.col("b"))
     rho = correlation(ranks, ["target_id"], "ra", "rb", None, "rho")
-    n = Window.partitionBy("target_id")
-    for c, out in (("a", "ka"), ("b", "kb")):
-        both = both.withColumn(out, F.row_number().over(n.orderBy(F.desc(c), "ligand_id")) <= S.top_ceil(fraction, F.count("*").over(n)))
-    overlap = both.groupBy("target_id").agg((F.count_if(F.col("ka") & F.col("kb")) / F.count_if("ka")).alias("overlap"))
-    gap = both.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"), F.bool_and(~F.isnan("a") & ~F.isnan("b")).alias("all_finite"))
-    summary = rho.join(overlap, "target_id").agg(F.min("rho").alias("min_spearman"), F.min("overlap").alias("min_overlap"))
-    agrees = (F.col("max_abs_diff") <= tolerance) & (F.col("min_spearman") >= least) & F.col("all_finite")
-    return gap.crossJoin(F.broadcast(summary)).withColumn("verdict", F.when(agrees, "same").otherwise("different"))
+    pooled = both.withColumn("_all", F.lit(0))
+    pooled = correlation(O.with_average_ranks(pooled, ["_all"], ra=-F.col("a"), rb=-F.col("b")), ["_all"], "ra", "rb", None, "pooled_spearman").drop("_all")
+    most = S.top_ceil(fraction, F.col("n"))
+    best = [O.first_places(both.select(*keys, c), ["target_id"], c, "ligand_id", most).select(*keys) for c in ("a", "b")]
+    size = best[0].groupBy("target_id").agg(F.count("*").alias("k"))
+    shared = best[0].hint("merge").join(best[1], keys).groupBy("target_id").agg(F.count("*").alias("common"))
+    overlap = size.hint("merge").join(shared, "target_id", "left").select("target_id", (F.coalesce("common", F.lit(0)) / F.col("k")).alias("overlap"))
+    summary = rho.hint("merge").join(overlap, "target_id").agg(F.min("rho").alias("min_spearman"), F.avg("rho").alias("mean_spearman"), F.min("overlap").alias("min_overlap"))
+    agrees = F.col("all_finite") & (F.col("min_spearman") >= least) & (F.lit(True) if tolerance is None else F.col("max_abs_diff") <= tolerance)
+    one = gap.crossJoin(F.broadcast(summary)).crossJoin(F.broadcast(pooled))
+    return one.select("max_abs_diff", "all_finite", "min_spearman", "mean_spearman", "pooled_spearman", "min_overlap", F.when(agrees, "same").otherwise("different").alias("verdict"))

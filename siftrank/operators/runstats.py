@@ -52,6 +52,23 @@ def shared_ranking(truth: DataFrame, roles: DataFrame) -> DataFrame:
     return rows.select("fold", "target_id", "ligand_id", "score", F.col("mean").isNull().cast("int").alias("unseen"), (-F.coalesce("mean", "last")).alias("p_hit"))
 
 
+def shared_report(truth: DataFrame, roles: DataFrame, digits: int = 6) -> DataFrame:
+    """``fold, target_id, n_ligands, n_hits, recall_1_at_10, spearman, unranked``: how well the shared ranking does on each held-out target, and how many of all items the fold's training targets say nothing of.
+
+    Predictions are rounded, so that means summed in another order cannot split ties.
+    """
+    truth, roles = stored(truth.select("target_id", "ligand_id", "score")), stored(roles)
+    rows = shared_ranking(truth, roles).withColumn("p_hit", F.round("p_hit", digits))
+    keys = ["fold", "target_id"]
+    ranked = M.ranked(rows, keys, ranks=True).groupBy(*keys).agg(F.count("*").alias("n_ligands"), F.sum("h1").alias("n_hits"), *M.recall_columns((0.1,)), *M.moment_columns("rx", "ry", "_"))
+    out = ranked.select(*keys, "n_ligands", "n_hits", "recall_1_at_10", M.from_moments(None, "_").alias("spearman"))
+    train = broadcast_small(roles.where("role <> 'heldout'").select("fold", "target_id"), 100_000)
+    seen = truth.where("score IS NOT NULL").join(train, "target_id").select("fold", "ligand_id").distinct().groupBy("fold").agg(F.count("*").alias("seen"))
+    items = truth.select("ligand_id").distinct().agg(F.count("*").alias("items"))
+    missing = roles.select("fold").distinct().join(seen, "fold", "left").crossJoin(F.broadcast(items)).select("fold", (F.col("items") - F.coalesce("seen", F.lit(0))).alias("unranked"))
+    return out.join(broadcast_small(stored(missing)), "fold")
+
+
 def deviations(runs: DataFrame, digits: int = 9) -> DataFrame:
     """Each pair's prediction and negated truth minus their item's means over the targets of the run; items with one target leave.
 
@@ -65,52 +82,104 @@ def deviations(runs: DataFrame, digits: int = 9) -> DataFrame:
     )
 
 
-def selectivity(runs: DataFrame) -> DataFrame:
-    """Correlations, for each target of each run, of what a prediction says beyond its item's mean; 0 where a side does not vary."""
-    keys = [*RUN, "target_id"]
-    d = stored(deviations(runs))
+def _correlations(d: DataFrame, keys: list[str]) -> DataFrame:
     ranks = O.with_average_ranks(d, keys, rx=F.col("dp"), ry=F.col("dt"))
     sums = ranks.groupBy(*keys).agg(*M.moment_columns("dp", "dt", "p_"), *M.moment_columns("rx", "ry", "s_"))
     return sums.select(*keys, M.from_moments(0.0, "p_").alias("sel_pearson"), M.from_moments(0.0, "s_").alias("sel_spearman"))
 
 
-def quadruplets(truth: DataFrame, per_fold: int, candidates: int, gap: float = 1.0) -> DataFrame:
-    """``fold, c, a, b, i, j``: pairs of targets and items whose true order differs between the targets by ``gap`` or more.
+def selectivity(runs: DataFrame) -> DataFrame:
+    """Correlations, for each target of each run, of what a prediction says beyond its item's mean; 0 where a side does not vary."""
+    return _correlations(stored(deviations(runs)), [*RUN, "target_id"])
+
+
+def pooled_selectivity(runs: DataFrame) -> DataFrame:
+    """The same over all pairs of each run together, whatever their targets are."""
+    return _correlations(stored(deviations(runs)), RUN)
+
+
+#: Rows of a fold's index of items that two targets score; a larger one is made from a share of the items, in hash order.
+INDEX_ROWS = 50_000_000
+
+
+def common_items(truth: DataFrame) -> DataFrame:
+    """``fold, a, b, m, k, ligand_id, sa, sb``: the items that targets ``a < b`` of a fold both score, numbered from 0 in their pair, with both scores. A stored table.
 
-    Candidates are numbered and drawn by hashes of their number; the first ``per_fold`` that qualify are kept. ``truth`` has ``fold, target_id, ligand_id, score``.
+    An item makes a row for each two of its fold's targets that score it, so its rows are bounded by the targets of a fold.
     """
-    lists = truth.groupBy("fold").agg(F.sort_array(F.collect_set("target_id")).alias("ts"))
-    items = truth.select("ligand_id").distinct()
-    items = numbered(items, "ligand_id")
-    n = items.agg(F.count("*").alias("n"))
-    draws = truth.sparkSession.range(candidates).withColumnRenamed("id", "c").crossJoin(broadcast_small(lists)).crossJoin(F.broadcast(n))
-    key = lambda what: F.concat_ws("#", F.col("fold").cast("string"), F.col("c").cast("string"), F.lit(what))
-    pick = lambda what: F.col("ts")[S.hash_number(key(what), F.size("ts")).cast("int")]
-    drawn = draws.select("fold", "c", pick("a").alias("a"), pick("b").alias("b"), S.hash_number(key("i"), F.col("n")).alias("ki"), S.hash_number(key("j"), F.col("n")).alias("kj"))
-    drawn = drawn.where("a <> b AND ki <> kj")
-    for side in "ij":
-        drawn = drawn.hint("merge").join(items.select(F.col("k").alias(f"k{side}"), F.col("ligand_id").alias(side)), f"k{side}")
-    cells = truth.where("score IS NOT NULL").select("target_id", "ligand_id", "score")
-    for t in "ab":
+    cells = stored(truth.where("score IS NOT NULL AND NOT isnan(score)").select("fold", "target_id", "ligand_id", "score"))
+    sizes = cells.groupBy("fold", "ligand_id").agg(F.count("*").alias("n")).groupBy("fold").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("rows"))
+    share = sizes.select("fold", F.least(F.lit(1_000_000), F.ceil(F.lit(1e6 * INDEX_ROWS) / F.greatest("rows", F.lit(1)))).cast("long").alias("share"))
+    kept = cells.join(broadcast_small(stored(share)), "fold").where(S.hash_number(F.concat(F.lit("item#"), F.col("ligand_id").cast("string")), 1_000_000) < F.col("share"))
+    side = lambda t, s: kept.select("fold", "ligand_id", F.col("target_id").alias(t), F.col("score").alias(s))
+    both = stored(side("a", "sa").hint("merge").join(side("b", "sb"), ["fold", "ligand_id"]).where("a < b"))
+    pair = ["fold", "a", "b"]
+    sizes = stored(both.groupBy(*pair).agg(F.count("*").alias("_rows")))
+    placed = O.with_places(both, pair, [F.col("ligand_id")], "k", sizes).withColumn("k", F.col("k") - 1)
+    return stored(placed.hint("merge").join(sizes.withColumnRenamed("_rows", "m"), pair).select(*pair, "m", "k", "ligand_id", "sa", "sb"))
+
+
+def quadruplets(truth: DataFrame, per_fold: int, candidates: int, gap: float = 1.0, rounds: int = 200) -> DataFrame:
+    """``fold, c, a, b, i, j, da, db``: pairs of targets and items whose true order differs between the targets by ``gap`` or more.
+
+    All quadruplets of a fold that have four scores are numbered, by :func:`common_items`. A fold with ``candidates`` of them at most tries them all, so that what it returns is all there is; any other draws numbers by hashes, ``candidates`` in
+    a round, until ``per_fold`` qualify or ``rounds`` are over. The first ``per_fold`` are kept, by the number ``c`` of their draw. ``truth`` has ``fold, target_id, ligand_id, score``.
+    """
+    spark = truth.sparkSession
+    index = common_items(truth)
+    pair = ["fold", "a", "b"]
+    pairs = index.where("k = 0 AND m > 1").select(*pair, "m", (F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("own"))
+    # a row for each two targets of a fold
+    upto = F.sum("own").over(Window.partitionBy("fold").orderBy("a", "b"))
+    pairs = stored(pairs.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("own")))
+    folds = stored(pairs.groupBy("fold").agg(F.max("upto").alias("all"), F.greatest(F.lit(1), F.floor(F.max("upto") / F.count("*"))).alias("width")))
+    # each pair in the buckets that its numbers lie in, twice as many as there are pairs at most
+    spread = pairs.join(broadcast_small(folds), "fold").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / F.col("width")), F.floor((F.col("upto") - 1) / F.col("width")))))
+    spread = stored(spread.drop("all", "width"))
+    out, left = None, folds
+    for turn in range(rounds):
+        draws = spark.range(turn * candidates, (turn + 1) * candidates).withColumnRenamed("id", "c").crossJoin(broadcast_small(left))
+        number = F.when(F.col("all") <= candidates, F.col("c")).otherwise(S.hash_number(F.concat_ws("#", F.col("fold").cast("string"), F.col("c").cast("string")), 1 << 32) * 1_000_003 % F.col("all"))
+        drawn = draws.withColumn("u", number).where("u < all").withColumn("bucket", F.floor(F.col("u") / F.col("width")))
+        drawn = drawn.hint("merge").join(spread, ["fold", "bucket"]).where("u >= start AND u < upto").withColumn("v", F.col("u") - F.col("start"))
+        # unordered pairs of m items: each item with the one so many places further on
+        drawn = drawn.withColumn("ki", F.col("v") % F.col("m")).withColumn("kj", (F.col("ki") + F.floor(F.col("v") / F.col("m")) + 1) % F.col("m")).select(*pair, "c", "ki", "kj")
         for x in "ij":
-            drawn = drawn.hint("merge").join(cells.select(F.col("target_id").alias(t), F.col("ligand_id").alias(x), F.col("score").alias(f"s{t}{x}")), [t, x])
-    da, db = F.col("sai") - F.col("saj"), F.col("sbi") - F.col("sbj")
-    good = drawn.where((F.abs(da) >= gap) & (F.abs(db) >= gap) & (F.signum(da) == -F.signum(db)))
-    return good.withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy("c"))).where(F.col("r") <= per_fold).select("fold", "c", "a", "b", "i", "j", da.alias("da"), db.alias("db"))
+            side = index.select(*pair, F.col("k").alias(f"k{x}"), F.col("ligand_id").alias(x), F.col("sa").alias(f"a{x}"), F.col("sb").alias(f"b{x}"))
+            drawn = drawn.hint("merge").join(side, [*pair, f"k{x}"])
+        da, db = F.col("ai") - F.col("aj"), F.col("bi") - F.col("bj")
+        good = drawn.where((F.abs(da) >= gap) & (F.abs(db) >= gap) & (F.signum(da) == -F.signum(db))).select("fold", "c", "a", "b", "i", "j", da.alias("da"), db.alias("db"))
+        out = good if out is None else out.unionByName(good)
+        out = stored(out.withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy("c"))).where(F.col("r") <= per_fold).drop("r"))
+        full = out.groupBy("fold").agg(F.count("*").alias("n")).where(F.col("n") >= per_fold)
+        left = stored(folds.where(F.col("all") > candidates).join(broadcast_small(full), "fold", "left_anti"))
+        if left.isEmpty():
+            break
+    return out
 
 
-def reversal_accuracy(quads: DataFrame, runs: DataFrame) -> DataFrame:
-    """``fold, cond, seed, target_id, quads, accuracy``: how often both predicted differences have the true directions; a zero difference is wrong."""
+def reversals(quads: DataFrame, runs: DataFrame) -> DataFrame:
+    """``fold, cond, seed, a, b, right``: whether both predicted differences have the true directions; a zero difference is wrong."""
     cells = runs.select(*RUN, "target_id", "ligand_id", "logit")
-    rows = quads.join(broadcast_small(runs.select(*RUN).distinct()), "fold")
+    rows = quads.join(broadcast_small(stored(runs.select(*RUN).distinct())), "fold")
     for t in "ab":
         for x in "ij":
             rows = rows.hint("merge").join(cells.select(*RUN, F.col("target_id").alias(t), F.col("ligand_id").alias(x), F.col("logit").alias(f"p{t}{x}")), [*RUN, t, x])
     right = (F.signum(F.col("pai") - F.col("paj")) == -F.signum("da")) & (F.signum(F.col("pbi") - F.col("pbj")) == -F.signum("db"))
-    rows = rows.select(*RUN, F.explode(F.array("a", "b")).alias("target_id"), right.cast("int").alias("right"))
+    return rows.select(*RUN, "a", "b", right.cast("int").alias("right"))
+
+
+def reversal_accuracy(quads: DataFrame, runs: DataFrame) -> DataFrame:
+    """``fold, cond, seed, target_id, quads, accuracy`` of the quadruplets that touch each target."""
+    rows = reversals(quads, runs).select(*RUN, F.explode(F.array("a", "b")).alias("target_id"), "right")
     return rows.groupBy(*RUN, "target_id").agg(F.count("*").alias("quads"), F.avg("right").alias("accuracy"))
 
 
+def pooled_reversal_accuracy(quads: DataFrame, runs: DataFrame) -> DataFrame:
+    """``fold, cond, seed, n_quads, reversal_acc`` over all quadruplets of a fold, each counted once."""
+    return reversals(quads, runs).groupBy(*RUN).agg(F.count("*").alias("n_quads"), F.avg("right").alias("reversal_acc"))
+
+
 def seed_means(values: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Mean over whatever the keys leave out: seeds, folds."""
     return values.groupBy(*keys).agg(F.avg(column).alias(column))
@@ -158,15 +227,26 @@ def difference(x: DataFrame, y: DataFrame, column: str) -> DataFrame:
     return joined.select("target_id", (F.col("x") - F.col("y")).alias(column)).na.drop(subset=[column])
 
 
-def paired_contrasts(values: DataFrame, column: str, conditions: list[str], draws: int = 5000, seed: int = 0) -> DataFrame:
-    """Bootstrap of the difference of each pair of conditions; all pairs over the same targets share their resamples."""
-    out = None
-    for i, a in enumerate(conditions):
-        for b in conditions[i + 1 :]:
-            side = lambda c: values.where(F.col("cond") == c).select("target_id", column)
-            row = bootstrap(difference(side(a), side(b), column), column, draws, seed).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+def paired_contrasts(values: DataFrame, column: str, pairs: DataFrame | None = None, draws: int = 5000, seed: int = 0) -> DataFrame:
+    """``a, b, n, mean, low, high, p_positive``: bootstrap of the difference of each pair of conditions over the targets that both have.
+
+    ``pairs`` has ``a, b``; without it every two conditions are compared, in their order. All pairs go through one pass, and pairs over the same targets share their resamples.
+    """
+    spark, values = values.sparkSession, stored(values.select("cond", "target_id", column))
+    if pairs is None:
+        conditions = values.select("cond").distinct()
+        pairs = conditions.select(F.col("cond").alias("a")).join(F.broadcast(conditions.select(F.col("cond").alias("b"))), F.col("a") < F.col("b"))
+    side = lambda c, x: values.select(F.col("cond").alias(c), "target_id", F.col(column).alias(x))
+    both = broadcast_small(stored(pairs.select("a", "b"))).join(side("a", "x"), "a").hint("merge").join(side("b", "y"), ["b", "target_id"])
+    rows = stored(both.select("a", "b", "target_id", (F.col("x") - F.col("y")).alias("d")).na.drop(subset=["d"]))
+    sizes = stored(rows.groupBy("a", "b").agg(F.count("*").alias("_rows"), exact_mean("d").alias("mean")))
+    numbered_rows = stored(O.with_places(rows, ["a", "b"], [F.col("target_id")], "k", sizes.drop("mean")).withColumn("k", F.col("k") - 1))
+    # each draw and place of each pair: as many rows as the bootstrap has values
+    takes = spark.range(draws).withColumnRenamed("id", "r").crossJoin(broadcast_small(sizes.select("a", "b", "_rows"))).withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1)))
+    takes = takes.withColumn("k", S.hash_number(F.concat_ws("#", F.lit(str(seed)), F.col("r").cast("string"), F.col("pos").cast("string")), F.col("_rows")))
+    means = takes.join(broadcast_small(numbered_rows, 1_000_000), ["a", "b", "k"]).groupBy("a", "b", "r").agg(exact_mean("d").alias("m"))
+    spread = means.groupBy("a", "b").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg((F.col("m") > 0).cast("int")).alias("p_positive"))
+    return sizes.select("a", "b", F.col("_rows").alias("n"), "mean").hint("merge").join(spread, ["a", "b"])
 
 
 def truth_consistency(runs: DataFrame) -> DataFrame:
@@ -177,11 +257,20 @@ def truth_consistency(runs: DataFrame) -> DataFrame:
     return wide.groupBy("fold").agg(F.bool_and(same).alias("consistent"), F.count("*").alias("pairs"))
 
 
-def fold_report(metric: DataFrame, selective: DataFrame, reversal: DataFrame) -> DataFrame:
-    """One row for each fold and condition: mean recall, selectivity and reversal accuracy over targets and seeds."""
+def fold_report(metric: DataFrame, oracle: DataFrame, pooled: DataFrame, pooled_reversal: DataFrame, reversal: DataFrame) -> DataFrame:
+    """One row for each fold and condition.
+
+    ``n_targets``, and means over its targets of ``recall_1_at_10``, ``spearman`` and the shared ranking's recall ``oracle_recall``, from ``metric`` (``fold, cond, target_id, recall_1_at_10, spearman``) and ``oracle``; means over seeds of the
+    pooled ``sel_pearson``, ``sel_spearman`` and ``reversal_acc``, with ``n_quads``; and ``accuracy``, the mean of the targets' own reversal accuracies.
+    """
     keys = ["fold", "cond"]
-    mean = lambda df, c: df.groupBy(*keys).agg(F.avg(c).alias(c))
-    return mean(metric, "recall_1_at_10").hint("merge").join(mean(selective, "sel_spearman"), keys, "left").hint("merge").join(mean(reversal, "accuracy"), keys, "left")
+    own = metric.hint("merge").join(oracle.select("fold", "target_id", F.col("recall_1_at_10").alias("oracle_recall")), ["fold", "target_id"], "left")
+    own = own.groupBy(*keys).agg(F.count("*").alias("n_targets"), *(F.avg(c).alias(c) for c in ("recall_1_at_10", "spearman", "oracle_recall")))
+    mean = lambda df, *columns: df.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in columns))
+    quads = pooled_reversal.groupBy(*keys).agg(F.avg("reversal_acc").alias("reversal_acc"), F.max("n_quads").alias("n_quads"))
+    for part in (mean(pooled, "sel_pearson", "sel_spearman"), quads, mean(reversal, "accuracy")):
+        own = own.hint("merge").join(part, keys, "left")
+    return own
 
 
 def as_map(values: DataFrame, key: str, column: str, by: list[str]) -> DataFrame:

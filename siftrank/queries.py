@@ -382,16 +382,41 @@ def macro_metrics(spark, sf):
     return rounded(metrics.macro(metrics.per_target(cut(B.pairs(spark, sf))), MACRO))
 
 
-@query(f"""WITH {B.PAIRS}, b AS (SELECT target_id, ligand_id, p_hit AS a, p_hit + ({H.format("ligand_id::VARCHAR")} % 100) * 1e-7::DOUBLE AS b FROM pairs),
-rk2 AS (SELECT target_id, rank() OVER (PARTITION BY target_id ORDER BY -a) + (count(*) OVER (PARTITION BY target_id, a) - 1) / 2 AS rx, rank() OVER (PARTITION BY target_id ORDER BY -b) + (count(*) OVER (PARTITION BY target_id, b) - 1) / 2 AS ry FROM b),
-rho AS {_moments("rx", "ry", "target_id", "rk2", "rho")},
-o AS (SELECT target_id, count(*) FILTER (ka AND kb) / count(*) FILTER (ka) AS overlap FROM (SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY a DESC, ligand_id) <= greatest(1, ceil(0.1::DOUBLE * n)) AS ka, row_number() OVER (PARTITION BY target_id ORDER BY b DESC, ligand_id) <= greatest(1, ceil(0.1::DOUBLE * n)) AS kb FROM (SELECT *, count(*) OVER (PARTITION BY target_id) AS n FROM b)) GROUP BY target_id)
-SELECT round((SELECT max(abs(a - b)) FROM b), 9) AS max_abs_diff, (SELECT bool_and(isfinite(a) AND isfinite(b)) FROM b) AS all_finite, round(min(rho), 6) AS min_spearman, round(min(overlap), 6) AS min_overlap, CASE WHEN min(rho) >= 0.9999 THEN 'same' ELSE 'different' END AS verdict FROM rho JOIN o USING (target_id)""")
-def score_parity(spark, sf):
+def _parity(moved: str, tolerance: str) -> str:
+    ranks = lambda by: f"rank() OVER ({by} ORDER BY -a) + (count(*) OVER ({by + ', a' if by else 'PARTITION BY a'}) - 1) / 2 AS rx, rank() OVER ({by} ORDER BY -b) + (count(*) OVER ({by + ', b' if by else 'PARTITION BY b'}) - 1) / 2 AS ry"
+    return f"""WITH {B.PAIRS}, b AS (SELECT target_id, ligand_id, p_hit AS a, {moved} AS b FROM pairs), rk2 AS (SELECT target_id, {ranks("PARTITION BY target_id")} FROM b), rk3 AS (SELECT 0 AS one, {ranks("")} FROM b),
+rho AS {_moments("rx", "ry", "target_id", "rk2", "rho")}, pool AS {_moments("rx", "ry", "one", "rk3", "pooled")},
+o AS (SELECT target_id, count(*) FILTER (ka AND kb) / count(*) FILTER (ka) AS overlap FROM (SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY a DESC, ligand_id) <= greatest(1, ceil(0.1::DOUBLE * n)) AS ka,
+  row_number() OVER (PARTITION BY target_id ORDER BY b DESC, ligand_id) <= greatest(1, ceil(0.1::DOUBLE * n)) AS kb FROM (SELECT *, count(*) OVER (PARTITION BY target_id) AS n FROM b)) GROUP BY target_id),
+g AS (SELECT max(abs(a - b)) AS gap, bool_and(isfinite(a) AND isfinite(b)) AS fine FROM b), s AS (SELECT min(rho) AS low, avg(rho) AS mean, min(overlap) AS overlap FROM rho JOIN o USING (target_id))
+SELECT round(gap, 9) AS max_abs_diff, fine AS all_finite, round(low, 6) AS min_spearman, round(mean, 6) AS mean_spearman, round(pooled, 6) AS pooled_spearman, round(overlap, 6) AS min_overlap,
+  CASE WHEN fine AND low >= 0.9999::DOUBLE AND {tolerance} THEN 'same' ELSE 'different' END AS verdict FROM g, s, pool"""
+
+
+def _compared(spark, sf, moved, **how):
     pairs = B.pairs(spark, sf).select("target_id", "ligand_id", "p_hit")
-    moved = pairs.withColumn("p_hit", F.col("p_hit") + S.hash_number(F.col("ligand_id").cast("string"), 100) * 1e-7)
-    out = metrics.parity(pairs, moved)
-    return out.select(F.round("max_abs_diff", 9).alias("max_abs_diff"), "all_finite", F.round("min_spearman", 6).alias("min_spearman"), F.round("min_overlap", 6).alias("min_overlap"), "verdict")
+    out = metrics.parity(pairs, pairs.withColumn("p_hit", moved), **how)
+    return out.select(F.round("max_abs_diff", 9).alias("max_abs_diff"), "all_finite", *(F.round(c, 6).alias(c) for c in ("min_spearman", "mean_spearman", "pooled_spearman", "min_overlap")), "verdict")
+
+
+NOISE = H.format("ligand_id::VARCHAR")
+
+
+@query(_parity(f"p_hit + ({NOISE} % 100) * 1e-7::DOUBLE", "gap <= 1e-3::DOUBLE"))
+def score_parity(spark, sf):
+    return _compared(spark, sf, F.col("p_hit") + S.hash_number(F.col("ligand_id").cast("string"), 100) * 1e-7)
+
+
+@query(_parity("p_hit + 0.01::DOUBLE", "gap <= 1e-3::DOUBLE"))
+def score_parity_shifted(spark, sf):
+    """The same order, every value moved: only the tolerance tells."""
+    return _compared(spark, sf, F.col("p_hit") + 0.01)
+
+
+@query(_parity(f"p_hit + ({NOISE} % 100) * 1e-3::DOUBLE", "true"))
+def score_parity_half(spark, sf):
+    """Without a tolerance, as for half precision: order alone decides."""
+    return _compared(spark, sf, F.col("p_hit") + S.hash_number(F.col("ligand_id").cast("string"), 100) * 1e-3, tolerance=None)
 
 
 # statistics over runs
@@ -409,21 +434,32 @@ la AS (SELECT fold, max(mean) + 1 AS last FROM tr GROUP BY fold),
 sh AS (SELECT fold, p.target_id, p.ligand_id, p.score, (mean IS NULL)::INT AS unseen, -coalesce(mean, last) AS p_hit FROM pairs p JOIN roles r ON r.target_id = p.target_id AND role = 'heldout' LEFT JOIN tr USING (fold, ligand_id) LEFT JOIN la USING (fold))"""
 
 
-def _shared(spark, sf):
+def _shared_roles(spark, sf):
     pairs = B.pairs(spark, sf).select("target_id", "ligand_id", "score")
     folds = spark.range(5).select(F.col("id").cast("int").alias("fold"))
     role = F.when(F.col("target_id") % 5 == F.col("fold"), "heldout").otherwise("train")
-    roles = pairs.select("target_id").distinct().crossJoin(F.broadcast(folds)).select("fold", "target_id", role.alias("role"))
-    return runstats.shared_ranking(pairs, roles)
+    return pairs, pairs.select("target_id").distinct().crossJoin(F.broadcast(folds)).select("fold", "target_id", role.alias("role"))
+
+
+SHAREDREP = f"""sq AS (SELECT fold, target_id, quantile_cont(score, 0.01) AS t, count(*) AS n FROM sh WHERE score IS NOT NULL GROUP BY ALL),
+sr AS (SELECT sh.fold, sh.target_id, sh.ligand_id, score, round(p_hit, 6) AS p, n, (score <= t)::INT AS h1 FROM sh JOIN sq USING (fold, target_id) WHERE score IS NOT NULL),
+sk AS (SELECT *, row_number() OVER (PARTITION BY fold, target_id ORDER BY p DESC, ligand_id) AS rk, rank() OVER (PARTITION BY fold, target_id ORDER BY -p) + (count(*) OVER (PARTITION BY fold, target_id, p) - 1) / 2 AS rx,
+  rank() OVER (PARTITION BY fold, target_id ORDER BY score) + (count(*) OVER (PARTITION BY fold, target_id, score) - 1) / 2 AS ry FROM sr),
+ss AS {_moments("rx", "ry", "fold, target_id", "sk", "spearman")},
+um AS (SELECT f::INT AS fold, (SELECT count(DISTINCT ligand_id) FROM pairs) - (SELECT count(DISTINCT ligand_id) FROM pairs WHERE score IS NOT NULL AND target_id % 5 <> f) AS unranked FROM range(5) AS x(f)),
+orc AS (SELECT fold, target_id, count(*) AS n_ligands, sum(h1)::BIGINT AS n_hits, sum(CASE WHEN rk <= {_k(0.1)} THEN h1 ELSE 0 END) / sum(h1) AS recall_1_at_10 FROM sk GROUP BY ALL)"""
 
 
-@query(f"""WITH {B.PAIRS}, {SHARED}, q AS (SELECT fold, target_id, quantile_cont(score, 0.01) AS t, count(*) AS n FROM sh WHERE score IS NOT NULL GROUP BY ALL),
-r AS (SELECT sh.*, n, (score <= t)::INT AS h1, row_number() OVER (PARTITION BY fold, target_id ORDER BY round(p_hit, 6) DESC, ligand_id) AS rk FROM sh JOIN q USING (fold, target_id) WHERE score IS NOT NULL)
-SELECT fold, target_id, count(*) AS n_ligands, sum(h1)::BIGINT AS n_hits, sum(CASE WHEN rk <= {_k(0.1)} THEN h1 ELSE 0 END) / sum(h1) AS recall_1_at_10 FROM r GROUP BY ALL""")
+def _shared_report(spark, sf):
+    pairs, roles = _shared_roles(spark, sf)
+    return runstats.shared_report(pairs, roles)
+
+
+@query(f"WITH {B.PAIRS}, {SHARED}, {SHAREDREP} SELECT fold, target_id, n_ligands, n_hits, recall_1_at_10, round(spearman, 6) AS spearman, unranked FROM orc JOIN ss USING (fold, target_id) JOIN um USING (fold)")
 def shared_ranking(spark, sf):
-    """How well one ranking for all targets does on each held-out target."""
-    rows = _shared(spark, sf).withColumn("p_hit", F.round("p_hit", 6))
-    return metrics.recalls(rows, ["fold", "target_id"]).select("fold", "target_id", "n_ligands", "n_hits", "recall_1_at_10")
+    """How well one ranking for all targets does on each held-out target, and how many items it cannot rank."""
+    out = _shared_report(spark, sf)
+    return out.withColumn("spearman", F.round("spearman", 6))
 
 
 SEL = f"""dv AS (SELECT fold, cond, seed, target_id, ligand_id, round(logit - avg(logit) OVER w, 9) AS dp, round(-score + avg(score) OVER w, 9) AS dt, count(*) OVER w AS m FROM runs WHERE score IS NOT NULL AND logit IS NOT NULL WINDOW w AS (PARTITION BY fold, cond, seed, ligand_id) QUALIFY m >= 2),
@@ -436,20 +472,31 @@ def selectivity(spark, sf):
     return rounded(runstats.selectivity(B.runs(spark, sf)), 4)
 
 
+POOLSEL = f"""dq AS (SELECT *, rank() OVER (PARTITION BY fold, cond, seed ORDER BY dp) + (count(*) OVER (PARTITION BY fold, cond, seed, dp) - 1) / 2 AS rx, rank() OVER (PARTITION BY fold, cond, seed ORDER BY dt) + (count(*) OVER (PARTITION BY fold, cond, seed, dt) - 1) / 2 AS ry FROM dv),
+s3 AS {_moments("dp", "dt", "fold, cond, seed", "dv", "sel_pearson", "0")}, s4 AS {_moments("rx", "ry", "fold, cond, seed", "dq", "sel_spearman", "0")}"""
+
+
+@query(f"WITH {B.RUNS}, {SEL}, {POOLSEL} SELECT fold, cond, seed, round(sel_pearson, 4) AS sel_pearson, round(sel_spearman, 4) AS sel_spearman FROM s3 JOIN s4 USING (fold, cond, seed)")
+def pooled_selectivity(spark, sf):
+    return rounded(runstats.pooled_selectivity(B.runs(spark, sf)), 4)
+
+
 def _fold_truth(spark, sf):
     return B.pairs(spark, sf).select((F.col("target_id") % 5).cast("int").alias("fold"), "target_id", "ligand_id", "score")
 
 
-#: Quadruplets kept of each fold, and how many are drawn to find them.
+#: Quadruplets kept of each fold, and how many are drawn at a time to find them; the first draws fill every fold of the given tables that has more.
 QUADRUPLETS, CANDIDATES = 20_000, 200_000
-QUADS = f"""ft AS (SELECT (target_id % 5)::INT AS fold, target_id, ligand_id, score FROM pairs), ts AS (SELECT fold, list(DISTINCT target_id ORDER BY target_id) AS ts FROM ft GROUP BY fold),
-it AS (SELECT ligand_id, row_number() OVER (ORDER BY ligand_id) - 1 AS k FROM (SELECT DISTINCT ligand_id FROM ft)), nn AS (SELECT count(*) AS n FROM it),
-d1 AS MATERIALIZED (SELECT fold, c, ts[{H.format("fold || '#' || c || '#a'")} % len(ts) + 1] AS a, ts[{H.format("fold || '#' || c || '#b'")} % len(ts) + 1] AS b, {H.format("fold || '#' || c || '#i'")} % n AS ki, {H.format("fold || '#' || c || '#j'")} % n AS kj FROM range({CANDIDATES}) AS r(c), ts, nn),
-d2 AS MATERIALIZED (SELECT fold, c, a, b, x.ligand_id AS i, y.ligand_id AS j FROM (SELECT * FROM d1 WHERE a <> b AND ki <> kj) JOIN it x ON x.k = ki JOIN it y ON y.k = kj),
-sc AS MATERIALIZED (SELECT target_id, ligand_id, score FROM ft WHERE score IS NOT NULL),
-q1 AS MATERIALIZED (SELECT d2.*, score AS ai FROM d2 JOIN sc ON target_id = a AND ligand_id = i), q2 AS MATERIALIZED (SELECT q1.*, score AS aj FROM q1 JOIN sc ON target_id = a AND ligand_id = j),
-q3 AS MATERIALIZED (SELECT q2.*, score AS bi FROM q2 JOIN sc ON target_id = b AND ligand_id = i), q4 AS MATERIALIZED (SELECT q3.*, score AS bj FROM q3 JOIN sc ON target_id = b AND ligand_id = j),
-d3 AS (SELECT fold, c, a, b, i, j, ai - aj AS da, bi - bj AS db FROM q4),
+QUADS = f"""ft AS MATERIALIZED (SELECT (target_id % 5)::INT AS fold, target_id, ligand_id, score FROM pairs WHERE score IS NOT NULL),
+ix AS MATERIALIZED (SELECT x.fold, x.target_id AS a, y.target_id AS b, x.ligand_id, x.score AS sa, y.score AS sb, row_number() OVER (PARTITION BY x.fold, x.target_id, y.target_id ORDER BY x.ligand_id) - 1 AS k
+  FROM ft x JOIN ft y ON x.fold = y.fold AND x.ligand_id = y.ligand_id AND x.target_id < y.target_id),
+pm AS (SELECT fold, a, b, count(*) AS m FROM ix GROUP BY ALL HAVING count(*) > 1),
+pu AS MATERIALIZED (SELECT *, (sum(m * (m - 1) // 2) OVER (PARTITION BY fold ORDER BY a, b))::BIGINT AS upto FROM pm), fo AS (SELECT fold, max(upto) AS total FROM pu GROUP BY fold),
+qd AS MATERIALIZED (SELECT fold, c, CASE WHEN total <= {CANDIDATES} THEN c ELSE {H.format("fold || '#' || c")} * 1000003 % total END AS u, total FROM range({CANDIDATES}) AS r(c), fo),
+qp AS MATERIALIZED (SELECT d.fold, c, a, b, m, u - (upto - m * (m - 1) // 2) AS v FROM qd d ASOF JOIN (SELECT *, upto - m * (m - 1) // 2 AS start FROM pu) p ON d.fold = p.fold AND d.u >= p.start WHERE u < total),
+qk AS MATERIALIZED (SELECT *, v % m AS ki, (v % m + v // m + 1) % m AS kj FROM qp),
+qi AS MATERIALIZED (SELECT qk.*, x.ligand_id AS i, x.sa AS ai, x.sb AS bi FROM qk JOIN ix x ON x.fold = qk.fold AND x.a = qk.a AND x.b = qk.b AND x.k = qk.ki),
+d3 AS (SELECT d.fold, c, d.a, d.b, i, y.ligand_id AS j, ai - y.sa AS da, bi - y.sb AS db FROM qi d JOIN ix y ON y.fold = d.fold AND y.a = d.a AND y.b = d.b AND y.k = d.kj),
 quads AS MATERIALIZED (SELECT * FROM d3 WHERE abs(da) >= 1 AND abs(db) >= 1 AND sign(da) = -sign(db) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY c) <= {QUADRUPLETS})"""
 
 
@@ -463,7 +510,8 @@ r2 AS MATERIALIZED (SELECT q.*, logit AS aj FROM r1 q JOIN runs r ON r.target_id
 r3 AS MATERIALIZED (SELECT q.*, logit AS bi FROM r2 q JOIN runs r ON r.target_id = b AND r.ligand_id = i AND r.cond = q.cond AND r.seed = q.seed),
 r4 AS MATERIALIZED (SELECT q.*, logit AS bj FROM r3 q JOIN runs r ON r.target_id = b AND r.ligand_id = j AND r.cond = q.cond AND r.seed = q.seed),
 rv AS (SELECT fold, cond, seed, unnest([a, b]) AS target_id, (sign(ai - aj) = -sign(da) AND sign(bi - bj) = -sign(db))::INT AS ok FROM r4),
-rev AS (SELECT fold, cond, seed, target_id, count(*) AS quads, avg(ok) AS accuracy FROM rv GROUP BY ALL)"""
+rev AS (SELECT fold, cond, seed, target_id, count(*) AS quads, avg(ok) AS accuracy FROM rv GROUP BY ALL),
+rvp AS (SELECT fold, cond, seed, count(*) AS n_quads, avg((sign(ai - aj) = -sign(da) AND sign(bi - bj) = -sign(db))::INT) AS reversal_acc FROM r4 GROUP BY ALL)"""
 
 
 @query(f"WITH {B.RUNS}, {QUADS}, {REV} SELECT fold, cond, seed, target_id, quads, round(accuracy, 6) AS accuracy FROM rev")
@@ -472,6 +520,12 @@ def reversal_accuracy(spark, sf):
     return rounded(runstats.reversal_accuracy(quads, B.runs(spark, sf)))
 
 
+@query(f"WITH {B.RUNS}, {QUADS}, {REV} SELECT fold, cond, seed, n_quads, round(reversal_acc, 6) AS reversal_acc FROM rvp")
+def pooled_reversal_accuracy(spark, sf):
+    quads = cut(runstats.quadruplets(_fold_truth(spark, sf), QUADRUPLETS, CANDIDATES))
+    return rounded(runstats.pooled_reversal_accuracy(quads, B.runs(spark, sf)))
+
+
 def _run_recalls(spark, sf):
     rows = B.runs(spark, sf).withColumn("p_hit", F.col("logit"))
     each = metrics.recalls(rows, ["fold", "cond", "seed", "target_id"])
@@ -515,15 +569,30 @@ ho AS (SELECT target_id FROM hr GROUP BY target_id HAVING sum(CASE WHEN rk <= {_
 dl AS (SELECT target_id, recall_1_at_10 FROM rm WHERE cond = 'dual' AND target_id IN (SELECT target_id FROM ho)), {_boot("dl", _exact("recall_1_at_10"), 5000, 0)}
 SELECT (SELECT count(*) FROM dl) AS n, round((SELECT {_exact("recall_1_at_10")} FROM dl), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg((m > 0)::INT), 9) AS p_positive FROM bs""")
 def low_headroom_bootstrap(spark, sf):
-    oracle = metrics.recalls(_shared(spark, sf).withColumn("p_hit", F.round("p_hit", 6)), ["fold", "target_id"])
+    oracle = _shared_report(spark, sf)
     values = _run_recalls(spark, sf).where("cond = 'dual'").select("target_id", "recall_1_at_10")
     return rounded(runstats.bootstrap(cut(runstats.low_headroom(values, oracle, "recall_1_at_10")), "recall_1_at_10"), 9)
 
 
-@query(f"""WITH {B.RUNS}, {RUNREC}, dl AS (SELECT y.target_id, x.recall_1_at_10 - y.recall_1_at_10 AS d FROM rm y JOIN rm x USING (target_id) WHERE x.cond = 'dual' AND y.cond = 'dual_const'), {_boot("dl", _exact("d"), 5000, 0)}
-SELECT 'dual' AS a, 'dual_const' AS b, (SELECT count(*) FROM dl) AS n, round((SELECT {_exact("d")} FROM dl), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg((m > 0)::INT), 9) AS p_positive FROM bs""")
+PAIRED = f"""pd AS (SELECT x.cond AS a, y.cond AS b, target_id, x.recall_1_at_10 - y.recall_1_at_10 AS d FROM rm x JOIN rm y USING (fold, target_id) WHERE {{}}),
+pn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY target_id) - 1 AS k, count(*) OVER (PARTITION BY a, b) AS n FROM pd WHERE d IS NOT NULL),
+pz AS (SELECT a, b, n, {_exact("d")} AS mean FROM pn GROUP BY ALL),
+pt AS (SELECT a, b, r, {H.format("'0#' || r || '#' || pos")} % n AS k FROM pz, range(5000) AS x(r), range(n) AS y(pos)),
+pb AS (SELECT a, b, r, {_exact("d")} AS m FROM pt JOIN pn USING (a, b, k) GROUP BY ALL)
+SELECT a, b, n, round(mean, 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(avg((m > 0)::INT), 9) AS p_positive FROM pb JOIN pz USING (a, b) GROUP BY ALL"""
+
+
+@query(f"WITH {B.RUNS}, {RUNREC}, {PAIRED.format("x.cond = 'dual' AND y.cond = 'dual_const'")}")
 def paired_contrast(spark, sf):
-    return rounded(runstats.paired_contrasts(cut(_run_recalls(spark, sf)), "recall_1_at_10", ["dual", "dual_const"]), 9)
+    """What a condition gains over the same one without target states."""
+    pairs = spark.createDataFrame([("dual", "dual_const")], "a string, b string")
+    return rounded(runstats.paired_contrasts(_run_recalls(spark, sf), "recall_1_at_10", pairs), 9)
+
+
+@query(f"WITH {B.RUNS}, {RUNREC}, {PAIRED.format('x.cond < y.cond')}")
+def paired_contrasts(spark, sf):
+    """Every two conditions, in one pass; one of them lacks a fold."""
+    return rounded(runstats.paired_contrasts(_run_recalls(spark, sf), "recall_1_at_10"), 9)
 
 
 @query(f"""WITH {B.RUNS}, {RUNREC}, dl AS (SELECT y.target_id, x.recall_1_at_10 AS x, y.recall_1_at_10 AS y FROM rm y JOIN rm x USING (target_id) WHERE x.cond = 'dual' AND y.cond = 'dual_const'), {_boot("dl", RATIO, 5000, 1)}
@@ -534,12 +603,27 @@ def ratio_of_means(spark, sf):
     return rounded(runstats.ratio_bootstrap(cut(side("dual", "x").hint("merge").join(side("dual_const", "y"), "target_id")), "x", "y"), 9)
 
 
-@query(f"""WITH {B.RUNS}, {RUNREC}, {SEL}, {QUADS}, {REV}, a AS (SELECT fold, cond, avg(recall_1_at_10) AS r FROM rm GROUP BY ALL), b AS (SELECT fold, cond, avg(sel_spearman) AS s FROM s2 GROUP BY ALL), c AS (SELECT fold, cond, avg(accuracy) AS v FROM rev GROUP BY ALL)
-SELECT fold, cond, round(r, 4) AS recall_1_at_10, round(s, 4) AS sel_spearman, round(v, 4) AS accuracy FROM a LEFT JOIN b USING (fold, cond) LEFT JOIN c USING (fold, cond)""")
+RUNSP = f"""rp AS (SELECT fold, cond, seed, target_id, rank() OVER (PARTITION BY fold, cond, seed, target_id ORDER BY -logit) + (count(*) OVER (PARTITION BY fold, cond, seed, target_id, logit) - 1) / 2 AS rx,
+  rank() OVER (PARTITION BY fold, cond, seed, target_id ORDER BY score) + (count(*) OVER (PARTITION BY fold, cond, seed, target_id, score) - 1) / 2 AS ry FROM runs WHERE score IS NOT NULL),
+rs AS {_moments("rx", "ry", "fold, cond, seed, target_id", "rp", "spearman")}, rsm AS (SELECT fold, cond, target_id, avg(spearman) AS spearman FROM rs GROUP BY ALL)"""
+
+
+@query(f"""WITH {B.RUNS}, {RUNREC}, {RUNSP}, {SHARED}, {SHAREDREP}, {SEL}, {POOLSEL}, {QUADS}, {REV},
+a AS (SELECT fold, cond, count(*) AS n_targets, avg(rm.recall_1_at_10) AS r, avg(spearman) AS p, avg(orc.recall_1_at_10) AS o FROM rm JOIN rsm USING (fold, cond, target_id) LEFT JOIN orc USING (fold, target_id) GROUP BY ALL),
+b AS (SELECT fold, cond, avg(sel_pearson) AS x, avg(sel_spearman) AS y FROM s3 JOIN s4 USING (fold, cond, seed) GROUP BY ALL), c AS (SELECT fold, cond, avg(reversal_acc) AS v, max(n_quads) AS n_quads FROM rvp GROUP BY ALL),
+d AS (SELECT fold, cond, avg(accuracy) AS w FROM rev GROUP BY ALL)
+SELECT fold, cond, n_targets, round(r, 9) AS recall_1_at_10, round(p, 6) AS spearman, round(o, 9) AS oracle_recall, round(x, 4) AS sel_pearson, round(y, 4) AS sel_spearman, round(v, 9) AS reversal_acc, n_quads, round(w, 9) AS accuracy
+FROM a LEFT JOIN b USING (fold, cond) LEFT JOIN c USING (fold, cond) LEFT JOIN d USING (fold, cond)""")
 def fold_report(spark, sf):
     runs = cut(B.runs(spark, sf))
     quads = cut(runstats.quadruplets(_fold_truth(spark, sf), QUADRUPLETS, CANDIDATES))
-    return rounded(runstats.fold_report(_run_recalls(spark, sf), runstats.selectivity(runs), runstats.reversal_accuracy(quads, runs)), 4)
+    keys = ["fold", "cond", "seed", "target_id"]
+    each = metrics.ranked(runs.withColumn("p_hit", F.col("logit")), keys, ranks=True).groupBy(*keys).agg(*metrics.recall_columns((0.1,)), *metrics.moment_columns("rx", "ry", "_"))
+    each = each.select(*keys, "recall_1_at_10", metrics.from_moments(None, "_").alias("spearman"))
+    metric = each.groupBy("fold", "cond", "target_id").agg(F.avg("recall_1_at_10").alias("recall_1_at_10"), F.avg("spearman").alias("spearman"))
+    out = runstats.fold_report(metric, _shared_report(spark, sf), runstats.pooled_selectivity(runs), runstats.pooled_reversal_accuracy(quads, runs), runstats.reversal_accuracy(quads, runs))
+    digits = {"spearman": 6, "sel_pearson": 4, "sel_spearman": 4}
+    return out.select(*(F.round(c, digits.get(c, 9)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
 @query(f"""WITH {B.RUNS}, t AS (SELECT fold, target_id, ligand_id, count(score) = 0 OR (count(score) = count(*) AND max(score) - min(score) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs(max(score))) AS same FROM runs GROUP BY ALL)
@@ -675,13 +759,26 @@ def family_folds(spark, sf):
     return _folds(spark, sf)
 
 
-@query(f"""WITH {FOLDS} SELECT 'held out more than once' AS rule, target_id::VARCHAR AS what FROM folds WHERE role = 'heldout' GROUP BY target_id HAVING count(*) <> 1
-UNION ALL SELECT 'never held out', target_id::VARCHAR FROM families WHERE target_id NOT IN (SELECT target_id FROM folds WHERE role = 'heldout')
-UNION ALL SELECT 'two roles in a fold', fold || '/' || target_id FROM folds GROUP BY fold, target_id HAVING count(*) > 1""")
+INVARIANTS = """SELECT 'held out more than once' AS rule, target_id::VARCHAR AS what FROM {0} WHERE role = 'heldout' GROUP BY target_id HAVING count(*) <> 1
+UNION ALL SELECT 'never held out', target_id::VARCHAR FROM families WHERE target_id NOT IN (SELECT target_id FROM {0} WHERE role = 'heldout')
+UNION ALL SELECT 'two roles in a fold', fold || '/' || target_id FROM {0} GROUP BY fold, target_id HAVING count(*) > 1"""
+
+
+@query(f"WITH {FOLDS} {INVARIANTS.format('folds')}")
 def fold_invariants(spark, sf):
     return splits.fold_invariants(_folds(spark, sf), B.families(spark, sf))
 
 
+@query(f"""WITH {FOLDS}, bad AS (SELECT fold, target_id, CASE WHEN target_id % 5 = 1 AND role = 'heldout' THEN 'train' WHEN target_id % 7 = 2 AND role = 'validation' THEN 'heldout' ELSE role END AS role FROM folds
+  UNION ALL SELECT fold, target_id, 'validation' FROM folds WHERE target_id % 11 = 3 AND role = 'train') {INVARIANTS.format('bad')}""")
+def broken_fold_invariants(spark, sf):
+    """Folds with every kind of fault planted: each must be named."""
+    folds = _folds(spark, sf)
+    role = F.when((F.col("target_id") % 5 == 1) & (F.col("role") == "heldout"), "train").when((F.col("target_id") % 7 == 2) & (F.col("role") == "validation"), "heldout").otherwise(F.col("role"))
+    second = folds.where("target_id % 11 = 3 AND role = 'train'").withColumn("role", F.lit("validation"))
+    return splits.fold_invariants(folds.withColumn("role", role).unionByName(second), B.families(spark, sf))
+
+
 @query("""WITH k AS (SELECT doc_id, quality = 1 AS fine, sha256(doc_id || '|probcal') AS h FROM labels), p AS (SELECT doc_id, h, row_number() OVER (ORDER BY h, doc_id) AS place FROM k WHERE fine QUALIFY place <= 60)
 SELECT doc_id, place::INT AS place, false AS failed FROM p UNION ALL
 SELECT doc_id, 0, true FROM k WHERE NOT fine AND ((SELECT count(*) FROM p) < 60 OR (h, doc_id) < (SELECT (h, doc_id) FROM p ORDER BY place DESC LIMIT 1))""")
