@@ -89,6 +89,26 @@ def id_fingerprint(df: DataFrame, key: str) -> DataFrame:
     return parts.agg(F.sum("n").alias("ids"), F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"])), 256).alias("fingerprint"))
 
 
+def row_marks(df: DataFrame) -> DataFrame:
+    """The mergeable state of a table's fingerprint, one row: ``rows, sa, sb, xa, xb``. States of parts that share no rows add up to that of the whole, see :func:`fingerprint`.
+
+    A row's hash is SHA-256 of its columns in their order, each as text with its length before it, so that null, empty text and text that looks like two columns differ. Sums and xors of two of its 60-bit parts know no order of
+    rows, and repeated rows change the sums.
+    """
+    text = lambda c: F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.lit("v"), F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")))
+    hashed = df.select(F.sha2(F.concat(*(text(f"`{c}`") for c in df.columns)), 256).alias("h"))
+    part = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("long")
+    wide = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(19,0)")), F.lit(0)).cast("decimal(38,0)")
+    xor = lambda c: F.coalesce(F.bit_xor(c), F.lit(0).cast("long"))
+    return hashed.select(part(1).alias("a"), part(16).alias("b")).agg(F.count("*").alias("rows"), wide("a").alias("sa"), wide("b").alias("sb"), xor("a").alias("xa"), xor("b").alias("xb"))
+
+
+def fingerprint(states: DataFrame) -> DataFrame:
+    """``rows, fingerprint`` of the table whose parts have these states."""
+    whole = states.agg(F.sum("rows").alias("rows"), F.sum("sa").alias("sa"), F.sum("sb").alias("sb"), F.bit_xor("xa").alias("xa"), F.bit_xor("xb").alias("xb"))
+    return whole.select("rows", F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in whole.columns)), 256).alias("fingerprint"))
+
+
 def factorise(df: DataFrame, key: str, order: str) -> DataFrame:
     """Dense codes of keys by first appearance: ``key, code``.
 

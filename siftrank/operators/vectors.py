@@ -121,30 +121,142 @@ def hadamard_score(items: DataFrame, targets: DataFrame, weights: list[float]) -
     return score_pairs(items, targets.select("target_id", F.zip_with("v", w, lambda x, y: x.cast("double") * y).alias("v")))
 
 
+def _group_codes(batch: pa.RecordBatch, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each combination of the keys, in order of appearance, and each row's combination."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for c in by:
+        coded = batch.column(c).dictionary_encode(null_encoding="encode")
+        code = np.unique(code * (len(coded.dictionary) + 1) + np.asarray(coded.indices), return_inverse=True)[1]
+    _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return first[order], place[inverse]
+
+
+def vector_sums(rows: DataFrame, by: list[str], vector: str = "v") -> DataFrame:
+    """``by, n, v``: how many vectors each combination of the keys has, and their sum, component by component.
+
+    Tasks sum each Arrow batch before anything is shuffled, so a frequent key sends a row for each batch, not for each vector; what arrives is sorted by key and summed as it streams. Null vectors do not count; shorter vectors
+    are filled up with zeros.
+    """
+
+    def summed(sorted_by_key: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                whole = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+                first, group = _group_codes(whole, by)
+                lists = whole.column("v")
+                length = np.diff(np.asarray(lists.offsets))
+                width = int(length.max(initial=0))
+                flat = np.asarray(lists.flatten())
+                x = np.zeros((whole.num_rows, width))
+                x[np.arange(width)[None] < length[:, None]] = flat
+                order = np.argsort(group, kind="stable")
+                starts = np.searchsorted(group[order], np.arange(len(first)))
+                total, n = np.add.reduceat(x[order], starts, axis=0), np.add.reduceat(np.asarray(whole.column("n"))[order], starts)
+                ends = pa.array(np.arange(0, len(first) * width + 1, max(width, 1), dtype=np.int32) if width else np.zeros(len(first) + 1, np.int32))
+                out = pa.RecordBatch.from_arrays([*(whole.column(c).take(pa.array(first)) for c in by), pa.array(n), pa.ListArray.from_arrays(ends, pa.array(total.ravel()))], names=[*by, "n", "v"])
+                if sorted_by_key:
+                    held = out.slice(out.num_rows - 1)
+                    out = out.slice(0, out.num_rows - 1)
+                if out.num_rows:
+                    yield out
+            if held is not None:
+                yield held
+
+        return run
+
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by) + "n long, v array<double>"
+    one = rows.where(F.col(vector).isNotNull()).select(*by, F.lit(1).cast("long").alias("n"), F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
+    partial = one.mapInArrow(summed(False), schema)
+    if not by:
+        # a row for each batch of the table, in as many steps as it takes to be few
+        return partial.repartition(64).mapInArrow(summed(True), schema).coalesce(1).mapInArrow(summed(True), schema)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return partial.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(summed(True), schema)
+
+
 def mean_vector(rows: DataFrame, by: list[str], vector: str = "v", digits: int | None = None) -> DataFrame:
     """``by, v``: the mean of each component."""
-    parts = rows.select(*by, F.posexplode(vector).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    x = F.col("x") if digits is None else F.round("x", digits)
-    return parts.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", x.alias("x")))), lambda e: e["x"]).alias("v"))
+    value = lambda x: x / F.col("n") if digits is None else F.round(x / F.col("n"), digits)
+    return vector_sums(rows, by, vector).select(*by, F.transform("v", value).alias("v"))
 
 
 def message_sum(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, pos, x``: for each node the sum over its incoming edges of the sources' components."""
-    parts = nodes.select(F.col("node").alias("src"), F.posexplode("v").alias("pos", "x"))
-    return edges.hint("merge").join(parts, "src").groupBy(F.col("dst").alias("node"), "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    """``node, n, v``: for each node with incoming edges their number and the sum of the sources' vectors."""
+    sent = edges.hint("merge").join(nodes.select(F.col("node").alias("src"), "v"), "src").select(F.col("dst").alias("node"), "v")
+    return vector_sums(sent, ["node"])
+
+
+def pooled_graphs(graphs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``graph, nodes, v, empty``: the mean vector of each listed graph's nodes; graphs without nodes are told, not dropped."""
+    sums = vector_sums(nodes, ["graph"]).select("graph", F.col("n").alias("nodes"), F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    joined = graphs.select("graph").distinct().hint("merge").join(sums, "graph", "left")
+    return joined.select("graph", F.coalesce("nodes", F.lit(0)).alias("nodes"), "v", F.col("nodes").isNull().alias("empty"))
+
+
+#: Queries that one task holds, and keys that it looks at together.
+QUERY_BLOCK, KEY_BLOCK = 1024, 4096
 
 
 def attention(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """One-head readout: softmax of scaled products over the keys of the query's group, the weighted mean of the keys, and its mean over the group's queries.
 
-    Both have ``group, id, v``; returns ``group, pos, x``.
+    Both have ``group, id, v``; returns ``group, pos, x``. Queries of a group are dealt in blocks of about ``QUERY_BLOCK``, and the group's keys stream past each block: the task keeps each query's largest product, the sum of its weights and its
+    weighted sum, and rescales them when a larger product comes, so no pair of query and key is ever a row. Groups without keys return nothing.
     """
-    d = F.sqrt(F.size("qv").cast("double"))
-    pairs = queries.select("group", F.col("id").alias("q"), F.col("v").alias("qv")).join(keys.select("group", F.col("v").alias("kv")), "group")
-    one = Window.partitionBy("group", "q")
-    pairs = pairs.withColumn("s", dot(F.col("qv"), F.col("kv")) / d).withColumn("e", F.exp(F.col("s") - F.max("s").over(one))).withColumn("w", F.col("e") / F.sum("e").over(one))
-    parts = pairs.select("group", "q", "w", F.posexplode("kv").alias("pos", "x")).groupBy("group", "q", "pos").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-    return parts.groupBy("group", "pos").agg(F.avg("x").alias("x"))
+    sizes = stored(queries.groupBy("group").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("blocks")))
+    vector = F.transform("v", lambda x: x.cast("double")).alias("v")
+    ask = queries.hint("merge").join(sizes, "group").select("group", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), vector)
+    told = keys.hint("merge").join(sizes, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+
+        def result() -> pa.RecordBatch:
+            q, _, weight, total = state
+            pooled = (total[weight > 0] / weight[weight > 0][:, None]).sum(0)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], batch.schema.field("group").type), pa.array([int((weight > 0).sum())]), pa.array([pooled], pa.list_(pa.float64()))], names=["group", "n", "v"])
+
+        for batch in batches:
+            x = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1) if batch.num_rows else None
+            kind = np.asarray(batch.column("kind"))
+            first, group = _group_codes(batch, ["group", "block"])
+            for g, at in enumerate(first):
+                own = np.flatnonzero(group == g)
+                name = (batch.column("group")[int(at)].as_py(), batch.column("block")[int(at)].as_py())
+                if name != now:
+                    if state is not None and (state[2] > 0).any():
+                        yield result()
+                    now, state = name, None
+                ask = x[own[kind[own] == 0]]
+                if len(ask):  # a block's queries come before its keys
+                    held = np.zeros((0, ask.shape[1])) if state is None else state[0]
+                    q = np.concatenate([held, ask])
+                    state = q, np.full(len(q), -np.inf), np.zeros(len(q)), np.zeros(q.shape)
+                told = x[own[kind[own] == 1]]
+                for k in range(0, len(told), KEY_BLOCK):
+                    if state is None:
+                        break
+                    q, most, weight, total = state
+                    part = told[k : k + KEY_BLOCK]
+                    s = q @ part.T / np.sqrt(q.shape[1])
+                    top = np.maximum(most, s.max(1))
+                    scale, e = np.exp(most - top), np.exp(s - top[:, None])
+                    state = q, top, weight * scale + e.sum(1), total * scale[:, None] + e @ part
+        if state is not None and (state[2] > 0).any():
+            yield result()
+
+    kind = queries.schema["group"].dataType.simpleString()
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = ask.unionByName(told).repartition(parts, "group", "block").sortWithinPartitions("group", "block", "kind").mapInArrow(run, f"`group` {kind}, n long, v array<double>")
+    # a row for each block of queries
+    parts_of = blocks.select("group", "n", F.posexplode("v").alias("pos", "x")).groupBy("group", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return parts_of.select("group", "pos", (F.col("x") / F.col("n")).alias("x"))
 
 
 def ring_edges(nodes: DataFrame, key: str, k: int = 16) -> DataFrame:

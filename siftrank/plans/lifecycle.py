@@ -19,7 +19,7 @@ def parse_jobs(specs: DataFrame, spec: str = "spec") -> DataFrame:
 
 def unfinished(requested: DataFrame, finished: DataFrame, keys: list[str]) -> DataFrame:
     """Jobs without a complete record; a partial record is redone."""
-    return requested.join(finished.where("complete"), keys, "left_anti")
+    return requested.hint("merge").join(finished.where("complete").select(*keys).distinct(), keys, "left_anti")
 
 
 def write_labels(cells: DataFrame, path: str) -> None:

@@ -13,7 +13,7 @@ from siftrank.functions import scalar as S
 from siftrank.operators import components, labels, metrics, runstats, splits, structure, vectors
 from siftrank.operators.numbering import broadcast_small
 from siftrank.plans import lifecycle
-from siftrank.sources import tables
+from siftrank.sources import records, tables
 from siftrank.sources.checkpoints import cut, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,28 @@ def unfinished_jobs(spark, sf):
     return lifecycle.unfinished(tags.select("tag"), finished, ["tag"])
 
 
+JOBS = ("MACHINERY", "FURNITURE", "HOUSEHOLD", "BUILDING", "AUTOMOBILE")
+
+
+@query("""SELECT c_mktsegment AS job, count(*) AS rows, round(sum(c_acctbal::DECIMAL(18,2))::DOUBLE, 2) AS balance, c_mktsegment NOT IN ('MACHINERY', 'BUILDING') AS second FROM customer GROUP BY ALL""")
+def resumed_jobs(spark, sf):
+    """A job for each segment of customers: two are committed before the work stops, one more leaves files without a record; the second run makes what has no record, and no other."""
+    folder = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    customers = B.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").cast("decimal(18,2)").alias("balance"))
+    own = lambda job: customers.where(F.col("c_mktsegment") == job)
+    for job in ("MACHINERY", "BUILDING"):
+        records.commit(own(job).withColumn("second", F.lit(False)), folder, job, sf, fingerprinted=True)
+    own("HOUSEHOLD").limit(1).write.parquet(f"{folder}/data/HOUSEHOLD-stopped")
+    wanted = spark.createDataFrame([(j,) for j in JOBS], "name string")
+    for row in lifecycle.unfinished(wanted, records.records(spark, folder), ["name"]).collect():
+        records.commit(own(row["name"]).withColumn("second", F.lit(True)), folder, row["name"], sf)
+    done = [records.committed(spark, folder, job, sf) for job in JOBS]
+    rows = done[0]
+    for part in done[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy(F.col("c_mktsegment").alias("job"), "second").agg(F.count("*").alias("rows"), F.round(F.sum("balance").cast("double"), 2).alias("balance")).select("job", "rows", "balance", "second")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 10 <> 0 THEN p_retailprice END AS price FROM part")
 def finite_json(spark, sf):
     part = B.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("p_retailprice")).alias("price"))
@@ -282,6 +304,24 @@ def id_fingerprint(spark, sf):
     return labels.id_fingerprint(B.table(spark, sf, "customer"), "c_custkey")
 
 
+def _marked(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN 'n' ELSE 'v' || length({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+
+FINGER = ["l_orderkey", "l_linenumber", "l_quantity::DECIMAL(18,2)", "l_extendedprice::DECIMAL(18,2)", "nullif(l_returnflag, 'R')", "l_shipdate::DATE"]
+
+
+@query(f"""WITH h AS (SELECT sha256({" || ".join(_marked(c) for c in FINGER)}) AS h FROM lineitem), p AS (SELECT ('0x' || substr(h, 1, 15))::BIGINT AS a, ('0x' || substr(h, 16, 15))::BIGINT AS b FROM h),
+s AS (SELECT count(*) AS rows, sum(a::HUGEINT) AS sa, sum(b::HUGEINT) AS sb, bit_xor(a) AS xa, bit_xor(b) AS xb FROM p)
+SELECT rows, sha256(concat_ws('|', rows::VARCHAR, sa::VARCHAR, sb::VARCHAR, xa::VARCHAR, xb::VARCHAR)) AS fingerprint FROM s""")
+def table_fingerprint(spark, sf):
+    """Six columns of all order lines, nulls among them; fingerprints of two parts are merged to that of the whole."""
+    line = B.table(spark, sf, "lineitem")
+    rows = line.select("l_orderkey", "l_linenumber", *(F.col(c).cast("decimal(18,2)").alias(c) for c in ("l_quantity", "l_extendedprice")), F.nullif("l_returnflag", F.lit("R")).alias("l_returnflag"), F.col("l_shipdate").cast("date").alias("l_shipdate"))
+    parts = [labels.row_marks(rows.where(c)) for c in ("l_orderkey % 3 = 0", "l_orderkey % 3 <> 0")]
+    return labels.fingerprint(parts[0].unionByName(parts[1]))
+
+
 @query("SELECT source, (row_number() OVER (ORDER BY min(doc_id), source) - 1)::BIGINT AS code FROM documents GROUP BY source")
 def factorised_sources(spark, sf):
     return labels.factorise(B.table(spark, sf, "documents"), "source", "doc_id")
@@ -739,7 +779,15 @@ def target_roles(spark, sf):
     return splits.target_roles(_clusters(spark, sf))
 
 
-@query()
+ROLES5 = ("a", "b", "c", "d", "e")
+STEPS = {r: 1 if r == "a" else 6 for r in ROLES5}  # a share of 60 % fills six times as slowly as one of 10 %
+
+
+@query(f"""WITH RECURSIVE g AS MATERIALIZED (SELECT text, n, row_number() OVER (ORDER BY n DESC, text NULLS FIRST) AS i FROM (SELECT text, count(*) AS n FROM documents GROUP BY text)),
+w(i, r, {", ".join(ROLES5)}) AS (SELECT 0::BIGINT, 0::INT, {", ".join("0::BIGINT" for _ in ROLES5)}
+  UNION ALL SELECT i, r, {", ".join(f"{x} + CASE WHEN r = {k} THEN n ELSE 0 END" for k, x in enumerate(ROLES5, 1))}
+  FROM (SELECT g.i, n, {", ".join(ROLES5)}, list_position([{", ".join(f"({x} + n) * {STEPS[x]}" for x in ROLES5)}], least({", ".join(f"({x} + n) * {STEPS[x]}" for x in ROLES5)}))::INT AS r FROM w JOIN g ON g.i = w.i + 1))
+SELECT md5(text) AS group_key, n AS size, {[n for n, _ in splits.TARGET_SHARES]}[r] AS role FROM w JOIN g USING (i)""")
 def item_roles(spark, sf):
     """Whole groups of equal texts, greedily balanced over five roles."""
     return splits.item_roles(B.table(spark, sf, "documents"), "text").select(F.md5("text").alias("group_key"), "size", "role")
@@ -850,7 +898,17 @@ def attention_pool(spark, sf):
 @query(f"WITH {KNN} SELECT dst AS node, pos::INT AS pos, round(sum(i.v[pos + 1]), 5) AS x FROM knn JOIN items i ON i.ligand_id = src, range(64) AS r(pos) GROUP BY ALL")
 def message_sums(spark, sf):
     nodes = B.items(spark, sf).select(F.col("ligand_id").alias("node"), "v")
-    return rounded(vectors.message_sum(nodes, _knn(spark, sf).select("src", "dst")), 5)
+    sums = vectors.message_sum(nodes, _knn(spark, sf).select("src", "dst"))
+    return rounded(sums.select("node", F.posexplode("v").alias("pos", "x")), 5)
+
+
+@query(f"""WITH {B.ITEMS}, g AS (SELECT range AS graph FROM range(12)), s AS (SELECT "group" AS graph, avg(v[1]) AS first, avg(v[64]) AS last, count(*) AS nodes FROM items GROUP BY 1)
+SELECT g.graph, coalesce(nodes, 0) AS nodes, round(first, 5) AS first, round(last, 5) AS last, nodes IS NULL AS empty FROM g LEFT JOIN s USING (graph)""")
+def pooled_graphs(spark, sf):
+    """Labels as graphs, two of which have no nodes."""
+    nodes = B.items(spark, sf).select(F.col("group").cast("long").alias("graph"), "v")
+    out = vectors.pooled_graphs(spark.range(12).withColumnRenamed("id", "graph"), nodes)
+    return out.select("graph", "nodes", F.round(F.col("v")[0], 5).alias("first"), F.round(F.col("v")[63], 5).alias("last"), "empty")
 
 
 @query(f"WITH {B.ITEMS} SELECT \"group\", pos::INT AS pos, round(avg(v[pos + 1]), 5) AS x FROM items, range(64) AS r(pos) GROUP BY ALL")
@@ -938,13 +996,20 @@ def _structure_lines(spark, sf):
     return B.table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("target_id"), n.alias("line_no"), value.alias("value"))
 
 
+def _in_files(spark, lines):
+    """The lines written as text, a file for each target, and scanned from there."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    structure.write_lines(lines, path)
+    return structure.read_lines(spark, path)
+
+
 RECORDS = """rec AS (SELECT l_suppkey::VARCHAR AS target_id, l_orderkey * 10 + l_linenumber AS line_no, CASE WHEN l_linenumber % 2 = 1 THEN 'CA' ELSE 'CB' END AS atom_name,
   ['ALA', 'HID', 'CYX', 'MSE', 'ZZZ'][l_partkey % 5 + 1] AS res_name, l_partkey::INT AS res_seq, l_quantity AS x, l_extendedprice AS y, l_discount AS z, l_tax AS charge, l_returnflag AS ad_type FROM lineitem WHERE l_orderkey % 11 <> 0)"""
 
 
 @query(f"WITH {RECORDS} SELECT target_id, count(*) AS atoms, count(DISTINCT (res_name, res_seq)) AS residues, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(charge), 3) AS charge, count(*) FILTER (ad_type = 'R') AS r FROM rec GROUP BY target_id")
 def structure_atoms(spark, sf):
-    atoms = structure.parse_atoms(_structure_lines(spark, sf))
+    atoms = structure.parse_atoms(_in_files(spark, _structure_lines(spark, sf)))
     return rounded(atoms.groupBy("target_id").agg(
         F.count("*").alias("atoms"), F.count_distinct("res_name", "res_seq").alias("residues"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("charge").alias("charge"), F.count_if(F.col("ad_type") == "R").alias("r")
     ), 3)
@@ -953,7 +1018,7 @@ def structure_atoms(spark, sf):
 @query(f"""WITH {RECORDS}, f AS (SELECT target_id, res_name, min(line_no) AS line_no FROM rec WHERE atom_name = 'CA' GROUP BY target_id, res_name, res_seq)
 SELECT target_id, string_agg(CASE res_name WHEN 'ALA' THEN 'A' WHEN 'HID' THEN 'H' WHEN 'CYX' THEN 'C' WHEN 'MSE' THEN 'M' ELSE 'X' END, '' ORDER BY line_no, res_name) AS sequence FROM f GROUP BY target_id""")
 def residue_sequences(spark, sf):
-    return structure.sequences(structure.parse_atoms(_structure_lines(spark, sf)))
+    return structure.sequences(structure.parse_atoms(_in_files(spark, _structure_lines(spark, sf))))
 
 
 @query(f"WITH {B.ATOMS}, {B.BOXES} SELECT target_id::VARCHAR AS target_id, center_x, center_y, center_z, size_x, size_y, size_z FROM boxes")
@@ -961,13 +1026,13 @@ def box_settings(spark, sf):
     """Boxes as lines of names and values, with other lines among them, and back."""
     lines = F.array(*(F.concat(F.lit(f"{c} = "), F.col(c).cast("string")) for c in structure.BOX), F.lit(""), F.lit("no setting"))
     rows = B.boxes(spark, sf).select(F.col("target_id").cast("string").alias("target_id"), F.posexplode(lines).alias("line_no", "value"))
-    return structure.parse_boxes(rows)
+    return structure.parse_boxes(_in_files(spark, rows))
 
 
-@query("SELECT o_custkey::VARCHAR AS target_id, first(round(o_totalprice, 1) ORDER BY o_orderkey) AS best FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_custkey")
+@query("SELECT (o_custkey % 150)::VARCHAR AS target_id, first(round(o_totalprice, 1) ORDER BY o_orderkey) AS best FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1")
 def result_scores(spark, sf):
-    """The first score line of each whole text; texts without one drop out."""
+    """The first score line of each file; files without one drop out."""
     price = F.format_string("REMARK VINA RESULT:   %.1f  0.000", F.round("o_totalprice", 1))
     line = F.when(F.col("o_orderstatus") != "O", price).otherwise(F.lit("MODEL"))
-    texts = B.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("target_id")).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"])).alias("value"))
-    return structure.first_results(texts)
+    lines = B.table(spark, sf, "orders").select((F.col("o_custkey") % 150).cast("string").alias("target_id"), F.col("o_orderkey").alias("line_no"), line.alias("value"))
+    return structure.first_results(_in_files(spark, lines))

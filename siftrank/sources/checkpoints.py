@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables that :func:`stored` has written in this session and nobody has removed.
+_WRITTEN: list[str] = []
+
+
+def _path(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    place, store = _path(spark, path)
+    return store.exists(place)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that :func:`stored` writes inside the block. For jobs that have written their result before it ends: nothing that is read later may depend on such a table."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in _WRITTEN[before:]:
+            place, store = _path(spark, path)
+            store.delete(place, True)
+        del _WRITTEN[before:]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same through a Parquet table: smaller than a checkpoint, and readers take only the columns they use."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -111,7 +111,7 @@ def test_structure_readers(spark, tmp_path):
     assert one(structure.parse_boxes(structure.read_lines(spark, str(tmp_path / "t1.conf"))))["size_z"] == 5.5
     (tmp_path / "r1.txt").write_text("x\nREMARK VINA RESULT:   -7.5  0 0\nREMARK VINA RESULT: -6\n")
     (tmp_path / "r2.txt").write_text("nothing")
-    assert [tuple(r) for r in structure.parse_results(spark, str(tmp_path / "r*.txt")).collect()] == [("r1", -7.5)]
+    assert [tuple(r) for r in structure.first_results(structure.read_lines(spark, str(tmp_path / "r*.txt"))).collect()] == [("r1", -7.5)]
 
 
 def test_row_function_failures_keep_their_rows(spark):
