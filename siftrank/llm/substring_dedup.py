@@ -28,16 +28,18 @@ from siftrank.sources.checkpoints import cut
 _BLANK = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 #: How many words of a neighbouring unit a passage can take in; larger ones first.
 EDGES = (8, 4)
+#: Hashes of what is beside a unit: before it and after it, the larger part first.
+PARTS = [f"edge{i}" for i in range(2 * len(EDGES))]
 #: Words of a passage: fewer than are sought (50), since up to a few words at each end are not taken in, and more than ordinary documents share in footers.
 MIN_WORDS = 36
 _STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
 
 
 def _edges(h: np.ndarray, first: np.ndarray, last: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each unit two numbers of four 16-bit parts: hashes of the 8 and 4 words before it and of the 8 and 4 after it, all in the neighbouring unit (0 where that is shorter), and how many characters they reach."""
+    """For each unit four 64-bit hashes, of the 8 and 4 words before it and of the 8 and 4 after it, all in the neighbouring unit (0 where that is shorter), and a number whose four 16-bit parts are how many characters they reach."""
     spans, n = A.Spans(h), len(begin)
     size = end + 1 - begin
-    edge, reach = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    edge, reach = np.zeros((len(PARTS), n), np.uint64), np.zeros(n, np.uint64)
     for k, count in enumerate(EDGES):
         for side, step in ((0, -1), (1, 1)):
             own = np.arange(1, n) if step < 0 else np.arange(n - 1)
@@ -46,14 +48,14 @@ def _edges(h: np.ndarray, first: np.ndarray, last: np.ndarray, begin: np.ndarray
             chars = first[begin[own]] - first[start] if step < 0 else last[start + count - 1] - last[end[own]]
             fits = chars < 1 << 16
             own, start, chars = own[fits], start[fits], chars[fits]
-            shift = np.uint64(16 * (2 * side + k))
-            edge[own] |= ((spans.hash(start, start + count) & np.uint64(0x7FFF)) + np.uint64(1)) << shift
-            reach[own] |= chars.astype(np.uint64) << shift
+            part = 2 * side + k
+            edge[part, own] = np.maximum(spans.hash(start, start + count), np.uint64(1))
+            reach[own] |= chars.astype(np.uint64) << np.uint64(16 * part)
     return edge, reach
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """``(doc_id, unit, begin, end, words, d1, d2, edge, reach)`` of every unit; ``begin`` and ``end`` are character offsets in the text. For ``edge`` and ``reach`` see :func:`_edges`."""
+    """``(doc_id, unit, begin, end, words, d1, d2, edge0, edge1, edge2, edge3, reach)`` of every unit; ``begin`` and ``end`` are character offsets in the text. For edges and ``reach`` see :func:`_edges`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -91,22 +93,24 @@ def units(docs: DataFrame) -> DataFrame:
                         pa.array((end + 1 - begin).astype(np.int32)),
                         pa.array(A.signed(d1)),
                         pa.array(A.signed(d2)),
-                        pa.array(A.signed(edge)),
+                        *(pa.array(A.signed(e)) for e in edge),
                         pa.array(A.signed(reach)),
                     ],
-                    names=["doc_id", "unit", "begin", "end", "words", "d1", "d2", "edge", "reach"],
+                    names=["doc_id", "unit", "begin", "end", "words", "d1", "d2", *PARTS, "reach"],
                 )
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, unit int, begin int, end int, words int, d1 long, d2 long, edge long, reach long")
+    edges = ", ".join(f"{c} long" for c in PARTS)
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, f"doc_id long, unit int, begin int, end int, words int, d1 long, d2 long, {edges}, reach long")
 
 
 def _taken_in(side: int) -> tuple[Column, Column]:
     """How many words, and characters, of the unit before (0) or after (1) a repeat its first occurrence has too."""
-    part = lambda c, k: F.shiftrightunsigned(c, 16 * (2 * side + k)).bitwiseAND(F.lit(0xFFFF))
+    reach = lambda k: F.shiftrightunsigned("reach", 16 * (2 * side + k)).bitwiseAND(F.lit(0xFFFF)).cast("int")
     words, chars = F.lit(0), F.lit(0)
     for k in reversed(range(len(EDGES))):
-        same = (part("edge", k) != 0) & (part("edge", k) == part("first.edge", k))
-        words, chars = F.when(same, EDGES[k]).otherwise(words), F.when(same, part("reach", k).cast("int")).otherwise(chars)
+        edge = PARTS[2 * side + k]
+        same = (F.col(edge) != 0) & (F.col(edge) == F.col(f"first.{edge}"))
+        words, chars = F.when(same, EDGES[k]).otherwise(words), F.when(same, reach(k)).otherwise(chars)
     return words, chars
 
 
@@ -117,9 +121,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 30, take_in: bool = Fals
     """
     every = units(docs)
     if not take_in:
-        every = every.withColumns({"edge": F.lit(0).cast("long"), "reach": F.lit(0).cast("long")})
+        every = every.withColumns({c: F.lit(0).cast("long") for c in (*PARTS, "reach")})
     first = (
-        every.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "unit", "edge")).alias("first"), F.count("*").alias("times"))
+        every.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "unit", *PARTS)).alias("first"), F.count("*").alias("times"))
         .where("times > 1").select("d1", "d2", "first")
     )
     # read back, so that the join has plain shuffles on both sides and a frequent unit's side can be split
