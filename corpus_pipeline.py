@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftrank.llm import decontamination, line_dedup, ngram_jaccard, pieces, toxicity
-from siftrank.sources.checkpoints import shared_folder
+from siftrank.sources import records
+from siftrank.sources.checkpoints import released, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -82,11 +83,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; what each returns is written to the shared checkpoint folder and read again."""
-    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, place: str | None = None) -> DataFrame:
+    """Apply all stages to ``documents``; what each returns is written as Parquet, made valid by a record, and read again.
+
+    With a ``place`` of one's own, a run that stops is taken up after the last stage that was recorded there for the same ``sf_dir``; without one, everything is made anew in the shared checkpoint folder.
+    Tables that a stage stores on its way are removed when its result is written.
+    """
+    place = place or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
-        docs = spark.read.parquet(f"{place}/{name}")
+        with released(spark):
+            docs = records.resumed(spark, place, name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), inputs=sf_dir)
     return docs

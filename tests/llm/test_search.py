@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from siftrank.llm import arrays as A
 from siftrank.llm import decontamination, kneser_ney, nearest, sharding, url_lists
+from siftrank.sources import checkpoints
 from tests.llm.fixtures import DOCS, corpus, frame, prose, words
 
 
@@ -330,3 +331,29 @@ def test_url_query_equals_sql(spark):
     want = {r[0]: r[1:] for r in con.execute(queries.ORACLE_SQL["op4_url_lists"]).fetchall()}
     got = {r.page_id: tuple(r)[1:] for r in queries.QUERIES["op4_url_lists"](spark, str(data)).collect()}
     assert got == want
+
+
+def test_pipeline_is_resumed_after_a_failed_stage(spark, tmp_path, monkeypatch):
+    """Stages that were recorded are not run again, and what they stored on their way is removed."""
+    spark.createDataFrame(corpus(8, 5), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    calls, inner = [], []
+
+    def stage(name, fails):
+        def f(spark, docs, sf_dir):
+            calls.append(name)
+            inner.append(checkpoints.stored(docs.limit(3)))
+            if fails and calls.count(name) == 1:
+                raise RuntimeError("an executor too many is lost")
+            return docs.where(F.coalesce(F.col("doc_id"), F.lit(-1)) != len(name)).withColumn(name, F.lit(1))
+
+        return f
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, stage(n, n == "ccc")) for n in ("a", "bb", "ccc", "dddd")])
+    place = str(tmp_path / "place")
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, str(tmp_path), place)
+    out = corpus_pipeline.run(spark, str(tmp_path), place)
+    assert calls == ["a", "bb", "ccc", "ccc", "dddd"] and {"a", "bb", "ccc", "dddd"} <= set(out.columns)
+    assert out.where("doc_id IN (1, 2, 3, 4)").count() == 0 < out.count()
+    for table in inner:
+        assert not checkpoints.exists(spark, table.inputFiles()[0])
