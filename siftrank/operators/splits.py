@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrank.functions import scalar as S
+from siftrank.operators import ordered as O
 from siftrank.operators.numbering import broadcast_small, numbered_within
 from siftrank.sources.checkpoints import stored
 
@@ -57,22 +58,18 @@ def diverse_pick(targets: DataFrame, n: int, family: str = "family", name: str =
 def target_roles(clusters: DataFrame, share: float = 0.15, least: int = 6) -> DataFrame:
     """``cluster, size, role``: clusters of over two targets train; of the rest, smallest first, clusters test until there are enough targets and clusters, then dev, then train.
 
-    ``clusters`` has ``cluster, target_id``. A prefix sum decides each cluster, so there is no loop.
+    ``clusters`` has ``cluster, target_id``. A prefix sum decides each cluster, so there is no loop; places come from ranges, so no window holds all clusters.
     """
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.min("target_id").alias("first"))
-    need = F.ceil(F.lit(share) * F.col("total"))
-    sizes = sizes.crossJoin(F.broadcast(clusters.agg(F.count("*").alias("total"))))
-    before = Window.orderBy("size", "first").rowsBetween(Window.unboundedPreceding, -1)
-    sum_before = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    small = sizes.where("size <= 2").withColumn("t", sum_before("size")).withColumn("c", sum_before(F.lit(1)))
-    small = small.withColumn("test", (F.col("t") < need) | (F.col("c") < least))
-    rest = small.where("NOT test").withColumn("t", sum_before("size")).withColumn("c", sum_before(F.lit(1)))
-    dev = F.when((F.col("t") < need) | (F.lit(False)), "dev").otherwise("train")
-    return (
-        small.where("test").select("cluster", "size", F.lit("test").alias("role"))
-        .union(rest.select("cluster", "size", dev))
-        .union(sizes.where("size > 2").select("cluster", "size", F.lit("train")))
-    )
+    sizes = stored(clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.min("target_id").alias("first")))
+    small = stored(numbered_within(sizes.where("size <= 2"), [], ["size", "first"], "c"))
+    totals = sizes.agg(F.ceil(F.lit(share) * F.sum("size")).alias("need"), F.count_if(F.col("size") == 1).alias("ones"))
+    # clusters of one target come first, then those of two, so a place tells how many targets stand before it
+    t = F.when(F.col("c") < F.col("ones"), F.col("c")).otherwise(2 * F.col("c") - F.col("ones"))
+    placed = small.crossJoin(F.broadcast(totals)).withColumn("t", t).withColumn("test", (F.col("t") < F.col("need")) | (F.col("c") < least))
+    taken = stored(placed.where("test").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("taken")))
+    dev = F.when(F.col("t") - F.col("taken") < F.col("need"), "dev").otherwise("train")
+    role = F.when(F.col("test"), "test").otherwise(dev)
+    return placed.crossJoin(F.broadcast(taken)).select("cluster", "size", role.alias("role")).union(sizes.where("size > 2").select("cluster", "size", F.lit("train")))
 
 
 def _greedy(weights: list[int]):
@@ -162,14 +159,16 @@ def evaluation_sets(cells: DataFrame) -> DataFrame:
 
 
 def balanced_batches(pairs: DataFrame, updates: int, batch: int, salt: str = "plan") -> DataFrame:
-    """``update, pos, target_id, ligand_id``: each update draws one target, then items of it with replacement."""
-    targets = pairs.groupBy("target_id").agg(F.count("*").alias("n"))
-    targets = targets.withColumn("t", (F.row_number().over(Window.orderBy("target_id")) - 1).cast("long"))
+    """``update, pos, target_id, ligand_id``: each update draws one target, then items of it with replacement. Only the rows of drawn targets are numbered."""
+    spark, pairs = pairs.sparkSession, stored(pairs.select("target_id", "ligand_id"))
+    targets = stored(numbered_within(pairs.groupBy("target_id").agg(F.count("*").alias("n")), [], ["target_id"], "t"))
     many = targets.count()
-    plan = pairs.sparkSession.range(updates).select(F.col("id").alias("update"), S.hash_number(F.concat_ws("#", F.lit(salt), F.col("id").cast("string")), many).alias("t")) if many else None
-    if plan is None:
-        return pairs.select(F.lit(0).cast("long").alias("update"), F.lit(0).alias("pos"), "target_id", "ligand_id").limit(0)
-    rows = plan.join(broadcast_small(targets), "t").withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))
-    rows = rows.withColumn("k", S.hash_number(F.concat_ws("#", F.lit(salt), "update", "pos"), F.col("n")))
-    numbered = pairs.withColumn("k", (F.row_number().over(Window.partitionBy("target_id").orderBy("ligand_id")) - 1).cast("long"))
-    return rows.hint("merge").join(numbered.select("target_id", "k", "ligand_id"), ["target_id", "k"]).select("update", "pos", "target_id", "ligand_id")
+    if not many:
+        return pairs.select(F.lit(0).cast("long").alias("update"), F.lit(0).alias("pos"), "target_id", "ligand_id")
+    plan = spark.range(updates).select(F.col("id").alias("update"), S.hash_number(F.concat_ws("#", F.lit(salt), F.col("id").cast("string")), many).alias("t"))
+    drawn = stored(plan.hint("merge").join(targets, "t").select("update", "target_id", "n"))
+    rows = drawn.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))
+    rows = rows.withColumn("k", S.hash_number(F.concat_ws("#", F.lit(salt), "update", "pos"), F.col("n")) + 1)
+    own = stored(pairs.join(broadcast_small(stored(drawn.select("target_id").distinct()), 1_000_000), "target_id", "left_semi"))
+    placed = O.with_places(own, ["target_id"], [F.col("ligand_id")], "k")
+    return rows.hint("merge").join(placed, ["target_id", "k"]).select("update", "pos", "target_id", "ligand_id")

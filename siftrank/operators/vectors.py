@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siftrank.functions import scalar as S
 from siftrank.operators import ordered as O
 from siftrank.operators.numbering import broadcast_small, numbered_within
+from siftrank.plans import lifecycle
 from siftrank.sources.checkpoints import stored
 
 TARGETS_PER_BLOCK = 4096
@@ -332,6 +333,84 @@ def fit_hits(pairs: DataFrame, features: str = "features", weight: float = 0.2,
     return p
 
 
+def _rows_of(batch: pa.RecordBatch, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, hits and truths of a batch of ``v, t, y, z``: a feature is a product of the two vectors' components, made here, never stored."""
+    v, t = (np.asarray(batch.column(c).flatten(), np.float64).reshape(batch.num_rows, -1) for c in "vt")
+    y, z = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in "yz")
+    return (v * t)[at], y[at], z[at]
+
+
+def fit_batches(batches: DataFrame, held: DataFrame, weight: float = 0.2, rate: float = 0.05, shards: int = 4, per_round: int = 8, patience: int = 3) -> tuple[np.ndarray, DataFrame]:
+    """Stochastic fit of the model of :func:`fit_hits` over a batch plan; returns the best parameters and the learning curve ``update, metric, best``.
+
+    ``batches`` has ``update, pos, v, t, y, z``: item and target vectors, hit, standardised truth or null; see :func:`splits.balanced_batches` for the plan. ``held`` has ``v, t, y, z``. The updates of a plan are dealt to ``shards`` tasks; in a round
+    each takes its next ``per_round`` updates, one step of gradient descent for each, from the same parameters, and the results are averaged, so a round is one job and only parameters leave its tasks. After each round the held-out
+    loss is measured; the rule of :func:`lifecycle.early_stop` ends the fit, and the parameters of the best round are returned. With one shard this is plain descent, update by update.
+    """
+    spark = batches.sparkSession
+    kind = lambda c: F.transform(c, lambda x: x.cast("double")).alias(c)
+    told = [kind("v"), kind("t"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z")]
+    batches, held = stored(batches.select("update", "pos", *told)), stored(held.select(*told))
+    size, last = batches.agg(F.max(F.size("v")), F.max("update")).first()
+    p = np.concatenate([np.random.default_rng(0).standard_normal(size or 0) * 0.01, [0.0, 1.0, 0.0, -1.0, 0.0]])
+    best, curve, step = p, [], shards * per_round
+    schema = "update long, metric double"
+    for begin in range(0, (last + 1) if last is not None else 0, step):
+
+        def descend(rows: Iterator[pa.RecordBatch], p=p) -> Iterator[pa.RecordBatch]:
+            whole = [b for b in rows if b.num_rows]  # the updates of one task in one round: per_round batches
+            if not whole:
+                return
+            table = pa.Table.from_batches(whole).combine_chunks().to_batches()[0]
+            update, q = np.asarray(table.column("update")), p.copy()
+            for u in np.unique(update):
+                f, y, z = _rows_of(table, update == u)
+                q = q - rate * joint_loss(f, y, z, q, weight)[1] / len(y)
+            yield pa.RecordBatch.from_arrays([pa.array([len(np.unique(update))]), pa.array([q], pa.list_(pa.float64()))], names=["updates", "p"])
+
+        def lose(rows: Iterator[pa.RecordBatch], p=p) -> Iterator[pa.RecordBatch]:
+            total, many = 0.0, 0
+            for b in rows:
+                if b.num_rows:
+                    total, many = total + joint_loss(*_rows_of(b), p, weight)[0], many + b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([many])], names=["loss", "n"])
+
+        own = batches.where((F.col("update") >= begin) & (F.col("update") < begin + step)).withColumn("shard", (F.col("update") % shards).cast("int"))
+        moved = own.repartition(shards, "shard").sortWithinPartitions("shard", "update", "pos")
+        done = moved.mapInArrow(_by_shard(descend), "updates long, p array<double>").collect()  # a row for each shard
+        p = np.average([r["p"] for r in done], axis=0, weights=[r["updates"] for r in done])
+        loss = held.mapInArrow(lose, "loss double, n long").agg(F.sum("loss") / F.sum("n")).first()[0]
+        curve.append((min(begin + step, last + 1), -loss))
+        rows = lifecycle.early_stop(spark.createDataFrame(curve, schema).withColumn("run", F.lit(0)), patience, ["run"]).first()
+        best = p if rows["best_update"] == curve[-1][0] else best
+        if rows["reason"] == "patience":
+            break
+    top = max((m for _, m in curve), default=None)
+    return best, spark.createDataFrame([(u, m, m == top) for u, m in curve], schema + ", best boolean")
+
+
+def _by_shard(run):
+    """Several shards can share a partition: each is run on its own rows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard = np.asarray(batch.column("shard"))
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(int(a), int(b - a))
+                if held and held[-1].column("shard")[0].as_py() != part.column("shard")[0].as_py():
+                    yield from run(iter(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from run(iter(held))
+
+    return each
+
+
 def predicted(pairs: DataFrame, p: np.ndarray, features: str = "features") -> DataFrame:
     """``pairs`` with ``logit, p_hit, score_pred`` of a fitted model."""
     b, a, c, d, e = (float(x) for x in p[-5:])
