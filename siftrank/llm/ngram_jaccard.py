@@ -214,8 +214,9 @@ def jaccard_join(
     own = mine.hint("merge").join(stored(several), "doc_id").where("cid IS NOT NULL").select("cid", "root")
     joined = stored(connected_components(linked.select("cid", "root").union(own), "cid", "root").withColumnRenamed("node", "cid"))
     classes = stored(joined.hint("merge").join(texts.select("cid", "rep"), "cid").groupBy("component").agg(F.min("rep").alias("class_id")))
-    known = stored(joined.hint("merge").join(classes, "component").select("cid", "class_id"))
-    out = mine.hint("merge").join(counted, "cid", "left").hint("merge").join(known, "cid", "left").groupBy("doc_id").agg(
+    # one table for the last join, read back, so that the copies of a frequent text can be split
+    known = stored(joined.hint("merge").join(classes, "component").hint("merge").join(counted, "cid", "left").select("cid", "class_id", "n_links"))
+    out = mine.hint("merge").join(known, "cid", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("rep", "doc_id")).alias("copy_id"), F.min(F.coalesce("class_id", "rep", "doc_id")).alias("class_id"),
         F.coalesce(F.sum("n_copies"), F.lit(1)).alias("n_copies"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"),
     )
