@@ -1049,6 +1049,32 @@ def box_settings(spark, sf):
     return structure.parse_boxes(_in_files(spark, rows))
 
 
+GRAPH = f"""{RECORDS}, bx AS (SELECT l_suppkey::VARCHAR AS target_id, round(sum(l_quantity::DECIMAL(18,4))::DOUBLE / count(*), 0) AS cx, round(sum(l_extendedprice::DECIMAL(18,4))::DOUBLE / count(*), 0) AS cy, 0.0::DOUBLE AS cz FROM lineitem GROUP BY 1),
+ra AS (SELECT rec.*, abs(x - cx) <= 10 AND abs(y - cy) <= 3004 AND abs(z - cz) <= 5 AS inside, round(sqrt(pow(x - cx, 2) + pow(y - cy, 2) + pow(z - cz, 2)), 6) AS gap,
+  row_number() OVER (PARTITION BY target_id, res_seq, res_name, atom_name ORDER BY line_no, x::DECIMAL(18,3)::VARCHAR, y::DECIMAL(18,3)::VARCHAR, z::DECIMAL(18,3)::VARCHAR) AS turn FROM rec JOIN bx USING (target_id)),
+rn AS (SELECT target_id, res_seq, res_name, min(gap) AS gap, round(coalesce(max(x) FILTER (atom_name = 'CA' AND turn = 1), avg(x)), 6) AS x, round(coalesce(max(y) FILTER (atom_name = 'CA' AND turn = 1), avg(y)), 6) AS y,
+  round(coalesce(max(z) FILTER (atom_name = 'CA' AND turn = 1), avg(z)), 6) AS z FROM ra GROUP BY ALL HAVING bool_or(inside)),
+rk AS (SELECT *, count(*) OVER (PARTITION BY target_id) > 24 AS truncated FROM rn QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY gap, res_seq, res_name) <= 24),
+nd AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY res_seq, res_name) - 1 AS node FROM rk),
+ed AS (SELECT a.target_id, a.node AS src, b.node AS dst, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 6) AS distance FROM nd a JOIN nd b ON a.target_id = b.target_id AND a.node <> b.node QUALIFY row_number() OVER (PARTITION BY a.target_id, a.node ORDER BY distance, b.node) <= 6)"""
+
+
+@query(f"""WITH {GRAPH} SELECT target_id, src, dst, distance, round(exp(-0.32::DOUBLE * pow(distance, 2)), 6) AS bump_0, round(exp(-0.32::DOUBLE * pow(distance - 10 * 20::DOUBLE / 15, 2)), 6) AS bump_10,
+  (SELECT bool_or(truncated) FROM nd WHERE nd.target_id = ed.target_id) AS truncated FROM ed""")
+def residue_graph(spark, sf):
+    """From lines of text to a graph: structure files and settings files are written and scanned, residues chosen by box and distance, joined to their nearest, and distances spread over bumps."""
+    atoms = structure.parse_atoms(_in_files(spark, _structure_lines(spark, sf)))
+    mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(18,4)")).cast("double"), 0)
+    made = B.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("target_id")).agg(mean("l_quantity").alias("center_x"), mean("l_extendedprice").alias("center_y"))
+    fixed = {"center_z": 0.0, "size_x": 12.0, "size_y": 6000.0, "size_z": 2.0}
+    made = made.withColumns({c: F.lit(v) for c, v in fixed.items()})
+    lines = made.select("target_id", F.posexplode(F.array(*(F.concat(F.lit(f"{c} = "), F.col(c).cast("string")) for c in structure.BOX))).alias("line_no", "value"))
+    nodes = stored(structure.residue_nodes(atoms, structure.parse_boxes(_in_files(spark, lines)), cap=24))
+    cut_ = nodes.groupBy("target_id").agg(F.max("truncated").alias("truncated"))
+    edges = structure.residue_graph(nodes, 6).join(broadcast_small(stored(cut_), 100_000), "target_id")
+    return edges.select("target_id", "src", "dst", "distance", *(F.round(F.col("attributes")[k], 6).alias(f"bump_{k}") for k in (0, 10)), "truncated")
+
+
 @query("SELECT (o_custkey % 150)::VARCHAR AS target_id, first(round(o_totalprice, 1) ORDER BY o_orderkey) AS best FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1")
 def result_scores(spark, sf):
     """The first score line of each file; files without one drop out."""
