@@ -13,7 +13,7 @@
 
 A line is removed if an earlier line has a similarity of ``threshold`` or more, itself removed or not. Lines of fewer than ``min_words``
 different words are left alone; the query and the pipeline pass 1, so that only lines without words are. Sets too small to resemble any but an equal one
-(of up to 3 words at 0.8) are matched by their digest alone and post nothing. Null and empty texts have no lines to remove; rows with a null ``doc_id`` take no part, as their lines have no place in the order. Repeated rows: the copy of a
+(of up to 3 words at 0.8) are matched by their digests alone, 96 bits of them, and post nothing. Candidates are verified on the words themselves, not on hashes. Null and empty texts have no lines to remove; rows with a null ``doc_id`` take no part, as their lines have no place in the order. Repeated rows: the copy of a
 line in the same document and place is the same line; where rows of one ``doc_id`` hold different texts, a place is removed if any of its lines is. An empty table gives an empty result. Extra columns are ignored by
 :func:`duplicate_lines` and dropped by :func:`remove_lines`.
 """
@@ -53,21 +53,24 @@ _BITS = np.uint64(44)
 _LOW = np.uint64((1 << 44) - 1)
 
 
-def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's different words as 44-bit hashes in ascending order, flat, with offsets. Texts are sorted as one array, by (text, hash)."""
+def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's different words as codes, flat, with offsets, and two 64-bit hashes of each code's word.
+
+    Codes hold for these texts only, and equal ones are equal words. They ascend within a text, in the order of the words' low 44 bits of the first hash, the others next.
+    """
     flat, offsets = A.words(texts)
-    out, sizes = [], []
-    h = A.word_hashes(flat) & _LOW
-    for x in range(0, len(offsets) - 1, 1 << 20):
-        part = offsets[x : x + (1 << 20) + 1]
-        own = np.repeat(np.arange(len(part) - 1, dtype=np.uint64) << _BITS, np.diff(part))
-        key = np.sort(own | h[part[0] : part[-1]])
-        if len(key):
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        sizes.append(np.bincount((key >> _BITS).astype(np.int64), minlength=len(part) - 1))
-        out.append(key & _LOW)
-    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-    return np.concatenate(out) if out else h, np.concatenate([[0], np.cumsum(size)])
+    if not len(flat):
+        return np.zeros(0, np.int64), offsets, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    coded = flat.dictionary_encode()
+    one, two = A.string_hash(coded.dictionary), A.string_hash(coded.dictionary, A.P2)
+    order = np.argsort((one << np.uint64(20)) | (one >> _BITS))
+    code = np.empty(len(order), np.int64)
+    code[order] = np.arange(len(order))
+    size = np.diff(offsets)
+    key = np.sort((np.repeat(np.arange(len(size)), size) << 32) | code[np.asarray(coded.indices)[: offsets[-1]]])
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    size = np.bincount(key >> 32, minlength=len(size))
+    return key & 0xFFFFFFFF, np.concatenate([[0], np.cumsum(size)]), one[order], two[order]
 
 
 def _split(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -79,9 +82,10 @@ def _split(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return split.flatten(), row, np.arange(at[-1]) - at[:-1][row]
 
 
-def _digests(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each word set, as a signed number."""
-    return A.signed(A.span_hash(h, offsets[:-1], offsets[1:]))
+def _digests(one: np.ndarray, two: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each word set, of 64 bits and of 32, as signed numbers: a polynomial of the first hashes of its words, and a sum of the second ones, in which order plays no part."""
+    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(A.mix(two))])
+    return A.signed(A.span_hash(one, offsets[:-1], offsets[1:])), A.mix(other[offsets[1:]] - other[offsets[:-1]]).astype(np.uint32).view(np.int32)
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -140,7 +144,7 @@ def least_near(threshold: float) -> int:
 def line_sets(docs: DataFrame, threshold: float, min_words: int) -> DataFrame:
     """``doc_id, tag, d1, n, b0, b1, prefix`` of every line with ``min_words`` different words or more.
 
-    ``tag`` is the line's number and, above it, 32 bits of its set's digest ``d1``. Only the earliest line of a batch with its set has a prefix.
+    ``tag`` is the line's number and, above it, the digest ``d2`` of 32 bits; sets with the same ``d1`` and ``d2`` count as equal. Only the earliest line of a batch with its set has a prefix.
     """
     least, bits, block = least_near(threshold), RARITY_BITS, BLOCK
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs))
@@ -150,12 +154,14 @@ def line_sets(docs: DataFrame, threshold: float, min_words: int) -> DataFrame:
         for whole in batches:
             for batch in A.pieces_of(whole, "text", TEXT):
                 text, row, number = _split(batch)
-                h, offsets = _sets(text)
-                size, d1 = np.diff(offsets), _digests(h, offsets)
+                code, offsets, one, two = _sets(text)
+                size, (d1, d2) = np.diff(offsets), _digests(one[code], two[code], offsets)
+                h = one[code] & _LOW
                 ids = np.asarray(batch.column("doc_id").cast(pa.int64()))[row]
                 own = np.flatnonzero(size >= max(min_words, 1))
-                own = own[np.lexsort((number[own], ids[own], d1[own]))]
-                first = np.concatenate([[True], d1[own][1:] != d1[own][:-1]]) if len(own) else np.zeros(0, bool)
+                own = own[np.lexsort((number[own], ids[own], d2[own], d1[own]))]
+                first = np.ones(len(own), bool)
+                first[1:] = (d1[own][1:] != d1[own][:-1]) | (d2[own][1:] != d2[own][:-1])
                 post = np.zeros(len(size), bool)
                 post[own[first]] = True
                 post &= size >= least
@@ -163,7 +169,7 @@ def line_sets(docs: DataFrame, threshold: float, min_words: int) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(np.where(post, size, 0))])
                 word, end = _prefixes(h[np.repeat(post, size)], at, counts, bits, block, threshold)
                 b0, b1 = _bitmaps(h[np.repeat(post, size)], at)
-                tag = (d1[own] << 32) | number[own]
+                tag = (d2[own].astype(np.int64) << 32) | number[own]
                 length = np.diff(end)[own]
                 start = np.repeat(end[own] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) if len(own) else np.zeros(0, np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(word[start + np.arange(len(start))]))
@@ -179,6 +185,10 @@ def line_no(tag: str = "tag") -> Column:
     return F.col(tag).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
+def digest(tag: str = "tag") -> Column:
+    return F.shiftright(tag, 32).cast("int")
+
+
 def place(doc: str, tag: str) -> Column:
     return F.struct(F.col(doc).alias("doc_id"), line_no(tag).alias("line_no"))
 
@@ -314,7 +324,7 @@ def _in_bloom(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def needed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``doc_id, line_no, d1, words``: the text of the lines at these places, and of a few others; equal lines of repeated rows once."""
+    """``doc_id, line_no, d1, d2, words``: the text of the lines at these places, and of a few others; equal lines of repeated rows once."""
     key = F.col("doc_id").bitwiseXOR(F.col("line_no").cast("long") * SPREAD)
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(places.select(key.alias("key")), "key"))
 
@@ -326,11 +336,14 @@ def needed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
                 ids = np.asarray(batch.column("doc_id").cast(pa.int64()))[row]
                 own = np.flatnonzero(_in_bloom(bloom, ids ^ (number * SPREAD)))
                 text = text.take(pa.array(own)).cast(pa.string())
-                d1 = _digests(*_sets(text))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(d1), text], names=["doc_id", "line_no", "d1", "words"])
+                code, offsets, one, two = _sets(text)
+                d1, d2 = _digests(one[code], two[code], offsets)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[own]), pa.array(number[own].astype(np.int32)), pa.array(d1), pa.array(d2), text], names=["doc_id", "line_no", "d1", "d2", "words"]
+                )
 
-    found = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no int, d1 long, words string")
-    return found.groupBy("doc_id", "line_no", "d1").agg(F.min("words").alias("words"))
+    found = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, line_no int, d1 long, d2 int, words string")
+    return found.groupBy("doc_id", "line_no", "d1", "d2").agg(F.min("words").alias("words"))
 
 
 def _verify(threshold: float):
@@ -340,11 +353,11 @@ def _verify(threshold: float):
         for whole in batches:
             for x in range(0, whole.num_rows, 1 << 16):
                 batch = whole.slice(x, 1 << 16)
-                (a, ao), (b, bo) = _sets(batch.column("words_a")), _sets(batch.column("words_b"))
-                an, bn = np.diff(ao), np.diff(bo)
-                key = np.concatenate([(np.repeat(np.arange(len(n), dtype=np.uint64), n) << _BITS) | h for h, n in ((a, an), (b, bn))])
-                key.sort()
-                both = np.bincount((key[1:][key[1:] == key[:-1]] >> _BITS).astype(np.int64), minlength=len(an))
+                code, offsets, *_ = _sets(pa.concat_arrays([pc.fill_null(batch.column(c), "").cast(pa.large_string()) for c in ("words_a", "words_b")]))
+                size, rows = np.diff(offsets), batch.num_rows
+                an, bn = size[:rows], size[rows:]
+                key = np.sort((np.repeat(np.arange(2 * rows) % rows, size) << 32) | code)
+                both = np.bincount(key[1:][key[1:] == key[:-1]] >> 32, minlength=rows)
                 near = both >= threshold * (an + bn - both) - 1e-9
                 yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(near)], names=[*names, "near"])
 
@@ -358,7 +371,7 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     texts = stored(needed_texts(docs, places))
     side = lambda s, *more: texts.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line_no").alias(f"{s}_line"), F.col("words").alias(f"words_{s}"), *more)
     both = pairs.withColumns({f"{s}_line": line_no(f"{s}_tag") for s in "ab"}).drop("b_tag")
-    both = both.hint("merge").join(side("a", "d1"), ["a_doc", "a_line"]).where("shiftright(a_tag, 32) = shiftright(shiftleft(d1, 32), 32)")
+    both = both.hint("merge").join(side("a", "d1", "d2"), ["a_doc", "a_line"]).where(digest("a_tag") == F.col("d2"))
     both = both.hint("merge").join(side("b"), ["b_doc", "b_line"])
     schema = "a_doc long, a_tag long, d1 long, b_doc long, b_line int, more boolean"
     return both.select("a_doc", "a_tag", "d1", "b_doc", "b_line", "more", "words_a", "words_b").mapInArrow(_verify(threshold), schema + ", near boolean")
@@ -370,7 +383,7 @@ def _joined(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFra
 
 
 def _settle(docs: DataFrame, pairs: DataFrame, left_out: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``(d1, first)`` of the lines whose earliest match is known, and ``(a_doc, a_tag)`` of those that wait for the whole lists."""
+    """``(d1, d2, first)`` of the lines whose earliest match is known, and ``(a_doc, a_tag)`` of those that wait for the whole lists."""
     pairs = stored(pairs.groupBy("a_doc", "a_tag", "b_doc", "b_tag").agg(F.bool_or("more").alias("more")))
     b = F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no"))
     each = verified(docs, pairs, threshold).select("a_doc", "a_tag", "d1", F.when(F.col("near"), b).alias("first"), F.when(F.col("more"), b).alias("cut"))
@@ -379,11 +392,11 @@ def _settle(docs: DataFrame, pairs: DataFrame, left_out: DataFrame | None, thres
     each = cut(each.groupBy("a_doc", "a_tag").agg(F.max("d1").alias("d1"), F.min("first").alias("first"), F.min("cut").alias("cut")))
     # what a cut list left out is later than what it kept: a match before that is the earliest
     done = "first IS NOT NULL AND (cut IS NULL OR first <= cut)"
-    return each.where(done).select("d1", "first"), each.where(f"cut IS NOT NULL AND NOT ({done})").select("a_doc", "a_tag")
+    return each.where(done).select("d1", digest("a_tag").alias("d2"), "first"), each.where(f"cut IS NOT NULL AND NOT ({done})").select("a_doc", "a_tag")
 
 
 def first_matches(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``(d1, first)``: for each set that resembles an earlier one, the earliest line of those that it resembles."""
+    """``(d1, d2, first)``: for each set that resembles an earlier one, the earliest line of those that it resembles."""
     pairs, left_out = list_candidates(postings(sets).where("word >= 0"), threshold, FEW, F.lit(3)), None
     hot = not sets.where(F.exists("prefix", lambda w: w < 0)).isEmpty()
     if hot:
@@ -414,10 +427,11 @@ def first_matches(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
     """Every line that an earlier line resembles: ``doc_id, line_no`` and the earliest such line ``first_doc_id, first_line_no``."""
     sets = stored(line_sets(docs, threshold, min_words))
-    own = sets.groupBy("d1").agg(F.min(place("doc_id", "tag")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d1", "first")
+    sets = sets.withColumn("d2", digest())
+    own = sets.groupBy("d1", "d2").agg(F.min(place("doc_id", "tag")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d1", "d2", "first")
     # read back, so that the join has plain shuffles on both sides and a frequent line's side can be split
-    first = stored(own.union(first_matches(docs, sets, threshold)).groupBy("d1").agg(F.min("first").alias("first")))
-    removed = sets.select("d1", "doc_id", "tag").hint("merge").join(first, "d1").select("doc_id", line_no().alias("line_no"), "first")
+    first = stored(own.union(first_matches(docs, sets, threshold)).groupBy("d1", "d2").agg(F.min("first").alias("first")))
+    removed = sets.select("d1", "d2", "doc_id", line_no().alias("line_no")).hint("merge").join(first, ["d1", "d2"]).select("doc_id", "line_no", "first")
     removed = removed.where(F.struct("doc_id", "line_no") > F.col("first")).groupBy("doc_id", "line_no").agg(F.min("first").alias("first"))
     return removed.select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
 
