@@ -60,25 +60,20 @@ class Splits:
 
     def __init__(self, sample: np.ndarray, cells: int) -> None:
         self.nodes: list[tuple[int, float, int, int]] = []
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        wide = np.full(sample.shape[1], np.inf)
-        self.root = self._build(sample, cells, -wide, wide)
+        self.cells = 0
+        self.root = self._build(sample, cells)
 
-    def _build(self, rows: np.ndarray, cells: int, low: np.ndarray, high: np.ndarray) -> int:
+    def _build(self, rows: np.ndarray, cells: int) -> int:
         if cells <= 1 or len(rows) < 2:
-            self.low.append(low)
-            self.high.append(high)
-            return -len(self.low)
+            self.cells += 1
+            return -self.cells
         axis = int(np.argmax(rows.max(0) - rows.min(0)))
         at = float(np.quantile(rows[:, axis], (cells // 2) / cells))
         mine = len(self.nodes)
         self.nodes.append((axis, at, 0, 0))
-        left_high, right_low = high.copy(), low.copy()
-        left_high[axis] = right_low[axis] = at
         here = rows[:, axis] <= at
-        left = self._build(rows[here], cells // 2, low, left_high)
-        right = self._build(rows[~here], cells - cells // 2, right_low, high)
+        left = self._build(rows[here], cells // 2)
+        right = self._build(rows[~here], cells - cells // 2)
         self.nodes[mine] = (axis, at, left, right)
         return mine
 
@@ -91,11 +86,22 @@ class Splits:
                 node[own] = np.where(y[own, axis] <= at, left, right)
         return -node - 1
 
-    def gaps(self, y: np.ndarray) -> np.ndarray:
-        """Squared distances from each point to each cell."""
-        low, high = np.array(self.low), np.array(self.high)
-        out = np.maximum(low[None] - y[:, None], 0) + np.maximum(y[:, None] - high[None], 0)
-        return (out**2).sum(2)
+    def within(self, y: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """For each cell the points whose squared distance to it is ``reach`` at most. The tree is walked with the points that can still reach a node, so that what is held grows with its depth, not with the cells."""
+        todo = [(self.root, np.arange(len(y)), np.zeros_like(y))]
+        while todo:
+            node, rows, gap = todo.pop()
+            if node < 0:
+                yield rows, -node - 1
+                continue
+            axis, at, left, right = self.nodes[node]
+            beyond = y[rows, axis] - at
+            for child, over in ((left, beyond), (right, -beyond)):
+                apart = gap.copy()
+                apart[:, axis] = np.maximum(apart[:, axis], over)
+                near = (apart**2).sum(1) <= reach[rows]
+                if near.any():
+                    todo.append((child, rows[near], apart[near]))
 
 
 def leaves(y: np.ndarray) -> list[np.ndarray]:
@@ -183,7 +189,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, seed: int = 3) -> D
 
     sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     splits = Splits(lifted(matrix(sample)), max(1, math.ceil(n / CELL)))
-    cells = len(splits.low)
+    cells = splits.cells
 
     def placed(table: DataFrame, points, name: str) -> DataFrame:
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,12 +256,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, seed: int = 3) -> D
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gaps = splits.gaps(query_points(matrix(b.column("v"))))
-            wanted = gaps <= limit * np.asarray(b.column("bound"))[:, None]
-            wanted[np.arange(len(wanted)), np.asarray(b.column("home"))] = False
-            row, cell = np.nonzero(wanted)
-            out = b.select(["vec_id", "v", "bound"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *out.columns], names=["cell", *out.schema.names])
+            home = np.asarray(b.column("home"))
+            points, reach = query_points(matrix(b.column("v"))), limit * np.asarray(b.column("bound"))
+            for rows, cell in splits.within(points, reach):
+                out = b.select(["vec_id", "v", "bound"]).take(pa.array(rows[home[rows] != cell]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(out.num_rows, cell, np.int32)), *out.columns], names=["cell", *out.schema.names])
 
     second = searched(cut(waiting.mapInArrow(spread, "cell int, vec_id long, v array<double>, bound double")))
     return best(first.union(second)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
