@@ -84,13 +84,26 @@ def _split(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def _digests(one: np.ndarray, two: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two digests of each word set, of 64 bits and of 32, as signed numbers: a polynomial of the first hashes of its words, and a sum of the second ones, in which order plays no part."""
-    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(A.mix(two))])
+    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(two)])
     return A.signed(A.span_hash(one, offsets[:-1], offsets[1:])), A.mix(other[offsets[1:]] - other[offsets[:-1]]).astype(np.uint32).view(np.int32)
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """How many words fall in each hash bucket, over all documents; at most 2 ** 32 - 1."""
+    """How many words fall in each hash bucket, over all documents; at most 2 ** 32 - 1.
+
+    A task sends its counts by ranges of buckets, a row for each range that it has words of; tasks add up the ranges dealt to them as they read, and hold one number for each bucket of these.
+    """
     bits = RARITY_BITS
+    parts = 1 << min(10, bits)
+    width = (1 << bits) // parts
+    names, schema = ["part", "bucket", "n"], "part int, bucket array<int>, n array<long>"
+
+    def rows_of(part: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """A row for each range, of parts in ascending order."""
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        at = pa.array(np.append(first, len(part)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (bucket.astype(np.int32), n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -100,13 +113,23 @@ def rarity(docs: DataFrame) -> np.ndarray:
                 n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
                 np.add.at(total, (A.string_hash(coded.dictionary) & np.uint64((1 << bits) - 1)).astype(np.int64), n)
         used = np.flatnonzero(total)
-        for x in range(0, len(used), 1 << 16):
-            part = used[x : x + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        yield rows_of(used // width, used % width, total[used])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in enumerate(batch.column("part").to_pylist()):
+                held = total.setdefault(part, np.zeros(width, np.int64))
+                held[batch.column("bucket")[i].values.to_numpy()] += batch.column("n")[i].values.to_numpy()
+        for part, held in total.items():
+            used = np.flatnonzero(held)
+            yield rows_of(np.full(len(used), part), used, held[used])
+
+    sent = docs.select("text").mapInArrow(run, schema).repartition(min(_parts(docs), parts), "part")
+    rows = sent.mapInArrow(add, schema).toArrow()
     out = np.zeros(1 << bits, np.uint32)
-    out[rows.column("bucket").to_numpy()] = np.minimum(rows.column("n").to_numpy(), (1 << 32) - 1)
+    for part, bucket, n in zip(*(rows.column(c) for c in names), strict=True):
+        out[part.as_py() * width + bucket.values.to_numpy()] = np.minimum(n.values.to_numpy(), (1 << 32) - 1)
     return out
 
 
@@ -155,8 +178,8 @@ def line_sets(docs: DataFrame, threshold: float, min_words: int) -> DataFrame:
             for batch in A.pieces_of(whole, "text", TEXT):
                 text, row, number = _split(batch)
                 code, offsets, one, two = _sets(text)
-                size, (d1, d2) = np.diff(offsets), _digests(one[code], two[code], offsets)
-                h = one[code] & _LOW
+                h, size = one[code], np.diff(offsets)
+                d1, d2 = _digests(h, two[code], offsets)
                 ids = np.asarray(batch.column("doc_id").cast(pa.int64()))[row]
                 own = np.flatnonzero(size >= max(min_words, 1))
                 own = own[np.lexsort((number[own], ids[own], d2[own], d1[own]))]
@@ -167,8 +190,9 @@ def line_sets(docs: DataFrame, threshold: float, min_words: int) -> DataFrame:
                 post &= size >= least
                 # the words of the posting lines only
                 at = np.concatenate([[0], np.cumsum(np.where(post, size, 0))])
-                word, end = _prefixes(h[np.repeat(post, size)], at, counts, bits, block, threshold)
-                b0, b1 = _bitmaps(h[np.repeat(post, size)], at)
+                h = h[np.repeat(post, size)] & _LOW
+                word, end = _prefixes(h, at, counts, bits, block, threshold)
+                b0, b1 = _bitmaps(h, at)
                 tag = (d2[own].astype(np.int64) << 32) | number[own]
                 length = np.diff(end)[own]
                 start = np.repeat(end[own] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) if len(own) else np.zeros(0, np.int64)
