@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftrank import fixtures as B
-from siftrank.operators import metrics, ordered, runstats
+from siftrank import queries
+from siftrank.operators import metrics, numbering, ordered, runstats, structure
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -65,3 +66,25 @@ def test_reversals_join_wanted_cells_only(spark):
     out = runstats.reversals(quads, runs)
     assert [(r.cond, r.right) for r in out.collect()] == [("x", 0)]
     assert sum(len(spark.read.parquet(f).columns) == 6 and spark.read.parquet(f).count() == 5 for f in {p.rsplit("/", 1)[0] for p in out.inputFiles()}) == 1
+
+
+def test_packed_lines_come_back_in_order_and_few_files(spark, tmp_path):
+    rows = [(f"t/{t}\t%" if t == 3 else str(t), 40 - n, f"line {n}\twith a tab") for t in range(30) for n in range(40)]
+    df = spark.createDataFrame(rows, "target_id string, line_no long, value string").repartition(5)
+    structure.write_packed(df, str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed").glob("part-*"))) <= 4
+    got = structure.read_packed(spark, str(tmp_path / "packed")).collect()
+    for t in {r[0] for r in rows}:
+        assert [r.value for r in sorted((r for r in got if r.target_id == t), key=lambda r: r.line_no)] == [r[2] for r in sorted((r for r in rows if r[0] == t), key=lambda r: r[1])]
+
+
+def test_capped_atoms_are_dealt_by_target_once(spark, monkeypatch):
+    monkeypatch.setattr(B, "LINES", 1000)
+    text = plan(queries.QUERIES["nearest_capped"](spark, SMALL))
+    assert text.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_NUM" in text and "Broadcast" not in text
+
+
+def test_ranked_rows_are_dealt_to_more_tasks_when_there_are_more(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "TASK_ROWS", 20)
+    df = spark.createDataFrame([(t, i, float(i % 7), float(i)) for t in range(4) for i in range(50)], "target_id long, ligand_id long, score double, p_hit double")
+    assert "hashpartitioning(target_id" in plan(metrics.recalls(df)) and ", 11), REPARTITION_BY_NUM" in plan(metrics.recalls(df))
