@@ -88,3 +88,12 @@ def test_ranked_rows_are_dealt_to_more_tasks_when_there_are_more(spark, monkeypa
     monkeypatch.setattr(numbering, "TASK_ROWS", 20)
     df = spark.createDataFrame([(t, i, float(i % 7), float(i)) for t in range(4) for i in range(50)], "target_id long, ligand_id long, score double, p_hit double")
     assert "hashpartitioning(target_id" in plan(metrics.recalls(df)) and ", 11), REPARTITION_BY_NUM" in plan(metrics.recalls(df))
+
+
+def test_shingles_of_one_text_are_kept_in_its_set_only(spark, monkeypatch):
+    kept, real = [], structure.stored
+    monkeypatch.setattr(structure, "stored", lambda df: kept.append(real(df)) or kept[-1])
+    words = lambda k: " ".join(f"w{k}_{i}" for i in range(60))
+    texts = spark.createDataFrame([(k, words(k)) for k in range(20)] + [(30, words(3) + " more")], "id long, text string")
+    assert [(r.a, r.b) for r in structure.shingle_links(texts).collect()] == [(3, 30)]
+    assert max(t.count() for t in kept if dict(t.dtypes).get("s") == "bigint") == 2 * 58
