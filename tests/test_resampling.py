@@ -30,6 +30,17 @@ def test_no_draw_is_a_row(spark):
     assert (got.n, got.p_positive) == (26, np.mean(np.array(means) > 0)) and np.allclose((got.low, got.high), np.quantile(means, (0.025, 0.975)))
 
 
+def test_sums_in_tasks_equal_joined_draws(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(c, t, None if rng.random() < 0.1 else rng.uniform(-1, 1)) for c, n in (("a", 25), ("b", 25), ("c", 13)) for t in range(n)]
+    df = spark.createDataFrame(rows, "cond string, target_id long, x double")
+    two = df.where("cond = 'a'").select("target_id", F.col("x").alias("b"), (F.col("x") * 2 + 0.5).alias("k2"))
+    both = lambda: (sorted(map(str, runstats.paired_contrasts(df, "x", draws=60).collect())), runstats.ratio_bootstrap(two, "b", "k2", draws=60).collect(), runstats.bootstrap(two, "b", draws=60).collect())
+    got = both()
+    monkeypatch.setattr(resampling, "VALUES", 0)
+    assert got == both()
+
+
 def runs_table(spark):
     rng = random.Random(8)
     rows = []
