@@ -39,6 +39,13 @@ def test_few_quadruplets_are_found_whole(spark):
     assert all(r.da == score[r.a, r.i] - score[r.a, r.j] and r.db == score[r.b, r.i] - score[r.b, r.j] for r in got)
 
 
+def test_no_item_is_left_out_of_large_folds(spark, monkeypatch):
+    monkeypatch.setattr(runstats, "INDEX_ROWS", 30, raising=False)  # once a bound, beyond which a share of the items was taken
+    rows, df = sparse(spark, items=90)
+    got = runstats.quadruplets(df, 100_000, 50_000).collect()
+    assert {(r.fold, r.a, r.b, frozenset((r.i, r.j))) for r in got} == every(rows)
+
+
 def test_draws_go_on_until_the_quota_is_met(spark):
     rows, df = sparse(spark, 2, 120)
     got = runstats.quadruplets(df, 150, 100).collect()
