@@ -70,10 +70,19 @@ def constant_gain(real: DataFrame, constant: DataFrame, column: str) -> DataFram
     return both.withColumn("gain", F.col("real") - F.col("constant"))
 
 
-def top_scored(items: DataFrame, targets: DataFrame, fraction: float = 0.10, scale: float = 1.0) -> DataFrame:
+def _products(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Products of all rows of both, summed component by component: equal rows get equal bits, wherever they lie in a batch."""
+    out = np.zeros((len(x), len(w)))
+    for c in range(x.shape[1]):
+        out += np.multiply.outer(x[:, c], w[:, c])
+    return out
+
+
+def top_scored(items: DataFrame, targets: DataFrame, fraction: float = 0.10, scale: float = 1.0, digits: int | None = None) -> DataFrame:
     """The best part of every target, without ever holding all scores: a matrix product for each Arrow batch and block of targets, the batch's own best rows, then the best of all.
 
-    ``k`` is rounded up from all items; a batch keeps at most ``k`` rows of a target, so what is shuffled shrinks with the fraction.
+    ``k`` is rounded up from all items; a batch keeps at most ``k`` rows of a target, so what is shuffled shrinks with the fraction. With ``digits`` scores are rounded before they are ranked, so that ties at these digits go to smaller items,
+    whatever the last bits of a sum are.
     """
     n = items.count()
     k = max(1, int(np.ceil(fraction * n)))
@@ -91,7 +100,7 @@ def top_scored(items: DataFrame, targets: DataFrame, fraction: float = 0.10, sca
                 x = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
                 own = np.asarray(batch.column("ligand_id"))
                 for t in range(0, len(ids), 256):
-                    s = x @ w[t : t + 256].T
+                    s = x @ w[t : t + 256].T if digits is None else np.round(_products(x, w[t : t + 256]), digits)
                     for j in range(s.shape[1]):
                         keep = np.lexsort((own, -s[:, j]))[:k]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), ids[t + j])), pa.array(own[keep]), pa.array(s[keep, j])], names=["target_id", "ligand_id", "logit"])

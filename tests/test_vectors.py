@@ -77,3 +77,19 @@ def test_fingerprints_know_rows_not_order(spark):
     others = [df.unionByName(df.limit(1)), df.unionByName(df), df.withColumn("b", F.coalesce("b", F.lit(""))), df.where("a <> 1 OR b IS NOT NULL"), df.withColumn("a", F.when(F.col("b") == "7", 9).otherwise(F.col("a")))]
     assert len({mark(d)["fingerprint"] for d in [df, *others]}) == 6
     assert mark(df.limit(0))["rows"] == 0
+
+
+def test_top_scored_ranks_rounded_scores(spark):
+    """Scores that agree at nine digits are ties, which go to smaller items; equal vectors tie wherever they lie in a batch."""
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=64)
+    rows = [(i, (one if i % 3 else rng.normal(size=64)).tolist()) for i in range(500)] + [(1000 + i, [1.0 + (9 - i) * -1e-13] + [0.0] * 63) for i in range(10)]
+    items = spark.createDataFrame(rows, "ligand_id long, v array<double>").repartition(5)
+    w = rng.normal(size=64).tolist()
+    targets = spark.createDataFrame([(0, [1.0] + [0.0] * 63), (1, w)], "target_id long, v array<double>")
+    want = {}
+    for t, u in ((0, [1.0] + [0.0] * 63), (1, w)):
+        score = {i: round(sum(a * b for a, b in zip(v, u, strict=True)), 9) for i, v in rows}
+        want[t] = sorted(score, key=lambda i: (-score[i], i))[:408]
+    got = vectors.top_scored(items, targets, 0.8, digits=9).orderBy("target_id", "rk").collect()
+    assert {t: [r.ligand_id for r in got if r.target_id == t] for t in want} == want
