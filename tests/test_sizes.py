@@ -97,3 +97,22 @@ def test_shingles_of_one_text_are_kept_in_its_set_only(spark, monkeypatch):
     texts = spark.createDataFrame([(k, words(k)) for k in range(20)] + [(30, words(3) + " more")], "id long, text string")
     assert [(r.a, r.b) for r in structure.shingle_links(texts).collect()] == [(3, 30)]
     assert max(t.count() for t in kept if dict(t.dtypes).get("s") == "bigint") == 2 * 58
+
+
+def test_links_deal_no_text_and_no_row_for_a_shingle_of_one_text(spark, monkeypatch):
+    """Sets, texts and their shingles are not stored or dealt as they are: only what several texts have becomes rows; in many parts the links are the same, and repeated rows of one id are one text."""
+    rng = random.Random(11)
+    common = [" ".join(rng.choice("abcd") for _ in range(15)) for _ in range(2)]
+    texts = [(i, " ".join([rng.choice(common), *(rng.choice("pqrs") + str(i // 2) for _ in range(rng.choice((0, 3, 12))))])) for i in range(80)]
+    df = spark.createDataFrame([*texts, texts[0], texts[5]], "id long, text string")
+    want = {tuple(r) for r in structure.shingle_links(df).collect()}
+    kept, real = [], structure.stored
+    monkeypatch.setattr(structure, "stored", lambda df: kept.append(real(df)) or kept[-1])
+    monkeypatch.setattr(structure, "SHINGLES", 100, raising=False)
+    assert {tuple(r) for r in structure.shingle_links(df).collect()} == want and len(want) > 20
+    words = {i: t.split() for i, t in texts}
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in words.items()}
+    several = {i: {x for x in s if sum(x in o for o in sets.values()) > 1} for i, s in sets.items()}
+    arrays = [t for t in kept if dict(t.dtypes).get("s") == "array<bigint>"]
+    assert arrays and all(len(r.s) <= len(several[r.id]) for t in arrays for r in t.collect())
+    assert not any({"w", "text"} & set(t.columns) for t in kept)
