@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftrank import fixtures as B
 from siftrank import queries
-from siftrank.operators import metrics, numbering, ordered, runstats, structure
+from siftrank.operators import components, metrics, numbering, ordered, runstats, structure
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -116,3 +116,14 @@ def test_links_deal_no_text_and_no_row_for_a_shingle_of_one_text(spark, monkeypa
     arrays = [t for t in kept if dict(t.dtypes).get("s") == "array<bigint>"]
     assert arrays and all(len(r.s) <= len(several[r.id]) for t in arrays for r in t.collect())
     assert not any({"w", "text"} & set(t.columns) for t in kept)
+
+
+def test_components_of_texts_in_small_blocks(spark, monkeypatch):
+    """Sets of one least shingle in many blocks: the same components, and a set is sent once to each two blocks."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(30)]
+    texts = spark.createDataFrame([(i, " ".join(base[:28] if i < 3 else base + [f"x{i}"] * rng.randint(0, 3) if i < 30 else [f"y{i % 4}_{j}" for j in range(10)])) for i in range(50)], "id long, text string")
+    query = lambda: {tuple(r) for r in components.connected_components(structure.shingle_links(texts).select("a", "b").union(structure.text_classes(texts))).collect()}
+    want = query()
+    monkeypatch.setattr(structure, "BLOCK", 3)
+    assert query() == want and len({c for _, c in want}) == 5
